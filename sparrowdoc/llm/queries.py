@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, rlz, secrets
+from . import audio, bpe, decontaminate, rlz, secrets, suffixes
 from .registry import query
 
 
@@ -45,3 +45,8 @@ def op10(spark, sf_dir):
 def op2(spark, sf_dir):
     out = rlz.dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffixes.dedup(_documents(spark, sf_dir), digests=True)
