@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, rlz, secrets, suffixes
+from . import audio, bpe, decontaminate, rlz, secrets, setsketch, suffixes
 from .registry import query
 
 
@@ -50,3 +50,8 @@ def op2(spark, sf_dir):
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return suffixes.dedup(_documents(spark, sf_dir), digests=True)
+
+
+@query("op6_setsketch_near_dedup")
+def op6(spark, sf_dir):
+    return setsketch.near_duplicates(_documents(spark, sf_dir)).drop("uid")
