@@ -3,9 +3,10 @@
 A document's set is its distinct five-word shingles (A-Z lower-cased; with fewer words, the whole sequence). A register
 keeps the least of exponentially distributed hashes on an exponential scale, truncated to 16 bits: registers of a union
 are the larger of two, and equal registers tell of shared elements. Documents with one set are one node. Nodes meet in
-bands of neighbouring registers. In each band every node is compared with the band's least node first; only where a
-band still holds several components are its nodes compared in blocks, by the joint maximum-likelihood estimate of the
-Jaccard similarity. Every link is confirmed on the full sets; distributed union-find joins the links.
+bands of neighbouring registers. In each band every node is compared with the band's least node first, by the joint
+maximum-likelihood estimate of the Jaccard similarity; then nodes outside a band's main component with a few nodes of
+it. Only nodes that are still outside are compared with all nodes of their band, in blocks. Every link is confirmed on
+the full sets; distributed union-find joins the links.
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and stay; rows with equal sets form
 one group, also where ids repeat; null ids take part, but never name a component.
@@ -19,7 +20,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,9 +32,11 @@ from .rlz import with_uid
 SHINGLE, REGISTERS, BAND = 5, 128, 4
 SCALE, RATE = 1.001, 20.0
 #: Similarity in hundredths, and the estimate from which a pair is verified: about four standard errors below.
-PERCENT, LEAST_ESTIMATE = 75, 0.58
+PERCENT, LEAST_ESTIMATE = 75, 0.6
 #: Nodes of a band that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 2048
+#: Turns in which nodes outside a band's main component are tried on so many of its nodes.
+TURNS, CENTRES = 2, 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KEYS = H.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -159,30 +162,55 @@ def _likely(batches):
         yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], names=["a", "b"])
 
 
-def _compare(key, table):
-    """Likely pairs between the components of two blocks of a band (or within one)."""
-    table = table.combine_chunks()
-    regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    node = np.array(table.column("node").to_pylist(), dtype=object)
-    _, comp = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)
-    block, n = table.column("block").to_numpy(), table.column("n").to_numpy()
-    left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-    same = key[1].as_py() == key[2].as_py()
-    found: list[tuple[bytes, bytes, float]] = []
-    for k, i in enumerate(left.tolist()):
-        others = right[k + 1 :] if same else right
-        others = others[comp[others] != comp[i]]
-        if not len(others):
-            continue
-        equal = (regs[others] == regs[i]).sum(1)
-        near = equal >= REGISTERS * (LEAST_ESTIMATE - 0.2)  # the estimate cannot be far above the share of equal registers
-        others = others[near]
-        if not len(others):
-            continue
-        j = joint_estimate((regs[others] < regs[i]).sum(1), (regs[others] > regs[i]).sum(1), np.full(len(others), n[i]), n[others])
-        found += [(min(node[i], node[o]), max(node[i], node[o]), float(e)) for o, e in zip(others.tolist(), j.tolist(), strict=True) if e >= LEAST_ESTIMATE]
-    a, b, e = zip(*found, strict=True) if found else ((), (), ())
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "estimate": pa.array(e, pa.float64())})
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _compare(percent: int):
+    """Links between a block of a band's open nodes and a block of all its nodes.
+
+    A pair is looked at in the first band that it shares, and only while its nodes are in different components; what
+    passes the estimate is verified here, so that no pair leaves the task but links that join two components.
+    """
+
+    def run(key, table):
+        table = table.combine_chunks()
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        packed = np.ascontiguousarray(regs).view(np.uint64)
+        here = H.mix(packed ^ H.mix(np.arange(1, packed.shape[1] + 1, dtype=np.uint64)))[0].view(np.int64).tolist().index(key[0].as_py())
+        node, n = table.column("node").to_pylist(), table.column("n").to_numpy()
+        root = table.column("root").to_pylist()
+        parent = {r: r for r in root}
+
+        def find(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        unpack = zstandard.ZstdDecompressor()
+        sets = shingle_sets([unpack.decompress(t).decode() for t in table.column("text").to_pylist()])
+        asks, is_asked = table.column("asks").to_numpy(zero_copy_only=False), table.column("is_asked").to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(is_asked)
+        found = []
+        for i in np.flatnonzero(asks).tolist():
+            mine = find(root[i])
+            some = others[(n[others] * 100 >= percent * n[i]) & (n[i] * 100 >= percent * n[others])]
+            if here:
+                some = some[~(packed[some, :here] == packed[i, :here]).any(1)]
+            some = some[(regs[some] == regs[i]).sum(1) >= REGISTERS * (LEAST_ESTIMATE - 0.2)]
+            some = np.array([o for o in some.tolist() if find(root[o]) != mine], np.int64)
+            if not len(some):
+                continue
+            j = joint_estimate((regs[some] < regs[i]).sum(1), (regs[some] > regs[i]).sum(1), np.full(len(some), n[i]), n[some])
+            for o in some[np.argsort(-j)][: int((j >= LEAST_ESTIMATE).sum())].tolist():
+                if find(root[o]) != find(root[i]) and _linked(sets[i], sets[o], percent):
+                    found.append((min(node[i], node[o]), max(node[i], node[o])))
+                    parent[find(root[o])] = find(root[i])
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return lambda key, table: run(key, table)
 
 
 def _pack(text_col: str):
@@ -207,9 +235,7 @@ def _verify(percent: int):
                 sets = dict(zip(names, shingle_sets([unpack.decompress(texts[k]).decode() for k in names]), strict=True))
                 keep = []
                 for a, o, _, _ in rows:
-                    x, y = sets[a], sets[o]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                    keep.append(_linked(sets[a], sets[o], percent))
                 at = pa.array(np.flatnonzero(keep))
                 yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
 
@@ -243,24 +269,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tested = materialize(stars.join(one, "a").join(other, "b").mapInArrow(_likely, PAIR), "stars")
     links = verified(tested, "links")
 
-    for last in (False, True):
-        roots = components(links)
+    def open_nodes(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Nodes of the bands that hold several components, and for each such band its size and main component."""
         placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        rest = placed.join(open_, "band").join(nodes.select("node", "n", "registers"), "node")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rest = rest.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
-        pairs = rest.groupBy("band", "lo", "hi").applyInArrow(_compare, "a binary, b binary, estimate double")
-        pairs = pairs.groupBy("a", "b").agg(F.max("estimate").alias("estimate")).join(tested, ["a", "b"], "left_anti")
-        if not last:
-            # of two components, the likeliest pair first: most others are then within one
-            ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-            pairs = pairs.join(ra, "a", "left").join(rb, "b", "left").withColumns({"x": F.coalesce("x", "a"), "y": F.coalesce("y", "b")})
-            pairs = pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b")
-        more = materialize(pairs.select("a", "b"), "pairs")
-        if more.isEmpty():
-            break
-        links, tested = links.unionByName(verified(more, "links")), tested.unionByName(more)
+        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("roots"), F.max("size").alias("most")).where("roots > 1")
+        return placed.join(main, "band"), main
+
+    for turn in range(TURNS):
+        # each node outside its band's main component is tried on a few of that component, the same ones in all bands
+        placed, _ = open_nodes(materialize(components(links), "roots"))
+        order = Window.partitionBy("band").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+        centres = placed.where("root = main").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES).select("band", F.col("node").alias("centre"))
+        tries = placed.where("root <> main").select("band", "node").join(centres, "band").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        tries = materialize(tries.join(tested, ["a", "b"], "left_anti").join(one, "a").join(other, "b").mapInArrow(_likely, PAIR), "tries")
+        links, tested = links.unionByName(verified(tries, "links")), tested.unionByName(tries)
+
+    placed, _ = open_nodes(materialize(components(links), "roots"))
+    outside = F.col("root") != F.col("main")
+    rows = placed.withColumns({"asked": F.ceil(F.col("all") / BLOCK).cast("int"), "asking": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")})
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    pair = lambda q, m, asks, asked: F.struct(q.alias("q"), m.alias("m"), F.lit(asks).alias("asks"), F.lit(asked).alias("is_asked"))
+    as_asked = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda q: pair(q, spread(F.col("asked")), False, True))
+    as_asking = F.transform(F.sequence(F.lit(0), F.col("asked") - 1), lambda m: pair(spread(F.col("asking")), m, True, False))
+    rows = rows.select("band", "node", "root", F.explode(F.when(outside, F.concat(as_asked, as_asking)).otherwise(as_asked)).alias("p")).select("band", "node", "root", "p.*")
+    rows = rows.groupBy("band", "node", "root", "q", "m").agg(F.max("asks").alias("asks"), F.max("is_asked").alias("is_asked"))
+    rows = rows.join(nodes.select("node", "n", "registers"), "node").join(texts, "node")
+    more = materialize(rows.groupBy("band", "q", "m").applyInArrow(_compare(percent), PAIR), "links")
+    links = links.unionByName(more)
     roots = materialize(components(links), "roots")
 
     rows = keyed.select("uid", id_col).join(sketch.select("uid", "node", F.col("n").cast("long").alias("n_shingles")).dropDuplicates(["uid"]), "uid")
