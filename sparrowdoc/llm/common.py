@@ -29,6 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that led here
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

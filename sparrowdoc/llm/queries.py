@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, rlz, secrets, setsketch, suffixes
+from . import audio, bpe, decontaminate, lines, rlz, secrets, setsketch, suffixes
 from .registry import query
 
 
@@ -55,3 +55,9 @@ def op7(spark, sf_dir):
 @query("op6_setsketch_near_dedup")
 def op6(spark, sf_dir):
     return setsketch.near_duplicates(_documents(spark, sf_dir)).drop("uid")
+
+
+@query("op5_fuzzy_line_dedup")
+def op5(spark, sf_dir):
+    out = lines.dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
