@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, lines, rlz, secrets, setsketch, suffixes
+from . import audio, bpe, decontaminate, lines, quality, rlz, secrets, setsketch, suffixes, tools
 from .registry import query
 
 
@@ -61,3 +61,32 @@ def op6(spark, sf_dir):
 def op5(spark, sf_dir):
     out = lines.dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+OP8_SQL = """
+with c as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) call_id, count(*) n, min({'turn': turn, 'text': text, 'conv_id': conv_id}) x
+           from conversations where role = 'user' and conv_id is not null and turn is not null group by 1),
+     r as (select cast(conv_id as varchar) || '-' || cast(turn - 1 as varchar) call_id, count(*) n, min({'turn': turn, 'text': text, 'conv_id': conv_id}) x
+           from conversations where role = 'assistant' and conv_id is not null and turn is not null group by 1),
+     j as (select coalesce(c.call_id, r.call_id) call_id, coalesce(c.x.conv_id, r.x.conv_id) conv_id, coalesce(c.x.turn, r.x.turn) turn,
+                  coalesce(c.n, 0) n_calls, coalesce(r.n, 0) n_results, c.x ask, r.x answer,
+                  case when c.n is null then 'orphan' when r.n is null then 'open' when r.x.turn < c.x.turn then 'early' else 'linked' end status
+           from c full join r on c.call_id = r.call_id)
+select conv_id, call_id, turn, n_calls, n_results, status, turn * 2 + (case when status = 'orphan' then 1 else 0 end) as level,
+       ask is not null as valid,
+       '{"arguments":' || (case when ask is null then 'null' else to_json({'prompt': ask.text, 'turn': ask.turn})::varchar end) || ',"id":' || to_json(call_id)::varchar
+       || ',"name":' || (case when ask is null then 'null' else '"reply"' end) || ',"result":' || (case when answer is null then 'null' else to_json(answer.text)::varchar end)
+       || ',"status":"' || status || '"}' as record
+from j"""
+
+
+@query("op8_tool_call_linking", OP8_SQL)
+def op8(spark, sf_dir):
+    calls, results = tools.turns(_table(spark, sf_dir, "conversations"))
+    return tools.link(calls, results, tools.REPLY)

@@ -304,3 +304,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = rows.where("root is not null").groupBy("root").agg(F.min(id_col).alias("component_id"))
     out = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col(id_col)).otherwise(F.col("component_id")))
     return out.select("uid", id_col, "n_shingles", "component_id", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` (same columns) with one document of each component: the least id's; texts without words stay."""
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
+    going = groups.where(~F.col("kept") & (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()).select(F.col("uid").alias("_uid"))
+    keyed = with_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
+    return keyed.join(going.distinct(), F.col("uid") == F.col("_uid"), "left_anti").select("_row.*")
