@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("retrieval", "answers", "documents", "logs")
 
 
 def load() -> None:
