@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and text bytes that a kernel gets at once; a single longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -95,7 +95,7 @@ def _repeats(window: int):
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + part.column("at").to_numpy()[row]
             owner = key[rows][row]
-            uid = np.array(part.column("uid").to_pylist(), dtype=object)[row]
+            uid = np.frombuffer(b"".join(part.column("uid").to_pylist()), np.uint64).reshape(-1, 2)[row]
             done = np.zeros(len(row), bool)
             if carry is not None and carry[0] == key[0]:
                 window_hash, uid, place, done = (np.concatenate(x) for x in zip(carry[1:], (window_hash, uid, place, done), strict=True))
@@ -117,14 +117,14 @@ def _repeats(window: int):
 
 
 def _spans(uid: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
-    """Neighbouring repeated windows joined to word spans."""
-    names, number = np.unique(uid, return_inverse=True)
-    order = np.lexsort((place, number))
-    d, p = number[order], place[order]
-    new = np.append(True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1))
+    """Neighbouring repeated windows joined to word spans; a uid is two 64-bit words."""
+    order = np.lexsort((place, uid[:, 1], uid[:, 0]))
+    d, p = uid[order], place[order]
+    new = np.append(True, (d[1:] != d[:-1]).any(1) | (p[1:] > p[:-1] + 1))
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(p)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(names[d[lo]], pa.binary()), pa.array(p[lo].astype(np.int32)), pa.array((p[hi] + window).astype(np.int32))], names=["uid", "lo", "hi"])
+    names = pa.Array.from_buffers(pa.binary(16), len(lo), [None, pa.py_buffer(np.ascontiguousarray(d[lo]).tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([names, pa.array(p[lo].astype(np.int32)), pa.array((p[hi] + window).astype(np.int32))], names=["uid", "lo", "hi"])
 
 
 def factors(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
