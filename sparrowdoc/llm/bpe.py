@@ -30,11 +30,13 @@ from .common import binary, long, string
 
 #: White space as the public encoder's pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 FOLD_BYTES = 384
 BUCKETS = 65521
 #: Ids are below PAIR; no rank is as high as NONE.
 PAIR, NONE = 1 << 20, 1 << 30
+#: Pieces that are folded have fewer bytes.
+PLACES = 4096
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -75,7 +77,7 @@ def byte_ids(ranks: dict[bytes, int]) -> Column:
 def fold(word: Column, merges: Column, singles: Column, buckets: int = BUCKETS) -> Column:
     """Ids of one piece: its bytes' ids, with the lowest-ranked neighbours merged again and again.
 
-    The state is the ids and the rank of each neighbouring pair (NONE if it has none); a merge looks up two new pairs.
+    A step packs each pair's rank with its place; the least is the leftmost pair of the lowest rank.
     """
 
     def rank(left: Column, right: Column) -> Column:
@@ -83,25 +85,25 @@ def fold(word: Column, merges: Column, singles: Column, buckets: int = BUCKETS)
         bucket = F.get(merges, (key % buckets).cast("int"))
         return F.coalesce(F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(NONE))
 
-    def step(s: Column, _: Column) -> Column:
-        p, r = s["p"], s["r"]
+    def step(p: Column, _: Column) -> Column:
+        packed = F.transform(p, lambda x, i: rank(x, F.coalesce(F.get(p, i + 1), F.lit(PAIR - 1))).cast("long") * PLACES + i)
 
-        def merge(b: Column) -> Column:
-            at, low = b["at"], b["low"]
-            p2 = F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p)))
-            before = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), low)))).otherwise(none)
-            after = F.when(at < F.size(r), F.concat(F.array(rank(low, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(none)
-            return F.struct(p2.alias("p"), F.concat(before, after).alias("r"))
+        def merge(least: Column) -> Column:
+            at, low = (least % PLACES).cast("int"), F.floor(least / PLACES).cast("int")
+            joined = F.transform(p, lambda x, i: F.when(i == at, low).when(i == at + 1, F.lit(-1)).otherwise(x))
+            return F.when(least >= NONE * PLACES, p).otherwise(F.filter(joined, lambda x: x >= 0))
 
-        low = F.array_min(r)
-        best = F.array(F.struct(F.array_position(r, low).cast("int").alias("at"), low.alias("low")))
-        return F.when(F.coalesce(low, F.lit(NONE)) == NONE, s).otherwise(F.get(F.transform(best, merge), 0))
+        return F.get(F.transform(F.array(F.array_min(packed)), merge), 0)
 
-    none = F.expr("cast(array() as array<int>)")
-    bytes_ = F.transform(F.split(word, ""), lambda c: F.get(singles, F.ascii(c)))
-    pairs = lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1)))
-    start = F.get(F.transform(F.array(bytes_), lambda p: F.struct(p.alias("p"), pairs(p).alias("r"))), 0)
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: s["p"])
+    letters = F.transform(F.split(word, ""), lambda c: F.get(singles, F.ascii(c)))
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), letters, step)
+
+
+def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """``fold`` of every word; null for an empty one. The rank map is bound once, so tasks get one copy of it."""
+    singles = byte_ids(ranks)
+    each = lambda merges: F.transform(words, lambda w: F.when(w == "", F.lit(None)).otherwise(fold(w, merges, singles)))
+    return F.get(F.transform(F.array(rank_map(ranks)), each), 0)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -198,8 +200,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     taken = {f.name for f in fields} | {"_codes"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken])
     blocks = base.mapInArrow(_blocks(text_col, pattern, base.columns), BLOCK)
-    merges, singles = rank_map(ranks), byte_ids(ranks)
-    folded = blocks.select("rows", F.transform("words", lambda w: F.when(w == "", F.lit(None)).otherwise(fold(w, merges, singles))).alias("ids"), "long_at", "long_words")
+    folded = blocks.select("rows", fold_words(F.col("words"), ranks).alias("ids"), "long_at", "long_words")
     kept = [c for c in base.columns if not digests or c != text_col]
     schema = T.StructType([base.schema[c] for c in kept] + fields)
     vocabulary = spark.sparkContext.broadcast(ranks)
