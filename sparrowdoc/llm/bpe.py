@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, long, string
+from .common import binary, long, small_batches, string
 
 #: White space as the public encoder's pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 384
 BUCKETS = 65521
 #: Ids are below PAIR; no rank is as high as NONE.
@@ -196,6 +196,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     Input columns named as a new one give way to it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     fields = [long("n_tokens"), string("ids_sha256"), string("decoded_sha256")] if digests else [long("n_tokens"), T.StructField("ids", T.ArrayType(T.IntegerType())), binary("decoded")]
     taken = {f.name for f in fields} | {"_codes"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken])

@@ -44,6 +44,13 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of a few MB, so that workers hold little; a size that the session was given stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(key, size)
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch within SLICE_ROWS and SLICE_BYTES."""
     at, n = 0, batch.num_rows
@@ -63,6 +70,7 @@ def annotate(df: DataFrame, text_col: str, factory: Callable[[], Callable], fiel
     ``factory()`` gives a kernel from a list of texts (None for null) to a list of columns. An input column named
     as a computed one gives way to it. ``replace_text``: the kernel's first column takes the text's place.
     """
+    small_batches(df.sparkSession)
     names = [f.name for f in fields]
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
     schema = T.StructType(base.schema.fields + fields)
