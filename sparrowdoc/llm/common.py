@@ -47,7 +47,7 @@ def drop(*frames: DataFrame) -> None:
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of a few MB, so that workers hold little; a size that the session was given stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, size)
 
 
