@@ -17,8 +17,8 @@ import base64
 import hashlib
 import heapq
 import json
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -206,35 +206,44 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     schema = T.StructType([base.schema[c] for c in kept] + fields)
     vocabulary = spark.sparkContext.broadcast(ranks)
 
+    def joined(vocabulary: pa.Array, ids: pa.Array) -> tuple[np.ndarray, memoryview]:
+        """Offsets and bytes of the entries of ``ids``, one after the other."""
+        taken = vocabulary.take(ids)
+        data = taken.buffers()[2]
+        return np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1], memoryview(data if data is not None else b"")
+
     def assemble(batches):
         known = vocabulary.value
-        pieces = {i: t for t, i in known.items()}
-        decimal = {i: b"%d" % i for i in pieces}
+        by_id = dict(sorted((i, t) for t, i in known.items()))
+        pieces = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], pa.binary())
+        decimal = pa.array([b"%d " % i for i in range(len(pieces))], pa.binary())
         for batch in batches:
             for r in range(batch.num_rows):
-                word_ids = batch.column("ids")[r].as_py()
-                for at, piece in zip(batch.column("long_at")[r].as_py(), batch.column("long_words")[r].as_py(), strict=True):
-                    word_ids[at] = merge_long(piece, known)
+                words = batch.column("ids")[r].values
+                place = np.arange(len(words))
+                if tail := batch.column("long_words")[r].as_py():
+                    place[batch.column("long_at")[r].as_py()] = len(words) + np.arange(len(tail))
+                    words = pa.concat_arrays([words, pa.array([merge_long(p, known) for p in tail], words.type)])
                 with pa.ipc.open_stream(batch.column("rows")[r].as_buffer()) as reader:
                     rows = reader.read_next_batch()
-                if digests:
-                    spelled = [b" ".join(map(decimal.__getitem__, ids)) for ids in word_ids]
-                sizes = list(map(len, word_ids))
-                plain = [b"".join(map(pieces.__getitem__, ids)) for ids in word_ids]
-                codes = rows.column("_codes")
                 for start in range(0, rows.num_rows, 256):
                     part = rows.slice(start, 256)
-                    columns: tuple[list, list, list] = ([], [], [])
-                    for words in codes.slice(start, 256).to_pylist():
-                        decoded = b"".join(map(plain.__getitem__, words))
-                        columns[0].append(sum(map(sizes.__getitem__, words)))
-                        if digests:
-                            columns[1].append(hashlib.sha256(b" ".join(map(spelled.__getitem__, words))).hexdigest())
-                            columns[2].append(hashlib.sha256(decoded).hexdigest())
-                        else:
-                            columns[1].append(list(chain.from_iterable(map(word_ids.__getitem__, words))))
-                            columns[2].append(decoded)
-                    kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int32()), pa.binary())
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *map(pa.array, columns, kinds)], names=[*kept, *[f.name for f in fields]])
+                    codes = part.column("_codes")
+                    ends = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+                    taken = words.take(pa.array(place[codes.flatten().to_numpy()]))
+                    tokens = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)[ends]
+                    ids = taken.flatten().cast(pa.int32())
+                    offsets, data = joined(pieces, ids)
+                    bounds = offsets[tokens]
+                    counts = pa.array(np.diff(tokens).astype(np.int64))
+                    if digests:
+                        at, spelled = joined(decimal, ids)
+                        lo = at[tokens]
+                        first = pa.array([hashlib.sha256(spelled[a : max(a, b - 1)]).hexdigest() for a, b in zip(lo[:-1].tolist(), lo[1:].tolist(), strict=True)], pa.string())
+                        second = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
+                    else:
+                        first = pa.ListArray.from_arrays(pa.array(tokens), ids)
+                        second = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int32).tobytes()), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], counts, first, second], names=[*kept, *[f.name for f in fields]])
 
     return folded.mapInArrow(assemble, schema)
