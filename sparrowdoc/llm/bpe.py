@@ -30,7 +30,7 @@ from .common import binary, long, small_batches, string
 
 #: White space as the public encoder's pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 FOLD_BYTES = 384
 BUCKETS = 65521
 #: Ids are below PAIR; no rank is as high as NONE.
