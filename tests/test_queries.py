@@ -33,7 +33,7 @@ def test_title_dedup_is_the_greedy_loop(spark, sf):
     kept = []
     for d, s, t in sorted(rows):
         k = re.sub("[^a-z0-9 ]", "", unicodedata.normalize("NFKD", t).lower().replace("ß", "")).strip()
-        alike = lambda o: o == k or (len(min(o, k, key=len)) > 12 and max(o, k, key=len).startswith(min(o, k, key=len)[:35]))
+        alike = lambda o: o == k or (len(min(o, k, key=len)) > 12 and sorted((o, k), key=len)[1].startswith(sorted((o, k), key=len)[0][:35]))
         if k and not any(alike(o) for _, src, o in kept if src == s):
             kept.append((d, s, k))
     got = sorted((r.doc_id, r.source) for r in registry.queries()["title_dedup"](spark, sf).collect())
