@@ -1,12 +1,12 @@
-"""Byte-level BPE: ranked merges folded by Spark higher-order functions over the distinct words of a block.
+"""Byte-level BPE: ranked merges folded by Spark higher-order functions over the byte arrays of a block's distinct words.
 
-Three steps run in one stage, without a shuffle. A kernel splits texts into pieces and gives one row for each block of
-documents: the rows, piece numbers, and the block's distinct pieces. Higher-order functions fold the ranked merges over
-the bytes of each distinct piece; the ranks are a literal map in buckets, bounded by the vocabulary. A second kernel puts
-the documents' ids together and decodes them by concatenating the vocabulary's binary pieces.
+Two steps run in one stage, without a shuffle. A kernel splits texts into pieces and gives one row for each block of
+documents: the block's distinct pieces as byte arrays, and its documents with their pieces' numbers. Higher-order
+functions fold the ranked merges over each distinct piece, put the documents' ids together and decode them by
+concatenating the vocabulary's binary pieces. The ranks are a literal table, bounded by the vocabulary.
 
-A byte is written as the code point of its value, so that Spark's strings hold any byte array. Pieces longer than
-``FOLD_BYTES`` (a fold takes time in the square of the length) are merged with a heap in the second kernel.
+Pieces longer than ``FOLD_BYTES`` (a fold takes time in the square of the length) are merged with a heap in the kernel.
+The vocabulary's binary pieces are strings of one character a byte (ISO 8859-1), as Spark joins arrays of strings only.
 
 Defined cases: null and empty texts give no ids and decode to nothing; equal texts give equal ids.
 """
@@ -14,7 +14,6 @@ Defined cases: null and empty texts give no ids and decode to nothing; equal tex
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 
@@ -26,17 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, long, small_batches, string
+from .common import small_batches
 
 #: White space as the public encoder's pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 384
-BUCKETS = 65521
-#: Ids are below PAIR; no rank is as high as NONE.
-PAIR, NONE = 1 << 20, 1 << 30
-#: Pieces that are folded have fewer bytes.
-PLACES = 4096
+#: Stands around a piece; no id is as high. No rank is as high as NONE.
+EDGE, NONE = (1 << 20) - 1, 1 << 30
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -54,56 +50,70 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return parse_ranks(f)
 
 
-def rank_map(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """The ranked merges as a foldable literal: (left id, right id) to the merged id, which is its rank too.
+def rank_table(ranks: dict[bytes, int]) -> dict[str, list[int]]:
+    """The ranked merges (left id, right id) to the merged id, which is its rank too, as rows laid over one another.
 
-    A lookup in a Spark map reads its keys one by one, so the pairs are dealt to many small maps (keys k, values v).
+    The pair's place is ``shift[left] + right``; ``owner`` there is ``left`` if the pair is a merge, and ``rank`` its rank.
     """
-    out: list[dict[str, list[int]]] = [{"k": [], "v": []} for _ in range(buckets)]
+    rows: dict[int, dict[int, int]] = {}
     for token, rank in ranks.items():
         for at in range(1, len(token)):
             left, right = ranks.get(token[:at]), ranks.get(token[at:])
             if left is not None and right is not None:
-                key = left * PAIR + right
-                out[key % buckets]["k"].append(key)
-                out[key % buckets]["v"].append(rank)
-    return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "array<struct<k:array<bigint>,v:array<int>>>")
+                rows.setdefault(left, {})[right] = rank
+    top = max(ranks.values()) + 1
+    pairs = sum(map(len, rows.values()))
+    width = top + 2 * pairs
+    shift, owner, rank = [0] * top, np.full(width, -1), np.zeros(width, np.int64)
+    random = np.random.default_rng(0)
+    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        rights = np.fromiter(row, np.int64, len(row))
+        low, room = rights.min(), width - rights.max()
+        while (owner[rights + (at := int(random.integers(-low, room)))] >= 0).any():
+            pass
+        shift[left], owner[rights + at], rank[rights + at] = at, left, list(row.values())
+    return {"shift": shift, "owner": owner.tolist(), "rank": rank.tolist()}
 
 
-def byte_ids(ranks: dict[bytes, int]) -> Column:
-    return F.lit([ranks[bytes([b])] for b in range(256)])
+def literal(table: dict[str, list]) -> Column:
+    """Lists as one foldable literal, a struct of arrays."""
+    kind = ",".join(f"{k}:array<{'string' if isinstance(v[0], str) else 'int'}>" for k, v in table.items())
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), f"struct<{kind}>")
 
 
-def fold(word: Column, merges: Column, singles: Column, buckets: int = BUCKETS) -> Column:
-    """Ids of one piece: its bytes' ids, with the lowest-ranked neighbours merged again and again.
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    A step packs each pair's rank with its place; the least is the leftmost pair of the lowest rank.
+
+def fold(word: Column, t: Column) -> Column:
+    """Ids of one piece, a byte array: its bytes' ids, with the lowest-ranked neighbours merged again and again.
+
+    The state is the ids between two edges, and the rank of each with its right neighbour; a step merges the leftmost
+    pair of the lowest rank and looks up the two pairs that arise.
     """
 
     def rank(left: Column, right: Column) -> Column:
-        key = left.cast("long") * PAIR + right
-        bucket = F.get(merges, (key % buckets).cast("int"))
-        return F.coalesce(F.get(bucket["v"], F.array_position(bucket["k"], key).cast("int") - 1), F.lit(NONE))
-
-    def step(p: Column, _: Column) -> Column:
-        packed = F.transform(p, lambda x, i: rank(x, F.coalesce(F.get(p, i + 1), F.lit(PAIR - 1))).cast("long") * PLACES + i)
+        at = F.get(t["shift"], left) + right
+        return F.when(F.get(t["owner"], at) == left, F.get(t["rank"], at)).otherwise(F.lit(NONE))
 
-        def merge(least: Column) -> Column:
-            at, low = (least % PLACES).cast("int"), F.floor(least / PLACES).cast("int")
-            joined = F.transform(p, lambda x, i: F.when(i == at, low).when(i == at + 1, F.lit(-1)).otherwise(x))
-            return F.when(least >= NONE * PLACES, p).otherwise(F.filter(joined, lambda x: x >= 0))
+    def step(s: Column, _: Column) -> Column:
+        ids, ranks = s["ids"], s["ranks"]
 
-        return F.get(F.transform(F.array(F.array_min(packed)), merge), 0)
+        def merge(low: Column, at: Column) -> Column:
+            two = F.array(rank(F.get(ids, at - 2), low), rank(low, F.get(ids, at + 1)))
+            joined = F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, EDGE))
+            return F.struct(joined.alias("ids"), F.concat(F.slice(ranks, 1, at - 2), two, F.slice(ranks, at + 2, EDGE)).alias("ranks"))
 
-    letters = F.transform(F.split(word, ""), lambda c: F.get(singles, F.ascii(c)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), letters, step)
+        return bind(F.array_min(ranks), lambda low: F.when(low == NONE, s).otherwise(bind(F.array_position(ranks, low).cast("int"), lambda at: merge(low, at))))
 
+    def start(ids: Column) -> Column:
+        return F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1))).alias("ranks"))
 
-def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """``fold`` of every word; null for an empty one. The rank map is bound once, so tasks get one copy of it."""
-    singles = byte_ids(ranks)
-    each = lambda merges: F.transform(words, lambda w: F.when(w == "", F.lit(None)).otherwise(fold(w, merges, singles)))
-    return F.get(F.transform(F.array(rank_map(ranks)), each), 0)
+    edge = F.array(F.lit(EDGE))
+    letters = F.concat(edge, F.transform(word, lambda b: F.get(t["byte"], b)), edge)
+    steps = F.slice(word, 2, EDGE)  # one for each merge that is possible
+    return F.aggregate(steps, bind(letters, start), step, lambda s: F.slice(s["ids"], 2, F.size(s["ids"]) - 2))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -141,38 +151,39 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _ipc(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _blocks(text_col: str, pattern: str, ranks, names: list[str]):
+    """One row for each block: ``words``, the distinct pieces (bytes; ids where ``done``), and ``docs``, their fields and piece numbers."""
 
-
-def _blocks(text_col: str, pattern: str, names: list[str]):
     def run(batches):
         split = splitter(pattern)
         held: list[pa.RecordBatch] = []
-        codes: list[list[int]] = []
+        codes: list[np.ndarray] = []
         numbers: dict[str, int] = {}
         size = 0
 
         def flush():
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array(codes, pa.list_(pa.int32()))], names=[*names, "_codes"])
-            pieces = [w.encode().decode("latin-1") for w in numbers]
-            short = [p if len(p) <= FOLD_BYTES else "" for p in pieces]
-            tail = {i: p.encode("latin-1") for i, p in enumerate(pieces) if len(p) > FOLD_BYTES}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([_ipc(rows)], pa.binary()), pa.array([short], pa.list_(pa.string())), pa.array([[*tail.keys()]], pa.list_(pa.int32())), pa.array([[*tail.values()]], pa.list_(pa.binary()))],
-                names=["rows", "words", "long_at", "long_words"],
-            )
+            pieces = [w.encode() for w in numbers]
+            done = [len(p) > FOLD_BYTES for p in pieces]
+            tail = {i: merge_long(pieces[i], ranks.value) for i, d in enumerate(done) if d}
+            for i in tail:
+                pieces[i] = b""
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)))
+            rows = pa.Table.from_batches(held).combine_chunks()
+            starts = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
+            codes_ = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(codes)))
+            fields = [rows.column(n).combine_chunks() if rows.column(n).num_chunks != 1 else rows.column(n).chunk(0) for n in names]
+            docs = pa.StructArray.from_arrays([*fields, codes_], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([one(words), pa.array([list(tail)], pa.list_(pa.int32())), pa.array([list(tail.values())], pa.list_(pa.list_(pa.int32()))), one(docs)], names=["words", "long_at", "long_ids", "docs"])
 
         for whole in batches:
-            lengths = pc.binary_length(whole.column(text_col)).fill_null(0).to_pylist()
+            texts = whole.column(text_col)
+            lengths = pc.binary_length(texts).fill_null(0).to_pylist()
             start = 0
             for i, n in enumerate(lengths):
-                text = whole.column(text_col)[i].as_py() or ""
-                codes.append([numbers.setdefault(p, len(numbers)) for p in split.findall(text)])
+                codes.append(np.array([numbers.setdefault(p, len(numbers)) for p in split.findall(texts[i].as_py() or "")], np.int32))
                 size += n
                 if size >= BLOCK_BYTES:
                     held.append(whole.slice(start, i + 1 - start))
@@ -187,63 +198,45 @@ def _blocks(text_col: str, pattern: str, names: list[str]):
     return run
 
 
-BLOCK = T.StructType([binary("rows"), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("long_at", T.ArrayType(T.IntegerType())), T.StructField("long_words", T.ArrayType(T.BinaryType()))])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", digests: bool = False) -> DataFrame:
-    """``docs`` with its ids, decoded again: ``ids`` and ``decoded``, or with ``digests`` n_tokens and two SHA-256.
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", digests: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` with its ids, decoded again: ``n_tokens``, ``ids`` and ``decoded``.
 
-    Input columns named as a new one give way to it.
+    With ``digests``, two SHA-256 instead of ids and bytes, and no text. Input columns named as a new one give way to it.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    fields = [long("n_tokens"), string("ids_sha256"), string("decoded_sha256")] if digests else [long("n_tokens"), T.StructField("ids", T.ArrayType(T.IntegerType())), binary("decoded")]
-    taken = {f.name for f in fields} | {"_codes"}
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken])
-    blocks = base.mapInArrow(_blocks(text_col, pattern, base.columns), BLOCK)
-    folded = blocks.select("rows", fold_words(F.col("words"), ranks).alias("ids"), "long_at", "long_words")
-    kept = [c for c in base.columns if not digests or c != text_col]
-    schema = T.StructType([base.schema[c] for c in kept] + fields)
-    vocabulary = spark.sparkContext.broadcast(ranks)
-
-    def joined(vocabulary: pa.Array, ids: pa.Array) -> tuple[np.ndarray, memoryview]:
-        """Offsets and bytes of the entries of ``ids``, one after the other."""
-        taken = vocabulary.take(ids)
-        data = taken.buffers()[2]
-        return np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1], memoryview(data if data is not None else b"")
-
-    def assemble(batches):
-        known = vocabulary.value
-        by_id = dict(sorted((i, t) for t, i in known.items()))
-        pieces = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], pa.binary())
-        decimal = pa.array([b"%d " % i for i in range(len(pieces))], pa.binary())
-        for batch in batches:
-            for r in range(batch.num_rows):
-                words = batch.column("ids")[r].values
-                place = np.arange(len(words))
-                if tail := batch.column("long_words")[r].as_py():
-                    place[batch.column("long_at")[r].as_py()] = len(words) + np.arange(len(tail))
-                    words = pa.concat_arrays([words, pa.array([merge_long(p, known) for p in tail], words.type)])
-                with pa.ipc.open_stream(batch.column("rows")[r].as_buffer()) as reader:
-                    rows = reader.read_next_batch()
-                for start in range(0, rows.num_rows, 256):
-                    part = rows.slice(start, 256)
-                    codes = part.column("_codes")
-                    ends = codes.offsets.to_numpy() - codes.offsets[0].as_py()
-                    taken = words.take(pa.array(place[codes.flatten().to_numpy()]))
-                    tokens = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)[ends]
-                    ids = taken.flatten().cast(pa.int32())
-                    offsets, data = joined(pieces, ids)
-                    bounds = offsets[tokens]
-                    counts = pa.array(np.diff(tokens).astype(np.int64))
-                    if digests:
-                        at, spelled = joined(decimal, ids)
-                        lo = at[tokens]
-                        first = pa.array([hashlib.sha256(spelled[a : max(a, b - 1)]).hexdigest() for a, b in zip(lo[:-1].tolist(), lo[1:].tolist(), strict=True)], pa.string())
-                        second = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
-                    else:
-                        first = pa.ListArray.from_arrays(pa.array(tokens), ids)
-                        second = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int32).tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], counts, first, second], names=[*kept, *[f.name for f in fields]])
-
-    return folded.mapInArrow(assemble, schema)
+    added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    kept = [c for c in base.columns if c != text_col or keep_text and not digests]
+    ints = T.ArrayType(T.IntegerType())
+    doc = T.StructType([T.StructField(f"c{i}", base.schema[c].dataType) for i, c in enumerate(kept)] + [T.StructField("codes", ints)])
+    block = T.StructType([T.StructField("words", T.ArrayType(ints)), T.StructField("long_at", ints), T.StructField("long_ids", T.ArrayType(ints)), T.StructField("docs", T.ArrayType(doc))])
+    blocks = base.mapInArrow(_blocks(text_col, pattern, spark.sparkContext.broadcast(ranks), kept), block)
+
+    spelled = [""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        spelled[i] = token.decode("latin-1")
+    table = rank_table(ranks) | {"byte": [ranks[bytes([b])] for b in range(256)], "spelled": spelled}
+
+    def of_word(t: Column, ids: Column) -> Column:
+        decoded = F.array_join(F.transform(ids, lambda i: F.get(t["spelled"], i)), "")
+        shown = F.array_join(ids.cast("array<string>"), " ") if digests else ids
+        return F.struct(shown.alias("ids"), decoded.alias("decoded"))
+
+    def of_words(t: Column) -> Column:
+        def each(w: Column, i: Column) -> Column:
+            return F.when(F.size(w) > 0, fold(w, t)).otherwise(F.get(F.col("long_ids"), F.array_position("long_at", i).cast("int") - 1))
+
+        return F.transform("words", lambda w, i: bind(each(w, i), lambda ids: of_word(t, ids)))
+
+    def of_doc(words: Column, d: Column) -> Column:
+        of = lambda name: F.transform(d["codes"], lambda c: F.get(words, c)[name])
+        decoded = F.encode(F.array_join(of("decoded"), ""), "ISO-8859-1")
+        own = [d[f"c{i}"].alias(f"c{i}") for i in range(len(kept))]
+        if not digests:
+            return bind(F.flatten(of("ids")), lambda ids: F.struct(*own, F.size(ids).cast("long").alias("n"), ids.alias("x"), decoded.alias("y")))
+        n = lambda shown: F.when(shown == "", 0).otherwise(F.length(shown) - F.length(F.replace(shown, F.lit(" "))) + 1).cast("long")
+        return bind(F.array_join(of("ids"), " "), lambda ids: F.struct(*own, n(ids).alias("n"), F.sha2(ids, 256).alias("x"), F.sha2(decoded, 256).alias("y")))
+
+    done = bind(literal(table), lambda t: bind(of_words(t), lambda words: F.transform("docs", lambda d: of_doc(words, d))))
+    return blocks.select(F.inline(done)).toDF(*kept, *added)
