@@ -1,7 +1,7 @@
 """Fuzzy line dedup in DataFrame operations alone: MinHash over character shingles, bands, Jaccard, union-find.
 
 A line (a text is cut at newlines) is compared in lower case with its spaces collapsed. Its set is the distinct
-``SHINGLE``-character shingles that start at a word. Equal lines are one node. Signatures are ``ROWS * BANDS`` minima;
+``SHINGLE``-character shingles that start at any of its characters; a shorter line is one shingle. Equal lines are one node. Signatures are ``ROWS * BANDS`` minima;
 lines that agree in a band are compared with the band's first and last line by the exact Jaccard similarity of their
 sets, and the links are joined by distributed union-find. Of each component the first line stays, by id and line
 number; all its other occurrences go.
@@ -19,6 +19,7 @@ from .common import drop, materialize
 from .components import components
 
 SHINGLE, ROWS, BANDS = 12, 3, 8
+STARTS = 32
 SIMILARITY = 0.75
 
 
@@ -27,24 +28,36 @@ def normal(line: Column) -> Column:
     return F.when(F.contains(low, F.lit("  ")), F.regexp_replace(low, " +", " ")).otherwise(low)
 
 
-def shingles(line: Column) -> Column:
-    """Character shingles that start at a word; at the line's end they are shorter."""
-    return F.regexp_extract_all(line, F.lit(f"(?=(.{{1,{SHINGLE}}}))[^ ]+ ?"), F.lit(1))
+def blocks(line: Column) -> Column:
+    """Parts of a line in which ``STARTS`` shingles start: cutting shingles out of them stays linear in a line's length."""
+    pattern = f"(?s)(?=(.{{{SHINGLE},{STARTS + SHINGLE - 1}}})).{{1,{STARTS}}}"
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
+
+
+def starts(block: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(block) - (SHINGLE - 1), F.lit(1)))
+
+
+def shingle(block: Column, start: Column) -> Column:
+    """A shingle's hash."""
+    return F.xxhash64(block.substr(start, F.lit(SHINGLE)))
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(uid, removed): the line numbers (from 0) that go, for documents that lose any."""
     lines = _lines(docs, text_col).select(normal(F.col("line")).alias("line")).where("line <> ''")
     nodes = lines.groupBy("line").agg(F.count("*").alias("copies"))
-    hashed = nodes.select("line", "copies", F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x)).alias("h"))
-    # one order gives two values of the signature, its least and its greatest
-    orders = hashed.select("line", "copies", *[_ordered(i).alias(f"o{i}") for i in range(-(-ROWS * BANDS // 2))])
-    signed = orders.select("line", "copies", *[(F.array_max if i % 2 else F.array_min)(f"o{i // 2}").alias(f"m{i}") for i in range(ROWS * BANDS)])
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "line", "copies"), "lines")
+    # one row for each shingle, folded to its line's signature before anything is dealt out
+    parts = nodes.select("node", F.explode(blocks(F.col("line"))).alias("block"))
+    parts = parts.select("node", "block", F.explode(starts(F.col("block"))).alias("start"))
+    hashed = parts.select("node", shingle(F.col("block"), F.col("start")).alias("h"))
+    signed = hashed.groupBy("node").agg(*[_value(i).alias(f"m{i}") for i in range(ROWS * BANDS)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    nodes = materialize(signed.select(F.monotonically_increasing_id().alias("node"), "line", "copies", bands.alias("bands")), "lines")
+    signed = signed.select("node", bands.alias("bands"))
 
     band = Window.partitionBy("band")
-    met = nodes.select("node", F.explode("bands").alias("band")).withColumns({"lo": F.min("node").over(band), "hi": F.max("node").over(band)}).where("lo < hi")
+    met = signed.select("node", F.explode("bands").alias("band")).withColumns({"lo": F.min("node").over(band), "hi": F.max("node").over(band)}).where("lo < hi")
     pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     pairs = materialize(pairs, "pairs")
     text = nodes.select("node", "line")
@@ -81,7 +94,7 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _set(line: str) -> Column:
     """A line's set, by 64-bit hashes of its shingles."""
-    return F.array_distinct(F.transform(shingles(F.col(line)), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.flatten(F.transform(blocks(F.col(line)), lambda b: F.transform(starts(b), lambda i: shingle(b, i)))))
 
 
 def _key(i: int) -> int:
@@ -91,8 +104,9 @@ def _key(i: int) -> int:
     return (x ^ x >> 27) >> 2
 
 
-def _ordered(i: int) -> Column:
-    return F.transform("h", lambda x: x.bitwiseXOR(F.lit(_key(i))))
+def _value(i: int) -> Column:
+    """Value i of a signature: one order of the hashes gives two, its least and its greatest."""
+    return (F.max if i % 2 else F.min)(F.col("h").bitwiseXOR(F.lit(_key(i // 2))))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

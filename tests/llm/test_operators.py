@@ -195,6 +195,35 @@ def test_line_dedup(spark, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def line_groups(texts):
+    """Brute force: the least position of each line's component, by sets of 12 characters at every position."""
+    flat = [re.sub(" +", " ", t.lower()).strip(" ") for t in texts]
+    sets = [{t[i : i + 12] for i in range(max(1, len(t) - 11))} for t in flat]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.75 * len(a | b):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    return group
+
+
+def lines_that_stay(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id for r in lines.dedup(df).collect() if not r.n_removed}
+
+
+def test_line_dedup_looks_at_every_character(spark):
+    r = random.Random(5)
+    token = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400))
+    texts = [
+        "https://www.example.org/articles/a", "https://www.other.com/b/c/d", "2024-05-01T10:00:00Z\tcat\tcolour\tred", "2024-05-01T10:00:00Z\tdog\tprice\t17.50 and more",
+        "東京都は日本の首都であり世界でも最大級の都市の一つです", "東京都は日本の首都であり長い歴史を持つ魅力的な街として知られる", "😀" * 3 + "eins zwei drei vier fünf", "😀" * 3 + "eins andere wörter hier",
+        token, token[:200] + "#" + token[201:], token[:50] + token[::-1][:350], "abcdefghijk", "abcdefghijl", "ABCDEFGHIJK", "abcdefghijklm", "x\u2028" + token[:90], "y\u2028" + token[:90],
+    ]
+    group = line_groups(texts)
+    assert lines_that_stay(spark, texts) == set(group) == set(range(len(texts))) - {9, 13, 16}
+
+
 def test_bpe_is_the_public_encoding_and_a_round_trip(docs, rows, empty):
     P = pytest.importorskip("public_tokenizers")
     import tiktoken
