@@ -1,7 +1,7 @@
 """Fuzzy line dedup in DataFrame operations alone: MinHash over character shingles, bands, Jaccard, union-find.
 
 A line (a text is cut at newlines) is compared in lower case with its spaces collapsed. Its set is the distinct
-``SHINGLE``-character shingles that start at any of its characters; a shorter line is one shingle. Equal lines are one node. Signatures are ``ROWS * BANDS`` minima;
+``SHINGLE``-character shingles that start at any of its characters; a shorter line is one shingle. Equal lines are one node. Signatures are ``ROWS * BANDS`` minima of independent hashes;
 lines that agree in a band are compared with the band's first and last line by the exact Jaccard similarity of their
 sets, and the links are joined by distributed union-find. Of each component the first line stays, by id and line
 number; all its other occurrences go.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 from .components import components
 
-SHINGLE, ROWS, BANDS = 12, 3, 8
+SHINGLE, ROWS, BANDS = 12, 3, 10
 STARTS = 32
 SIMILARITY = 0.75
 
@@ -43,18 +43,22 @@ def shingle(block: Column, start: Column) -> Column:
     return F.xxhash64(block.substr(start, F.lit(SHINGLE)))
 
 
-def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(uid, removed): the line numbers (from 0) that go, for documents that lose any."""
-    lines = _lines(docs, text_col).select(normal(F.col("line")).alias("line")).where("line <> ''")
-    nodes = lines.groupBy("line").agg(F.count("*").alias("copies"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "line", "copies"), "lines")
-    # one row for each shingle, folded to its line's signature before anything is dealt out
+def signatures(nodes: DataFrame) -> DataFrame:
+    """(node, bands): one row for each shingle, folded to its line's signature before anything is dealt out."""
     parts = nodes.select("node", F.explode(blocks(F.col("line"))).alias("block"))
     parts = parts.select("node", "block", F.explode(starts(F.col("block"))).alias("start"))
     hashed = parts.select("node", shingle(F.col("block"), F.col("start")).alias("h"))
     signed = hashed.groupBy("node").agg(*[_value(i).alias(f"m{i}") for i in range(ROWS * BANDS)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    signed = signed.select("node", bands.alias("bands"))
+    return signed.select("node", bands.alias("bands"))
+
+
+def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(uid, removed): the line numbers (from 0) that go, for documents that lose any."""
+    lines = _lines(docs, text_col).select(normal(F.col("line")).alias("line")).where("line <> ''")
+    nodes = lines.groupBy("line").agg(F.count("*").alias("copies"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "line", "copies"), "lines")
+    signed = signatures(nodes)
 
     band = Window.partitionBy("band")
     met = signed.select("node", F.explode("bands").alias("band")).withColumns({"lo": F.min("node").over(band), "hi": F.max("node").over(band)}).where("lo < hi")
@@ -98,15 +102,16 @@ def _set(line: str) -> Column:
 
 
 def _key(i: int) -> int:
-    """The constant of hash function i: shingle hashes are ordered by their exclusive or with it."""
+    """The constant of hash function i, of 64 bits (as Spark's signed long)."""
     x = (i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
     x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    return (x ^ x >> 27) >> 2
+    x ^= x >> 27
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _value(i: int) -> Column:
-    """Value i of a signature: one order of the hashes gives two, its least and its greatest."""
-    return (F.max if i % 2 else F.min)(F.col("h").bitwiseXOR(F.lit(_key(i // 2))))
+    """Value i of a signature: the least of the shingles under a hash of its own."""
+    return F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_key(i)))))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

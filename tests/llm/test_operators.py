@@ -224,6 +224,21 @@ def test_line_dedup_looks_at_every_character(spark):
     assert lines_that_stay(spark, texts) == set(group) == set(range(len(texts))) - {9, 13, 16}
 
 
+def test_line_signatures_meet_as_often_as_independent_hashes(spark):
+    """Pairs at exactly 0.75: 7 shingles of which one end differs, so 6 of 8 are shared."""
+    r = random.Random(11)
+    say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for _ in range(1500):
+        middle = say(17)  # 6 shingles
+        texts += [say(1) + middle, middle + say(1)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, line string")
+    bands = {x.node: set(x.bands) for x in lines.signatures(df).collect()}
+    missed = sum(not bands[i] & bands[i + 1] for i in range(0, len(texts), 2)) / 1500
+    assert missed < 0.012, missed  # (1 - 0.75 ** 3) ** 10 is 0.0042
+    assert sum(bool(bands[i] & bands[i + 3]) for i in range(0, len(texts) - 3, 2)) == 0
+
+
 def test_bpe_is_the_public_encoding_and_a_round_trip(docs, rows, empty):
     P = pytest.importorskip("public_tokenizers")
     import tiktoken
