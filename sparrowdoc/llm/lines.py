@@ -3,7 +3,9 @@
 A line (a text is cut at newlines) is compared in lower case with its spaces collapsed. Its set is the distinct
 ``SHINGLE``-character shingles that start at any of its characters; a shorter line is one shingle. Equal lines are one node. Signatures are ``ROWS * BANDS`` minima of independent hashes;
 lines that agree in a band are compared with the band's first and last line by the exact Jaccard similarity of their
-sets, and the links are joined by distributed union-find. Of each component the first line stays, by id and line
+sets, and the links are joined by distributed union-find. Lines outside a band's main component are tried on one line of
+it and on one another; those that are still outside are then compared with all lines of their band that are in other
+components, in blocks, so that no pair that meets in a band is left untested. Of each component the first line stays, by id and line
 number; all its other occurrences go.
 
 Defined cases: null texts stay null; blank lines always stay; rows that agree in id and text lose the same lines; an
@@ -20,6 +22,8 @@ from .components import components
 
 SHINGLE, ROWS, BANDS = 12, 3, 10
 STARTS = 32
+#: Lines of a band that are compared with as many others in one go, and turns of tries before that.
+BLOCK, TURNS = 512, 2
 SIMILARITY = 0.75
 
 
@@ -62,14 +66,28 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     band = Window.partitionBy("band")
     met = signed.select("node", F.explode("bands").alias("band")).withColumns({"lo": F.min("node").over(band), "hi": F.max("node").over(band)}).where("lo < hi")
+    met = materialize(met, "met")
+    text = nodes.select("node", "line")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        sided = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+        sided = sided.select("a", "b", _set("la").alias("x"), _set("lb").alias("y"))  # after the joins: for the pairs alone
+        return materialize(sided.where(_similar("x", "y", similarity)).select("a", "b"), "links")
+
     pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     pairs = materialize(pairs, "pairs")
-    text = nodes.select("node", "line")
-    sided = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-    sided = sided.select("a", "b", _set("la").alias("x"), _set("lb").alias("y"))  # after the joins: for the pairs alone
-    both = F.size(F.array_intersect("x", "y"))
-    links = materialize(sided.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+    links = alike(pairs)
     drop(pairs)
+    for turn in range(TURNS):
+        open_ = _open(met, links)
+        order = F.struct(F.xxhash64(F.lit(turn), "node"), "node")
+        picked = open_.groupBy("band").agg(F.array(F.min_by("node", F.when(F.col("root") == F.col("main"), order)), F.min_by("node", F.when(F.col("root") != F.col("main"), order))).alias("picked"))
+        tries = open_.where("root <> main").join(picked, "band").select("node", F.explode("picked").alias("pick")).where("node <> pick")
+        tries = materialize(tries.select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct(), "pairs")
+        links = links.unionByName(alike(tries))
+        drop(tries, open_)
+    links = links.unionByName(materialize(_rest(_open(met, links), text, similarity), "links"))
+    drop(met)
     roots = materialize(components(links), "roots")
 
     # the places of lines that stand more than once or are in a component; all go but its first
@@ -82,6 +100,43 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return materialize(gone, "removed")
 
 
+def _open(met: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes of the bands that hold several components, with the band's size, its main component and that one's size.
+
+    Of up to three nodes the first and the last were compared with all, so such bands have no untested pair.
+    """
+    placed = met.select("band", "node").join(materialize(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all and all > 3")
+    return materialize(placed.join(main, "band"), "open")
+
+
+def _rest(open_: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes outside a band's main component and the band's nodes of other components.
+
+    The asking nodes are dealt into blocks, and so are all nodes of the band; every block of the one meets every block
+    of the other in a place of its own, and a pair that is not alike never leaves the join.
+    """
+    sets = open_.select("node").distinct().join(text, "node").select("node", _set("line").alias("set"))
+    rows = open_.withColumns({"asking": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "asked": F.ceil(F.col("all") / BLOCK).cast("int"), "outside": F.col("root") != F.col("main")})
+    rows = rows.join(sets, "node")
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = rows.where("outside").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("set").alias("x"), spread("asking").alias("q"), every("asked").alias("m"))
+    asked = rows.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), "outside", F.col("set").alias("y"), every("asking").alias("q"), spread("asked").alias("m"))
+    one, other = asks.alias("one"), asked.alias("other")
+    same = [F.col(f"one.{c}") == F.col(f"other.{c}") for c in ("band", "q", "m")]
+    apart = (F.col("ra") != F.col("rb")) & (~F.col("outside") | (F.col("a") < F.col("b")))
+    return one.join(other, same[0] & same[1] & same[2] & apart & _similar("x", "y", similarity)).select("a", "b").distinct()
+
+
+def _similar(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets are alike; first by their sizes, which bound the similarity."""
+    n, m = F.size(x), F.size(y)
+    enough = F.exists(F.array(F.size(F.array_intersect(x, y))), lambda both: both >= similarity * (n + m - both))
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & enough
+
+
 def _lines(docs: DataFrame, text_col: str, *others) -> DataFrame:
     return docs.select(*others, F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
 

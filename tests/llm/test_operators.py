@@ -224,6 +224,24 @@ def test_line_dedup_looks_at_every_character(spark):
     assert lines_that_stay(spark, texts) == set(group) == set(range(len(texts))) - {9, 13, 16}
 
 
+def test_line_dedup_compares_whole_bands(spark, monkeypatch):
+    """Lines of one template, 0.4 to 0.6 alike, that hold clusters of alike lines; bands hold several clusters."""
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    template = say(22)
+    texts = []
+    for _ in range(40):
+        own = f"{template} {say(8)}"
+        texts += [own, own[:-2] + "zz", own[:-3] + "yyy"]
+    r.shuffle(texts)
+    group = line_groups(texts)
+    assert len(set(group)) == 40
+    for block, turns in ((512, 2), (8, 0)):  # without tries, all that the first and last line don't link is left to the blocks
+        monkeypatch.setattr(lines, "BLOCK", block)
+        monkeypatch.setattr(lines, "TURNS", turns)
+        assert lines_that_stay(spark, texts) == set(group)
+
+
 def test_line_signatures_meet_as_often_as_independent_hashes(spark):
     """Pairs at exactly 0.75: 7 shingles of which one end differs, so 6 of 8 are shared."""
     r = random.Random(11)
