@@ -31,7 +31,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the shorter ones that fa
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 _SEPARATOR = re.compile(r"[=:]")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,63})["'\]]{0,2}[ \t]{0,8}$""")
+_NAME_FIRST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+_NAME = _NAME_FIRST | frozenset("0123456789.-")
 _VALUE = re.compile(r"""[ \t]*(?:>[ \t]*)?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?|([A-Za-z0-9+/_.~=\-]+))""")
 _JOIN = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'`$A-Za-z_])")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
@@ -65,6 +66,23 @@ def shape(literal: str) -> float:
     return min(1.0, entropy / 3.5) * (0.55 + 0.15 * classes)
 
 
+def name_before(text: str, end: int) -> str:
+    """The whole name before a separator: up to two closing marks and any number of blanks may stand between."""
+    if end and text[end - 1] == "\n":
+        end -= 1
+    while end and text[end - 1] in " \t":
+        end -= 1
+    for _ in range(2):
+        if end and text[end - 1] in "\"']":
+            end -= 1
+    start = end
+    while start and text[start - 1] in _NAME:
+        start -= 1
+    while start < end and text[start] not in _NAME_FIRST:
+        start += 1
+    return text[start:end]
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
     """(name, parts) of each assignment; a part is ("literal" or "name", text, start, end)."""
     out = []
@@ -72,7 +90,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
     for sep in _SEPARATOR.finditer(text):
         if sep.start() < skip:
             continue
-        before = _NAME_BEFORE.search(text, max(0, sep.start() - 80), sep.start())
+        before = name_before(text, sep.start())
         at = sep.end()
         while at < len(text) and text[at] in "=:>":
             at += 1
@@ -89,7 +107,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
                 break
             at = joined.end()
         if parts:
-            out.append((before[1], parts))
+            out.append((before, parts))
             if parts[0][0] == "literal":
                 skip = parts[-1][3]
     return out

@@ -336,6 +336,18 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_under_aligned_and_long_names():
+    value = "Zx9Qw8Er7Ty6Ui5Op4"
+    for name in ("db_credential", "credential_" + "x" * 90, "a" * 5000 + ".pwd"):
+        for blanks in ("", " " * 8, " " * 9, "\t" * 40, " " * 3000):
+            text = f'{name}{blanks}= "{value}"'
+            at = text.index(value)
+            assert secrets.lexed_spans(text) == [(at, 3, at + len(value))]
+    text = f'KEY{" " * 30}= "{value}"\ndb_credential{" " * 20}= KEY'
+    assert secrets.lexed_spans(text) == [(text.index(value), 4, text.index(value) + len(value))]
+    assert [n for n, _ in secrets.pairs("9ab-c.d\"] : x1\n1 = y\n'a\" = z\nk\n= v")] == ["ab-c.d", "a", "k"]
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([(1, "a", 0, "add", '{"y":2,"x":1}'), (1, "a", 4, "add", "{}"), (1, "b", 2, "add", '{"x":"1"}'), (1, None, 3, "add", "[1]"), (2, "c", 5, "nope", "x")], "conv_id long, call_id string, turn long, name string, arguments string")
     results = spark.createDataFrame([(1, "a", 1, "3"), (1, "z", 7, "?"), (2, "c", 1, "early"), (1, None, 1, "no id")], "conv_id long, call_id string, turn long, content string")
