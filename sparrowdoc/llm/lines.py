@@ -67,7 +67,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     band = Window.partitionBy("band")
     met = signed.select("node", F.explode("bands").alias("band")).withColumns({"lo": F.min("node").over(band), "hi": F.max("node").over(band)}).where("lo < hi")
     met = materialize(met, "met")
-    text = nodes.select("node", "line")
+    text = materialize(nodes.select("node", "line").join(met.select("node").distinct(), "node", "left_semi"), "text")
 
     def alike(pairs: DataFrame) -> DataFrame:
         sided = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
@@ -87,7 +87,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         links = links.unionByName(alike(tries))
         drop(tries, open_)
     links = links.unionByName(materialize(_rest(_open(met, links), text, similarity), "links"))
-    drop(met)
+    drop(met, text)
     roots = materialize(components(links), "roots")
 
     # the places of lines that stand more than once or are in a component; all go but its first
@@ -117,15 +117,16 @@ def _rest(open_: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     The asking nodes are dealt into blocks, and so are all nodes of the band; every block of the one meets every block
     of the other in a place of its own, and a pair that is not alike never leaves the join.
     """
-    sets = open_.select("node").distinct().join(text, "node").select("node", _set("line").alias("set"))
     rows = open_.withColumns({"asking": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "asked": F.ceil(F.col("all") / BLOCK).cast("int"), "outside": F.col("root") != F.col("main")})
-    rows = rows.join(sets, "node")
+    rows = rows.join(text, "node")
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = rows.where("outside").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("set").alias("x"), spread("asking").alias("q"), every("asked").alias("m"))
-    asked = rows.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), "outside", F.col("set").alias("y"), every("asking").alias("q"), spread("asked").alias("m"))
-    one, other = asks.alias("one"), asked.alias("other")
-    same = [F.col(f"one.{c}") == F.col(f"other.{c}") for c in ("band", "q", "m")]
+    asks = rows.where("outside").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("line").alias("la"), spread("asking").alias("q"), every("asked").alias("m"))
+    asked = rows.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), "outside", F.col("line").alias("lb"), every("asking").alias("q"), spread("asked").alias("m"))
+    place = ("band", "q", "m")  # lines are dealt out, which are smaller than their sets
+    one = asks.repartition(*place).select(*place, "a", "ra", _set("la").alias("x")).alias("one")
+    other = asked.repartition(*place).select(*place, "b", "rb", "outside", _set("lb").alias("y")).alias("other")
+    same = [F.col(f"one.{c}") == F.col(f"other.{c}") for c in place]
     apart = (F.col("ra") != F.col("rb")) & (~F.col("outside") | (F.col("a") < F.col("b")))
     return one.join(other, same[0] & same[1] & same[2] & apart & _similar("x", "y", similarity)).select("a", "b").distinct()
 
