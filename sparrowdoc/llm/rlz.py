@@ -1,18 +1,18 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every document of the table.
+"""Substring dedup by a hash join of word windows; it stands in for relative Lempel-Ziv parsing.
 
-The reference is the whole table, indexed in blocks: a window of ``window`` words belongs to the block of its
-least ``GRAM``-word hash, so equal windows meet in one block wherever they stand. A block's task reads its windows in key
-order and finds those that also start elsewhere. Each document is then factored greedily from left to right: a factor
-starts at the first word whose window has a reference and runs as far as windows with references follow; the windows
-that begin inside a factor and end beyond it are looked at again at its boundary, so no repeat across it is lost.
-Factors of at least ``window`` words are duplicate spans; their words are removed.
+No document is parsed against a reference: a window of ``window`` words belongs to the block of its least
+``GRAM``-word hash, so equal windows meet in one block wherever they stand. A block's task reads its windows in key
+order and finds those whose 48-bit hash also occurs elsewhere. Such hits are only candidates: they are dealt out a second
+time with a 128-bit BLAKE2b digest of their words, and those whose digest occurs elsewhere are repeats. Neighbouring and
+overlapping windows are merged to spans, called factors; their words are removed.
 
-Windows are compared by 64-bit block and 48-bit window hashes. Defined cases: a null or empty text has no words; texts
-under ``window`` words lose nothing; rows that repeat are documents of their own, so each is a duplicate of the other.
+Defined cases: a null or empty text has no words; texts under ``window`` words lose nothing; rows that repeat are
+documents of their own, so each is a duplicate of the other.
 """
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from . import hashing as H
 from .common import slices
 
 WINDOW, GRAM = 35, 6
+#: Bytes of a window's hash, and of the digest that confirms it.
+HASH, DIGEST = 6, 16
 BLOCKS = "key long, uid binary, at int, n int, windows binary"
 SPANS = "uid binary, lo int, hi int"
 
@@ -33,7 +35,10 @@ def with_uid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("uid", F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x1e")), F.col(text_col)).cast("binary"))))
 
 
-def _index(text_col: str, window: int, gram: int):
+def _index(text_col: str, window: int, gram: int, confirm: bool = False):
+    """Runs of windows with one block. ``confirm``: digests of the windows in the column ``spans`` alone."""
+    width = DIGEST if confirm else HASH
+
     def run(batches):
         for whole in batches:
             for b in slices(whole, text_col):
@@ -46,22 +51,34 @@ def _index(text_col: str, window: int, gram: int):
                 units = H.ranges(H.prefix(H.BYTES[data]), starts, ends)
                 sums = H.prefix(units)
                 grams = H.windows(sums, gram)
-                whole_windows = H.windows(sums, window)
                 doc = np.searchsorted(offsets, starts, "right") - 1
                 first = np.searchsorted(starts, offsets[:-1], "left")
                 owner = H.owners(grams, window - gram + 1)
                 valid = doc[:n] == doc[window - 1 :]
+                if confirm:
+                    asked = np.zeros(len(starts), bool)
+                    for at, own in zip(first.tolist(), b.column("spans").to_pylist(), strict=True):
+                        for x in own:
+                            asked[at + x["lo"] : at + x["hi"] - window + 1] = True
+                    valid &= asked[:n]
                 change = np.ones(n, bool)
-                change[1:] = (owner[1:] != owner[:-1]) | (doc[1:n] != doc[: n - 1])
+                change[1:] = (owner[1:] != owner[:-1]) | (doc[1:n] != doc[: n - 1]) | (valid[1:] != valid[:-1])
                 change |= ~valid
                 lo = np.flatnonzero(change)
                 hi = np.append(lo[1:], n)
                 keep = valid[lo]
                 lo, hi = lo[keep], hi[keep]
                 picked = np.flatnonzero(valid)
-                blob = whole_windows[picked].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                if confirm:
+                    raw, size = data.tobytes(), ends - starts
+                    said = b" ".join([raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+                    till = np.cumsum(size + 1) - 1
+                    bounds = zip((till - size)[picked].tolist(), till[picked + window - 1].tolist(), strict=True)
+                    blob = b"".join([hashlib.blake2b(said[x:y], digest_size=DIGEST).digest() for x, y in bounds])
+                else:
+                    blob = H.windows(sums, window)[picked].view(np.uint8).reshape(-1, 8)[:, 8 - HASH :].tobytes()
                 places = np.zeros(len(lo) + 1, np.int32)
-                np.cumsum((hi - lo) * 6, out=places[1:])
+                np.cumsum((hi - lo) * width, out=places[1:])
                 uid = b.column("uid").take(pa.array(doc[lo]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[owner[lo]].view(np.int64)), uid, pa.array((lo - first[doc[lo]]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(blob)])],
@@ -71,8 +88,8 @@ def _index(text_col: str, window: int, gram: int):
     return run
 
 
-def _repeats(window: int):
-    """Rows sorted by key to spans; of a key that goes on in the next batch, one row for each window is carried."""
+def _repeats(window: int, width: int = HASH):
+    """Rows sorted by key to spans; hashes have ``width`` bytes; of a key that goes on in the next batch, one row for each window is carried."""
 
     def run(batches):
         carry = None  # key, window hashes, uids, places, whether reported
@@ -89,9 +106,9 @@ def _repeats(window: int):
             rows = np.flatnonzero(np.repeat(many, size))
             part = b.take(pa.array(rows))
             n = part.column("n").to_numpy().astype(np.int64)
-            raw = np.zeros((int(n.sum()), 8), np.uint8)
-            raw[:, 2:] = np.frombuffer(b"".join(part.column("windows").to_pylist()), np.uint8).reshape(-1, 6)
-            window_hash = raw.view(np.uint64)[:, 0]
+            raw = np.zeros((int(n.sum()), -(-width // 8) * 8), np.uint8)
+            raw[:, raw.shape[1] - width :] = np.frombuffer(b"".join(part.column("windows").to_pylist()), np.uint8).reshape(-1, width)
+            window_hash = raw.view(np.uint64)
             row = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + part.column("at").to_numpy()[row]
             owner = key[rows][row]
@@ -100,9 +117,9 @@ def _repeats(window: int):
             if carry is not None and carry[0] == key[0]:
                 window_hash, uid, place, done = (np.concatenate(x) for x in zip(carry[1:], (window_hash, uid, place, done), strict=True))
                 owner = np.concatenate([np.full(len(carry[1]), key[0]), owner])
-            order = np.lexsort((window_hash, owner))
+            order = np.lexsort((*window_hash.T, owner))
             k, w = owner[order], window_hash[order]
-            new = np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])) if len(k) else np.zeros(0, bool)
+            new = np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]).any(1)) if len(k) else np.zeros(0, bool)
             group = np.cumsum(new) - 1
             repeated = (np.bincount(group) > 1)[group] if len(group) else new
             known = repeated & ~done[order]
@@ -138,12 +155,22 @@ def factors(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _listed(blocks: DataFrame, window: int, width: int) -> DataFrame:
+    spans = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats(window, width), SPANS)
+    return spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+
+def confirmed(keyed: DataFrame, candidates: DataFrame, *, text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(uid, spans) of those windows of the candidates' spans whose words occur elsewhere in these spans."""
+    asked = keyed.select("uid", text_col).join(candidates, "uid")
+    return _listed(asked.mapInArrow(_index(text_col, window, gram, confirm=True), BLOCKS), window, DIGEST)
+
+
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` (with ``uid``) and ``spans``: (lo, hi) word spans of repeated windows, unordered; null for none."""
     keyed = with_uid(docs, id_col, text_col)
     blocks = keyed.select("uid", text_col).mapInArrow(_index(text_col, window, gram), BLOCKS)
-    spans = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_repeats(window), SPANS)
-    lists = spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    lists = confirmed(keyed, _listed(blocks, window, HASH), text_col=text_col, window=window, gram=gram)
     return keyed.join(lists, "uid", "left")
 
 

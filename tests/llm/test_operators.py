@@ -100,6 +100,16 @@ def test_rlz_removes_repeated_word_windows(docs, rows, empty):
     assert rlz.dedup(empty).count() == 0
 
 
+def test_rlz_hits_are_confirmed_by_their_words(spark):
+    """Spans that a collision of hashes would give don't stand; equal words do, whatever blanks are between them."""
+    one, two, both = ([f"{k}{i}" for i in range(80)] for k in "xyz")
+    texts = [" ".join(one + both), "\n ".join(two) + "\t" + "  ".join(both), " ".join(f"u{i}" for i in range(60)), "short"]
+    keyed = rlz.with_uid(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").cache()
+    false = spark.createDataFrame([(0, [(0, 50), (40, 160)]), (1, [(0, 160)]), (2, [(5, 45), (20, 60)])], "doc_id long, spans array<struct<lo: int, hi: int>>")
+    out = rlz.confirmed(keyed, keyed.join(false, "doc_id").select("uid", "spans")).join(keyed, "uid").collect()
+    assert {r.doc_id: rlz.factors([tuple(x) for x in r.spans]) for r in out} == {0: [(80, 160)], 1: [(80, 160)]}
+
+
 def test_suffix_dedup_removes_repeated_bytes(docs, rows, empty):
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     count = collections.Counter(b[i : i + 400] for _, b in data for i in range(len(b) - 399))
