@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import slices
+from .common import materialize, slices
 
 WINDOW, GRAM = 35, 6
 #: Bytes of a window's hash, and of the digest that confirms it.
@@ -170,7 +170,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
     """``docs`` (with ``uid``) and ``spans``: (lo, hi) word spans of repeated windows, unordered; null for none."""
     keyed = with_uid(docs, id_col, text_col)
     blocks = keyed.select("uid", text_col).mapInArrow(_index(text_col, window, gram), BLOCKS)
-    lists = confirmed(keyed, _listed(blocks, window, HASH), text_col=text_col, window=window, gram=gram)
+    candidates = materialize(_listed(blocks, window, HASH), "candidates")  # each step's shuffles can go before the next
+    lists = materialize(confirmed(keyed, candidates, text_col=text_col, window=window, gram=gram), "spans")
     return keyed.join(lists, "uid", "left")
 
 
