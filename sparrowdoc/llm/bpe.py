@@ -1,14 +1,18 @@
-"""Byte-level BPE: ranked merges folded by Spark higher-order functions over the byte arrays of a block's distinct words.
+"""Byte-level BPE: ranked merges folded by Spark higher-order functions over the byte arrays of distinct words.
 
-Two steps run in one stage, without a shuffle. A kernel splits texts into pieces and gives one row for each block of
-documents: the block's distinct pieces as byte arrays, and its documents with their pieces' numbers. Higher-order
-functions fold the ranked merges over each distinct piece, put the documents' ids together and decode them by
-concatenating the vocabulary's binary pieces. The ranks are a literal table, bounded by the vocabulary.
+A first pass counts the pieces that the pattern cuts texts into. The commonest ones, at most ``MAX_KNOWN``, are folded
+once for the whole corpus and broadcast with their ids; that bound is the vocabulary's share of a task's memory, not of
+the result. A second pass turns texts into runs of known ids and numbers of other pieces, one row for a block of
+documents; the block's other distinct pieces are folded there, put in their places, and the ids decoded by
+concatenating the vocabulary's binary pieces. Neither pass deals documents out. The ranks are a literal table of perfect
+hashing, bounded by the vocabulary.
 
 Pieces longer than ``FOLD_BYTES`` (a fold takes time in the square of the length) are merged with a heap in the kernel.
 The vocabulary's binary pieces are strings of one character a byte (ISO 8859-1), as Spark joins arrays of strings only.
 
-Defined cases: null and empty texts give no ids and decode to nothing; equal texts give equal ids.
+Defined cases: null and empty texts give no ids and decode to nothing; equal texts give equal ids; null ids, repeated
+rows and other columns stay as they are; an empty table gives an empty one; input columns named as a new one give way to
+it. A text of any length is encoded whole; one longer than ``BLOCK_BYTES`` is a block of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import drop, materialize, small_batches
 
 #: White space as the public encoder's pattern means it (Unicode White_Space).
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A blank before a character that is no white space always begins a piece, so texts may be cut there.
+_CUT = re.compile(r" (?=\S)")
 BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 384
+#: Pieces whose ids are broadcast, and cut parts that a task counts or remembers at once.
+MAX_KNOWN, MAX_PARTS = 400_000, 200_000
 #: Stands around a piece; no id is as high. No rank is as high as NONE.
 EDGE, NONE = (1 << 20) - 1, 1 << 30
 
@@ -50,34 +60,61 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return parse_ranks(f)
 
 
-def rank_table(ranks: dict[bytes, int]) -> dict[str, list[int]]:
-    """The ranked merges (left id, right id) to the merged id, which is its rank too, as rows laid over one another.
+class RankTable:
+    """The ranked merges (left id, right id) to the merged id, which is its rank too, by hash and displace.
 
-    The pair's place is ``shift[left] + right``; ``owner`` there is ``left`` if the pair is a merge, and ``rank`` its rank.
+    A pair's bucket gives a shift, its own hash plus the shift its place; ``key`` there tells whether the pair is a
+    merge. Buckets are placed by size, each at the first free place of a fixed permutation that fits all its pairs.
     """
-    rows: dict[int, dict[int, int]] = {}
-    for token, rank in ranks.items():
-        for at in range(1, len(token)):
-            left, right = ranks.get(token[:at]), ranks.get(token[at:])
-            if left is not None and right is not None:
-                rows.setdefault(left, {})[right] = rank
-    top = max(ranks.values()) + 1
-    pairs = sum(map(len, rows.values()))
-    width = top + 2 * pairs
-    shift, owner, rank = [0] * top, np.full(width, -1), np.zeros(width, np.int64)
-    random = np.random.default_rng(0)
-    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-        rights = np.fromiter(row, np.int64, len(row))
-        low, room = rights.min(), width - rights.max()
-        while (owner[rights + (at := int(random.integers(-low, room)))] >= 0).any():
-            pass
-        shift[left], owner[rights + at], rank[rights + at] = at, left, list(row.values())
-    return {"shift": shift, "owner": owner.tolist(), "rank": rank.tolist()}
+
+    SEEDS = 64
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(ranks[token[:at]], ranks[token[at:]], rank) for token, rank in ranks.items() for at in range(1, len(token)) if token[:at] in ranks and token[at:] in ranks]
+        left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        n = len(left)
+        self.places, self.buckets = 2 * n + 1, n // 2 + 1
+        for seed in range(self.SEEDS):
+            self.p, self.q = 1_000_003 + 15_838 * seed, 26_544_357 + 209_458 * seed
+            place, bucket = (left * self.p + right * self.q) % self.places, (left * self.q + right * self.p) % self.buckets
+            order = np.lexsort((place, bucket))
+            b, s = bucket[order], place[order]
+            if not ((b[1:] == b[:-1]) & (s[1:] == s[:-1])).any():
+                break
+        else:
+            raise ValueError("no hash keeps the pairs of a bucket apart")
+        starts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if n else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, n))
+        shift, key, value = np.zeros(self.buckets, np.int64), np.full(self.places, -1, np.int64), np.zeros(self.places, np.int64)
+        spots, at = np.random.default_rng(0).permutation(self.places).tolist(), 0
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            mine = slice(starts[i], starts[i] + sizes[i])
+            for _ in range(self.places):
+                move = (spots[at] - s[mine][0]) % self.places
+                at = (at + 1) % self.places
+                put = (s[mine] + move) % self.places
+                if (key[put] < 0).all():
+                    break
+            else:
+                raise ValueError("a bucket fits nowhere")
+            o = order[mine]
+            shift[b[starts[i]]], key[put], value[put] = move, left[o] * (EDGE + 1) + right[o], rank[o]
+        self.lists = {"shift": shift.tolist(), "key": key.tolist(), "rank": value.tolist()}
+
+    def rank(self, t: Column, left: Column, right: Column) -> Column:
+        """The pair's rank, NONE if it is no merge; ``t`` holds the lists."""
+        a, b = left.cast("long"), right.cast("long")
+        shift = F.get(t["shift"], ((a * self.q + b * self.p) % self.buckets).cast("int"))
+        at = ((a * self.p + b * self.q + shift) % self.places).cast("int")
+        return bind(at, lambda x: F.when(F.get(t["key"], x) == a * (EDGE + 1) + b, F.get(t["rank"], x)).otherwise(F.lit(NONE)))
+
+
+_KINDS = {"key": "bigint", "spelled": "string"}
 
 
 def literal(table: dict[str, list]) -> Column:
     """Lists as one foldable literal, a struct of arrays."""
-    kind = ",".join(f"{k}:array<{'string' if isinstance(v[0], str) else 'int'}>" for k, v in table.items())
+    kind = ",".join(f"{k}:array<{_KINDS.get(k, 'int')}>" for k in table)
     return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), f"struct<{kind}>")
 
 
@@ -86,29 +123,25 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fold(word: Column, t: Column) -> Column:
+def fold(word: Column, t: Column, table: RankTable) -> Column:
     """Ids of one piece, a byte array: its bytes' ids, with the lowest-ranked neighbours merged again and again.
 
     The state is the ids between two edges, and the rank of each with its right neighbour; a step merges the leftmost
     pair of the lowest rank and looks up the two pairs that arise.
     """
 
-    def rank(left: Column, right: Column) -> Column:
-        at = F.get(t["shift"], left) + right
-        return F.when(F.get(t["owner"], at) == left, F.get(t["rank"], at)).otherwise(F.lit(NONE))
-
     def step(s: Column, _: Column) -> Column:
         ids, ranks = s["ids"], s["ranks"]
 
         def merge(low: Column, at: Column) -> Column:
-            two = F.array(rank(F.get(ids, at - 2), low), rank(low, F.get(ids, at + 1)))
+            two = F.array(table.rank(t, F.get(ids, at - 2), low), table.rank(t, low, F.get(ids, at + 1)))
             joined = F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, EDGE))
             return F.struct(joined.alias("ids"), F.concat(F.slice(ranks, 1, at - 2), two, F.slice(ranks, at + 2, EDGE)).alias("ranks"))
 
         return bind(F.array_min(ranks), lambda low: F.when(low == NONE, s).otherwise(bind(F.array_position(ranks, low).cast("int"), lambda at: merge(low, at))))
 
     def start(ids: Column) -> Column:
-        return F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1))).alias("ranks"))
+        return F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: table.rank(t, x, F.coalesce(F.get(ids, i + 1), F.lit(EDGE)))).alias("ranks"))
 
     edge = F.array(F.lit(EDGE))
     letters = F.concat(edge, F.transform(word, lambda b: F.get(t["byte"], b)), edge)
@@ -151,45 +184,141 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _blocks(text_col: str, pattern: str, ranks, names: list[str]):
-    """One row for each block: ``words``, the distinct pieces (bytes; ids where ``done``), and ``docs``, their fields and piece numbers."""
+def _count(text_col: str, pattern: str):
+    """(piece, n) of a task's texts, counted by cut parts in between."""
 
     def run(batches):
         split = splitter(pattern)
-        held: list[pa.RecordBatch] = []
-        codes: list[np.ndarray] = []
+        heads: Counter = Counter()
+        parts: Counter = Counter()
+
+        def flush():
+            pieces: Counter = Counter()
+            for prefix, counter in (("", heads), (" ", parts)):
+                for part, n in counter.items():
+                    for p in split.findall(prefix + part):
+                        pieces[p] += n
+                counter.clear()
+            own = [p for p in pieces if len(p) <= FOLD_BYTES]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([pieces[p] for p in own], pa.int64())], names=["piece", "n"])
+
+        for b in batches:
+            for text in b.column(text_col):
+                if text := text.as_py():
+                    head, *rest = _CUT.split(text)
+                    heads[head] += 1
+                    parts.update(rest)
+                    if len(parts) + len(heads) > MAX_PARTS:
+                        yield flush()
+        yield flush()
+
+    return run
+
+
+def known_pieces(docs: DataFrame, table: RankTable, t: Column, pattern: str, *, text_col: str = "text", most: int = MAX_KNOWN) -> dict[str, bytes]:
+    """The commonest pieces that stand twice or more, at most ``most``, with their ids as 32-bit words."""
+    counts = docs.select(text_col).mapInArrow(_count(text_col, pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    level = F.floor(F.log2("n") * 16).cast("int")
+    counts = materialize(counts.where("n > 1").withColumn("level", level), "pieces")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some hundred levels
+        if (total := total + r["count"]) > most:
+            break
+        least = r["level"]
+    if least is None:
+        drop(counts)
+        return {}
+    bytes_ = F.transform(F.regexp_extract_all(F.hex("piece"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    chosen = counts.where(F.col("level") >= least).select("piece", bytes_.alias("word")).repartition(max(1, min(total, most) >> 13))
+    rows = chosen.select("piece", bind(t, lambda x: fold(F.col("word"), x, table)).alias("ids")).toArrow()
+    drop(counts)
+    ids = rows.column("ids").combine_chunks()
+    flat, ends = ids.flatten().to_numpy().astype("<i4"), np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+    return {p: flat[lo:hi].tobytes() for p, lo, hi in zip(rows.column("piece").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+
+
+class _Parts(dict):
+    """A cut part to its pieces' codes, as 32-bit words: ids, and -1 - number for a piece that the block has to fold."""
+
+    def __init__(self, prefix: str, split, known: dict[str, bytes], ranks: dict[bytes, int], numbers: dict[str, int]):
+        super().__init__()
+        self.prefix, self.split, self.known, self.ranks, self.numbers = prefix, split, known, ranks, numbers
+        self.open: dict[str, bytes] = {}  # parts with numbered pieces: good for one block
+
+    def __missing__(self, part: str) -> bytes:
+        if (code := self.open.get(part)) is not None:
+            return code
+        codes, settled = [], True
+        for p in self.split.findall(self.prefix + part):
+            code = self.known.get(p)
+            if code is None and len(raw := p.encode()) > FOLD_BYTES:
+                code = np.array(merge_long(raw, self.ranks), "<i4").tobytes()
+            if code is None:
+                code, settled = (-1 - self.numbers.setdefault(p, len(self.numbers))).to_bytes(4, "little", signed=True), False
+            codes.append(code)
+        code = b"".join(codes)
+        (self if settled else self.open)[part] = code
+        return code
+
+    def next_block(self) -> None:
+        self.open.clear()
+        if len(self) > MAX_PARTS:
+            self.clear()
+
+
+def _cells(codes: list[bytes]) -> pa.Array:
+    """Each document's runs: (ids, word), the ids up to a numbered piece and its number, -1 at the end."""
+    flat = np.frombuffer(b"".join(codes), "<i4")
+    ends = np.cumsum([len(c) >> 2 for c in codes])
+    at = np.flatnonzero(flat < 0)
+    order = np.argsort(np.concatenate([2 * at + 1, 2 * ends]), kind="stable")
+    word = np.concatenate([-1 - flat[at], np.full(len(ends), -1, np.int32)])[order].astype(np.int32)
+    stop = np.concatenate([at - np.arange(len(at)), ends - np.searchsorted(at, ends)])[order]
+    runs = pa.ListArray.from_arrays(pa.array(np.append(0, stop).astype(np.int32)), pa.array(flat[flat >= 0]))
+    cells = pa.StructArray.from_arrays([runs, pa.array(word)], names=["ids", "word"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.flatnonzero(order >= len(at)) + 1).astype(np.int32)), cells)
+
+
+def _blocks(text_col: str, pattern: str, shared, names: list[str]):
+    """One row for each block: ``words``, its pieces to fold as byte arrays, and ``docs``, their fields and runs."""
+
+    def run(batches):
+        split, (ranks, known) = splitter(pattern), shared.value
         numbers: dict[str, int] = {}
+        heads, parts = (_Parts(prefix, split, known, ranks, numbers) for prefix in ("", " "))
+        held: list[pa.RecordBatch] = []
+        codes: list[bytes] = []
         size = 0
 
         def flush():
             pieces = [w.encode() for w in numbers]
-            done = [len(p) > FOLD_BYTES for p in pieces]
-            tail = {i: merge_long(pieces[i], ranks.value) for i, d in enumerate(done) if d}
-            for i in tail:
-                pieces[i] = b""
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            ends = np.append(0, np.cumsum([len(p) for p in pieces])).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)))
-            rows = pa.Table.from_batches(held).combine_chunks()
-            starts = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-            codes_ = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(codes)))
-            fields = [rows.column(n).combine_chunks() if rows.column(n).num_chunks != 1 else rows.column(n).chunk(0) for n in names]
-            docs = pa.StructArray.from_arrays([*fields, codes_], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
+            rows = pa.Table.from_batches(held)
+            fields = [pa.concat_arrays(rows.column(n).chunks) for n in names]
+            docs = pa.StructArray.from_arrays([*fields, _cells(codes)], names=[*[f"c{i}" for i in range(len(fields))], "runs"])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([one(words), pa.array([list(tail)], pa.list_(pa.int32())), pa.array([list(tail.values())], pa.list_(pa.list_(pa.int32()))), one(docs)], names=["words", "long_at", "long_ids", "docs"])
+            numbers.clear()
+            heads.next_block()
+            parts.next_block()
+            return pa.RecordBatch.from_arrays([one(words), one(docs)], names=["words", "docs"])
 
         for whole in batches:
             texts = whole.column(text_col)
             lengths = pc.binary_length(texts).fill_null(0).to_pylist()
             start = 0
             for i, n in enumerate(lengths):
-                codes.append(np.array([numbers.setdefault(p, len(numbers)) for p in split.findall(texts[i].as_py() or "")], np.int32))
+                if n:
+                    head, *rest = _CUT.split(texts[i].as_py())
+                    codes.append(heads[head] + b"".join(map(parts.__getitem__, rest)))
+                else:
+                    codes.append(b"")
                 size += n
                 if size >= BLOCK_BYTES:
                     held.append(whole.slice(start, i + 1 - start))
                     start = i + 1
                     yield flush()
-                    held, codes, numbers, size = [], [], {}, 0
+                    held, codes, size = [], [], 0
             if start < len(lengths):
                 held.append(whole.slice(start))
         if codes:
@@ -208,35 +337,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     kept = [c for c in base.columns if c != text_col or keep_text and not digests]
-    ints = T.ArrayType(T.IntegerType())
-    doc = T.StructType([T.StructField(f"c{i}", base.schema[c].dataType) for i, c in enumerate(kept)] + [T.StructField("codes", ints)])
-    block = T.StructType([T.StructField("words", T.ArrayType(ints)), T.StructField("long_at", ints), T.StructField("long_ids", T.ArrayType(ints)), T.StructField("docs", T.ArrayType(doc))])
-    blocks = base.mapInArrow(_blocks(text_col, pattern, spark.sparkContext.broadcast(ranks), kept), block)
-
+    table = RankTable(ranks)
     spelled = [""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         spelled[i] = token.decode("latin-1")
-    table = rank_table(ranks) | {"byte": [ranks[bytes([b])] for b in range(256)], "spelled": spelled}
+    lists = literal(table.lists | {"byte": [ranks[bytes([b])] for b in range(256)], "spelled": spelled})
+    shared = spark.sparkContext.broadcast((ranks, known_pieces(base, table, lists, pattern, text_col=text_col)))
 
-    def of_word(t: Column, ids: Column) -> Column:
-        decoded = F.array_join(F.transform(ids, lambda i: F.get(t["spelled"], i)), "")
-        shown = F.array_join(ids.cast("array<string>"), " ") if digests else ids
-        return F.struct(shown.alias("ids"), decoded.alias("decoded"))
+    ints = T.ArrayType(T.IntegerType())
+    runs = T.ArrayType(T.StructType([T.StructField("ids", ints), T.StructField("word", T.IntegerType())]))
+    doc = T.StructType([T.StructField(f"c{i}", base.schema[c].dataType) for i, c in enumerate(kept)] + [T.StructField("runs", runs)])
+    block = T.StructType([T.StructField("words", T.ArrayType(ints)), T.StructField("docs", T.ArrayType(doc))])
+    blocks = base.mapInArrow(_blocks(text_col, pattern, shared, kept), block)
 
-    def of_words(t: Column) -> Column:
-        def each(w: Column, i: Column) -> Column:
-            return F.when(F.size(w) > 0, fold(w, t)).otherwise(F.get(F.col("long_ids"), F.array_position("long_at", i).cast("int") - 1))
+    def of_doc(t: Column, words: Column, d: Column) -> Column:
+        ids = F.flatten(F.transform(d["runs"], lambda r: F.when(r["word"] < 0, r["ids"]).otherwise(F.concat(r["ids"], F.get(words, r["word"])))))
+        own = [d[f"c{i}"].alias(f"c{i}") for i in range(len(kept))]
 
-        return F.transform("words", lambda w, i: bind(each(w, i), lambda ids: of_word(t, ids)))
+        def columns(x: Column) -> Column:
+            decoded = F.encode(F.array_join(F.transform(x, lambda i: F.get(t["spelled"], i)), ""), "ISO-8859-1")
+            shown = F.sha2(F.array_join(x.cast("array<string>"), " "), 256) if digests else x
+            return F.struct(*own, F.size(x).cast("long").alias("n"), shown.alias("x"), (F.sha2(decoded, 256) if digests else decoded).alias("y"))
 
-    def of_doc(words: Column, d: Column) -> Column:
-        of = lambda name: F.transform(d["codes"], lambda c: F.get(words, c)[name])
-        decoded = F.encode(F.array_join(of("decoded"), ""), "ISO-8859-1")
-        own = [d[f"c{i}"].alias(f"c{i}") for i in range(len(kept))]
-        if not digests:
-            return bind(F.flatten(of("ids")), lambda ids: F.struct(*own, F.size(ids).cast("long").alias("n"), ids.alias("x"), decoded.alias("y")))
-        n = lambda shown: F.when(shown == "", 0).otherwise(F.length(shown) - F.length(F.replace(shown, F.lit(" "))) + 1).cast("long")
-        return bind(F.array_join(of("ids"), " "), lambda ids: F.struct(*own, n(ids).alias("n"), F.sha2(ids, 256).alias("x"), F.sha2(decoded, 256).alias("y")))
+        return bind(ids, columns)
 
-    done = bind(literal(table), lambda t: bind(of_words(t), lambda words: F.transform("docs", lambda d: of_doc(words, d))))
+    done = bind(lists, lambda t: bind(F.transform("words", lambda w: fold(w, t, table)), lambda words: F.transform("docs", lambda d: of_doc(t, words, d))))
     return blocks.select(F.inline(done)).toDF(*kept, *added)

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import pytest
 
@@ -281,6 +282,37 @@ def test_bpe_is_the_public_encoding_and_a_round_trip(docs, rows, empty):
     assert bpe.encode(empty, ranks, P.PATTERN, digests=True).count() == 0
 
 
+def test_bpe_blocks_blanks_and_known_pieces(spark, monkeypatch):
+    """Texts of odd blanks over many small blocks, with a few known pieces, none, and all of them."""
+    P = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    public = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(2)
+    odd = [" ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "'s", "a", "foo", "zz9", "12", "!?", "\u00e9", "\u6771\u4eac", "<|endoftext|>"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 60))) for _ in range(120)] + [None, "x" * 1000, " " * 3000 + "y", texts_ := "same text", texts_]
+    df = spark.createDataFrame([(None if i % 7 == 0 else i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(2)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
+    for most, parts in ((0, 10), (5, 10), (400_000, 200_000)):
+        monkeypatch.setattr(bpe, "MAX_PARTS", parts)
+        monkeypatch.setattr(bpe.known_pieces, "__kwdefaults__", bpe.known_pieces.__kwdefaults__ | {"most": most})
+        out = bpe.encode(df, ranks, P.PATTERN)
+        assert out.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+        rows = out.collect()
+        assert collections.Counter((x.doc_id, x.text) for x in rows) == collections.Counter((x.doc_id, x.text) for x in df.collect())
+        for x in rows:
+            assert list(x.ids) == public.encode_ordinary(x.text or "") and x.n_tokens == len(x.ids) and bytes(x.decoded) == (x.text or "").encode()
+
+
+def test_bpe_rank_table_is_built_in_time():
+    P = pytest.importorskip("public_tokenizers")
+    start = time.time()
+    table = bpe.RankTable(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")))
+    assert time.time() - start < 5
+    assert sum(k >= 0 for k in table.lists["key"]) == 108_299
+
+
 def test_quality_learns_and_shrinks(spark, empty):
     r = random.Random(5)
     words = ["w%d" % i for i in range(400)]
