@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparrowdoc.llm import bpe, decontaminate, lines, quality, setsketch
 from sparrowdoc.llm.common import materialize
@@ -33,12 +34,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, decoded again to its text."""
+    """Token ids of every document, and its text decoded from them; all other columns stay."""
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    return out.selectExpr("doc_id", "lang", "source", "n_tokens", "ids", "decode(decoded, 'UTF-8') as text")
+    out = bpe.encode(docs.drop("n_tokens", "ids", "decoded"), ranks, public_tokenizers.PATTERN, keep_text=False)
+    return out.withColumn("text", F.decode("decoded", "UTF-8")).drop("decoded")
 
 
 STAGES = [
