@@ -1,14 +1,12 @@
 """Byte-level BPE: ranked merges folded by Spark higher-order functions over the byte arrays of distinct words.
 
 A first pass counts the pieces that the pattern cuts texts into. The commonest ones, at most ``MAX_KNOWN``, are folded
-once for the whole corpus and broadcast with their ids; that bound is the vocabulary's share of a task's memory, not of
-the result. A second pass turns texts into runs of known ids and numbers of other pieces, one row for a block of
-documents; the block's other distinct pieces are folded there, put in their places, and the ids decoded by
-concatenating the vocabulary's binary pieces. Neither pass deals documents out. The ranks are a literal table of perfect
-hashing, bounded by the vocabulary.
+once for the whole corpus and broadcast with their ids; that bounds what a task holds, and no piece is left out. A
+second pass gives one row for each block of documents: known ids and numbers of other pieces. The block's other distinct
+pieces are folded there; a kernel puts their ids in place and decodes by concatenating the vocabulary's binary pieces.
+Neither pass deals documents out. The ranks are a literal table of perfect hashing, bounded by the vocabulary.
 
 Pieces longer than ``FOLD_BYTES`` (a fold takes time in the square of the length) are merged with a heap in the kernel.
-The vocabulary's binary pieces are strings of one character a byte (ISO 8859-1), as Spark joins arrays of strings only.
 
 Defined cases: null and empty texts give no ids and decode to nothing; equal texts give equal ids; null ids, repeated
 rows and other columns stay as they are; an empty table gives an empty one; input columns named as a new one give way to
@@ -18,6 +16,7 @@ it. A text of any length is encoded whole; one longer than ``BLOCK_BYTES`` is a
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import re
@@ -41,8 +40,9 @@ BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, and cut parts that a task counts or remembers at once.
 MAX_KNOWN, MAX_PARTS = 400_000, 200_000
-#: Stands around a piece; no id is as high. No rank is as high as NONE.
-EDGE, NONE = (1 << 20) - 1, 1 << 30
+#: Bits of an id, a rank or a place within a piece, and the one that is none of them.
+BITS = 20
+NONE = (1 << BITS) - 1
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -63,8 +63,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class RankTable:
     """The ranked merges (left id, right id) to the merged id, which is its rank too, by hash and displace.
 
-    A pair's bucket gives a shift, its own hash plus the shift its place; ``key`` there tells whether the pair is a
-    merge. Buckets are placed by size, each at the first free place of a fixed permutation that fits all its pairs.
+    A pair's bucket gives a shift, its own hash plus the shift its place; what stands there, pair and rank in one long,
+    tells whether the pair is a merge. Buckets are placed by size, each at the first place of a fixed permutation that
+    fits all its pairs.
     """
 
     SEEDS = 64
@@ -72,6 +73,8 @@ class RankTable:
     def __init__(self, ranks: dict[bytes, int]):
         found = [(ranks[token[:at]], ranks[token[at:]], rank) for token, rank in ranks.items() for at in range(1, len(token)) if token[:at] in ranks and token[at:] in ranks]
         left, right, rank = np.array(found, np.int64).reshape(-1, 3).T
+        if len(left) and max(left.max(), right.max(), rank.max()) >= NONE:
+            raise ValueError(f"ids from {NONE} on are not supported")
         n = len(left)
         self.places, self.buckets = 2 * n + 1, n // 2 + 1
         for seed in range(self.SEEDS):
@@ -85,7 +88,7 @@ class RankTable:
             raise ValueError("no hash keeps the pairs of a bucket apart")
         starts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if n else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, n))
-        shift, key, value = np.zeros(self.buckets, np.int64), np.full(self.places, -1, np.int64), np.zeros(self.places, np.int64)
+        shift, merge = np.zeros(self.buckets, np.int64), np.full(self.places, -1, np.int64)
         spots, at = np.random.default_rng(0).permutation(self.places).tolist(), 0
         for i in np.argsort(-sizes, kind="stable").tolist():
             mine = slice(starts[i], starts[i] + sizes[i])
@@ -93,29 +96,28 @@ class RankTable:
                 move = (spots[at] - s[mine][0]) % self.places
                 at = (at + 1) % self.places
                 put = (s[mine] + move) % self.places
-                if (key[put] < 0).all():
+                if (merge[put] < 0).all():
                     break
             else:
                 raise ValueError("a bucket fits nowhere")
             o = order[mine]
-            shift[b[starts[i]]], key[put], value[put] = move, left[o] * (EDGE + 1) + right[o], rank[o]
-        self.lists = {"shift": shift.tolist(), "key": key.tolist(), "rank": value.tolist()}
+            shift[b[starts[i]]], merge[put] = move, (left[o] << BITS | right[o]) << BITS | rank[o]
+        self.lists = {"shift": shift.tolist(), "merge": merge.tolist(), "byte": [ranks[bytes([b])] for b in range(256)]}
+
+    def literal(self) -> Column:
+        """The lists as one foldable literal, a struct of arrays."""
+        kind = ",".join(f"{k}:array<bigint>" for k in self.lists)
+        return F.from_json(F.lit(json.dumps(self.lists, separators=(",", ":"))), f"struct<{kind}>")
 
     def rank(self, t: Column, left: Column, right: Column) -> Column:
         """The pair's rank, NONE if it is no merge; ``t`` holds the lists."""
-        a, b = left.cast("long"), right.cast("long")
-        shift = F.get(t["shift"], ((a * self.q + b * self.p) % self.buckets).cast("int"))
-        at = ((a * self.p + b * self.q + shift) % self.places).cast("int")
-        return bind(at, lambda x: F.when(F.get(t["key"], x) == a * (EDGE + 1) + b, F.get(t["rank"], x)).otherwise(F.lit(NONE)))
-
-
-_KINDS = {"key": "bigint", "spelled": "string"}
+        shift = F.get(t["shift"], ((left * self.q + right * self.p) % self.buckets).cast("int"))
+        at = ((left * self.p + right * self.q + shift) % self.places).cast("int")
+        return bind(F.get(t["merge"], at), lambda x: F.when(F.shiftright(x, BITS) == F.shiftleft(left, BITS) + right, x.bitwiseAND(_long(NONE))).otherwise(_long(NONE)))
 
 
-def literal(table: dict[str, list]) -> Column:
-    """Lists as one foldable literal, a struct of arrays."""
-    kind = ",".join(f"{k}:array<{_KINDS.get(k, 'int')}>" for k in table)
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), f"struct<{kind}>")
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
 def bind(value: Column, body) -> Column:
@@ -126,27 +128,29 @@ def bind(value: Column, body) -> Column:
 def fold(word: Column, t: Column, table: RankTable) -> Column:
     """Ids of one piece, a byte array: its bytes' ids, with the lowest-ranked neighbours merged again and again.
 
-    The state is the ids between two edges, and the rank of each with its right neighbour; a step merges the leftmost
-    pair of the lowest rank and looks up the two pairs that arise.
+    The state is a cell for each id between two edges: the rank of the id with its right neighbour, the place where the
+    id begins, and the id, ``BITS`` bits each. So the least cell is the leftmost of the lowest rank; a step merges it
+    and looks up the two pairs that arise.
     """
+    ident = lambda cell: cell.bitwiseAND(_long(NONE))
+    place = _long(NONE << BITS)
 
-    def step(s: Column, _: Column) -> Column:
-        ids, ranks = s["ids"], s["ranks"]
-
+    def step(cells: Column, _: Column) -> Column:
         def merge(low: Column, at: Column) -> Column:
-            two = F.array(table.rank(t, F.get(ids, at - 2), low), table.rank(t, low, F.get(ids, at + 1)))
-            joined = F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, EDGE))
-            return F.struct(joined.alias("ids"), F.concat(F.slice(ranks, 1, at - 2), two, F.slice(ranks, at + 2, EDGE)).alias("ranks"))
+            new, left = F.shiftright(low, 2 * BITS), F.get(cells, at - 2)
+            before = F.shiftleft(table.rank(t, ident(left), new), 2 * BITS).bitwiseOR(left.bitwiseAND(_long((1 << 2 * BITS) - 1)))
+            after = F.shiftleft(table.rank(t, new, ident(F.get(cells, at + 1))), 2 * BITS).bitwiseOR(low.bitwiseAND(place)).bitwiseOR(new)
+            return F.concat(F.slice(cells, 1, at - 2), F.array(before, after), F.slice(cells, at + 2, NONE))
 
-        return bind(F.array_min(ranks), lambda low: F.when(low == NONE, s).otherwise(bind(F.array_position(ranks, low).cast("int"), lambda at: merge(low, at))))
+        return bind(F.array_min(cells), lambda low: F.when(low >= _long(NONE << 2 * BITS), cells).otherwise(bind(F.array_position(cells, low).cast("int"), lambda at: merge(low, at))))
 
     def start(ids: Column) -> Column:
-        return F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: table.rank(t, x, F.coalesce(F.get(ids, i + 1), F.lit(EDGE)))).alias("ranks"))
+        return F.transform(ids, lambda x, i: F.shiftleft(table.rank(t, x, F.coalesce(F.get(ids, i + 1), _long(NONE))), 2 * BITS) + F.shiftleft(i.cast("long"), BITS) + x)
 
-    edge = F.array(F.lit(EDGE))
+    edge = F.array(_long(NONE))
     letters = F.concat(edge, F.transform(word, lambda b: F.get(t["byte"], b)), edge)
-    steps = F.slice(word, 2, EDGE)  # one for each merge that is possible
-    return F.aggregate(steps, bind(letters, start), step, lambda s: F.slice(s["ids"], 2, F.size(s["ids"]) - 2))
+    steps = F.slice(word, 2, NONE)  # one for each merge that is possible
+    return F.aggregate(steps, bind(letters, start), step, lambda s: F.transform(F.slice(s, 2, F.size(s) - 2), lambda c: ident(c).cast("int")))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -184,6 +188,21 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _check(pattern: str) -> None:
+    if r"| ?\p{L}+|" not in pattern or r"| ?[^\s\p{L}\p{N}]+|" not in pattern:
+        raise ValueError("the pattern has to join one blank to a run of letters or of signs")
+
+
+def _pieces(part: str, spaced: bool, split) -> list[str]:
+    """Pieces of a cut part, after a blank where ``spaced``; a word, and one with a stop or comma, need no pattern."""
+    blank = " " if spaced else ""
+    if part.isalpha():
+        return [blank + part]
+    if part[-1:] in (".", ",") and part[:-1].isalpha():
+        return [blank + part[:-1], part[-1]]
+    return split.findall(blank + part)
+
+
 def _count(text_col: str, pattern: str):
     """(piece, n) of a task's texts, counted by cut parts in between."""
 
@@ -194,9 +213,9 @@ def _count(text_col: str, pattern: str):
 
         def flush():
             pieces: Counter = Counter()
-            for prefix, counter in (("", heads), (" ", parts)):
+            for counter in (heads, parts):
                 for part, n in counter.items():
-                    for p in split.findall(prefix + part):
+                    for p in _pieces(part, counter is parts, split):
                         pieces[p] += n
                 counter.clear()
             own = [p for p in pieces if len(p) <= FOLD_BYTES]
@@ -208,14 +227,14 @@ def _count(text_col: str, pattern: str):
                     head, *rest = _CUT.split(text)
                     heads[head] += 1
                     parts.update(rest)
-                    if len(parts) + len(heads) > MAX_PARTS:
+                    if len(parts) + len(heads) > 2 * MAX_PARTS:
                         yield flush()
         yield flush()
 
     return run
 
 
-def known_pieces(docs: DataFrame, table: RankTable, t: Column, pattern: str, *, text_col: str = "text", most: int = MAX_KNOWN) -> dict[str, bytes]:
+def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: str = "text", most: int = MAX_KNOWN) -> dict[str, bytes]:
     """The commonest pieces that stand twice or more, at most ``most``, with their ids as 32-bit words."""
     counts = docs.select(text_col).mapInArrow(_count(text_col, pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -230,7 +249,7 @@ def known_pieces(docs: DataFrame, table: RankTable, t: Column, pattern: str, *,
         return {}
     bytes_ = F.transform(F.regexp_extract_all(F.hex("piece"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
     chosen = counts.where(F.col("level") >= least).select("piece", bytes_.alias("word")).repartition(max(1, min(total, most) >> 13))
-    rows = chosen.select("piece", bind(t, lambda x: fold(F.col("word"), x, table)).alias("ids")).toArrow()
+    rows = chosen.select("piece", bind(table.literal(), lambda t: fold(F.col("word"), t, table)).alias("ids")).toArrow()
     drop(counts)
     ids = rows.column("ids").combine_chunks()
     flat, ends = ids.flatten().to_numpy().astype("<i4"), np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
@@ -240,18 +259,19 @@ def known_pieces(docs: DataFrame, table: RankTable, t: Column, pattern: str, *,
 class _Parts(dict):
     """A cut part to its pieces' codes, as 32-bit words: ids, and -1 - number for a piece that the block has to fold."""
 
-    def __init__(self, prefix: str, split, known: dict[str, bytes], ranks: dict[bytes, int], numbers: dict[str, int]):
-        super().__init__()
-        self.prefix, self.split, self.known, self.ranks, self.numbers = prefix, split, known, ranks, numbers
+    def __init__(self, spaced: bool, split, known: dict[str, bytes], ranks: dict[bytes, int], numbers: dict[str, int]):
+        self.spaced, self.split, self.known, self.ranks, self.numbers = spaced, split, known, ranks, numbers
+        self.base = {p[1:]: code for p, code in known.items() if p[1:].isalpha() and p[0] == " "} if spaced else {}
+        super().__init__(self.base)
         self.open: dict[str, bytes] = {}  # parts with numbered pieces: good for one block
 
     def __missing__(self, part: str) -> bytes:
         if (code := self.open.get(part)) is not None:
             return code
         codes, settled = [], True
-        for p in self.split.findall(self.prefix + part):
+        for p in _pieces(part, self.spaced, self.split):
             code = self.known.get(p)
-            if code is None and len(raw := p.encode()) > FOLD_BYTES:
+            if code is None and len(p) * 4 > FOLD_BYTES and len(raw := p.encode()) > FOLD_BYTES:
                 code = np.array(merge_long(raw, self.ranks), "<i4").tobytes()
             if code is None:
                 code, settled = (-1 - self.numbers.setdefault(p, len(self.numbers))).to_bytes(4, "little", signed=True), False
@@ -262,46 +282,37 @@ class _Parts(dict):
 
     def next_block(self) -> None:
         self.open.clear()
-        if len(self) > MAX_PARTS:
+        if len(self) > len(self.base) + MAX_PARTS:
             self.clear()
+            self.update(self.base)
 
 
-def _cells(codes: list[bytes]) -> pa.Array:
-    """Each document's runs: (ids, word), the ids up to a numbered piece and its number, -1 at the end."""
-    flat = np.frombuffer(b"".join(codes), "<i4")
-    ends = np.cumsum([len(c) >> 2 for c in codes])
-    at = np.flatnonzero(flat < 0)
-    order = np.argsort(np.concatenate([2 * at + 1, 2 * ends]), kind="stable")
-    word = np.concatenate([-1 - flat[at], np.full(len(ends), -1, np.int32)])[order].astype(np.int32)
-    stop = np.concatenate([at - np.arange(len(at)), ends - np.searchsorted(at, ends)])[order]
-    runs = pa.ListArray.from_arrays(pa.array(np.append(0, stop).astype(np.int32)), pa.array(flat[flat >= 0]))
-    cells = pa.StructArray.from_arrays([runs, pa.array(word)], names=["ids", "word"])
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.flatnonzero(order >= len(at)) + 1).astype(np.int32)), cells)
+def _lists(values: pa.Array, counts) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
 
 
 def _blocks(text_col: str, pattern: str, shared, names: list[str]):
-    """One row for each block: ``words``, its pieces to fold as byte arrays, and ``docs``, their fields and runs."""
+    """One row for each block: ``words``, its pieces to fold as byte arrays, and ``docs``, their fields and codes."""
 
     def run(batches):
         split, (ranks, known) = splitter(pattern), shared.value
         numbers: dict[str, int] = {}
-        heads, parts = (_Parts(prefix, split, known, ranks, numbers) for prefix in ("", " "))
+        heads, parts = (_Parts(spaced, split, known, ranks, numbers) for spaced in (False, True))
         held: list[pa.RecordBatch] = []
         codes: list[bytes] = []
         size = 0
 
         def flush():
             pieces = [w.encode() for w in numbers]
-            ends = np.append(0, np.cumsum([len(p) for p in pieces])).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)))
+            words = _lists(pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)), [len(p) for p in pieces])
+            own = _lists(pa.array(np.frombuffer(b"".join(codes), "<i4")), [len(c) >> 2 for c in codes])
             rows = pa.Table.from_batches(held)
             fields = [pa.concat_arrays(rows.column(n).chunks) for n in names]
-            docs = pa.StructArray.from_arrays([*fields, _cells(codes)], names=[*[f"c{i}" for i in range(len(fields))], "runs"])
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            docs = pa.StructArray.from_arrays([*fields, own], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
             numbers.clear()
             heads.next_block()
             parts.next_block()
-            return pa.RecordBatch.from_arrays([one(words), one(docs)], names=["words", "docs"])
+            return pa.RecordBatch.from_arrays([_lists(words, [len(words)]), _lists(docs, [len(docs)])], names=["words", "docs"])
 
         for whole in batches:
             texts = whole.column(text_col)
@@ -327,39 +338,73 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
     return run
 
 
+def put(codes: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with the ids of numbered words in their places, and how many ids each code gives."""
+    at = np.flatnonzero(codes < 0)
+    number = -1 - codes[at]
+    many = np.ones(len(codes), np.int64)
+    many[at] = ends[number + 1] - ends[number]
+    out = np.repeat(codes, many)
+    first = np.cumsum(many)[at] - many[at]
+    step = np.arange(many[at].sum()) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+    out[np.repeat(first, many[at]) + step] = words[np.repeat(ends[number], many[at]) + step]
+    return out, many
+
+
+def _documents(shared, digests: bool, names: list[str]):
+    """Documents of folded blocks with their ids, decoded again by concatenating binary pieces."""
+
+    def run(batches):
+        ranks = shared.value[0]
+        spelled = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            spelled[i] = token
+        decimal = list(map(str, range(len(spelled)))) if digests else []
+        for b in batches:
+            for row in range(b.num_rows):
+                words, docs = b.column("words")[row].values, b.column("docs")[row].values
+                if not len(docs):
+                    continue
+                ends = np.append(0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
+                own = docs.field("codes")
+                ids, many = put(own.flatten().to_numpy(), words.flatten().to_numpy(), ends)
+                stops = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(own.value_lengths().to_numpy()))]
+                fields = [docs.field(f"c{i}") for i in range(len(names) - 3)]
+                said, decoded, each = [], [], ids.tolist()
+                for lo, hi in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+                    part = each[lo:hi]
+                    raw = b"".join(map(spelled.__getitem__, part))
+                    decoded.append(hashlib.sha256(raw).hexdigest() if digests else raw)
+                    if digests:
+                        said.append(hashlib.sha256(" ".join(map(decimal.__getitem__, part)).encode()).hexdigest())
+                shown = pa.array(said) if digests else pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                new = [pa.array(np.diff(stops)), shown, pa.array(decoded, pa.string() if digests else pa.binary())]
+                yield pa.RecordBatch.from_arrays([*fields, *new], names=names)
+
+    return run
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", digests: bool = False, keep_text: bool = True) -> DataFrame:
     """``docs`` with its ids, decoded again: ``n_tokens``, ``ids`` and ``decoded``.
 
     With ``digests``, two SHA-256 instead of ids and bytes, and no text. Input columns named as a new one give way to it.
     """
+    _check(pattern)
     spark = docs.sparkSession
     small_batches(spark)
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    kept = [c for c in base.columns if c != text_col or keep_text and not digests]
-    table = RankTable(ranks)
-    spelled = [""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        spelled[i] = token.decode("latin-1")
-    lists = literal(table.lists | {"byte": [ranks[bytes([b])] for b in range(256)], "spelled": spelled})
-    shared = spark.sparkContext.broadcast((ranks, known_pieces(base, table, lists, pattern, text_col=text_col)))
-
-    ints = T.ArrayType(T.IntegerType())
-    runs = T.ArrayType(T.StructType([T.StructField("ids", ints), T.StructField("word", T.IntegerType())]))
-    doc = T.StructType([T.StructField(f"c{i}", base.schema[c].dataType) for i, c in enumerate(kept)] + [T.StructField("runs", runs)])
+    ints, table = T.ArrayType(T.IntegerType()), RankTable(ranks)
+    if digests:
+        added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    else:
+        added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", ints), T.StructField("decoded", T.BinaryType())]
+    names = [f.name for f in added]
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    kept = [f for f in base.schema.fields if f.name != text_col or keep_text and not digests]
+    shared = spark.sparkContext.broadcast((ranks, known_pieces(base, table, pattern, text_col=text_col)))
+
+    doc = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField("codes", ints)])
     block = T.StructType([T.StructField("words", T.ArrayType(ints)), T.StructField("docs", T.ArrayType(doc))])
-    blocks = base.mapInArrow(_blocks(text_col, pattern, shared, kept), block)
-
-    def of_doc(t: Column, words: Column, d: Column) -> Column:
-        ids = F.flatten(F.transform(d["runs"], lambda r: F.when(r["word"] < 0, r["ids"]).otherwise(F.concat(r["ids"], F.get(words, r["word"])))))
-        own = [d[f"c{i}"].alias(f"c{i}") for i in range(len(kept))]
-
-        def columns(x: Column) -> Column:
-            decoded = F.encode(F.array_join(F.transform(x, lambda i: F.get(t["spelled"], i)), ""), "ISO-8859-1")
-            shown = F.sha2(F.array_join(x.cast("array<string>"), " "), 256) if digests else x
-            return F.struct(*own, F.size(x).cast("long").alias("n"), shown.alias("x"), (F.sha2(decoded, 256) if digests else decoded).alias("y"))
-
-        return bind(ids, columns)
-
-    done = bind(lists, lambda t: bind(F.transform("words", lambda w: fold(w, t, table)), lambda words: F.transform("docs", lambda d: of_doc(t, words, d))))
-    return blocks.select(F.inline(done)).toDF(*kept, *added)
+    blocks = base.mapInArrow(_blocks(text_col, pattern, shared, [f.name for f in kept]), block)
+    folded = blocks.select(bind(table.literal(), lambda t: F.transform("words", lambda w: fold(w, t, table))).alias("words"), "docs")
+    out = T.StructType([*kept, *added])
+    return folded.mapInArrow(_documents(shared, digests, out.names), out)
