@@ -1,12 +1,13 @@
 """Fuzzy line dedup in DataFrame operations alone: MinHash over character shingles, bands, Jaccard, union-find.
 
 A line (a text is cut at newlines) is compared in lower case with its spaces collapsed. Its set is the distinct
-``SHINGLE``-character shingles that start at any of its characters; a shorter line is one shingle. Equal lines are one node. Signatures are ``ROWS * BANDS`` minima of independent hashes;
-lines that agree in a band are compared with the band's first and last line by the exact Jaccard similarity of their
-sets, and the links are joined by distributed union-find. Lines outside a band's main component are tried on one line of
-it and on one another; those that are still outside are then compared with all lines of their band that are in other
-components, in blocks, so that no pair that meets in a band is left untested. Of each component the first line stays, by id and line
-number; all its other occurrences go.
+``SHINGLE``-character shingles that start at any of its characters; a shorter line is one shingle. Equal lines are one
+node. A signature is ``VALUES`` minima of independent hashes, of which each band takes three; lines that agree in a band
+are compared with the band's first and last line by the exact Jaccard similarity of their sets, and the links are joined
+by distributed union-find. Lines outside a band's main component are tried on one line of it and on one another; those
+that are still outside are then compared with all lines of their band that are in other components, in blocks, so that no
+pair that meets in a band is left untested. Of each component the first line stays, by id and line number; all its other
+occurrences go.
 
 Defined cases: null texts stay null; blank lines always stay; rows that agree in id and text lose the same lines; an
 empty table gives an empty one; other columns stay as they are.
@@ -14,13 +15,16 @@ empty table gives an empty one; other columns stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, materialize
 from .components import components
 
-SHINGLE, ROWS, BANDS = 12, 3, 10
+SHINGLE = 12
+#: Values of a signature, and which values after the first make a band: two lines at exactly 0.75 meet in none of the
+#: bands with probability 0.0037, as summed over all sets of agreeing values.
+VALUES, BAND = 16, (0, 2, 6)
 STARTS = 32
 #: Lines of a band that are compared with as many others in one go, and turns of tries before that.
 BLOCK, TURNS = 512, 2
@@ -47,27 +51,36 @@ def shingle(block: Column, start: Column) -> Column:
     return F.xxhash64(block.substr(start, F.lit(SHINGLE)))
 
 
-def signatures(nodes: DataFrame) -> DataFrame:
-    """(node, bands): one row for each shingle, folded to its line's signature before anything is dealt out."""
-    parts = nodes.select("node", F.explode(blocks(F.col("line"))).alias("block"))
-    parts = parts.select("node", "block", F.explode(starts(F.col("block"))).alias("start"))
-    hashed = parts.select("node", shingle(F.col("block"), F.col("start")).alias("h"))
-    signed = hashed.groupBy("node").agg(*[_value(i).alias(f"m{i}") for i in range(ROWS * BANDS)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return signed.select("node", bands.alias("bands"))
+def signatures(lines: DataFrame, *by: str) -> DataFrame:
+    """(by, copies, bands): the shingles of the rows (by, line), folded to one signature before anything is dealt out.
+
+    The minimum is the same however often a line stands, so rows that agree in ``by`` are one; copies tells how many.
+    Each 64-bit hash of a shingle gives two values, its halves; value i, i + 2 and i + 6 make band i.
+    """
+    parts = lines.select(*by, F.posexplode(blocks(F.col("line"))).alias("part", "block"))
+    parts = parts.select(*by, "part", "block", F.explode(starts(F.col("block"))).alias("start"))
+    hashed = parts.select(*by, ((F.col("part") == 0) & (F.col("start") == 1)).alias("first"), shingle(F.col("block"), F.col("start")).alias("h"))
+    hashed = hashed.select(*by, "first", *[F.xxhash64(F.col("h").bitwiseXOR(F.lit(_key(i)))).alias(f"g{i}") for i in range(VALUES // 2)])
+    halves = [half for i in range(VALUES // 2) for half in (F.shiftright(f"g{i}", 32), F.shiftright(F.shiftleft(f"g{i}", 32), 32))]
+    signed = hashed.groupBy(*by).agg(F.count_if("first").alias("copies"), *[F.min(half.cast("int")).alias(f"m{i}") for i, half in enumerate(halves)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{(b + r) % VALUES}" for r in BAND]) for b in range(VALUES)])
+    return signed.select(*by, "copies", bands.alias("bands"))
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(uid, removed): the line numbers (from 0) that go, for documents that lose any."""
-    lines = _lines(docs, text_col).select(normal(F.col("line")).alias("line")).where("line <> ''")
-    nodes = lines.groupBy("line").agg(F.count("*").alias("copies"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "line", "copies"), "lines")
-    signed = signatures(nodes)
-
-    band = Window.partitionBy("band")
-    met = signed.select("node", F.explode("bands").alias("band")).withColumns({"lo": F.min("node").over(band), "hi": F.max("node").over(band)}).where("lo < hi")
-    met = materialize(met, "met")
-    text = materialize(nodes.select("node", "line").join(met.select("node").distinct(), "node", "left_semi"), "text")
+    lines = _lines(docs, text_col).select(normal(F.col("line")).alias("line")).where("line <> ''").select(_hash("line").alias("hash"), "line")
+    signed = signatures(lines.select("hash.x", "hash.y", "line"), "x", "y")
+    signed = materialize(signed.select(F.monotonically_increasing_id().alias("node"), F.struct("x", "y").alias("hash"), "copies", "bands"), "signed")
+
+    # dealt out by band once; the greatest and the least node of a band are an aggregate of the same partitions
+    bands = signed.select("node", F.explode("bands").alias("band")).repartition("band")
+    ends = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    met = materialize(bands.join(ends.hint("merge"), "band"), "met")
+    nodes = materialize(signed.select("node", "hash", "copies"), "nodes")
+    drop(signed)
+    asked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "hash")
+    text = materialize(lines.join(asked, "hash").groupBy("node").agg(F.first("line").alias("line")), "text")
 
     def alike(pairs: DataFrame) -> DataFrame:
         sided = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
@@ -91,8 +104,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     roots = materialize(components(links), "roots")
 
     # the places of lines that stand more than once or are in a component; all go but its first
-    grouped = nodes.select("node", _hash("line").alias("hash"), "copies").join(roots, "node", "left").where("copies > 1 or root is not null")
-    grouped = grouped.select("hash", F.coalesce("root", "node").alias("root"))
+    grouped = nodes.join(roots, "node", "left").where("copies > 1 or root is not null").select("hash", F.coalesce("root", "node").alias("root"))
     places = _lines(with_key(docs, id_col, text_col), text_col, "uid", F.col(id_col).alias("id")).withColumn("line", normal(F.col("line")))
     places = materialize(places.select(_hash("line").alias("hash"), "uid", "id", "no").join(grouped, "hash").select("root", "uid", "id", "no"), "places")
     first = places.groupBy("root").agg(F.min(F.struct("id", "uid", "no")).alias("stays"))
@@ -165,11 +177,6 @@ def _key(i: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _value(i: int) -> Column:
-    """Value i of a signature: the least of the shingles under a hash of its own."""
-    return F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(_key(i)))))
-
-
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``text`` less its duplicate lines, and n_lines and n_removed (clashing input columns give way)."""
     docs = docs.drop("n_lines", "n_removed", "uid", "_removed")
