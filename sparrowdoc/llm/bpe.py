@@ -1,8 +1,8 @@
 """Byte-level BPE: ranked merges folded by Spark higher-order functions over the byte arrays of distinct words.
 
 A first pass counts the pieces that the pattern cuts texts into. The commonest ones, at most ``MAX_KNOWN``, are folded
-once for the whole corpus and broadcast with their ids; that bounds what a task holds, and no piece is left out. A
-second pass gives one row for each block of documents: known ids and numbers of other pieces. The block's other distinct
+once for the whole corpus and broadcast with their ids, ``MAX_HOT`` of them as a dictionary and the others as sorted
+arrays; that bounds what a task holds, and no piece is left out. A second pass gives one row for each block of documents: known ids and numbers of other pieces. The block's other distinct
 pieces are folded there; a kernel puts their ids in place and decodes by concatenating the vocabulary's binary pieces.
 Neither pass deals documents out. The ranks are a literal table of perfect hashing, bounded by the vocabulary.
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,14 +36,16 @@ from .common import drop, materialize, small_batches
 #: White space as the public encoder's pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A blank before a character that is no white space always begins a piece, so texts may be cut there.
-_CUT = re.compile(r" (?=\S)")
+_CUT, _GLUED = re.compile(r" (?=\S)"), re.compile(r" \s")
 BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 384
-#: Pieces whose ids are broadcast, and cut parts that a task counts or remembers at once.
-MAX_KNOWN, MAX_PARTS = 400_000, 200_000
+#: Pieces whose ids are broadcast, those of them in a dictionary, and cut parts that a task counts or remembers at once.
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 2_000_000, 120_000, 200_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
+#: Stands where the table has no pair.
+EMPTY = 1 << 62
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -102,6 +105,7 @@ class RankTable:
                 raise ValueError("a bucket fits nowhere")
             o = order[mine]
             shift[b[starts[i]]], merge[put] = move, (left[o] << BITS | right[o]) << BITS | rank[o]
+        merge[merge < 0] = EMPTY
         self.lists = {"shift": shift.tolist(), "merge": merge.tolist(), "byte": [ranks[bytes([b])] for b in range(256)]}
 
     def literal(self) -> Column:
@@ -110,10 +114,11 @@ class RankTable:
         return F.from_json(F.lit(json.dumps(self.lists, separators=(",", ":"))), f"struct<{kind}>")
 
     def rank(self, t: Column, left: Column, right: Column) -> Column:
-        """The pair's rank, NONE if it is no merge; ``t`` holds the lists."""
+        """The pair's rank, NONE if it is no merge; ``t`` holds the lists. What stands for another pair is over NONE."""
         shift = F.get(t["shift"], ((left * self.q + right * self.p) % self.buckets).cast("int"))
-        at = ((left * self.p + right * self.q + shift) % self.places).cast("int")
-        return bind(F.get(t["merge"], at), lambda x: F.when(F.shiftright(x, BITS) == F.shiftleft(left, BITS) + right, x.bitwiseAND(_long(NONE))).otherwise(_long(NONE)))
+        found = F.get(t["merge"], ((left * self.p + right * self.q + shift) % self.places).cast("int"))
+        pair = F.shiftleft(F.shiftleft(left, BITS) + right, BITS)
+        return F.least(found.bitwiseXOR(pair), _long(NONE))
 
 
 def _long(x: int) -> Column:
@@ -136,13 +141,16 @@ def fold(word: Column, t: Column, table: RankTable) -> Column:
     place = _long(NONE << BITS)
 
     def step(cells: Column, _: Column) -> Column:
-        def merge(low: Column, at: Column) -> Column:
-            new, left = F.shiftright(low, 2 * BITS), F.get(cells, at - 2)
+        def merge(at: Column) -> Column:
+            low, left = F.get(cells, at - 1), F.get(cells, at - 2)
+            new = F.shiftright(low, 2 * BITS)
             before = F.shiftleft(table.rank(t, ident(left), new), 2 * BITS).bitwiseOR(left.bitwiseAND(_long((1 << 2 * BITS) - 1)))
             after = F.shiftleft(table.rank(t, new, ident(F.get(cells, at + 1))), 2 * BITS).bitwiseOR(low.bitwiseAND(place)).bitwiseOR(new)
             return F.concat(F.slice(cells, 1, at - 2), F.array(before, after), F.slice(cells, at + 2, NONE))
 
-        return bind(F.array_min(cells), lambda low: F.when(low >= _long(NONE << 2 * BITS), cells).otherwise(bind(F.array_position(cells, low).cast("int"), lambda at: merge(low, at))))
+        # places grow along the array, so a count gives the position (array_position throws an exception for each hit)
+        upto = lambda low: F.size(F.filter(cells, lambda c: c.bitwiseAND(place) <= low.bitwiseAND(place)))
+        return bind(F.array_min(cells), lambda low: F.when(low >= _long(NONE << 2 * BITS), cells).otherwise(bind(upto(low), merge)))
 
     def start(ids: Column) -> Column:
         return F.transform(ids, lambda x, i: F.shiftleft(table.rank(t, x, F.coalesce(F.get(ids, i + 1), _long(NONE))), 2 * BITS) + F.shiftleft(i.cast("long"), BITS) + x)
@@ -203,6 +211,11 @@ def _pieces(part: str, spaced: bool, split) -> list[str]:
     return split.findall(blank + part)
 
 
+def _cut(text: str) -> list[str]:
+    """The text's first part, and the others without the blank before them."""
+    return _CUT.split(text) if _GLUED.search(text) else text.split(" ")
+
+
 def _count(text_col: str, pattern: str):
     """(piece, n) of a task's texts, counted by cut parts in between."""
 
@@ -212,19 +225,19 @@ def _count(text_col: str, pattern: str):
         parts: Counter = Counter()
 
         def flush():
-            pieces: Counter = Counter()
+            pieces: dict[str, int] = {}
             for counter in (heads, parts):
                 for part, n in counter.items():
                     for p in _pieces(part, counter is parts, split):
-                        pieces[p] += n
+                        pieces[p] = pieces.get(p, 0) + n
                 counter.clear()
             own = [p for p in pieces if len(p) <= FOLD_BYTES]
             return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([pieces[p] for p in own], pa.int64())], names=["piece", "n"])
 
         for b in batches:
-            for text in b.column(text_col):
-                if text := text.as_py():
-                    head, *rest = _CUT.split(text)
+            for text in b.column(text_col).to_pylist():
+                if text:
+                    head, *rest = _cut(text)
                     heads[head] += 1
                     parts.update(rest)
                     if len(parts) + len(heads) > 2 * MAX_PARTS:
@@ -234,35 +247,58 @@ def _count(text_col: str, pattern: str):
     return run
 
 
-def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: str = "text", most: int = MAX_KNOWN) -> dict[str, bytes]:
-    """The commonest pieces that stand twice or more, at most ``most``, with their ids as 32-bit words."""
+class Known:
+    """Ids of pieces: the first ``hot`` of them in a dictionary, the others in arrays that are sorted by hash."""
+
+    def __init__(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray, hot: int = MAX_HOT):
+        hot = min(hot, len(pieces))
+        self.hot = {p: ids[lo:hi].tobytes() for p, lo, hi in zip(pieces[:hot], ends[:hot].tolist(), ends[1 : hot + 1].tolist(), strict=True)}
+        raw = [p.encode() for p in pieces[hot:]]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.spelled = b"".join([raw[i] for i in order.tolist()])
+        self.at = np.append(0, np.cumsum([len(raw[i]) for i in order.tolist()])).astype(np.int64)
+        lo, many = ends[hot:-1][order], np.diff(ends)[hot:][order]
+        self.ends = np.append(0, np.cumsum(many))
+        self.ids = ids[np.repeat(lo - self.ends[:-1], many) + np.arange(many.sum())].astype(np.int32)
+
+    def find(self, pieces: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of pieces that the arrays hold, None for others; a hit is compared byte by byte."""
+        if not len(self.hashes):
+            return [None] * len(pieces)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hits = self.hashes[place] == hashes
+        bounds = zip(pieces, hits.tolist(), self.at[place].tolist(), self.at[place + 1].tolist(), self.ends[place].tolist(), self.ends[place + 1].tolist(), strict=True)
+        return [self.ids[x:y] if hit and self.spelled[lo:hi] == p else None for p, hit, lo, hi, x, y in bounds]
+
+
+def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: str = "text", most: int = MAX_KNOWN, hot: int = MAX_HOT) -> Known:
+    """The commonest pieces that stand twice or more, at most ``most``, with their ids."""
     counts = docs.select(text_col).mapInArrow(_count(text_col, pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     level = F.floor(F.log2("n") * 16).cast("int")
     counts = materialize(counts.where("n > 1").withColumn("level", level), "pieces")
-    least, total = None, 0
+    least, total = 1 << 30, 0
     for r in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some hundred levels
-        if (total := total + r["count"]) > most:
+        if total + r["count"] > most:
             break
-        least = r["level"]
-    if least is None:
-        drop(counts)
-        return {}
+        least, total = r["level"], total + r["count"]
     bytes_ = F.transform(F.regexp_extract_all(F.hex("piece"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
-    chosen = counts.where(F.col("level") >= least).select("piece", bytes_.alias("word")).repartition(max(1, min(total, most) >> 13))
-    rows = chosen.select("piece", bind(table.literal(), lambda t: fold(F.col("word"), t, table)).alias("ids")).toArrow()
+    chosen = counts.where(F.col("level") >= least).select("piece", "n", bytes_.alias("word")).repartition(max(1, total >> 14))
+    rows = chosen.select("piece", "n", bind(table.literal(), lambda t: fold(F.col("word"), t, table)).alias("ids")).toArrow().combine_chunks()
     drop(counts)
-    ids = rows.column("ids").combine_chunks()
-    flat, ends = ids.flatten().to_numpy().astype("<i4"), np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
-    return {p: flat[lo:hi].tobytes() for p, lo, hi in zip(rows.column("piece").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+    rows = rows.take(pc.sort_indices(rows, [("n", "descending"), ("piece", "ascending")])).combine_chunks()
+    ids = rows.column("ids").chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    return Known(rows.column("piece").to_pylist(), ids.flatten().to_numpy().astype("<i4"), np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64), hot)
 
 
 class _Parts(dict):
     """A cut part to its pieces' codes, as 32-bit words: ids, and -1 - number for a piece that the block has to fold."""
 
     def __init__(self, spaced: bool, split, known: dict[str, bytes], ranks: dict[bytes, int], numbers: dict[str, int]):
+        super().__init__()
         self.spaced, self.split, self.known, self.ranks, self.numbers = spaced, split, known, ranks, numbers
-        self.base = {p[1:]: code for p, code in known.items() if p[1:].isalpha() and p[0] == " "} if spaced else {}
-        super().__init__(self.base)
         self.open: dict[str, bytes] = {}  # parts with numbered pieces: good for one block
 
     def __missing__(self, part: str) -> bytes:
@@ -282,9 +318,8 @@ class _Parts(dict):
 
     def next_block(self) -> None:
         self.open.clear()
-        if len(self) > len(self.base) + MAX_PARTS:
+        if len(self) > MAX_PARTS:
             self.clear()
-            self.update(self.base)
 
 
 def _lists(values: pa.Array, counts) -> pa.Array:
@@ -297,15 +332,22 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
     def run(batches):
         split, (ranks, known) = splitter(pattern), shared.value
         numbers: dict[str, int] = {}
-        heads, parts = (_Parts(spaced, split, known, ranks, numbers) for spaced in (False, True))
+        heads, parts = (_Parts(spaced, split, known.hot, ranks, numbers) for spaced in (False, True))
         held: list[pa.RecordBatch] = []
         codes: list[bytes] = []
         size = 0
 
         def flush():
             pieces = [w.encode() for w in numbers]
+            found = known.find(pieces)
+            asked = [i for i, f in enumerate(found) if f is None]
+            for number, i in enumerate(asked):
+                found[i] = np.array([-1 - number], np.int32)
+            flat, many = put(np.frombuffer(b"".join(codes), "<i4"), np.concatenate([*found, np.zeros(0, np.int32)]), np.append(0, np.cumsum([len(f) for f in found])).astype(np.int64))
+            stops = np.append(0, np.cumsum(many))[np.append(0, np.cumsum([len(c) >> 2 for c in codes]))]
+            own = _lists(pa.array(flat), np.diff(stops))
+            pieces = [pieces[i] for i in asked]
             words = _lists(pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)), [len(p) for p in pieces])
-            own = _lists(pa.array(np.frombuffer(b"".join(codes), "<i4")), [len(c) >> 2 for c in codes])
             rows = pa.Table.from_batches(held)
             fields = [pa.concat_arrays(rows.column(n).chunks) for n in names]
             docs = pa.StructArray.from_arrays([*fields, own], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
@@ -320,7 +362,7 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
             start = 0
             for i, n in enumerate(lengths):
                 if n:
-                    head, *rest = _CUT.split(texts[i].as_py())
+                    head, *rest = _cut(texts[i].as_py())
                     codes.append(heads[head] + b"".join(map(parts.__getitem__, rest)))
                 else:
                     codes.append(b"")
@@ -351,14 +393,10 @@ def put(codes: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
     return out, many
 
 
-def _documents(shared, digests: bool, names: list[str]):
+def _documents(spelled: list[bytes], digests: bool, names: list[str]):
     """Documents of folded blocks with their ids, decoded again by concatenating binary pieces."""
 
     def run(batches):
-        ranks = shared.value[0]
-        spelled = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            spelled[i] = token
         decimal = list(map(str, range(len(spelled)))) if digests else []
         for b in batches:
             for row in range(b.num_rows):
@@ -407,4 +445,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     blocks = base.mapInArrow(_blocks(text_col, pattern, shared, [f.name for f in kept]), block)
     folded = blocks.select(bind(table.literal(), lambda t: F.transform("words", lambda w: fold(w, t, table))).alias("words"), "docs")
     out = T.StructType([*kept, *added])
-    return folded.mapInArrow(_documents(shared, digests, out.names), out)
+    spelled = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        spelled[i] = token
+    return folded.mapInArrow(_documents(spelled, digests, out.names), out)
