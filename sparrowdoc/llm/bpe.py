@@ -247,21 +247,35 @@ def _count(text_col: str, pattern: str):
     return run
 
 
-class Known:
-    """Ids of pieces: the first ``hot`` of them in a dictionary, the others in arrays that are sorted by hash."""
-
-    def __init__(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray, hot: int = MAX_HOT):
-        hot = min(hot, len(pieces))
-        self.hot = {p: ids[lo:hi].tobytes() for p, lo, hi in zip(pieces[:hot], ends[:hot].tolist(), ends[1 : hot + 1].tolist(), strict=True)}
-        raw = [p.encode() for p in pieces[hot:]]
+def _pack(batches):
+    """Rows (piece, ids) as one blob a batch: hashes, lengths of pieces and of ids, the pieces' bytes and the ids."""
+    for b in batches:
+        raw, ids = [p.encode() for p in b.column("piece").to_pylist()], b.column("ids")
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        lengths = np.array([len(p) for p in raw], np.int32)
+        many = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        blob = [hashes.tobytes(), lengths.tobytes(), many.tobytes(), b"".join(raw), ids.flatten().to_numpy().astype("<i4").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blob], names=["hashes", "lengths", "many", "spelled", "ids"])
+
+
+def _joined(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    blobs = rows.mapInArrow(_pack, "hashes binary, lengths binary, many binary, spelled binary, ids binary").collect()
+    parts = [b"".join(r[c] for r in blobs) for c in ("hashes", "lengths", "many", "spelled", "ids")]
+    return np.frombuffer(parts[0], np.uint64), np.frombuffer(parts[1], np.int32), np.frombuffer(parts[2], np.int32), parts[3], np.frombuffer(parts[4], "<i4")
+
+
+class Known:
+    """Ids of pieces: the commonest in a dictionary, the others in arrays that are sorted by hash."""
+
+    def __init__(self, hot: DataFrame, others: DataFrame):
+        _, lengths, many, spelled, ids = _joined(hot)
+        stops, ends = np.cumsum(lengths), np.cumsum(many)
+        bounds = zip((stops - lengths).tolist(), stops.tolist(), (ends - many).tolist(), ends.tolist(), strict=True)
+        self.hot = {spelled[lo:hi].decode(): ids[x:y].tobytes() for lo, hi, x, y in bounds}
+        hashes, lengths, many, self.spelled, self.ids = _joined(others)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.spelled = b"".join([raw[i] for i in order.tolist()])
-        self.at = np.append(0, np.cumsum([len(raw[i]) for i in order.tolist()])).astype(np.int64)
-        lo, many = ends[hot:-1][order], np.diff(ends)[hot:][order]
-        self.ends = np.append(0, np.cumsum(many))
-        self.ids = ids[np.repeat(lo - self.ends[:-1], many) + np.arange(many.sum())].astype(np.int32)
+        self.bounds = np.stack([np.cumsum(lengths, dtype=np.int32) - lengths, np.cumsum(lengths, dtype=np.int32), np.cumsum(many, dtype=np.int32) - many, np.cumsum(many, dtype=np.int32)])[:, order]
 
     def find(self, pieces: list[bytes]) -> list[np.ndarray | None]:
         """Ids of pieces that the arrays hold, None for others; a hit is compared byte by byte."""
@@ -270,27 +284,24 @@ class Known:
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hits = self.hashes[place] == hashes
-        bounds = zip(pieces, hits.tolist(), self.at[place].tolist(), self.at[place + 1].tolist(), self.ends[place].tolist(), self.ends[place + 1].tolist(), strict=True)
-        return [self.ids[x:y] if hit and self.spelled[lo:hi] == p else None for p, hit, lo, hi, x, y in bounds]
+        return [self.ids[x:y] if hit and self.spelled[lo:hi] == p else None for p, hit, (lo, hi, x, y) in zip(pieces, hits.tolist(), self.bounds[:, place].T.tolist(), strict=True)]
 
 
 def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: str = "text", most: int = MAX_KNOWN, hot: int = MAX_HOT) -> Known:
-    """The commonest pieces that stand twice or more, at most ``most``, with their ids."""
+    """The commonest pieces that stand twice or more, at most ``most``, with their ids; the driver holds these alone."""
     counts = docs.select(text_col).mapInArrow(_count(text_col, pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    level = F.floor(F.log2("n") * 16).cast("int")
-    counts = materialize(counts.where("n > 1").withColumn("level", level), "pieces")
-    least, total = 1 << 30, 0
+    counts = materialize(counts.where("n > 1").withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "pieces")
+    levels, total = {most: 1 << 30, hot: 1 << 30}, 0
     for r in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some hundred levels
-        if total + r["count"] > most:
-            break
-        least, total = r["level"], total + r["count"]
+        total += r["count"]
+        levels |= {bound: r["level"] for bound in levels if total <= bound}
     bytes_ = F.transform(F.regexp_extract_all(F.hex("piece"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
-    chosen = counts.where(F.col("level") >= least).select("piece", "n", bytes_.alias("word")).repartition(max(1, total >> 14))
-    rows = chosen.select("piece", "n", bind(table.literal(), lambda t: fold(F.col("word"), t, table)).alias("ids")).toArrow().combine_chunks()
+    chosen = counts.where(F.col("level") >= levels[most]).select("piece", "level", bytes_.alias("word")).repartition(max(1, min(total, most) >> 14))
+    folded = materialize(chosen.select("piece", "level", bind(table.literal(), lambda t: fold(F.col("word"), t, table)).alias("ids")), "known")
     drop(counts)
-    rows = rows.take(pc.sort_indices(rows, [("n", "descending"), ("piece", "ascending")])).combine_chunks()
-    ids = rows.column("ids").chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    return Known(rows.column("piece").to_pylist(), ids.flatten().to_numpy().astype("<i4"), np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64), hot)
+    known = Known(folded.where(F.col("level") >= levels[hot]).select("piece", "ids"), folded.where(F.col("level") < levels[hot]).select("piece", "ids"))
+    drop(folded)
+    return known
 
 
 class _Parts(dict):
