@@ -25,10 +25,18 @@ SHINGLE = 12
 #: Values of a signature, and which values after the first make a band: two lines at exactly 0.75 meet in none of the
 #: bands with probability 0.0037, as summed over all sets of agreeing values.
 VALUES, BAND = 16, (0, 2, 6)
+#: Agreeing values from which two lines that met are compared; a pair at exactly 0.75 has fewer with probability 0.0075.
+LEAST_AGREEING = 8
+#: Lines under SHORT characters are signed by all their shingles, longer ones by those at places that their content
+#: picks. Two lines that are 0.75 alike and stand on both sides of SHORT are under SHORT / 0.75, so lines of
+#: such a length are signed both ways.
+SHORT = 64
 STARTS = 32
 #: Lines of a band that are compared with as many others in one go, and turns of tries before that.
-BLOCK, TURNS = 512, 2
+BLOCK, TURNS = 512, 1
 SIMILARITY = 0.75
+#: A letter, digit or any character beyond ASCII.
+_WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
 
 
 def normal(line: Column) -> Column:
@@ -51,56 +59,90 @@ def shingle(block: Column, start: Column) -> Column:
     return F.xxhash64(block.substr(start, F.lit(SHINGLE)))
 
 
+def _everywhere(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+
+
+def _picked(line: Column) -> Column:
+    """Shingles that start at a word, and at every character of a word beyond its first ``SHINGLE``."""
+    within, word, other = f"(?<={_WORD}{{{SHINGLE}}}){_WORD}", f"{_WORD}{{1,{SHINGLE}}}{_WORD.replace('[^', '[')}*", "."
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))(?:{within}|{word}|{other})"), F.lit(1))
+
+
 def signatures(lines: DataFrame, *by: str) -> DataFrame:
-    """(by, copies, bands): the shingles of the rows (by, line), folded to one signature before anything is dealt out.
+    """(by, all, copies, m0, m1, ...): the shingles of the rows (by, line), folded before anything is dealt out.
 
-    The minimum is the same however often a line stands, so rows that agree in ``by`` are one; copies tells how many.
-    Each 64-bit hash of a shingle gives two values, its halves; value i, i + 2 and i + 6 make band i.
+    ``all`` tells a signature of all shingles from one of picked ones; a line may have both. The minimum is the same
+    however often a line stands, so rows that agree in ``by`` are one; copies tells how many. Each 64-bit hash of a
+    shingle gives two values, its halves.
     """
-    parts = lines.select(*by, F.posexplode(blocks(F.col("line"))).alias("part", "block"))
-    parts = parts.select(*by, "part", "block", F.explode(starts(F.col("block"))).alias("start"))
-    hashed = parts.select(*by, ((F.col("part") == 0) & (F.col("start") == 1)).alias("first"), shingle(F.col("block"), F.col("start")).alias("h"))
-    hashed = hashed.select(*by, "first", *[F.xxhash64(F.col("h").bitwiseXOR(F.lit(_key(i)))).alias(f"g{i}") for i in range(VALUES // 2)])
+    long_ = F.length("line")
+    ways = F.when(long_ < SHORT, F.array(F.lit(True))).when(long_ >= int(SHORT / SIMILARITY) + 1, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    parts = lines.select(*by, "line", F.explode(ways).alias("all"))
+    cut = F.when(long_ < SHINGLE, F.array("line")).when(F.col("all"), _everywhere(F.col("line"))).otherwise(_picked(F.col("line")))
+    parts = parts.select(*by, "all", F.posexplode(cut).alias("at", "shingle")).select(*by, "all", (F.col("at") == 0).alias("first"), F.xxhash64("shingle").alias("h"))
+    hashed = parts.select(*by, "all", "first", *[F.xxhash64(F.col("h").bitwiseXOR(F.lit(_key(i)))).alias(f"g{i}") for i in range(VALUES // 2)])
     halves = [half for i in range(VALUES // 2) for half in (F.shiftright(f"g{i}", 32), F.shiftright(F.shiftleft(f"g{i}", 32), 32))]
-    signed = hashed.groupBy(*by).agg(F.count_if("first").alias("copies"), *[F.min(half.cast("int")).alias(f"m{i}") for i, half in enumerate(halves)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{(b + r) % VALUES}" for r in BAND]) for b in range(VALUES)])
-    return signed.select(*by, "copies", bands.alias("bands"))
+    return hashed.groupBy(*by, "all").agg(F.count_if("first").alias("copies"), *[F.min(half.cast("int")).alias(f"m{i}") for i, half in enumerate(halves)])
+
+
+MINIMA = [f"m{i}" for i in range(VALUES)]
+
+
+def bands(signed: DataFrame) -> Column:
+    """Value i, i + 2 and i + 6 make band i."""
+    return F.array(*[F.xxhash64(F.lit(b), *[f"m{(b + r) % VALUES}" for r in BAND]) for b in range(VALUES)])
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether two signatures (prefixes of columns) agree often enough to compare their lines."""
+    return sum((F.col(f"{a}{m}") == F.col(f"{b}{m}")).cast("int") for m in MINIMA) >= LEAST_AGREEING
+
+
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): the nodes of those pairs of signatures (a, b) that agree often enough."""
+    side = lambda key, node, prefix: signed.select(F.col("sign").alias(key), F.col("node").alias(node), *[F.col(m).alias(prefix + m) for m in MINIMA])
+    near = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").where(_agree("x", "y") & (F.col("na") != F.col("nb")))
+    return near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(uid, removed): the line numbers (from 0) that go, for documents that lose any."""
     lines = _lines(docs, text_col).select(normal(F.col("line")).alias("line")).where("line <> ''").select(_hash("line").alias("hash"), "line")
     signed = signatures(lines.select("hash.x", "hash.y", "line"), "x", "y")
-    signed = materialize(signed.select(F.monotonically_increasing_id().alias("node"), F.struct("x", "y").alias("hash"), "copies", "bands"), "signed")
-
-    # dealt out by band once; the greatest and the least node of a band are an aggregate of the same partitions
-    bands = signed.select("node", F.explode("bands").alias("band")).repartition("band")
-    ends = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    met = materialize(bands.join(ends.hint("merge"), "band"), "met")
-    nodes = materialize(signed.select("node", "hash", "copies"), "nodes")
-    drop(signed)
-    asked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "hash")
-    text = materialize(lines.join(asked, "hash").groupBy("node").agg(F.first("line").alias("line")), "text")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+    signed = materialize(signed.select(F.monotonically_increasing_id().alias("sign"), F.struct("x", "y").alias("hash"), "copies", *MINIMA), "signed")
+    # a line is a node, named by the least of its signatures
+    nodes = materialize(signed.groupBy("hash").agg(F.min("sign").alias("node"), F.max("sign").alias("twin"), F.min("copies").alias("copies")), "nodes")
+    twins = nodes.where("node < twin").select(F.col("twin").alias("sign"), "node")
+    signed = signed.drop("hash", "copies").join(twins, "sign", "left").withColumn("node", F.coalesce("node", "sign"))
+
+    # dealt out by band once; the greatest and the least signature of a band are an aggregate of the same partitions
+    banded = signed.select("sign", "node", F.explode(bands(signed)).alias("band")).repartition("band")
+    ends = banded.groupBy("band").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo < hi")
+    met = materialize(banded.join(ends.hint("merge"), "band"), "met")
+    signed = materialize(signed.join(met.select("sign").distinct(), "sign", "left_semi"), "signed")
+    text = materialize(lines.join(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "hash"), "hash").groupBy("node").agg(F.first("line").alias("line")), "text")
+
+    def alike(near: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose sets are similar enough."""
+        near = materialize(near, "pairs")
+        sided = near.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
         sided = sided.select("a", "b", _set("la").alias("x"), _set("lb").alias("y"))  # after the joins: for the pairs alone
-        return materialize(sided.where(_similar("x", "y", similarity)).select("a", "b"), "links")
+        links = materialize(sided.where(_similar("x", "y", similarity)).select("a", "b"), "links")
+        drop(near)
+        return links
 
-    pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    pairs = materialize(pairs, "pairs")
-    links = alike(pairs)
-    drop(pairs)
+    pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("sign").alias("b")), F.struct(F.col("sign").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
+    links = alike(_agreeing(pairs, signed))
     for turn in range(TURNS):
         open_ = _open(met, links)
-        order = F.struct(F.xxhash64(F.lit(turn), "node"), "node")
-        picked = open_.groupBy("band").agg(F.array(F.min_by("node", F.when(F.col("root") == F.col("main"), order)), F.min_by("node", F.when(F.col("root") != F.col("main"), order))).alias("picked"))
-        tries = open_.where("root <> main").join(picked, "band").select("node", F.explode("picked").alias("pick")).where("node <> pick")
-        tries = materialize(tries.select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct(), "pairs")
-        links = links.unionByName(alike(tries))
-        drop(tries, open_)
-    links = links.unionByName(materialize(_rest(_open(met, links), text, similarity), "links"))
-    drop(met, text)
+        order = F.struct(F.xxhash64(F.lit(turn), "sign"), "sign")
+        picked = open_.groupBy("band").agg(F.array(F.min_by("sign", F.when(F.col("root") == F.col("main"), order)), F.min_by("sign", F.when(F.col("root") != F.col("main"), order))).alias("picked"))
+        tries = open_.where("root <> main").join(picked, "band").select("sign", F.explode("picked").alias("pick")).where("sign <> pick")
+        links = links.unionByName(alike(_agreeing(tries.select(F.least("sign", "pick").alias("a"), F.greatest("sign", "pick").alias("b")).distinct(), signed)))
+        drop(open_)
+    links = links.unionByName(alike(_rest(_open(met, links), signed)))
+    drop(met, text, signed)
     roots = materialize(components(links), "roots")
 
     # the places of lines that stand more than once or are in a component; all go but its first
@@ -117,30 +159,27 @@ def _open(met: DataFrame, links: DataFrame) -> DataFrame:
 
     Of up to three nodes the first and the last were compared with all, so such bands have no untested pair.
     """
-    placed = met.select("band", "node").join(materialize(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = met.select("band", "sign", "node").join(materialize(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all and all > 3")
     return materialize(placed.join(main, "band"), "open")
 
 
-def _rest(open_: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes outside a band's main component and the band's nodes of other components.
+def _rest(open_: DataFrame, signed: DataFrame) -> DataFrame:
+    """Agreeing pairs (a, b) of nodes outside a band's main component and the band's nodes of other components.
 
-    The asking nodes are dealt into blocks, and so are all nodes of the band; every block of the one meets every block
-    of the other in a place of its own, and a pair that is not alike never leaves the join.
+    The asking signatures are dealt into blocks, and so are all of the band; every block of the one meets every block of
+    the other in a place of its own, and a pair that does not agree never leaves the join.
     """
     rows = open_.withColumns({"asking": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "asked": F.ceil(F.col("all") / BLOCK).cast("int"), "outside": F.col("root") != F.col("main")})
-    rows = rows.join(text, "node")
-    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rows = rows.drop("node").join(signed, "sign")
+    spread = lambda n: F.pmod(F.xxhash64("sign"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = rows.where("outside").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("line").alias("la"), spread("asking").alias("q"), every("asked").alias("m"))
-    asked = rows.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), "outside", F.col("line").alias("lb"), every("asking").alias("q"), spread("asked").alias("m"))
-    place = ("band", "q", "m")  # lines are dealt out, which are smaller than their sets
-    one = asks.repartition(*place).select(*place, "a", "ra", _set("la").alias("x")).alias("one")
-    other = asked.repartition(*place).select(*place, "b", "rb", "outside", _set("lb").alias("y")).alias("other")
-    same = [F.col(f"one.{c}") == F.col(f"other.{c}") for c in place]
-    apart = (F.col("ra") != F.col("rb")) & (~F.col("outside") | (F.col("a") < F.col("b")))
-    return one.join(other, same[0] & same[1] & same[2] & apart & _similar("x", "y", similarity)).select("a", "b").distinct()
+    side = lambda prefix: [F.col(m).alias(prefix + m) for m in MINIMA]
+    asks = rows.where("outside").select("band", F.col("node").alias("na"), F.col("root").alias("ra"), spread("asking").alias("q"), every("asked").alias("m"), *side("x"))
+    asked = rows.select("band", F.col("node").alias("nb"), F.col("root").alias("rb"), "outside", every("asking").alias("q"), spread("asked").alias("m"), *side("y"))
+    apart = (F.col("ra") != F.col("rb")) & (~F.col("outside") | (F.col("na") < F.col("nb")))
+    return asks.join(asked, ["band", "q", "m"]).where(apart & _agree("x", "y")).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
 
 def _similar(x: str, y: str, similarity: float) -> Column:

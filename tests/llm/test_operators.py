@@ -262,7 +262,8 @@ def test_line_signatures_meet_as_often_as_independent_hashes(spark):
         middle = say(17)  # 6 shingles
         texts += [say(1) + middle, middle + say(1)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, line string")
-    bands = {x.node: set(x.bands) for x in lines.signatures(df, "node").collect()}
+    signed = lines.signatures(df, "node")
+    bands = {x.node: set(x.bands) for x in signed.select("node", lines.bands(signed).alias("bands")).collect()}
     missed = sum(not bands[i] & bands[i + 1] for i in range(0, len(texts), 2)) / 1500
     assert missed < 0.012, missed  # 0.0037 in theory
     assert sum(bool(bands[i] & bands[i + 3]) for i in range(0, len(texts) - 3, 2)) == 0
