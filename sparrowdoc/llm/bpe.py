@@ -20,7 +20,6 @@ import hashlib
 import heapq
 import json
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +35,13 @@ from .common import drop, materialize, small_batches
 #: White space as the public encoder's pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A blank before a character that is no white space always begins a piece, so texts may be cut there.
-_CUT, _GLUED = re.compile(r" (?=\S)"), re.compile(r" \s")
+_CUT = re.compile(r" (?=\S)")
+#: A blank before white space, as Arrow's pattern: such texts are not cut at every blank.
+_GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, those of them in a dictionary, and cut parts that a task counts or remembers at once.
-MAX_KNOWN, MAX_HOT, MAX_PARTS = 2_000_000, 120_000, 200_000
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_000_000, 150_000, 200_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
@@ -211,9 +212,38 @@ def _pieces(part: str, spaced: bool, split) -> list[str]:
     return split.findall(blank + part)
 
 
-def _cut(text: str) -> list[str]:
-    """The text's first part, and the others without the blank before them."""
-    return _CUT.split(text) if _GLUED.search(text) else text.split(" ")
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All parts of the texts in one array, each but a text's first without the blank before it, and where texts start."""
+    texts = texts.fill_null("")
+    glued = pc.match_substring_regex(texts, _GLUED).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts, " ")
+    if glued.any():
+        whole = pa.array([_CUT.split(t) for t in texts.filter(pa.array(glued)).to_pylist()], lists.type)
+        order = np.empty(len(texts), np.int64)
+        order[~glued], order[glued] = np.arange((~glued).sum()), np.arange(glued.sum()) + (~glued).sum()
+        lists = pa.concat_arrays([lists.filter(pa.array(~glued)), whole]).take(pa.array(order))
+    starts = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+    return lists.flatten(), starts.astype(np.int64)
+
+
+def _block(batches, text_col: str):
+    """Tables of documents with ``BLOCK_BYTES`` of text, or one longer text."""
+    held, size = [], 0
+    for whole in batches:
+        start = 0
+        for i, n in enumerate(pc.binary_length(whole.column(text_col)).fill_null(0).to_pylist()):
+            size += n
+            if size >= BLOCK_BYTES:
+                yield pa.Table.from_batches([*held, whole.slice(start, i + 1 - start)])
+                held, start, size = [], i + 1, 0
+        if start < whole.num_rows:
+            held.append(whole.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table.column(name).chunks)
 
 
 def _count(text_col: str, pattern: str):
@@ -221,8 +251,8 @@ def _count(text_col: str, pattern: str):
 
     def run(batches):
         split = splitter(pattern)
-        heads: Counter = Counter()
-        parts: Counter = Counter()
+        heads: dict[str, int] = {}
+        parts: dict[str, int] = {}
 
         def flush():
             pieces: dict[str, int] = {}
@@ -234,19 +264,30 @@ def _count(text_col: str, pattern: str):
             own = [p for p in pieces if len(p) <= FOLD_BYTES]
             return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([pieces[p] for p in own], pa.int64())], names=["piece", "n"])
 
-        for b in batches:
-            for text in b.column(text_col).to_pylist():
-                if text:
-                    head, *rest = _cut(text)
-                    heads[head] += 1
-                    parts.update(rest)
-                    if len(parts) + len(heads) > 2 * MAX_PARTS:
-                        yield flush()
+        for block in _block(batches, text_col):
+            flat, starts = _cut(_column(block, text_col))
+            first = np.zeros(len(flat), bool)
+            first[starts[:-1]] = True
+            for counter, mask in ((heads, first), (parts, ~first)):
+                counts = flat.filter(pa.array(mask)).value_counts()
+                for part, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
+                    counter[part] = counter.get(part, 0) + n
+            if len(parts) + len(heads) > 2 * MAX_PARTS:
+                yield flush()
         yield flush()
 
     return run
 
 
+def _spell(batches):
+    """Rows (piece, level) with ``word``, the piece's bytes."""
+    for b in batches:
+        raw = b.column("piece").cast(pa.binary())
+        lengths = pc.binary_length(raw).to_numpy()
+        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+        yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("level"), _lists(pa.array(data.astype(np.int32)), lengths)], names=["piece", "level", "word"])
+
+
 def _pack(batches):
     """Rows (piece, ids) as one blob a batch: hashes, lengths of pieces and of ids, the pieces' bytes and the ids."""
     for b in batches:
@@ -265,7 +306,7 @@ def _joined(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes,
 
 
 class Known:
-    """Ids of pieces: the commonest in a dictionary, the others in arrays that are sorted by hash."""
+    """Ids of pieces: the commonest in a dictionary, the others in arrays that are found by sorted hashes."""
 
     def __init__(self, hot: DataFrame, others: DataFrame):
         _, lengths, many, spelled, ids = _joined(hot)
@@ -273,18 +314,21 @@ class Known:
         bounds = zip((stops - lengths).tolist(), stops.tolist(), (ends - many).tolist(), ends.tolist(), strict=True)
         self.hot = {spelled[lo:hi].decode(): ids[x:y].tobytes() for lo, hi, x, y in bounds}
         hashes, lengths, many, self.spelled, self.ids = _joined(others)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.bounds = np.stack([np.cumsum(lengths, dtype=np.int32) - lengths, np.cumsum(lengths, dtype=np.int32), np.cumsum(many, dtype=np.int32) - many, np.cumsum(many, dtype=np.int32)])[:, order]
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+        self.stops, self.ends = np.append(0, np.cumsum(lengths)).astype(np.int64), np.append(0, np.cumsum(many)).astype(np.int64)
 
-    def find(self, pieces: list[bytes]) -> list[np.ndarray | None]:
-        """Ids of pieces that the arrays hold, None for others; a hit is compared byte by byte."""
+    def find(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pieces the arrays hold, compared byte by byte, and where the ids of each begin and end."""
         if not len(self.hashes):
-            return [None] * len(pieces)
+            return np.zeros(len(pieces), bool), np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hits = self.hashes[place] == hashes
-        return [self.ids[x:y] if hit and self.spelled[lo:hi] == p else None for p, hit, (lo, hi, x, y) in zip(pieces, hits.tolist(), self.bounds[:, place].T.tolist(), strict=True)]
+        at = self.order[place]
+        spelled = self.spelled
+        hits &= np.array([spelled[lo:hi] == p for p, lo, hi in zip(pieces, self.stops[at].tolist(), self.stops[at + 1].tolist(), strict=True)], bool)
+        return hits, self.ends[at], self.ends[at + 1]
 
 
 def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: str = "text", most: int = MAX_KNOWN, hot: int = MAX_HOT) -> Known:
@@ -295,8 +339,8 @@ def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: s
     for r in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some hundred levels
         total += r["count"]
         levels |= {bound: r["level"] for bound in levels if total <= bound}
-    bytes_ = F.transform(F.regexp_extract_all(F.hex("piece"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
-    chosen = counts.where(F.col("level") >= levels[most]).select("piece", "level", bytes_.alias("word")).repartition(max(1, min(total, most) >> 14))
+    chosen = counts.where(F.col("level") >= levels[most]).select("piece", "level").mapInArrow(_spell, "piece string, level int, word array<int>")
+    chosen = chosen.repartition(max(1, min(total, most) >> 14))
     folded = materialize(chosen.select("piece", "level", bind(table.literal(), lambda t: fold(F.col("word"), t, table)).alias("ids")), "known")
     drop(counts)
     known = Known(folded.where(F.col("level") >= levels[hot]).select("piece", "ids"), folded.where(F.col("level") < levels[hot]).select("piece", "ids"))
@@ -305,16 +349,13 @@ def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: s
 
 
 class _Parts(dict):
-    """A cut part to its pieces' codes, as 32-bit words: ids, and -1 - number for a piece that the block has to fold."""
+    """A cut part to its pieces' codes, as 32-bit words: ids, and -1 - number for a piece that is not in the dictionary."""
 
     def __init__(self, spaced: bool, split, known: dict[str, bytes], ranks: dict[bytes, int], numbers: dict[str, int]):
         super().__init__()
         self.spaced, self.split, self.known, self.ranks, self.numbers = spaced, split, known, ranks, numbers
-        self.open: dict[str, bytes] = {}  # parts with numbered pieces: good for one block
 
     def __missing__(self, part: str) -> bytes:
-        if (code := self.open.get(part)) is not None:
-            return code
         codes, settled = [], True
         for p in _pieces(part, self.spaced, self.split):
             code = self.known.get(p)
@@ -324,14 +365,10 @@ class _Parts(dict):
                 code, settled = (-1 - self.numbers.setdefault(p, len(self.numbers))).to_bytes(4, "little", signed=True), False
             codes.append(code)
         code = b"".join(codes)
-        (self if settled else self.open)[part] = code
+        if settled:  # numbers are good for one block
+            self[part] = code
         return code
 
-    def next_block(self) -> None:
-        self.open.clear()
-        if len(self) > MAX_PARTS:
-            self.clear()
-
 
 def _lists(values: pa.Array, counts) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
@@ -344,63 +381,57 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
         split, (ranks, known) = splitter(pattern), shared.value
         numbers: dict[str, int] = {}
         heads, parts = (_Parts(spaced, split, known.hot, ranks, numbers) for spaced in (False, True))
-        held: list[pa.RecordBatch] = []
-        codes: list[bytes] = []
-        size = 0
-
-        def flush():
+        for block in _block(batches, text_col):
+            flat, starts = _cut(_column(block, text_col))
+            leads = np.zeros(len(flat), bool)
+            leads[starts[:-1]] = True
+            coded = flat.filter(pa.array(~leads)).dictionary_encode()
+            first = flat.filter(pa.array(leads)).to_pylist()
+            codes = [*map(parts.__getitem__, coded.dictionary.to_pylist()), *map(heads.__getitem__, first)]
+            which = np.empty(len(flat), np.int64)
+            which[~leads], which[leads] = coded.indices.to_numpy(), np.arange(len(first)) + len(coded.dictionary)
+            bounds = np.append(0, np.cumsum([len(c) >> 2 for c in codes]))
+            own, many = gather(np.frombuffer(b"".join(codes), "<i4"), bounds[which], bounds[which + 1])
+            stops = np.append(0, np.cumsum(many))[starts]
+
+            # numbered pieces: the arrays know some of them, the others get new numbers
             pieces = [w.encode() for w in numbers]
-            found = known.find(pieces)
-            asked = [i for i, f in enumerate(found) if f is None]
-            for number, i in enumerate(asked):
-                found[i] = np.array([-1 - number], np.int32)
-            flat, many = put(np.frombuffer(b"".join(codes), "<i4"), np.concatenate([*found, np.zeros(0, np.int32)]), np.append(0, np.cumsum([len(f) for f in found])).astype(np.int64))
-            stops = np.append(0, np.cumsum(many))[np.append(0, np.cumsum([len(c) >> 2 for c in codes]))]
-            own = _lists(pa.array(flat), np.diff(stops))
-            pieces = [pieces[i] for i in asked]
+            hits, lo, hi = known.find(pieces)
+            new = np.cumsum(~hits) - 1
+            ids = np.concatenate([known.ids, -1 - np.arange(len(pieces) - hits.sum())]).astype(np.int32)
+            lo, hi = np.where(hits, lo, len(known.ids) + new), np.where(hits, hi, len(known.ids) + new + 1)
+            own, many = put(own, ids, lo, hi)
+            stops = np.append(0, np.cumsum(many))[stops]
+            pieces = [p for p, hit in zip(pieces, hits.tolist(), strict=True) if not hit]
             words = _lists(pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)), [len(p) for p in pieces])
-            rows = pa.Table.from_batches(held)
-            fields = [pa.concat_arrays(rows.column(n).chunks) for n in names]
-            docs = pa.StructArray.from_arrays([*fields, own], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
+            fields = [_column(block, n) for n in names]
+            docs = pa.StructArray.from_arrays([*fields, _lists(pa.array(own), np.diff(stops))], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
+            yield pa.RecordBatch.from_arrays([_lists(words, [len(words)]), _lists(docs, [len(docs)])], names=["words", "docs"])
             numbers.clear()
-            heads.next_block()
-            parts.next_block()
-            return pa.RecordBatch.from_arrays([_lists(words, [len(words)]), _lists(docs, [len(docs)])], names=["words", "docs"])
-
-        for whole in batches:
-            texts = whole.column(text_col)
-            lengths = pc.binary_length(texts).fill_null(0).to_pylist()
-            start = 0
-            for i, n in enumerate(lengths):
-                if n:
-                    head, *rest = _cut(texts[i].as_py())
-                    codes.append(heads[head] + b"".join(map(parts.__getitem__, rest)))
-                else:
-                    codes.append(b"")
-                size += n
-                if size >= BLOCK_BYTES:
-                    held.append(whole.slice(start, i + 1 - start))
-                    start = i + 1
-                    yield flush()
-                    held, codes, size = [], [], 0
-            if start < len(lengths):
-                held.append(whole.slice(start))
-        if codes:
-            yield flush()
+            for seen in (heads, parts):
+                if len(seen) > MAX_PARTS:
+                    seen.clear()
 
     return run
 
 
-def put(codes: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with the ids of numbered words in their places, and how many ids each code gives."""
+def gather(flat: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges [lo, hi) of ``flat`` one after the other, and their lengths."""
+    many = hi - lo
+    ends = np.cumsum(many)
+    return flat[np.repeat(lo - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)], many
+
+
+def put(codes: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with the ids [lo, hi) of numbered words in their places, and how many ids each code gives."""
     at = np.flatnonzero(codes < 0)
     number = -1 - codes[at]
     many = np.ones(len(codes), np.int64)
-    many[at] = ends[number + 1] - ends[number]
+    many[at] = (hi - lo)[number]
     out = np.repeat(codes, many)
-    first = np.cumsum(many)[at] - many[at]
-    step = np.arange(many[at].sum()) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
-    out[np.repeat(first, many[at]) + step] = words[np.repeat(ends[number], many[at]) + step]
+    ids, own = gather(words, lo[number], hi[number])
+    first = np.cumsum(many)[at] - own
+    out[np.repeat(first, own) + np.arange(len(ids)) - np.repeat(np.cumsum(own) - own, own)] = ids
     return out, many
 
 
@@ -416,7 +447,7 @@ def _documents(spelled: list[bytes], digests: bool, names: list[str]):
                     continue
                 ends = np.append(0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
                 own = docs.field("codes")
-                ids, many = put(own.flatten().to_numpy(), words.flatten().to_numpy(), ends)
+                ids, many = put(own.flatten().to_numpy(), words.flatten().to_numpy(), ends[:-1], ends[1:])
                 stops = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(own.value_lengths().to_numpy()))]
                 fields = [docs.field(f"c{i}") for i in range(len(names) - 3)]
                 said, decoded, each = [], [], ids.tolist()
