@@ -40,8 +40,8 @@ _CUT = re.compile(r" (?=\S)")
 _GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 384
-#: Pieces whose ids are broadcast, those of them in a dictionary, and cut parts that a task counts or remembers at once.
-MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_000_000, 150_000, 200_000
+#: Pieces whose ids are broadcast, those of them in a dictionary, and a quarter of the distinct parts a task counts at once.
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_000_000, 150_000, 100_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
@@ -247,34 +247,39 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def _count(text_col: str, pattern: str):
-    """(piece, n) of a task's texts, counted by cut parts in between."""
+    """(piece, n) of a task's texts, counted by cut parts in between; words count without a stop or comma behind them."""
+
+    def summed(parts: list[pa.StructArray]) -> pa.Table:
+        table = pa.table({"part": pa.concat_arrays([p.field(0) for p in parts]), "n": pa.concat_arrays([p.field(1) for p in parts])})
+        return table.group_by("part").aggregate([("n", "sum")])
 
     def run(batches):
         split = splitter(pattern)
-        heads: dict[str, int] = {}
-        parts: dict[str, int] = {}
+        held: list[pa.StructArray] = []
 
         def flush():
+            table = summed(held)
+            held.clear()
+            words = pc.utf8_is_alpha(table["part"])
+            plain = table.filter(words)
+            yield pc.binary_join_element_wise(" ", plain["part"], "").combine_chunks(), plain["n_sum"].combine_chunks()
+            others = table.filter(pc.invert(words))
             pieces: dict[str, int] = {}
-            for counter in (heads, parts):
-                for part, n in counter.items():
-                    for p in _pieces(part, counter is parts, split):
+            for part, n in zip(others["part"].to_pylist(), others["n_sum"].to_pylist(), strict=True):
+                for p in _pieces(part, True, split):
+                    if len(p) <= FOLD_BYTES:
                         pieces[p] = pieces.get(p, 0) + n
-                counter.clear()
-            own = [p for p in pieces if len(p) <= FOLD_BYTES]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([pieces[p] for p in own], pa.int64())], names=["piece", "n"])
+            yield pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())
 
         for block in _block(batches, text_col):
-            flat, starts = _cut(_column(block, text_col))
-            first = np.zeros(len(flat), bool)
-            first[starts[:-1]] = True
-            for counter, mask in ((heads, first), (parts, ~first)):
-                counts = flat.filter(pa.array(mask)).value_counts()
-                for part, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist(), strict=True):
-                    counter[part] = counter.get(part, 0) + n
-            if len(parts) + len(heads) > 2 * MAX_PARTS:
-                yield flush()
-        yield flush()
+            held.append(pc.utf8_rtrim(_cut(_column(block, text_col))[0], ".,").value_counts())
+            if sum(map(len, held)) > 4 * MAX_PARTS:
+                for piece, n in flush():
+                    yield pa.RecordBatch.from_arrays([piece.cast(pa.string()), n], names=["piece", "n"])
+                pa.default_memory_pool().release_unused()
+        if held:
+            for piece, n in flush():
+                yield pa.RecordBatch.from_arrays([piece.cast(pa.string()), n], names=["piece", "n"])
 
     return run
 
@@ -306,13 +311,21 @@ def _joined(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes,
 
 
 class Known:
-    """Ids of pieces: the commonest in a dictionary, the others in arrays that are found by sorted hashes."""
+    """Ids of pieces: the commonest in dictionaries, the others in arrays that are found by sorted hashes."""
 
     def __init__(self, hot: DataFrame, others: DataFrame):
         _, lengths, many, spelled, ids = _joined(hot)
         stops, ends = np.cumsum(lengths), np.cumsum(many)
         bounds = zip((stops - lengths).tolist(), stops.tolist(), (ends - many).tolist(), ends.tolist(), strict=True)
-        self.hot = {spelled[lo:hi].decode(): ids[x:y].tobytes() for lo, hi, x, y in bounds}
+        #: Pieces with a blank in front, without it, and all others.
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        for lo, hi, x, y in bounds:
+            piece = spelled[lo:hi].decode()
+            if piece[0] == " ":
+                self.words[piece[1:]] = ids[x:y].tobytes()
+            else:
+                self.others[piece] = ids[x:y].tobytes()
         hashes, lengths, many, self.spelled, self.ids = _joined(others)
         self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
@@ -348,26 +361,23 @@ def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: s
     return known
 
 
-class _Parts(dict):
-    """A cut part to its pieces' codes, as 32-bit words: ids, and -1 - number for a piece that is not in the dictionary."""
+def _codes(parts: list[str], spaced: bool, known: Known, ranks: dict[bytes, int], numbers: dict[str, int], split) -> list[bytes]:
+    """Each part's pieces as 32-bit words: ids, and -1 - number for a piece that the dictionaries don't hold."""
+    words, others = known.words, known.others
+    out = list(map(words.get, parts)) if spaced else [None] * len(parts)
 
-    def __init__(self, spaced: bool, split, known: dict[str, bytes], ranks: dict[bytes, int], numbers: dict[str, int]):
-        super().__init__()
-        self.spaced, self.split, self.known, self.ranks, self.numbers = spaced, split, known, ranks, numbers
+    def code(piece: str) -> bytes:
+        found = words.get(piece[1:]) if piece[:1] == " " else others.get(piece)
+        if found is not None:
+            return found
+        if len(piece) * 4 > FOLD_BYTES and len(raw := piece.encode()) > FOLD_BYTES:
+            return np.array(merge_long(raw, ranks), "<i4").tobytes()
+        return (-1 - numbers.setdefault(piece, len(numbers))).to_bytes(4, "little", signed=True)
 
-    def __missing__(self, part: str) -> bytes:
-        codes, settled = [], True
-        for p in _pieces(part, self.spaced, self.split):
-            code = self.known.get(p)
-            if code is None and len(p) * 4 > FOLD_BYTES and len(raw := p.encode()) > FOLD_BYTES:
-                code = np.array(merge_long(raw, self.ranks), "<i4").tobytes()
-            if code is None:
-                code, settled = (-1 - self.numbers.setdefault(p, len(self.numbers))).to_bytes(4, "little", signed=True), False
-            codes.append(code)
-        code = b"".join(codes)
-        if settled:  # numbers are good for one block
-            self[part] = code
-        return code
+    for i, found in enumerate(out):
+        if found is None:
+            out[i] = b"".join(map(code, _pieces(parts[i], spaced, split)))
+    return out
 
 
 def _lists(values: pa.Array, counts) -> pa.Array:
@@ -380,14 +390,13 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
     def run(batches):
         split, (ranks, known) = splitter(pattern), shared.value
         numbers: dict[str, int] = {}
-        heads, parts = (_Parts(spaced, split, known.hot, ranks, numbers) for spaced in (False, True))
         for block in _block(batches, text_col):
             flat, starts = _cut(_column(block, text_col))
             leads = np.zeros(len(flat), bool)
             leads[starts[:-1]] = True
             coded = flat.filter(pa.array(~leads)).dictionary_encode()
             first = flat.filter(pa.array(leads)).to_pylist()
-            codes = [*map(parts.__getitem__, coded.dictionary.to_pylist()), *map(heads.__getitem__, first)]
+            codes = _codes(coded.dictionary.to_pylist(), True, known, ranks, numbers, split) + _codes(first, False, known, ranks, numbers, split)
             which = np.empty(len(flat), np.int64)
             which[~leads], which[leads] = coded.indices.to_numpy(), np.arange(len(first)) + len(coded.dictionary)
             bounds = np.append(0, np.cumsum([len(c) >> 2 for c in codes]))
@@ -408,9 +417,7 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
             docs = pa.StructArray.from_arrays([*fields, _lists(pa.array(own), np.diff(stops))], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
             yield pa.RecordBatch.from_arrays([_lists(words, [len(words)]), _lists(docs, [len(docs)])], names=["words", "docs"])
             numbers.clear()
-            for seen in (heads, parts):
-                if len(seen) > MAX_PARTS:
-                    seen.clear()
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -450,9 +457,9 @@ def _documents(spelled: list[bytes], digests: bool, names: list[str]):
                 ids, many = put(own.flatten().to_numpy(), words.flatten().to_numpy(), ends[:-1], ends[1:])
                 stops = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(own.value_lengths().to_numpy()))]
                 fields = [docs.field(f"c{i}") for i in range(len(names) - 3)]
-                said, decoded, each = [], [], ids.tolist()
+                said, decoded = [], []
                 for lo, hi in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
-                    part = each[lo:hi]
+                    part = ids[lo:hi].tolist()
                     raw = b"".join(map(spelled.__getitem__, part))
                     decoded.append(hashlib.sha256(raw).hexdigest() if digests else raw)
                     if digests:
