@@ -31,12 +31,9 @@ LEAST_AGREEING = 8
 #: picks. Two lines that are 0.75 alike and stand on both sides of SHORT are under SHORT / 0.75, so lines of
 #: such a length are signed both ways.
 SHORT = 64
-STARTS = 32
 #: Lines of a band that are compared with as many others in one go, and turns of tries before that.
 BLOCK, TURNS = 512, 1
 SIMILARITY = 0.75
-#: A letter, digit or any character beyond ASCII.
-_WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
 
 
 def normal(line: Column) -> Column:
@@ -44,29 +41,13 @@ def normal(line: Column) -> Column:
     return F.when(F.contains(low, F.lit("  ")), F.regexp_replace(low, " +", " ")).otherwise(low)
 
 
-def blocks(line: Column) -> Column:
-    """Parts of a line in which ``STARTS`` shingles start: cutting shingles out of them stays linear in a line's length."""
-    pattern = f"(?s)(?=(.{{{SHINGLE},{STARTS + SHINGLE - 1}}})).{{1,{STARTS}}}"
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
-
-
-def starts(block: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(block) - (SHINGLE - 1), F.lit(1)))
-
-
-def shingle(block: Column, start: Column) -> Column:
-    """A shingle's hash."""
-    return F.xxhash64(block.substr(start, F.lit(SHINGLE)))
-
-
 def _everywhere(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
 
 
 def _picked(line: Column) -> Column:
-    """Shingles that start at a word, and at every character of a word beyond its first ``SHINGLE``."""
-    within, word, other = f"(?<={_WORD}{{{SHINGLE}}}){_WORD}", f"{_WORD}{{1,{SHINGLE}}}{_WORD.replace('[^', '[')}*", "."
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))(?:{within}|{word}|{other})"), F.lit(1))
+    """Shingles that start at a word (a run without blanks), and at every character of a word after its first ones."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))(?:(?<=\\S{{{SHINGLE}}})\\S|\\S{{1,{SHINGLE}}}\\s*|.)"), F.lit(1))
 
 
 def signatures(lines: DataFrame, *by: str) -> DataFrame:
@@ -127,8 +108,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         """The pairs (a, b) of nodes whose sets are similar enough."""
         near = materialize(near, "pairs")
         sided = near.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-        sided = sided.select("a", "b", _set("la").alias("x"), _set("lb").alias("y"))  # after the joins: for the pairs alone
-        links = materialize(sided.where(_similar("x", "y", similarity)).select("a", "b"), "links")
+        links = materialize(sided.where(_similar("la", "lb", similarity)).select("a", "b"), "links")
         drop(near)
         return links
 
@@ -182,11 +162,15 @@ def _rest(open_: DataFrame, signed: DataFrame) -> DataFrame:
     return asks.join(asked, ["band", "q", "m"]).where(apart & _agree("x", "y")).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
 
-def _similar(x: str, y: str, similarity: float) -> Column:
-    """Whether two sets are alike; first by their sizes, which bound the similarity."""
-    n, m = F.size(x), F.size(y)
-    enough = F.exists(F.array(F.size(F.array_intersect(x, y))), lambda both: both >= similarity * (n + m - both))
-    return (F.least(n, m) >= similarity * F.greatest(n, m)) & enough
+def _similar(a: str, b: str, similarity: float) -> Column:
+    """Whether the sets of two lines are alike; the sets are bound, so that they are cut once, and compared by size first."""
+
+    def enough(both: Column) -> Column:
+        n, m = F.size(both["x"]), F.size(both["y"])
+        shared = F.exists(F.array(F.size(F.array_intersect(both["x"], both["y"]))), lambda k: k >= similarity * (n + m - k))
+        return (F.least(n, m) >= similarity * F.greatest(n, m)) & shared
+
+    return F.exists(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), enough)
 
 
 def _lines(docs: DataFrame, text_col: str, *others) -> DataFrame:
@@ -204,8 +188,8 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _set(line: str) -> Column:
-    """A line's set, by 64-bit hashes of its shingles."""
-    return F.array_distinct(F.flatten(F.transform(blocks(F.col(line)), lambda b: F.transform(starts(b), lambda i: shingle(b, i)))))
+    """A line's distinct shingles."""
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(_everywhere(F.col(line))))
 
 
 def _key(i: int) -> int:
