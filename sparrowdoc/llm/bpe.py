@@ -38,10 +38,10 @@ _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r" (?=\S)")
 #: A blank before white space, as Arrow's pattern: such texts are not cut at every blank.
 _GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, those of them in a dictionary, and a quarter of the distinct parts a task counts at once.
-MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_000_000, 150_000, 100_000
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 800_000, 120_000, 100_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
