@@ -41,7 +41,7 @@ _GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 BLOCK_BYTES = 2 << 20
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, those of them in a dictionary, and a quarter of the distinct parts a task counts at once.
-MAX_KNOWN, MAX_HOT, MAX_PARTS = 800_000, 120_000, 100_000
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_100_000, 120_000, 100_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
@@ -265,7 +265,7 @@ def _count(text_col: str, pattern: str):
             yield pc.binary_join_element_wise(" ", plain["part"], "").combine_chunks(), plain["n_sum"].combine_chunks()
             others = table.filter(pc.invert(words))
             pieces: dict[str, int] = {}
-            for part, n in zip(others["part"].to_pylist(), others["n_sum"].to_pylist(), strict=True):
+            for part, n in zip(others["part"].to_numpy().tolist(), others["n_sum"].to_numpy().tolist(), strict=True):
                 for p in _pieces(part, True, split):
                     if len(p) <= FOLD_BYTES:
                         pieces[p] = pieces.get(p, 0) + n
@@ -374,9 +374,14 @@ def _codes(parts: list[str], spaced: bool, known: Known, ranks: dict[bytes, int]
             return np.array(merge_long(raw, ranks), "<i4").tobytes()
         return (-1 - numbers.setdefault(piece, len(numbers))).to_bytes(4, "little", signed=True)
 
+    stops = {c: others[c] for c in ".," if c in others}
     for i, found in enumerate(out):
         if found is None:
-            out[i] = b"".join(map(code, _pieces(parts[i], spaced, split)))
+            part = parts[i]
+            if spaced and part[-1:] in stops and (body := part[:-1]).isalpha() and body in words:
+                out[i] = words[body] + stops[part[-1]]
+            else:
+                out[i] = b"".join(map(code, _pieces(part, spaced, split)))
     return out
 
 
@@ -396,7 +401,7 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
             leads[starts[:-1]] = True
             coded = flat.filter(pa.array(~leads)).dictionary_encode()
             first = flat.filter(pa.array(leads)).to_pylist()
-            codes = _codes(coded.dictionary.to_pylist(), True, known, ranks, numbers, split) + _codes(first, False, known, ranks, numbers, split)
+            codes = _codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), True, known, ranks, numbers, split) + _codes(first, False, known, ranks, numbers, split)
             which = np.empty(len(flat), np.int64)
             which[~leads], which[leads] = coded.indices.to_numpy(), np.arange(len(first)) + len(coded.dictionary)
             bounds = np.append(0, np.cumsum([len(c) >> 2 for c in codes]))
@@ -446,7 +451,7 @@ def _documents(spelled: list[bytes], digests: bool, names: list[str]):
     """Documents of folded blocks with their ids, decoded again by concatenating binary pieces."""
 
     def run(batches):
-        decimal = list(map(str, range(len(spelled)))) if digests else []
+        vocabulary = pa.array(spelled, pa.binary())
         for b in batches:
             for row in range(b.num_rows):
                 words, docs = b.column("words")[row].values, b.column("docs")[row].values
@@ -457,16 +462,12 @@ def _documents(spelled: list[bytes], digests: bool, names: list[str]):
                 ids, many = put(own.flatten().to_numpy(), words.flatten().to_numpy(), ends[:-1], ends[1:])
                 stops = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(own.value_lengths().to_numpy()))]
                 fields = [docs.field(f"c{i}") for i in range(len(names) - 3)]
-                said, decoded = [], []
-                for lo, hi in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True):
-                    part = ids[lo:hi].tolist()
-                    raw = b"".join(map(spelled.__getitem__, part))
-                    decoded.append(hashlib.sha256(raw).hexdigest() if digests else raw)
-                    if digests:
-                        said.append(hashlib.sha256(" ".join(map(decimal.__getitem__, part)).encode()).hexdigest())
-                shown = pa.array(said) if digests else pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                new = [pa.array(np.diff(stops)), shown, pa.array(decoded, pa.string() if digests else pa.binary())]
-                yield pa.RecordBatch.from_arrays([*fields, *new], names=names)
+                ids, counts = pa.array(ids.astype(np.int32)), np.diff(stops)
+                decoded = pc.binary_join(_lists(vocabulary.take(ids), counts), b"")
+                shown = pc.binary_join(_lists(ids.cast(pa.string()), counts), " ") if digests else _lists(ids, counts)
+                if digests:
+                    shown, decoded = (pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column]) for column in (shown, decoded))
+                yield pa.RecordBatch.from_arrays([*fields, pa.array(counts), shown, decoded], names=names)
 
     return run
 
