@@ -31,8 +31,10 @@ def number_chunks(chunks: DataFrame, paper: str, section: str) -> DataFrame:
     })
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, *, paper: str = "paper_id", text: str = "text") -> DataFrame:
-    """Chunks keyed by paper and MD5 of the text: incoming rows replace stored ones; of repeats the first stays."""
+def upsert(stored: DataFrame, incoming: DataFrame, *, paper: str = "paper_id", text: str = "text", order: list[str] | None = None) -> DataFrame:
+    """Chunks keyed by paper and MD5 of the text: incoming rows replace stored ones; of repeats the first by ``order``."""
     keyed = lambda df: df.withColumn("id", F.md5(F.col(text)))
-    new = keyed(incoming).dropDuplicates([paper, "id"])
+    order = order or [c for c in incoming.columns if c not in (paper, text)]
+    first = Window.partitionBy(paper, "id").orderBy(*(order or [text]))
+    new = keyed(incoming).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return keyed(stored).join(new.select(paper, "id"), [paper, "id"], "left_anti").unionByName(new, allowMissingColumns=True)

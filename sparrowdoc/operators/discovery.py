@@ -29,3 +29,47 @@ def rank_results(rows: DataFrame, *, by: str, limit: int, pos: str) -> DataFrame
     """With a PDF first, then citations and year, nulls as 0; at most ``limit`` (40 at most) for each query."""
     order = [F.desc(F.col("pdf_url").isNotNull()), F.desc(F.coalesce("citations", F.lit(0))), F.desc(F.coalesce("year", F.lit(0))), F.col(pos)]
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= min(limit, 40))
+
+
+def per_source(rows: DataFrame, *, by: str, source: str = "source", pos: str = "pos", limit: int = 20) -> DataFrame:
+    """The first ``limit`` (15 at most) results of each source for a query."""
+    w = Window.partitionBy(by, source).orderBy(pos)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= min(limit, 15)).drop("_n")
+
+
+def union_sources(parts: list[DataFrame], *, by: str, pos: str = "pos") -> DataFrame:
+    """Results of several sources one after the other, numbered anew; a source that failed is left out of ``parts``."""
+    every = None
+    for i, part in enumerate(parts):
+        part = part.withColumn("_source", F.lit(i))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy("_source", pos)
+    return every.withColumn(pos, F.row_number().over(w)).drop("_source")
+
+
+def search(parts: list[DataFrame], *, by: str, limit: int = 20, title: str = "title", pos: str = "pos") -> DataFrame:
+    """Sources merged, alike titles dropped, the rest ranked; queries without text have no results."""
+    every = union_sources([per_source(p, by=by, pos=pos, limit=limit) for p in parts], by=by, pos=pos).where(F.trim(by) != "")
+    return rank_results(dedup_titles(every, by=[by], title=title, pos=pos), by=by, limit=limit, pos=pos)
+
+
+def recommendations(rows: DataFrame, *, by: str, query: str = "search_query", order: list[str], limit: int = 12) -> DataFrame:
+    """Results of several queries for one paper: the first of each id (or title), ``limit`` in all, tagged with its query."""
+    keyed = rows.withColumn("_id", F.coalesce(F.nullif(F.col("id"), F.lit("")), F.col("title")))
+    first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_id").orderBy(*order))).where("_n = 1")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= limit).drop("_n", "_id")
+
+
+def recent(searches: DataFrame, *, by: str, query: str = "query", at: str = "at", limit: int = 5) -> DataFrame:
+    """A user's last searches, each once, the latest first."""
+    last = searches.groupBy(by, query).agg(F.max(at).alias(at))
+    return last.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at), query))).where(F.col("rank") <= limit)
+
+
+def matching(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Rows of which some column holds ``text``, whatever the case; an empty text matches all."""
+    low = text.lower()
+    test = F.lit(False)
+    for c in columns:
+        test = test | F.coalesce(F.contains(F.lower(c), F.lit(low)), F.lit(False))
+    return rows.where(test)

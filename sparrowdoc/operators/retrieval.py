@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_tokens
+from ..functions.text import boosted, lexical_tokens
 from ..functions.vectors import squared_l2
-
+from ..models import hashed_embedding
+
+# How many chunks are retrieved and how many the model gets, by answer type.
+ROUTES = {
+    "factual": (10, 3), "summarization": (15, 7), "critique": (10, 5), "comparison": (12, 6),
+    "mechanism": (10, 5), "causal_explanation": (10, 5), "hypothetical": (12, 6), "analysis": (12, 7),
+}
+DEFAULT_ROUTE = (10, 5)
 K1, B, EPSILON, RRF_K, CANDIDATES = 1.5, 0.75, 0.25, 60, 10
-#: Rows of a query-side table that may be broadcast: queries are checked against it, larger sets are joined by shuffle.
-SMALL_ROWS = 50_000
+#: Rows and bytes of a query-side table that may be broadcast; larger sets are joined by shuffle.
+SMALL_ROWS, SMALL_BYTES = 50_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise Spark picks a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows of at most ``size`` bytes in all."""
+    cells = sum((F.coalesce(F.length(F.to_json(F.struct(c))) if t.startswith(("array", "struct", "map")) else F.length(F.col(c).cast("string")), F.lit(0)) for c, t in df.dtypes), F.lit(0))
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(cells.cast("long")).alias("size")).first()
+    return F.broadcast(df) if seen["n"] <= rows and (seen["size"] or 0) <= size else df
 
 
 def postings(chunks: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
@@ -23,22 +32,42 @@ def postings(chunks: DataFrame, keys: list[str], tokens: str = "tokens") -> Data
     return chunks.select(*keys, F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, chunks: DataFrame, queries: DataFrame, keys: list[str], *, query_key: str, query_text: str, tokens: str = "tokens") -> DataFrame:
+def bm25(index: DataFrame, chunks: DataFrame, queries: DataFrame, keys: list[str], *, query_key: str, query_text: str, tokens: str = "tokens", scope: list[str] | None = None) -> DataFrame:
     """(query_key, keys, score) of every chunk that shares a term with a query; repeated query terms count again.
 
-    Negative idf is replaced by EPSILON times the mean idf of the vocabulary.
+    Negative idf is replaced by EPSILON times the mean idf of the vocabulary. ``scope``: columns of all three tables
+    (a paper, say) within which statistics are taken and chunks are found; none for the whole table.
     """
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", raw)
-    mean = idf.agg(F.avg("raw")).first()[0] or 0.0
-    idf = idf.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
-    terms = queries.select(query_key, F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    weighted = small(terms.join(idf, "term"))
+    scope = scope or []
+    corpus = chunks.groupBy(*scope).agg(F.count("*").alias("_n"), F.avg(F.size(tokens)).alias("_avgdl"))
+    df = index.groupBy(*scope, "term").agg(F.count("*").alias("_df"))
+    raw = F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)
+    idf = _scoped(df, corpus, scope).withColumn("_raw", raw)
+    mean = idf.groupBy(*scope).agg(F.avg("_raw").alias("_mean"))
+    idf = _scoped(idf, mean, scope).select(*scope, "term", "_avgdl", F.when(F.col("_raw") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_raw")).alias("_idf"))
+    terms = queries.select(*scope, query_key, F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy(*scope, query_key, "term").agg(F.count("*").alias("_times"))
     tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return index.join(weighted, "term").groupBy(query_key, *keys).agg(F.sum(part).alias("score"))
+    part = F.col("_times") * F.col("_idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_avgdl")))
+    return index.join(terms.join(idf, [*scope, "term"]), [*scope, "term"]).groupBy(query_key, *dict.fromkeys([*scope, *keys])).agg(F.sum(part).alias("score"))
+
+
+def _scoped(rows: DataFrame, stats: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows with their scope's statistics; without a scope these are one row, which is broadcast."""
+    return rows.join(stats, scope) if scope else rows.crossJoin(F.broadcast(stats))
+
+
+def bm25_top(scored: DataFrame, chunks: DataFrame, queries: DataFrame, *, query_key: str, pos: str, k: int, scope: list[str] | None = None) -> DataFrame:
+    """(query_key, pos, score, rank): the best ``k`` chunks; where fewer score, chunks of score 0 follow in ``pos`` order.
+
+    Of a scope only the first 2 k chunks can be such, so few rows meet the queries.
+    """
+    scope = scope or []
+    w = Window.partitionBy(*(scope or [F.lit(0)])).orderBy(pos)
+    first = chunks.select(*scope, pos).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 2 * k).drop("_n")
+    asked = queries.select(*scope, query_key).distinct()
+    filler = (asked.join(first, scope) if scope else asked.crossJoin(F.broadcast(first))).join(scored.select(query_key, pos), [query_key, pos], "left_anti")
+    both = scored.select(query_key, pos, "score").unionByName(filler.select(query_key, pos, F.lit(0.0).alias("score")))
+    return top(both, query_key, [F.desc("score"), F.col(pos)], k)
 
 
 def top(scored: DataFrame, by: str, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -54,10 +83,90 @@ def knn(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vector:
     return top(scored, "query_id", [F.col("distance"), F.col(vector_id)], k)
 
 
-def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, *, by: str, item: str, k: int = RRF_K) -> DataFrame:
-    """Sum of 1 / (k + rank) over two ranked lists (by, item, rank); one aggregate instead of an outer join."""
-    both = first.select(by, item, "rank").unionByName(second.select(by, item, "rank"))
-    return both.groupBy(by, item).agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 9).alias("rrf_score"))
+def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, *, by: str, item: str, k: int = RRF_K, payload: list[str] | None = None) -> DataFrame:
+    """Sum of 1 / (k + rank) over two ranked lists (by, item, rank); one aggregate instead of an outer join.
+
+    ``payload``: columns of both lists, of which the first list's row counts where both have the item.
+    """
+    payload = payload or []
+    side = lambda df, n: df.select(by, item, "rank", F.lit(n).alias("_list"), F.struct(F.lit(n).alias("_l"), *payload).alias("_p"))
+    fused = side(first, 0).unionByName(side(second, 1)).groupBy(by, item).agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 9).alias("rrf_score"), F.min_by("_p", "_list").alias("_p"))
+    return fused.select(by, item, "rrf_score", *[F.col(f"_p.{c}").alias(c) for c in payload])
+
+
+def hybrid(lexical: DataFrame, dense: DataFrame, *, by: str, item: str, k: int, candidates: int = CANDIDATES) -> DataFrame:
+    """(by, item, rrf_score, rank): two ranked lists cut to ``candidates`` each, fused, and the best ``k`` of them.
+
+    Equal scores keep the order of the lists: by lexical rank, then by dense rank.
+    """
+    cut = lambda df, name: df.where(F.col("rank") <= candidates).select(by, item, "rank", F.col("rank").alias(name))
+    one, two = cut(lexical, "_lex").withColumn("_den", F.lit(None).cast("int")), cut(dense, "_den").withColumn("_lex", F.lit(None).cast("int"))
+    fused = one.unionByName(two).groupBy(by, item).agg(F.round(F.sum(F.lit(1.0) / (RRF_K + F.col("rank"))), 9).alias("rrf_score"), F.max("_lex").alias("_lex"), F.max("_den").alias("_den"))
+    order = [F.desc("rrf_score"), F.asc_nulls_last("_lex"), F.asc_nulls_last("_den")]
+    return top(fused, by, order, k).drop("_lex", "_den")
+
+
+def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", pos: str = "chunk_id", k: int = 5, scope: list[str] | None = None, embed=hashed_embedding) -> DataFrame:
+    """(query_key, pos, rrf_score, rank) of queries (query_key, scope, query, boost, hyde) over chunks (scope, pos, text).
+
+    ``boost``, an array of terms or null, is added to the lexical query alone; ``hyde``, a passage or null, takes the
+    query's place in the dense search alone. ``embed`` is a Column function.
+    """
+    scope = scope or []
+    asked = queries.select(*scope, query_key, boosted(F.col("query"), F.col("boost")).alias("_said"), embed(F.coalesce("hyde", "query")).alias("_vector"))
+    cut = chunks.select(*scope, pos, lexical_tokens(F.col("text")).alias("tokens"), embed(F.col("text")).alias("_v"))
+    scored = bm25(postings(cut, [*scope, pos]), cut, asked, [pos], query_key=query_key, query_text="_said", scope=scope)
+    lexical = bm25_top(scored, cut, asked, query_key=query_key, pos=pos, k=CANDIDATES, scope=scope)
+    pairs = cut.select(*scope, pos, "_v").join(small(asked.select(*scope, query_key, "_vector")), scope) if scope else cut.select(pos, "_v").crossJoin(small(asked.select(query_key, "_vector")))
+    near = pairs.select(query_key, pos, F.round(squared_l2(F.col("_vector"), F.col("_v")), 6).alias("distance"))
+    return hybrid(lexical, top(near, query_key, [F.col("distance"), F.col(pos)], CANDIDATES), by=query_key, item=pos, k=k)
+
+
+def multihop_retrieve(queries: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", pos: str = "chunk_id", text: str = "text", scope: list[str] | None = None, **options) -> DataFrame:
+    """(query_key, pos, pass, rank): the question and its ``sub_questions`` searched at once, first occurrences of a text kept.
+
+    The question itself is pass 0; a sub-question that equals it is left out. ``retrieval_k`` of a query bounds each pass.
+    """
+    scope = scope or []
+    hops = queries.select(*scope, query_key, "boost", "retrieval_k", F.posexplode(passes(F.col("query"), F.col("sub_questions"))).alias("pass", "query"))
+    hops = hops.withColumns({"_hop": F.concat_ws("/", F.col(query_key).cast("string"), "pass"), "hyde": F.lit(None).cast("string")})
+    found = hybrid_retrieve(hops, chunks, query_key="_hop", pos=pos, k=2 * CANDIDATES, scope=scope, **options)
+    found = found.join(hops.select("_hop", query_key, "pass", "retrieval_k"), "_hop").where(F.col("rank") <= F.col("retrieval_k"))
+    keyed = found.join(chunks.select(pos, F.md5(text).alias("_text")), pos)
+    return first_occurrences(keyed, [query_key, "_text"], ["pass", "rank"]).select(query_key, pos, "pass", "rank")
+
+
+def passes(query, sub_questions):
+    """The question, then its sub-questions but for the question itself."""
+    return F.concat(F.array(query), F.filter(F.coalesce(sub_questions, F.array().cast("array<string>")), lambda q: q != query))
+
+
+def route(plans: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", pos: str = "chunk_id", text: str = "text", scope: list[str] | None = None, scorer=None, reranked: bool = True, hyde: bool = True, **options) -> DataFrame:
+    """(query_key, pos, new_rank) of planned questions (query_key, scope, query, plan, hyde): simple ones by one hybrid
+    search, multi-hop ones by several; the best llm_k after re-ranking, or by retrieval rank where ``reranked`` is off."""
+    config = plan_config(F.col("plan.answer_type"))
+    asked = plans.select(*(scope or []), query_key, "query", F.col("plan.key_concepts").alias("boost"), F.col("plan.sub_questions").alias("sub_questions"), F.col("plan.complexity").alias("_kind"), F.when(F.lit(hyde) & (F.col("hyde") != F.col("query")), F.col("hyde")).alias("hyde"), config["retrieval_k"].alias("retrieval_k"), config["llm_k"].alias("llm_k"))
+    shared = {"query_key": query_key, "pos": pos, "scope": scope, **options}
+    one = hybrid_retrieve(asked.where("_kind <> 'multi_hop'"), chunks, k=2 * CANDIDATES, **shared).select(query_key, pos, F.lit(0).alias("pass"), "rank")
+    found = one.unionByName(multihop_retrieve(asked.where("_kind = 'multi_hop'"), chunks, text=text, **shared))
+    found = found.join(asked.select(query_key, "query", "retrieval_k", "llm_k"), query_key).where(F.col("rank") <= F.col("retrieval_k"))
+    found = found.withColumn("_order", F.row_number().over(Window.partitionBy(query_key).orderBy("pass", "rank")))
+    if not reranked:
+        return found.where(F.col("_order") <= F.col("llm_k")).select(query_key, pos, F.col("_order").alias("new_rank"))
+    ranked = rerank(found.join(chunks.select(pos, F.col(text).alias("_text")), pos), by=query_key, query="query", text="_text", tie="_order", k=max(c[1] for c in ROUTES.values()), scorer=scorer)
+    return ranked.where(F.col("new_rank") <= F.col("llm_k")).select(query_key, pos, "new_rank")
+
+
+def plan_config(answer_type) -> dict:
+    """Columns retrieval_k and llm_k of an answer type; an unknown or null type gets the default's."""
+    pick = lambda i: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kind, c in ROUTES.items() for x in (kind, c[i])]), answer_type), F.lit(DEFAULT_ROUTE[i]))
+    return {"retrieval_k": pick(0), "llm_k": pick(1)}
+
+
+def compare_retrieve(found: DataFrame, *, by: str, label: str = "label", rank: str = "rank", k: int = CANDIDATES) -> DataFrame:
+    """Ranked lists of two papers, told apart by ``label``, by turns: A1, B1, A2, ...; at most ``k`` rows of each."""
+    cut = found.where(F.col(rank) <= k)
+    return cut.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(rank, label)))
 
 
 def first_occurrences(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

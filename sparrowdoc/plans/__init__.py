@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("retrieval", "answers", "documents", "logs")
+MODULES = ("retrieval", "answers", "documents", "logs", "pages", "library", "questions")
 
 
 def load() -> None:

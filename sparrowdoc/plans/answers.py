@@ -125,11 +125,6 @@ def best_threshold(spark, sf_dir):
     return E.best_threshold(threshold_sweep(spark, sf_dir))
 
 
-@query("worst_bad_row", f"with {SCORED_SQL} select doc_id, round(score, 2) score from scored where not good order by scored.score, doc_id limit 1")
-def worst_bad_row(spark, sf_dir):
-    return _scored(spark, sf_dir).where("not good").orderBy("score", "doc_id").limit(1).select("doc_id", F.round("score", 2).alias("score"))
-
-
 VERDICTS_SQL = "v as (select conv_id, case length(text) % 4 when 0 then 'CORRECT' when 1 then 'PARTIAL' when 2 then 'INCORRECT' else 'UNPARSED' end verdict from conversations)"
 
 
@@ -145,30 +140,6 @@ def judge_bucket(spark, sf_dir):
     return s.select("conv_id", F.round("s", 6).alias("score"), E.judge_bucket(F.col("s")).alias("verdict"))
 
 
-@query("judge_distribution", f"with {VERDICTS_SQL} select verdict, count(*) n from v where verdict <> 'UNPARSED' group by 1")
-def judge_distribution(spark, sf_dir):
-    return _verdicts(spark, sf_dir).where("verdict <> 'UNPARSED'").groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-@query("eval_summary_by_type", """select lang gold_type, count(*) n, round(avg(quality), 6) answer_f1, round(avg(case when toxic = 0 then 1.0 when toxic = 1 then 0.0 end), 6) answerable_accuracy,
-round(avg(nullif(n_chars, 0)), 4) duration from documents left join labels using (doc_id) group by 1""")
-def eval_summary_by_type(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy(F.col("lang").alias("gold_type")).agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("answer_f1"), F.round(F.avg((F.col("toxic") == 0).cast("double")), 6).alias("answerable_accuracy"), F.round(F.avg(F.nullif("n_chars", F.lit(0))), 4).alias("duration"))
-
-
-@query("ablation_matrix", """select event_type config, count(*) n, round(avg(value), 6) faithfulness, round(avg(case when value > 50 then 1.0 else 0.0 end), 6) judge, round(max(value), 4) latency from events group by 1""")
-def ablation_matrix(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("faithfulness"), F.round(F.avg((F.col("value") > 50).cast("double")), 6).alias("judge"), F.round(F.max("value"), 4).alias("latency"))
-
-
-@query("paired_effect", """select case when quality is null or toxic is null then 'unjudged' when toxic > quality then 'helped' when toxic < quality then 'hurt' else 'neutral' end effect, count(*) n
-from documents left join labels using (doc_id) group by 1""")
-def paired_effect(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "documents").select("doc_id").join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy(E.effect(F.col("quality"), F.col("toxic")).alias("effect")).agg(F.count("*").alias("n"))
-
-
 @query("diagnose", f"""with {SCORED_SQL} select doc_id, case when not (case when toxic = 1 then quality >= 1 else score / 100 >= 0.05 end) then 'retrieval' when score / 100 < 0.8 then 'generation'
 when (n_chars % 100) / 100.0::double < 0.4 then 'generation' else 'retrieval' end failure_type from scored""")
 def diagnose(spark, sf_dir):

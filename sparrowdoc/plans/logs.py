@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..session import read_table
+from ..session import read_table, shared_folder
 from ..sources import readers, sinks
 from ..streaming import events as S
 
@@ -41,14 +40,6 @@ def provider_counts(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select(F.explode(providers).alias("provider")).groupBy("provider").agg(F.count("*").alias("n"))
 
 
-@query("client_stats", """select user_id, count(*) n, round(avg(coalesce(case when value > 20 then value end, 0)), 4) avg_confidence, round(avg(case when event_type = 'click' then 1.0 else 0.0 end), 4) multi_hop_rate,
-round(coalesce(count(*) filter (where event_type = 'view') / nullif(count(*) filter (where event_type in ('view', 'error')), 0)::double, 1), 4) direct_ratio from events group by 1""")
-def client_stats(spark, sf_dir):
-    kind = F.col("event_type")
-    ratio = F.coalesce(F.try_divide(F.count_if(kind == "view"), F.count_if(kind.isin("view", "error"))), F.lit(1.0))
-    return read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.when(F.col("value") > 20, F.col("value")), F.lit(0.0))), 4).alias("avg_confidence"), F.round(F.avg((kind == "click").cast("double")), 4).alias("multi_hop_rate"), F.round(ratio, 4).alias("direct_ratio"))
-
-
 @query("running_history", """select conv_id, turn, array_to_string(list(length(text)) over (partition by conv_id order by turn rows unbounded preceding), ',') history,
 count(*) over (partition by conv_id) as total, max(case when role = 'user' then turn end) over (partition by conv_id) last_user from conversations""")
 def running_history(spark, sf_dir):
@@ -106,8 +97,7 @@ def last_stage(spark, sf_dir):
 @query("stream_tumbling", TUMBLING)
 def stream_tumbling(spark, sf_dir):
     """The windows from a stream over the event file, drained into a table: the rows of the batch form."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparrowdoc-")
-    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = read_table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = S.tumbling(source.withColumn("ts", F.col("ts").cast("timestamp")))

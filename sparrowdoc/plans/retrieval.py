@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_tokens
+from ..functions.text import context_entry, lexical_tokens
 from ..functions.vectors import cosine
 from ..operators import chunking, evaluation, retrieval
 from ..registry import query
@@ -37,7 +37,7 @@ def _chunks(spark, sf_dir) -> DataFrame:
 
 
 def _scored(spark, sf_dir, units: DataFrame, keys: list[str]) -> DataFrame:
-    index = retrieval.postings(units, keys).persist()
+    index = retrieval.postings(units, keys)
     scored = retrieval.bm25(index, units, read_table(spark, sf_dir, "benchmark"), keys, query_key="item_id", query_text="text")
     return scored.withColumn("score", F.round("score", 4))
 
@@ -196,6 +196,6 @@ def source_dedup(spark, sf_dir):
 from (select *, row_number() over (partition by lang order by doc_id) n from documents) where n <= 5 group by 1""")
 def context_block(spark, sf_dir):
     rows = retrieval.top(read_table(spark, sf_dir, "documents"), "lang", [F.col("doc_id")], 5, "n")
-    text = F.format_string("[Chunk %d | Section: %s | Page: %d]\n%s", "n", "source", "doc_id", F.left("text", F.lit(600)))
+    text = context_entry(F.col("n"), F.col("source"), F.col("doc_id"), F.left("text", F.lit(600)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda s: s["t"]), "\n\n---\n\n")
     return rows.groupBy("lang").agg(F.md5(joined).alias("block"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,18 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a scale folder; only Spark opens the path, so any store it knows will do."""
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it.
+
+    Where it names none, one is made on the machine that is driver and executor at once (a local master, as in tests);
+    on a cluster that would be a folder no executor sees, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="sparrowdoc-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,45 @@ def query_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).json(path)
 
 
+def pdf_landing(spark: SparkSession, path: str) -> DataFrame:
+    """PDF files (suffix in lower case) as they land in a folder, as a stream of (path, modificationTime, length, content)."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.pdf").load(path)
+
+
+CALIBRATION = "id int, query string, answer string, faithfulness double, answer_relevancy double, confidence double, method string, label string"
+
+
+def calibration(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a JSON array of answered and perhaps labelled questions."""
+    return spark.read.schema(CALIBRATION).option("multiLine", True).json(path)
+
+
+def qasper_archive(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """(json) of one member of tar archives: the one of that name, else the first that ends with it."""
+
+    def run(batches):
+        import io
+        import tarfile
+
+        for b in batches:
+            found = []
+            for content in b.column("content").to_pylist():
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    names = [m.name for m in tar.getmembers() if m.isfile()]
+                    pick = next((n for n in names if n == member), None) or next((n for n in names if n.endswith(member)), None)
+                    if pick is None:
+                        raise FileNotFoundError(f"{member} is not in the archive")
+                    found.append(tar.extractfile(pick).read().decode())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["json"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "json string")
+
+
 def arxiv_feed(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """Entries of Atom feeds (without a default namespace)."""
+    """Entries of Atom feeds, with or without a default namespace."""
     schema = "entry array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>,link:array<struct<_title:string,_href:string>>>>"
+    feeds = feeds.withColumn(xml, F.regexp_replace(xml, r"(?s)(<feed\b[^>]*?)\sxmlns=[\"'][^\"']*[\"']", "$1"))
     e = feeds.select(F.explode(F.from_xml(xml, schema)["entry"]).alias("e")).select("e.*")
     line = lambda c: F.trim(F.regexp_replace(F.col(c), r"\s*\n\s*", " "))
     href = F.replace(F.get(F.filter("link", lambda x: x["_title"] == "pdf"), 0)["_href"], F.lit("http://"), F.lit("https://"))

@@ -39,10 +39,21 @@ def append_log(rows: DataFrame, path: str) -> None:
     log_rows(rows).write.mode("append").json(path)
 
 
+#: Rows that a summary may have.
+SUMMARY_ROWS = 10_000
+
+
 def write_summary(rows: DataFrame, path: str) -> None:
-    """A summary of a few rows as one JSON file."""
+    """A summary as one JSON file; a table of more than SUMMARY_ROWS rows is none."""
+    if rows.limit(SUMMARY_ROWS + 1).count() > SUMMARY_ROWS:
+        raise ValueError(f"a summary has at most {SUMMARY_ROWS} rows")
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Scored rows as JSON lines, one file for each partition."""
+    rows.write.mode("overwrite").json(path)
+
+
 def write_flashcards(cards: DataFrame, path: str) -> None:
     cards.select("question", "answer").write.mode("overwrite").option("sep", "\t").csv(path)

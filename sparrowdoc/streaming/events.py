@@ -45,3 +45,29 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
 def upsert_status(batches: DataFrame, apply) -> object:
     """A stream of status events, each micro-batch handed to ``apply(rows, epoch)``."""
     return batches.writeStream.foreachBatch(apply).trigger(availableNow=True).start()
+
+
+def progress(events: DataFrame, *, by: str = "req_id", late: str = "10 minutes", timeout: str = "60 seconds") -> DataFrame:
+    """(by, window, stages, last_stage, n): progress events of requests as sessions that end ``timeout`` after the last one.
+
+    Events (by, at, stage) come late by up to ``late``; older ones are dropped. The stages are in order of time.
+    """
+    w = F.session_window("at", timeout)
+    rows = events.withWatermark("at", late).groupBy(by, w.alias("window")).agg(F.array_sort(F.collect_list(F.struct("at", "stage"))).alias("_e"))
+    return rows.select(by, "window", F.transform("_e", lambda e: e["stage"]).alias("stages"), F.element_at("_e", -1)["stage"].alias("last_stage"), F.size("_e").alias("n"))
+
+
+#: Stages of a request in order; optional ones may be missing, after done or error nothing follows.
+STAGES = ("planning", "hyde", "retrieving", "reviewing", "drafting", "verifying", "retrying", "done", "error")
+
+
+def outcome(sessions_: DataFrame) -> DataFrame:
+    """Sessions with ``outcome``: done, error, or timeout for those that ended in another stage."""
+    last = F.col("last_stage")
+    return sessions_.withColumn("outcome", F.when(last.isin("done", "error"), last).otherwise("timeout"))
+
+
+def log_windows(log: DataFrame, *, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(start, n, passed, mean_confidence) of a log stream (at, passed, confidence, attempts): errors count as failed."""
+    rows = log.withWatermark("at", late).groupBy(F.window("at", window).alias("w"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("passed") & (F.col("attempts") > 0)).alias("passed"), F.round(F.avg("confidence"), 4).alias("mean_confidence")).select(F.col("w.start").alias("start"), "n", "passed", "mean_confidence")
