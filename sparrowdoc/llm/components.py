@@ -12,11 +12,12 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the least node it is linked with.
 
     Each step leaves a table in the shared folder. A node with many neighbours is an aggregate with partial sums and
-    a join whose large side Spark may split. Loops and repeated edges do no harm; no edges give no rows.
+    a join whose large side Spark may split. Loops and repeated edges do no harm; no edges give no rows. The rounds needed
+    grow with the logarithm of a component's size; if ``rounds`` do not do, that is an error.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
@@ -34,4 +35,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now, state, before = nxt, after, state
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components are not joined after {rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -31,6 +31,8 @@ LEAST_AGREEING = 8
 #: picks. Two lines that are 0.75 alike and stand on both sides of SHORT are under SHORT / 0.75, so lines of
 #: such a length are signed both ways.
 SHORT = 64
+#: How far under the similarity the picked shingles of two long lines may be, for all their shingles to be compared.
+LEEWAY = 0.2
 #: Lines of a band that are compared with as many others in one go, and turns of tries before that.
 BLOCK, TURNS = 512, 1
 SIMILARITY = 0.75
@@ -98,11 +100,11 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     signed = signed.drop("hash", "copies").join(twins, "sign", "left").withColumn("node", F.coalesce("node", "sign"))
 
     # dealt out by band once; the greatest and the least signature of a band are an aggregate of the same partitions
-    banded = signed.select("sign", "node", F.explode(bands(signed)).alias("band")).repartition("band")
+    banded = signed.select("sign", F.posexplode(bands(signed)).alias("no", "band")).repartition("band")
     ends = banded.groupBy("band").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo < hi")
     met = materialize(banded.join(ends.hint("merge"), "band"), "met")
     signed = materialize(signed.join(met.select("sign").distinct(), "sign", "left_semi"), "signed")
-    text = materialize(lines.join(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "hash"), "hash").groupBy("node").agg(F.first("line").alias("line")), "text")
+    text = materialize(lines.join(nodes.join(signed.select("node").distinct(), "node", "left_semi").select("node", "hash"), "hash").groupBy("node").agg(F.first("line").alias("line")), "text")
 
     def alike(near: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose sets are similar enough."""
@@ -115,13 +117,13 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("sign").alias("b")), F.struct(F.col("sign").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     links = alike(_agreeing(pairs, signed))
     for turn in range(TURNS):
-        open_ = _open(met, links)
+        open_ = _open(met, signed, links)
         order = F.struct(F.xxhash64(F.lit(turn), "sign"), "sign")
         picked = open_.groupBy("band").agg(F.array(F.min_by("sign", F.when(F.col("root") == F.col("main"), order)), F.min_by("sign", F.when(F.col("root") != F.col("main"), order))).alias("picked"))
         tries = open_.where("root <> main").join(picked, "band").select("sign", F.explode("picked").alias("pick")).where("sign <> pick")
         links = links.unionByName(alike(_agreeing(tries.select(F.least("sign", "pick").alias("a"), F.greatest("sign", "pick").alias("b")).distinct(), signed)))
         drop(open_)
-    links = links.unionByName(alike(_rest(_open(met, links), signed)))
+    links = links.unionByName(alike(_rest(_open(met, signed, links), signed)))
     drop(met, text, signed)
     roots = materialize(components(links), "roots")
 
@@ -134,12 +136,13 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return materialize(gone, "removed")
 
 
-def _open(met: DataFrame, links: DataFrame) -> DataFrame:
+def _open(met: DataFrame, signed: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes of the bands that hold several components, with the band's size, its main component and that one's size.
 
     Of up to three nodes the first and the last were compared with all, so such bands have no untested pair.
     """
-    placed = met.select("band", "sign", "node").join(materialize(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = signed.select("sign", "node").join(materialize(components(links), "roots"), "node", "left").select("sign", F.coalesce("root", "node").alias("root"))
+    placed = met.select("band", "no", "sign").join(rooted, "sign")
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all and all > 3")
     return materialize(placed.join(main, "band"), "open")
@@ -152,25 +155,38 @@ def _rest(open_: DataFrame, signed: DataFrame) -> DataFrame:
     the other in a place of its own, and a pair that does not agree never leaves the join.
     """
     rows = open_.withColumns({"asking": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "asked": F.ceil(F.col("all") / BLOCK).cast("int"), "outside": F.col("root") != F.col("main")})
-    rows = rows.drop("node").join(signed, "sign")
+    rows = rows.join(signed, "sign")
     spread = lambda n: F.pmod(F.xxhash64("sign"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     side = lambda prefix: [F.col(m).alias(prefix + m) for m in MINIMA]
-    asks = rows.where("outside").select("band", F.col("node").alias("na"), F.col("root").alias("ra"), spread("asking").alias("q"), every("asked").alias("m"), *side("x"))
+    asks = rows.where("outside").select("band", "no", F.col("node").alias("na"), F.col("root").alias("ra"), spread("asking").alias("q"), every("asked").alias("m"), *side("x"))
     asked = rows.select("band", F.col("node").alias("nb"), F.col("root").alias("rb"), "outside", every("asking").alias("q"), spread("asked").alias("m"), *side("y"))
     apart = (F.col("ra") != F.col("rb")) & (~F.col("outside") | (F.col("na") < F.col("nb")))
-    return asks.join(asked, ["band", "q", "m"]).where(apart & _agree("x", "y")).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+    # a pair is looked at in the first band that it shares
+    earlier = F.lit(False)
+    for b in range(VALUES - 1):
+        earlier = earlier | ((F.col("no") > b) & (F.col(f"xm{b}") == F.col(f"ym{b}")) & (F.col(f"xm{(b + BAND[1]) % VALUES}") == F.col(f"ym{(b + BAND[1]) % VALUES}")) & (F.col(f"xm{(b + BAND[2]) % VALUES}") == F.col(f"ym{(b + BAND[2]) % VALUES}")))
+    return asks.join(asked, ["band", "q", "m"]).where(apart & _agree("x", "y") & ~earlier).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
 
 def _similar(a: str, b: str, similarity: float) -> Column:
-    """Whether the sets of two lines are alike; the sets are bound, so that they are cut once, and compared by size first."""
+    """Whether the sets of two lines are alike; the sets are bound, so that they are cut once, and compared by size first.
+
+    Long lines are compared by their picked shingles before, which are a sixth as many in prose.
+    """
 
     def enough(both: Column) -> Column:
         n, m = F.size(both["x"]), F.size(both["y"])
         shared = F.exists(F.array(F.size(F.array_intersect(both["x"], both["y"]))), lambda k: k >= similarity * (n + m - k))
         return (F.least(n, m) >= similarity * F.greatest(n, m)) & shared
 
-    return F.exists(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), enough)
+    def maybe(both: Column) -> Column:
+        n, m = F.size(both["x"]), F.size(both["y"])
+        return F.exists(F.array(F.size(F.array_intersect(both["x"], both["y"]))), lambda k: k >= (similarity - LEEWAY) * (n + m - k))
+
+    pick = lambda c: F.array_distinct(_picked(F.col(c))).alias("x" if c == a else "y")
+    long_ = F.least(F.length(a), F.length(b)) >= SHORT
+    return F.when(long_, F.exists(F.array(F.struct(pick(a), pick(b))), maybe)).otherwise(True) & F.exists(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), enough)
 
 
 def _lines(docs: DataFrame, text_col: str, *others) -> DataFrame:

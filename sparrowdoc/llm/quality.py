@@ -90,7 +90,7 @@ def lexicon(sample: DataFrame, text_col: str, label: str) -> dict[str, float]:
         return {}
     counts = sample.select(text_col, label).mapInArrow(run, "mark string, every long, bad long").groupBy("mark").agg(F.sum("every").alias("every"), F.sum("bad").alias("bad"))
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("every") - F.col("bad") + 0.5) / (n - bad + 1))
-    rows = counts.where(F.col("bad") >= max(LEAST_TEXTS, 0.02 * bad)).select("mark", lift.alias("lift")).where(F.col("lift") >= LEAST_LIFT).orderBy(F.desc("lift"), "mark").limit(5000).collect()
+    rows = counts.where(F.col("bad") >= max(LEAST_TEXTS, 0.02 * bad)).select("mark", lift.alias("lift")).where(F.col("lift") >= LEAST_LIFT).collect()
     return {r["mark"]: float(np.log(r["lift"])) for r in rows}
 
 
