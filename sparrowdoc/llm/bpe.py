@@ -41,7 +41,7 @@ _GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 BLOCK_BYTES = 2 << 20
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, those of them in a dictionary, and a quarter of the distinct parts a task counts at once.
-MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_100_000, 120_000, 100_000
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 800_000, 120_000, 100_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
@@ -251,7 +251,7 @@ def _count(text_col: str, pattern: str):
 
     def summed(parts: list[pa.StructArray]) -> pa.Table:
         table = pa.table({"part": pa.concat_arrays([p.field(0) for p in parts]), "n": pa.concat_arrays([p.field(1) for p in parts])})
-        return table.group_by("part").aggregate([("n", "sum")])
+        return table.group_by("part", use_threads=False).aggregate([("n", "sum")])  # threads hold memory of their own
 
     def run(batches):
         split = splitter(pattern)
@@ -390,7 +390,8 @@ def _lists(values: pa.Array, counts) -> pa.Array:
 
 
 def _blocks(text_col: str, pattern: str, shared, names: list[str]):
-    """One row for each block: ``words``, its pieces to fold as byte arrays, and ``docs``, their fields and codes."""
+    """One row for each block: ``words``, its pieces to fold as byte arrays, and ``docs``, their fields and codes as an
+    Arrow stream, which the JVM only hands on."""
 
     def run(batches):
         split, (ranks, known) = splitter(pattern), shared.value
@@ -418,9 +419,11 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
             stops = np.append(0, np.cumsum(many))[stops]
             pieces = [p for p, hit in zip(pieces, hits.tolist(), strict=True) if not hit]
             words = _lists(pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)), [len(p) for p in pieces])
-            fields = [_column(block, n) for n in names]
-            docs = pa.StructArray.from_arrays([*fields, _lists(pa.array(own), np.diff(stops))], names=[*[f"c{i}" for i in range(len(fields))], "codes"])
-            yield pa.RecordBatch.from_arrays([_lists(words, [len(words)]), _lists(docs, [len(docs)])], names=["words", "docs"])
+            docs = pa.RecordBatch.from_arrays([*[_column(block, n) for n in names], _lists(pa.array(own), np.diff(stops))], names=[*[f"c{i}" for i in range(len(names))], "codes"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_batch(docs)
+            yield pa.RecordBatch.from_arrays([_lists(words, [len(words)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["words", "docs"])
             numbers.clear()
             pa.default_memory_pool().release_unused()
 
@@ -454,20 +457,20 @@ def _documents(spelled: list[bytes], digests: bool, names: list[str]):
         vocabulary = pa.array(spelled, pa.binary())
         for b in batches:
             for row in range(b.num_rows):
-                words, docs = b.column("words")[row].values, b.column("docs")[row].values
-                if not len(docs):
-                    continue
+                words = b.column("words")[row].values
+                docs = pa.ipc.open_stream(b.column("docs")[row].as_buffer()).read_next_batch()
                 ends = np.append(0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
-                own = docs.field("codes")
+                own = docs.column("codes")
                 ids, many = put(own.flatten().to_numpy(), words.flatten().to_numpy(), ends[:-1], ends[1:])
                 stops = np.append(0, np.cumsum(many))[np.append(0, np.cumsum(own.value_lengths().to_numpy()))]
-                fields = [docs.field(f"c{i}") for i in range(len(names) - 3)]
+                fields = docs.columns[:-1]
                 ids, counts = pa.array(ids.astype(np.int32)), np.diff(stops)
                 decoded = pc.binary_join(_lists(vocabulary.take(ids), counts), b"")
                 shown = pc.binary_join(_lists(ids.cast(pa.string()), counts), " ") if digests else _lists(ids, counts)
                 if digests:
                     shown, decoded = (pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column]) for column in (shown, decoded))
                 yield pa.RecordBatch.from_arrays([*fields, pa.array(counts), shown, decoded], names=names)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -490,8 +493,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     kept = [f for f in base.schema.fields if f.name != text_col or keep_text and not digests]
     shared = spark.sparkContext.broadcast((ranks, known_pieces(base, table, pattern, text_col=text_col)))
 
-    doc = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField("codes", ints)])
-    block = T.StructType([T.StructField("words", T.ArrayType(ints)), T.StructField("docs", T.ArrayType(doc))])
+    block = T.StructType([T.StructField("words", T.ArrayType(ints)), T.StructField("docs", T.BinaryType())])
     blocks = base.mapInArrow(_blocks(text_col, pattern, shared, [f.name for f in kept]), block)
     folded = blocks.select(bind(table.literal(), lambda t: F.transform("words", lambda w: fold(w, t, table))).alias("words"), "docs")
     out = T.StructType([*kept, *added])
