@@ -70,23 +70,27 @@ def op4(spark, sf_dir):
 
 
 OP8_SQL = """
-with c as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) call_id, count(*) n, min({'turn': turn, 'text': text, 'conv_id': conv_id}) x
-           from conversations where role = 'user' and conv_id is not null and turn is not null group by 1),
-     r as (select cast(conv_id as varchar) || '-' || cast(turn - 1 as varchar) call_id, count(*) n, min({'turn': turn, 'text': text, 'conv_id': conv_id}) x
-           from conversations where role = 'assistant' and conv_id is not null and turn is not null group by 1),
-     j as (select coalesce(c.call_id, r.call_id) call_id, coalesce(c.x.conv_id, r.x.conv_id) conv_id, coalesce(c.x.turn, r.x.turn) turn,
-                  coalesce(c.n, 0) n_calls, coalesce(r.n, 0) n_results, c.x ask, r.x answer,
-                  case when c.n is null then 'orphan' when r.n is null then 'open' when r.x.turn < c.x.turn then 'early' else 'linked' end status
-           from c full join r on c.call_id = r.call_id)
-select conv_id, call_id, turn, n_calls, n_results, status, turn * 2 + (case when status = 'orphan' then 1 else 0 end) as level,
-       ask is not null as valid,
-       '{"arguments":' || (case when ask is null then 'null' else to_json({'prompt': ask.text, 'turn': ask.turn})::varchar end) || ',"id":' || to_json(call_id)::varchar
-       || ',"name":' || (case when ask is null then 'null' else '"reply"' end) || ',"result":' || (case when answer is null then 'null' else to_json(answer.text)::varchar end)
+with t as (select *, cast(conv_id as varchar) || '-' as k from conversations),
+calls as (select k || cast(turn as varchar) call_id, conv_id, turn, case when role = 'user' then 'reply' else 'note' end as name, role, text, case when role = 'user' and turn >= 2 then k || cast(turn - 2 as varchar) end after from t where role <> 'assistant'),
+c as (select call_id, count(*) n, min({'turn': turn, 'name': name, 'text': text, 'conv_id': conv_id, 'role': role, 'after': after}) x from calls group by 1),
+r as (select k || cast(turn - 1 as varchar) call_id, count(*) n, min({'turn': turn, 'text': text, 'conv_id': conv_id}) x from t where role = 'assistant' group by 1),
+chain as (select call_id, conv_id, turn, name, turn // 2 - row_number() over (partition by conv_id, turn % 2, name order by turn) island from (select call_id, x.conv_id conv_id, x.turn turn, x.name as name from c)),
+steps as (select call_id, row_number() over (partition by conv_id, turn % 2, name, island order by turn) - 1 + (case when name = 'reply' and exists (select 1 from c o where o.call_id = conv_id || '-' || (first - 2) and o.x.name = 'note') then 1 else 0 end) as level
+          from (select *, min(turn) over (partition by conv_id, turn % 2, name, island) first from chain)),
+j as (select coalesce(c.call_id, r.call_id) call_id, coalesce(c.x.conv_id, r.x.conv_id) conv_id, coalesce(c.x.turn, r.x.turn) turn,
+             coalesce(c.n, 0) n_calls, coalesce(r.n, 0) n_results, c.x ask, r.x answer,
+             case when c.n is null then 'orphan' when r.n is null then 'open' when r.x.turn < c.x.turn then 'early' else 'linked' end status
+      from c full join r on c.call_id = r.call_id)
+select conv_id, j.call_id, turn, n_calls, n_results, (case when ask.after is not null and ask.after not in (select call_id from c) then 1 else 0 end)::bigint n_missing, status,
+       case when ask is null then null when ask.name = 'note' then 0 else level end::bigint as level, ask is not null as valid,
+       '{"arguments":' || (case when ask is null then 'null' when ask.name = 'note' then to_json({'role': ask.role, 'text': ask.text})::varchar
+         when ask.after is null then to_json({'prompt': ask.text, 'turn': ask.turn})::varchar else to_json({'after': ask.after, 'prompt': ask.text, 'turn': ask.turn})::varchar end)
+       || ',"id":' || to_json(j.call_id)::varchar || ',"name":' || (case when ask is null then 'null' else '"' || ask.name || '"' end) || ',"result":' || (case when answer is null then 'null' else to_json(answer.text)::varchar end)
        || ',"status":"' || status || '"}' as record
-from j"""
+from j left join steps on steps.call_id = j.call_id"""
 
 
 @query("op8_tool_call_linking", OP8_SQL)
 def op8(spark, sf_dir):
     calls, results = tools.turns(_table(spark, sf_dir, "conversations"))
-    return tools.link(calls, results, tools.REPLY)
+    return tools.link(calls, results, tools.TURNS)

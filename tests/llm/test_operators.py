@@ -393,15 +393,38 @@ def test_secrets_under_aligned_and_long_names():
 
 def test_tool_calls(spark):
     calls = spark.createDataFrame([(1, "a", 0, "add", '{"y":2,"x":1}'), (1, "a", 4, "add", "{}"), (1, "b", 2, "add", '{"x":"1"}'), (1, None, 3, "add", "[1]"), (2, "c", 5, "nope", "x")], "conv_id long, call_id string, turn long, name string, arguments string")
-    results = spark.createDataFrame([(1, "a", 1, "3"), (1, "z", 7, "?"), (2, "c", 1, "early"), (1, None, 1, "no id")], "conv_id long, call_id string, turn long, content string")
+    results = spark.createDataFrame([(1, "a", 1, "3"), (1, "z", 7, "?"), (2, "c", 1, "early"), (1, None, 1, "no id"), (1, None, 1, "no id")], "conv_id long, call_id string, turn long, content string")
     schemas = {"add": {"required": ["x"], "properties": {"x": "integer", "y": "integer"}}}
-    out = {r.call_id: r for r in tools.link(calls, results, schemas).collect()}
-    assert {k: (r.status, r.valid, r.n_calls, r.n_results) for k, r in out.items()} == {"a": ("linked", True, 2, 1), "b": ("open", False, 1, 0), None: ("open", False, 1, 0), "c": ("early", False, 1, 1), "z": ("orphan", False, 0, 1)}
+    rows = tools.link(calls, results, schemas).collect()
+    out = {r.call_id: r for r in rows if r.call_id is not None}
+    assert {k: (r.status, r.valid, r.n_calls, r.n_results) for k, r in out.items()} == {"a": ("linked", True, 2, 1), "b": ("open", False, 1, 0), "c": ("early", False, 1, 1), "z": ("orphan", False, 0, 1)}
+    assert sorted((r.status, r.n_calls, r.n_results) for r in rows if r.call_id is None) == [("open", 1, 0), ("orphan", 0, 1), ("orphan", 0, 1)]
     assert out["a"].record == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","result":"3","status":"linked"}'
     assert json.loads(out["c"].record)["arguments"] == "x"
     assert tools.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_tool_calls_stand_above_what_they_need(spark):
+    r = random.Random(6)
+    schemas = {"f": {"properties": {"p": "call", "q": "call", "n": "integer"}}}
+    ids = [f"k{i}" for i in range(40)]
+    r.shuffle(ids)
+    needs = {k: sorted(r.sample(ids[:i], min(i, r.randint(0, 2)))) for i, k in enumerate(ids)}
+    chain = [f"s{i}" for i in range(70)]
+    needs |= {k: [chain[i - 1]] if i else [] for i, k in enumerate(chain)}
+    needs |= {"loop1": ["loop2"], "loop2": ["loop1"], "over": ["loop1"], "self": ["self"], "lost": ["nowhere"]}
+    rows = [(1, k, i, "f", json.dumps(dict(zip("pq", n, strict=False)) | {"n": i})) for i, (k, n) in enumerate(needs.items())]
+    calls = spark.createDataFrame([*rows, (1, "long", 3, "f", json.dumps({"n": "x" * 300_000}))], "conv_id long, call_id string, turn long, name string, arguments string").withColumn("level", pytest.importorskip("pyspark.sql.functions").lit("clash"))
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    depth = {}
+    for k in [*ids, *chain]:
+        depth[k] = 1 + max((depth[n] for n in needs[k]), default=-1)
+    out = {x.call_id: x for x in tools.link(calls, results, schemas).collect()}
+    assert {k: out[k].level for k in depth} == depth and out["s69"].level == 69
+    assert {k for k, x in out.items() if x.status == "cyclic"} == {"loop1", "loop2", "over", "self"} and out["over"].level is None
+    assert (out["lost"].level, out["lost"].n_missing, out["lost"].status) == (0, 1, "open") and len(out["long"].record) > 300_000 and not out["long"].valid
+
+
 def test_pipeline_stages_keep_columns(spark, sf):
     import corpus_pipeline as p
 
