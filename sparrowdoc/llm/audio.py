@@ -1,22 +1,26 @@
 """Telephony audio in a media column: mu-law WAV storage, G.711 expansion, IMA ADPCM blocks, resampling.
 
-A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are stored as the 8-bit mu-law samples of a
-WAV file at 8 kHz and read back from it. Features come from the stored samples: mu-law and A-law expansion by 256-entry
-tables, IMA ADPCM decoded in 64-byte blocks (numpy works across all blocks of a slice, one sample step at a time), each
-resampled to 16 kHz PCM. Null and empty texts hold 64 zero bytes. Equal texts give equal values.
+``store`` writes a text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, as the 8-bit mu-law samples
+of a WAV file at 8 kHz, a column of its own. ``expand`` reads that column back: the payload, and 16 kHz PCM of it by
+mu-law and A-law expansion (256-entry tables) and by IMA ADPCM in 64-byte blocks (numpy works across all blocks of a
+slice, one sample step at a time). ``digest`` sums these columns up.
+
+Defined cases: null and empty texts hold 64 zero bytes; equal texts give equal values, rows that repeat stay; an empty
+table gives an empty one; input columns named as a new one give way to it. A long text is a slice of its own, and its
+PCM takes 12 bytes for each of its bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import annotate, binary, long, string
+from .common import annotate, binary, long
 
 BLOCK, RATE, MULAW = 64, 8000, 7
 
@@ -83,7 +87,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % BLOCK if raw else BLOCK)
 
 
-def store(samples: bytes, rate: int = RATE) -> bytes:
+def wav(samples: bytes, rate: int = RATE) -> bytes:
     """A WAV file of 8-bit mu-law samples."""
     form = struct.pack("<HHIIHHH", MULAW, 1, rate, rate, 1, 8, 0)
     body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, len(samples)) + b"data" + struct.pack("<I", len(samples)) + samples
@@ -107,52 +111,62 @@ def load(wav: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-def _kernel(keep_media: bool):
+def _store(texts):
+    rows = [payload(t) for t in texts]
+    return [pa.array([n for n, _ in rows], pa.int64()), pa.array([wav(raw) for _, raw in rows], pa.binary())]
+
+
+def _expand():
     mulaw, alaw = mulaw_table(), alaw_table()
 
-    def features(raw: bytes, ima: np.ndarray) -> tuple[str, np.ndarray]:
-        bytes_ = np.frombuffer(raw, np.uint8)
-        parts, pcm = [], None
-        for name, samples in (("mulaw", mulaw[bytes_]), ("alaw", alaw[bytes_]), ("ima", ima.reshape(-1))):
-            twice = resample(samples)
-            energy = int(np.dot(samples.astype(np.float64), samples))
-            parts.append(f"{name}:{len(twice)}:{energy // len(samples)}:{zlib.crc32(twice.tobytes()):08x}")
-            pcm = twice if pcm is None else pcm
-        return ";".join(parts), pcm
-
-    def kernel(texts):
-        n_bytes, stored = [], []
-        for t in texts:
-            n, data = payload(t)
-            n_bytes.append(n)
-            stored.append(store(data))
-        back = [load(w) for w in stored]
-        ima = adpcm(np.frombuffer(b"".join(back), np.uint8)) if back else None
-        columns: list[list] = [[] for _ in range(8)]
+    def kernel(media):
+        back = [load(m) if m is not None else None for m in media]
+        whole = b"".join(x for x in back if x)
+        ima = adpcm(np.frombuffer(whole, np.uint8)) if whole else np.zeros((0, BLOCK * 2 - 7), np.int16)
+        columns: list[list] = [[] for _ in range(5)]
         at = 0
-        for n, wav, raw in zip(n_bytes, stored, back, strict=True):
-            blocks = len(raw) // BLOCK
-            feature, pcm = features(raw, ima[at : at + blocks])
-            at += blocks
-            row = (n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-BLOCK:]), len(wav), hashlib.sha256(wav).hexdigest(), feature)
-            for c, v in zip(columns, row, strict=False):
+        for raw in back:
+            if not raw:
+                row = (raw, None, None, None, None)
+            else:
+                data = np.frombuffer(raw, np.uint8)
+                samples = (mulaw[data], alaw[data], ima[at : at + len(raw) // BLOCK].reshape(-1))
+                at += len(raw) // BLOCK
+                power = [int(np.dot(x.astype(np.float64), x)) // len(x) for x in samples]
+                row = (raw, *(resample(x).tobytes() for x in samples), power)
+            for c, v in zip(columns, row, strict=True):
                 c.append(v)
-            if keep_media:
-                columns[7].append((wav, pcm.tobytes()))
-        out = columns[:7]
-        if keep_media:
-            out += [pa.array([m for m, _ in columns[7]], pa.binary()), pa.array([p for _, p in columns[7]], pa.binary())]
-        return out
+        return [*(pa.array(c, pa.binary()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.int64()))]
 
     return kernel
 
 
-def telephony(docs: DataFrame, *, text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """``docs`` with the digest columns, and with ``keep_media`` the WAV file ``media`` and 16 kHz ``pcm``.
+CODECS = ("mulaw", "alaw", "ima")
+
+
+def store(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_bytes and ``media``, a WAV file."""
+    return annotate(docs, text_col, lambda: _store, [long("n_bytes"), binary("media")])
+
 
-    Input columns named as a new one give way to it; other columns stay.
+def expand(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
+    """``stored`` with the ``payload`` of its files, 16 kHz PCM by each codec, and ``power``, the mean squares before resampling.
+
+    A null file gives nulls; a file that is no mu-law WAV is an error.
     """
-    fields = [long("n_bytes"), long("payload_bytes"), string("payload_sha256"), long("tail_crc32"), long("media_bytes"), string("media_sha256"), string("feature")]
-    if keep_media:
-        fields += [binary("media"), binary("pcm")]
-    return annotate(docs, text_col, lambda: _kernel(keep_media), fields)
+    return annotate(stored, media_col, _expand, [binary("payload"), *[binary(c) for c in CODECS], T.StructField("power", T.ArrayType(T.LongType()))])
+
+
+def telephony(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with its media and what is read back from it."""
+    return expand(store(docs, text_col=text_col))
+
+
+def digest(audio: DataFrame) -> DataFrame:
+    """The media, payload and PCM columns as lengths and checksums."""
+    part = lambda i, c: F.concat_ws(":", F.lit(c), (F.length(c) / 2).cast("long").cast("string"), F.get("power", F.lit(i)).cast("string"), F.lpad(F.lower(F.hex(F.crc32(c))), 8, "0"))
+    sums = {
+        "payload_bytes": F.length("payload").cast("long"), "payload_sha256": F.sha2("payload", 256), "tail_crc32": F.crc32(F.substring("payload", -BLOCK, BLOCK)),
+        "media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256), "feature": F.concat_ws(";", *[part(i, c) for i, c in enumerate(CODECS)]),
+    }
+    return audio.select(*[c for c in audio.columns if c not in ("media", "payload", "power", *CODECS, *sums)], *[v.alias(k) for k, v in sums.items()])

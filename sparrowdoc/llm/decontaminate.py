@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, long
+from .common import annotate, long, materialize
 
 WINDOW = 10
 #: Bytes of item text in one automaton; further items get automata of their own, one pass each.
@@ -141,32 +141,36 @@ class Automaton:
 
 
 def chunks(items: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in parts of at most ``chunk_bytes`` of text (or one item); the driver holds one part at a time."""
-    part, total = [], 0
-    for key, text in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col).toLocalIterator(prefetchPartitions=False):
-        size = len(text.encode()) if text else 0
-        if part and total + size > chunk_bytes:
-            yield part
-            part, total = [], 0
-        part.append((key, words(text)))
-        total += size
-    if part:
-        yield part
+    """Items in parts of about ``chunk_bytes`` of text, dealt by hash; the driver holds one part at a time."""
+    named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.col(text_col).alias("text"))
+    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // chunk_bytes))
+    for part in range(parts):
+        mine = named if parts == 1 else named.where(F.pmod(F.xxhash64("key", "text"), F.lit(parts)) == part)
+        yield [(key, words(text)) for key, text in mine.collect()]
 
 
 def find(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs`` with n_words, hit_spans (word spans, flat start, end pairs) and hit_items (sorted ids)."""
+    """``docs`` with n_words, hit_spans (word spans, flat start, end pairs) and hit_items (sorted ids).
+
+    One pass for each part of the items; what a pass finds is written to the shared folder before the next part is read,
+    so neither the driver nor a task holds two.
+    """
     spark = docs.sparkSession
     fields = [long("n_words"), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    out = None
-    for part in [*chunks(items, item_id, item_text, chunk_bytes)] or [[]]:
-        shared = spark.sparkContext.broadcast(part)
+    out = shared = None
+    for part in chunks(items, item_id, item_text, chunk_bytes):
         first = out is None
         if not first:
-            out = out.withColumnRenamed("hit_spans", "_spans").withColumnRenamed("hit_items", "_items")
+            done = materialize(out, "hits")
+            shared.unpersist()
+            out = done.withColumnRenamed("hit_spans", "_spans").withColumnRenamed("hit_items", "_items")
+        shared = spark.sparkContext.broadcast(part)
 
         def factory(shared=shared):
-            automaton = Automaton(shared.value, window)
+            automaton = getattr(shared, "automaton", None)  # a worker builds it once, not once a task
+            if automaton is None:
+                automaton = shared.automaton = Automaton(shared.value, window)
 
             def kernel(texts):
                 counts, spans, keys = [], [], []

@@ -3,7 +3,8 @@
 A document's evidence is a logistic model over text statistics and a lexicon of words and word beginnings that mark
 toxic texts, both learned from at most ``MAX_LABELLED`` labelled rows (taken by a hash of the id). Grouped sums give each
 host's and path's share of bad documents; a host's posterior shrinks to the global share, a path's to its host's, by
-pseudo-counts. A document's posterior is its evidence, moved by its path's log-odds against the global ones.
+pseudo-counts. A document's posterior is its evidence, moved by the log-odds that its path has without it against the
+global ones. Tables with a URL give both by ``sites``; the documents table has none, so its source and language stand in.
 
 Defined cases: null and empty texts are documents without words and get the evidence of such; null hosts and paths are
 a site of their own; without labels of both kinds every document stays; labels that repeat count by their worst.
@@ -17,7 +18,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,20 +142,33 @@ def evidence(docs: DataFrame, model: dict | None, *, text_col: str = "text", out
     return annotate(docs, text_col, factory, [T.StructField(out, T.DoubleType())])
 
 
-def posterior(scored: DataFrame, *, host: str, path: str, p: str = "p_doc", prefix: str = "") -> DataFrame:
-    """``scored`` with host_rate, path_rate and p_bad; its rows are joined with one row for each path."""
-    paths = materialize(scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.sum(p).alias("s"), F.count("*").alias("n")), "paths")
-    total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+def posterior(scored: DataFrame, *, host: str, path: str, p: str = "p_doc") -> DataFrame:
+    """``scored`` with host_rate, path_rate and p_bad; its rows are joined with one row for each path.
+
+    A document's own evidence counts in neither rate, so that it moves its posterior once.
+    """
+    paths = materialize(scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.sum(p).alias("_s"), F.count("*").alias("_n")), "paths")
+    total = paths.agg(F.sum("_s").alias("s"), F.sum("_n").alias("n")).first()
     g = min(max((total["s"] or 0.0) / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5
-    hosts = paths.groupBy("_host").agg(((F.sum("s") + g * HOST_STRENGTH) / (F.sum("n") + HOST_STRENGTH)).alias("host_rate"))
-    sites = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).select("_host", "_path", "host_rate", ((F.col("s") + F.col("host_rate") * PATH_STRENGTH) / (F.col("n") + PATH_STRENGTH)).alias("path_rate"))
+    hosts = paths.groupBy(F.col("_host").alias("_h")).agg(F.sum("_s").alias("_hs"), F.sum("_n").alias("_hn"))
+    sites = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
+    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
+    rate = lambda s, n, prior, strength: (F.greatest(F.col(s) - F.col(p), F.lit(0.0)) + prior * strength) / (F.col(n) - 1 + strength)
+    joined = joined.withColumn("host_rate", rate("_hs", "_hn", F.lit(g), HOST_STRENGTH))
+    joined = joined.withColumn("path_rate", rate("_s", "_n", F.col("host_rate"), PATH_STRENGTH)).drop("_host", "_path", "_s", "_n", "_hs", "_hn")
     odds = lambda c: F.log(c / (1 - c))
-    inside = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(p)))
-    moved = odds(inside) + odds(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_rate")))) - float(np.log(g / (1 - g)))
-    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path"))).drop("_host", "_path")
+    inside = lambda c, e: F.greatest(F.lit(e), F.least(F.lit(1 - e), c))
+    moved = odds(inside(F.col(p), 1e-9)) + odds(inside(F.col("path_rate"), 1e-6)) - float(np.log(g / (1 - g)))
     return joined.withColumn("p_bad", 1 / (1 + F.exp(-moved)))
 
 
+def sites(url: Column) -> tuple[Column, Column]:
+    """Host and path (its first part) of a URL, for tables that have one; null where it has none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)", 1))
+    path = F.regexp_extract(url, r"^[^:]+://[^/?#]+(/[^/?#]*)", 1)
+    return F.nullif(host, F.lit("")), F.nullif(path, F.lit(""))
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
     """id, p_doc, host_rate, path_rate, p_bad and kept, for every document."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)

@@ -9,8 +9,7 @@ with the one before, and the rest. A range's task combines the runs with a loser
 beyond what both are known to share with the last one out. The merged order gives the prefix lengths for free;
 neighbours that share the core form a group, in which the bytes on both sides of the place tell which windows repeat.
 
-Bytes are compared, hashes only preselect places, but for groups of three or more texts, where windows are matched by
-64-bit hash. Copies within a run travel once, with the list of places they stand at. Defined cases: a null or empty text
+Bytes are compared; hashes only preselect places, and windows in groups of three or more texts. Copies within a run travel once, with the list of places they stand at. Defined cases: a null or empty text
 has no bytes; texts under ``window`` bytes lose nothing; rows that repeat are documents of their own.
 """
 
@@ -256,8 +255,7 @@ def _repeated(group: list[tuple[bytes, bytes, list]], window: int) -> Iterator[t
     keys = list(texts)
     joined = [left + right for right, left in keys]
     counts = np.array([len(t) - window + 1 for t in joined])
-    offsets = np.zeros(len(keys) + 1, np.int64)
-    np.cumsum([len(left) for _, left in keys], out=offsets[1:])
+    offsets = [len(left) for _, left in keys]  # where the place stands
     hashes = []
     for t, (_, left) in zip(joined, keys, strict=True):
         # the distance to the place belongs to the window
@@ -266,6 +264,19 @@ def _repeated(group: list[tuple[bytes, bytes, list]], window: int) -> Iterator[t
     weight = np.repeat([min(2, len(texts[k])) for k in keys], counts)
     _, number = np.unique(np.concatenate(hashes), return_inverse=True)
     hit = np.bincount(number, weights=weight)[number] > 1
+    # equal hashes are confirmed on the windows' bytes; if any two differ, the group is counted by bytes
+    first: dict[int, bytes] = {}
+    starts = np.append(0, np.cumsum(counts))
+    owner = np.searchsorted(starts, np.flatnonzero(hit), "right") - 1
+    for at, i, n in zip(np.flatnonzero(hit).tolist(), owner.tolist(), number[hit].tolist(), strict=True):
+        w = joined[i][at - int(starts[i]) : at - int(starts[i]) + window]
+        if first.setdefault(n, w) != w:
+            exact: dict[tuple[int, bytes], int] = {}
+            spelled = [(int(offsets[i]) - k, t[k : k + window]) for i, t in enumerate(joined) for k in range(len(t) - window + 1)]
+            for key, times in zip(spelled, weight.tolist(), strict=True):
+                exact[key] = exact.get(key, 0) + times
+            hit = np.array([exact[key] > 1 for key in spelled])
+            break
     for k, part in zip(keys, np.split(hit, np.cumsum(counts)[:-1]), strict=True):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], part.astype(np.int8), [0]])))
         for lo, hi in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):

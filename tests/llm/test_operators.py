@@ -127,6 +127,21 @@ def test_suffix_dedup_removes_repeated_bytes(docs, rows, empty):
     assert suffixes.dedup(empty).count() == 0
 
 
+def test_suffix_groups_are_confirmed_by_bytes(monkeypatch):
+    """Hashes that all collide give the same windows as hashes that don't."""
+    r = random.Random(3)
+    say = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    core, texts = say(20), []
+    for _ in range(3):
+        left, right = say(10), core + say(10)
+        texts += [(right, left, [(b"u%d" % len(texts), 0)]), (right[:25] + say(5), left, [(b"v%d" % len(texts), 0)])]
+    texts.append((core + say(10), say(10), [(b"w", 0), (b"x", 5)]))
+    want = sorted(suffixes._repeated(texts, 30))
+    assert want
+    monkeypatch.setattr(suffixes.H, "mix", lambda x: x * 0)
+    assert sorted(suffixes._repeated(texts, 30)) == want
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     r = random.Random(1)
     runs = [sorted("".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(r.randint(0, 30))) for _ in range(5)]
@@ -337,12 +352,47 @@ def test_quality_learns_and_shrinks(spark, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
-def test_audio_round_trip(docs, rows, empty):
-    for r in audio.telephony(docs).collect():
+def test_audio_round_trip(spark, docs, rows, empty):
+    import zlib
+
+    def twice(pcm):
+        out = []
+        for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True):
+            out += [a, (a + b) >> 1]
+        return out
+
+    def expected(raw):
+        """The feature by loops."""
+        mu, al = audio.mulaw_table().tolist(), audio.alaw_table().tolist()
+        ima = []
+        for at in range(0, len(raw), 64):
+            value, index = int.from_bytes(raw[at : at + 2], "little", signed=True), min(raw[at + 2], 88)
+            ima.append(value)
+            for byte in raw[at + 4 : at + 64]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(audio._STEPS[index])
+                    d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                    value = max(-32768, min(32767, value - d if code & 8 else value + d))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                    ima.append(value)
+        parts = []
+        for name, pcm in (("mulaw", [mu[x] for x in raw]), ("alaw", [al[x] for x in raw]), ("ima", ima)):
+            data = b"".join(x.to_bytes(2, "little", signed=True) for x in twice(pcm))
+            parts.append(f"{name}:{len(data) // 2}:{sum(x * x for x in pcm) // len(pcm)}:{zlib.crc32(data):08x}")
+        return ";".join(parts)
+
+    long_ = spark.createDataFrame([(5, "z" * 1_500_000, "en", "clash", 1)], "doc_id long, text string, lang string, media string, n_bytes long")
+    assert audio.digest(audio.telephony(long_)).first().payload_bytes == 1_500_032 and "media" not in audio.digest(audio.telephony(long_)).columns
+    stored = audio.telephony(docs)
+    for r in stored.collect():
         raw = (r.text or "").encode()
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
-        assert audio.load(bytes(r.media)) == padded and r.payload_sha256 == sha(padded) and r.media_sha256 == sha(bytes(r.media))
-        assert r.n_bytes == len(raw) and len(r.pcm) == 4 * len(padded)
+        assert audio.load(bytes(r.media)) == padded == bytes(r.payload) and r.n_bytes == len(raw) and len(r.mulaw) == len(r.alaw) == 4 * len(padded)
+    for r in audio.digest(stored).where("n_bytes < 3000").collect():
+        padded = (r.text or "").encode()
+        padded += bytes(-len(padded) % 64 if padded else 64)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(padded), sha(padded), zlib.crc32(padded[-64:]), expected(padded))
+        assert (r.media_bytes, r.media_sha256) == (len(audio.wav(padded)), sha(audio.wav(padded)))
     assert audio.telephony(empty).count() == 0
 
 
