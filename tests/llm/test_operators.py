@@ -101,14 +101,31 @@ def test_rlz_removes_repeated_word_windows(docs, rows, empty):
     assert rlz.dedup(empty).count() == 0
 
 
-def test_rlz_hits_are_confirmed_by_their_words(spark):
-    """Spans that a collision of hashes would give don't stand; equal words do, whatever blanks are between them."""
-    one, two, both = ([f"{k}{i}" for i in range(80)] for k in "xyz")
-    texts = [" ".join(one + both), "\n ".join(two) + "\t" + "  ".join(both), " ".join(f"u{i}" for i in range(60)), "short"]
-    keyed = rlz.with_uid(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").cache()
-    false = spark.createDataFrame([(0, [(0, 50), (40, 160)]), (1, [(0, 160)]), (2, [(5, 45), (20, 60)])], "doc_id long, spans array<struct<lo: int, hi: int>>")
-    out = rlz.confirmed(keyed, keyed.join(false, "doc_id").select("uid", "spans")).join(keyed, "uid").collect()
-    assert {r.doc_id: rlz.factors([tuple(x) for x in r.spans]) for r in out} == {0: [(80, 160)], 1: [(80, 160)]}
+def test_rlz_of_hot_cores_and_periodic_texts(spark):
+    """Hot cores, dealt out by window, lose the same words; periods repeat within a document."""
+    r = random.Random(8)
+    say = lambda n: [f"{r.choice('abc')}{r.randint(0, 400)}" for _ in range(n)]
+    core = say(50)
+    texts = [" ".join(say(r.randint(0, 20)) + core[r.randint(0, 9) : r.randint(40, 50)] + say(r.randint(0, 20))) for _ in range(60)]
+    texts += [" ".join(["x", "y"] * 60), "\n ".join(core) + "\t\t" + "  ".join(say(40)), " ".join(["x", "y"] * 20 + say(30)), None, "short"]
+    split = [(t or "").encode().split() for t in texts]
+    count = collections.Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    expected = []
+    for k, w in enumerate(split):
+        hit = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        expected.append((k, len(w), len(hit), b" ".join(x for j, x in enumerate(w) if j not in hit).decode()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for hot in (2, 10, 20_000):
+        same(rlz.dedup(df, hot=hot).drop("factors"), expected)
+
+
+def test_rlz_factors_name_their_source():
+    words = [b"w%d" % i for i in range(80)]
+    reference = rlz.Reference(10)
+    assert reference.parse(b" ".join(words[:40]), (b"a", 0)) == []
+    # the first 25 words, then words 5 to 25: two factors, and the windows across them are looked up on their own
+    assert reference.parse(b" ".join(words[10:35] + words[5:25]), (b"b", 0)) == [(0, 25, 0, 10), (25, 45, 0, 5)]
+    assert reference.parse(b" ".join(words[30:35] + words[5:12]), (b"c", 0)) == [(0, 12, 1, 20)]
 
 
 def test_suffix_dedup_removes_repeated_bytes(docs, rows, empty):
