@@ -143,8 +143,8 @@ class Automaton:
 def chunks(items: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items in parts of about ``chunk_bytes`` of text, dealt by hash; the driver holds one part at a time."""
     named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"), F.col(text_col).alias("text"))
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // chunk_bytes))
+    total, n = named.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    parts = max(1, min(n, -(-(total or 0) // chunk_bytes)))
     for part in range(parts):
         mine = named if parts == 1 else named.where(F.pmod(F.xxhash64("key", "text"), F.lit(parts)) == part)
         yield [(key, words(text)) for key, text in mine.collect()]
