@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ _GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 BLOCK_BYTES = 2 << 20
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, those of them in a dictionary, and a quarter of the distinct parts a task counts at once.
-MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_000_000, 150_000, 100_000
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 700_000, 120_000, 100_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
@@ -80,7 +80,7 @@ class RankTable:
         if len(left) and max(left.max(), right.max(), rank.max()) >= NONE:
             raise ValueError(f"ids from {NONE} on are not supported")
         n = len(left)
-        self.places, self.buckets = 2 * n + 1, n // 2 + 1
+        self.places, self.buckets = n * 3 // 2 + 1, n // 2 + 1
         for seed in range(self.SEEDS):
             self.p, self.q = 1_000_003 + 15_838 * seed, 26_544_357 + 209_458 * seed
             place, bucket = (left * self.p + right * self.q) % self.places, (left * self.q + right * self.p) % self.buckets
@@ -122,6 +122,12 @@ class RankTable:
         return F.least(found.bitwiseXOR(pair), _long(NONE))
 
 
+def plan_strings(spark: SparkSession, key: str = "spark.sql.maxPlanStringLength", most: int = 200_000) -> None:
+    """Bounds the texts of plans that the driver keeps for each execution: they would hold the whole rank map."""
+    if int(spark.conf.get(key)) > most:
+        spark.conf.set(key, str(most))
+
+
 def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
@@ -483,6 +489,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     _check(pattern)
     spark = docs.sparkSession
     small_batches(spark)
+    plan_strings(spark)
     ints, table = T.ArrayType(T.IntegerType()), RankTable(ranks)
     if digests:
         added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -17,7 +17,52 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query("op1_decontaminate")
+OP1_SQL = r"""
+with iw as (select item_id::varchar item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (select distinct item_id, least(10, len(w)) n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') k from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from iw where len(w) > 0)),
+dw as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+dwin as (select doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from dw, (select distinct n from win))),
+hits as (select doc_id, i, n, item_id from dwin join win using (n, k)),
+h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) group by 1),
+o as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id, ',' order by item_id) ids from hits group by 1)
+select dw.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join h on h.doc_id = dw.doc_id left join o on o.doc_id = dw.doc_id"""
+
+OP2_SQL = r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
+win as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) k from (select doc_id, w, unnest(range(1, len(w) - 33)) i from w)),
+rep as (select k from win group by 1 having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) p from win join rep using (k)),
+words as (select doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) x from w),
+kept as (select words.doc_id, string_agg(x, ' ' order by words.p) t, count(*) n from words anti join gone on gone.doc_id = words.doc_id and gone.p = words.p group by 1)
+select w.doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (doc_id)"""
+
+OP6_SQL = r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w from documents),
+s as (select distinct doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) k from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+pairs as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+two as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id r from documents union select reach.doc_id, two.b from reach join two on two.a = reach.r),
+least_ as (select doc_id, min(r) component_id from reach group by 1)
+select w.doc_id, coalesce(n.n, 0) n_shingles, component_id, w.doc_id = component_id kept from w join least_ using (doc_id) left join n on n.doc_id = w.doc_id"""
+
+OP7_SQL = r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+win as (select doc_id, i, md5(substring(h, 2 * i + 1, 800)) k from (select doc_id, h, unnest(range(0, length(h) // 2 - 399)) i from b)),
+rep as (select k from win group by 1 having count(*) > 1),
+hit as (select doc_id, i from win join rep using (k)),
+edge as (select doc_id, i, case when i <= max(i) over w + 399 + 1 then 0 else 1 end new from hit window w as (partition by doc_id order by i rows between unbounded preceding and 1 preceding)),
+run as (select doc_id, r, min(i) lo, max(i) + 400 hi from (select doc_id, i, sum(coalesce(new, 1)) over (partition by doc_id order by i) r from edge) group by 1, 2),
+gap as (select doc_id, coalesce(lag(hi) over w, 0) lo, lo hi from run window w as (partition by doc_id order by lo)),
+gaps as (select doc_id, lo, hi from gap union all select doc_id, max(hi), 1000000000000 from run group by 1 union all select doc_id, 0, 1000000000000 from b where doc_id not in (select doc_id from run)),
+kept as (select doc_id, string_agg(substring(h, 2 * lo + 1, 2 * (least(hi, length(h) // 2) - lo)), '' order by lo) h from gaps join b using (doc_id) group by 1),
+n as (select doc_id, count(*) n_spans, sum(hi - lo)::bigint n_removed from run group by 1)
+select b.doc_id, length(b.h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(kept.h)) kept_sha256 from b left join n on n.doc_id = b.doc_id left join kept on kept.doc_id = b.doc_id"""
+
+
+@query("op1_decontaminate", OP1_SQL)
 def op1(spark, sf_dir):
     found = decontaminate.find(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found.drop("text"))
@@ -41,18 +86,18 @@ def op10(spark, sf_dir):
     return secrets.scan(_documents(spark, sf_dir)).drop("text")
 
 
-@query("op2_rlz_substring_dedup")
+@query("op2_rlz_substring_dedup", OP2_SQL)
 def op2(spark, sf_dir):
     out = rlz.dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", OP7_SQL)
 def op7(spark, sf_dir):
     return suffixes.dedup(_documents(spark, sf_dir), digests=True)
 
 
-@query("op6_setsketch_near_dedup")
+@query("op6_setsketch_near_dedup", OP6_SQL)
 def op6(spark, sf_dir):
     return setsketch.near_duplicates(_documents(spark, sf_dir)).drop("uid")
 

@@ -511,6 +511,7 @@ def test_every_query_has_its_rows(spark, sf):
 
     from sparrowdoc.llm import registry
 
-    sql = registry.oracle_sql()["op8_tool_call_linking"]
-    assert oracle.difference(registry.queries()["op8_tool_call_linking"](spark, sf), sql, oracle.connection(sf)) == ""
+    for name, sql in registry.oracle_sql().items():
+        assert oracle.difference(registry.queries()[name](spark, sf), sql, oracle.connection(sf)) == "", name
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.oracle_sql()} == {1, 2, 6, 7, 8}
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.queries()} == set(range(1, 11))
