@@ -124,7 +124,7 @@ class RankTable:
 
 def plan_strings(spark: SparkSession, key: str = "spark.sql.maxPlanStringLength", most: int = 200_000) -> None:
     """Bounds the texts of plans that the driver keeps for each execution: they would hold the whole rank map."""
-    if int(spark.conf.get(key)) > most:
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > most:
         spark.conf.set(key, str(most))
 
 
