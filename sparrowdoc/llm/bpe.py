@@ -41,7 +41,7 @@ _GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 BLOCK_BYTES = 2 << 20
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, those of them in a dictionary, and a quarter of the distinct parts a task counts at once.
-MAX_KNOWN, MAX_HOT, MAX_PARTS = 700_000, 120_000, 100_000
+MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_500_000, 120_000, 100_000
 #: Bits of an id, a rank or a place within a piece, and the one that is none of them.
 BITS = 20
 NONE = (1 << BITS) - 1
@@ -335,7 +335,9 @@ class Known:
         hashes, lengths, many, self.spelled, self.ids = _joined(others)
         self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
-        self.stops, self.ends = np.append(0, np.cumsum(lengths)).astype(np.int64), np.append(0, np.cumsum(many)).astype(np.int64)
+        self.stops, self.ends = np.append(0, np.cumsum(lengths)).astype(np.int32), np.append(0, np.cumsum(many)).astype(np.int32)
+        if len(self.ids) and self.ids.max() < 1 << 16:
+            self.ids = self.ids.astype(np.uint16)
 
     def find(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which pieces the arrays hold, compared byte by byte, and where the ids of each begin and end."""
@@ -418,10 +420,13 @@ def _blocks(text_col: str, pattern: str, shared, names: list[str]):
             # numbered pieces: the arrays know some of them, the others get new numbers
             pieces = [w.encode() for w in numbers]
             hits, lo, hi = known.find(pieces)
-            new = np.cumsum(~hits) - 1
-            ids = np.concatenate([known.ids, -1 - np.arange(len(pieces) - hits.sum())]).astype(np.int32)
-            lo, hi = np.where(hits, lo, len(known.ids) + new), np.where(hits, hi, len(known.ids) + new + 1)
-            own, many = put(own, ids, lo, hi)
+            held, lengths = gather(known.ids, lo[hits], hi[hits])
+            ids = np.concatenate([held.astype(np.int32), -1 - np.arange(len(pieces) - hits.sum(), dtype=np.int32)])
+            lengths = np.concatenate([lengths, np.ones(len(pieces) - hits.sum(), np.int64)])
+            place = np.empty(len(pieces), np.int64)
+            place[hits], place[~hits] = np.arange(hits.sum()), np.arange(hits.sum(), len(pieces))
+            bounds = np.append(0, np.cumsum(lengths))
+            own, many = put(own, ids, bounds[place], bounds[place + 1])
             stops = np.append(0, np.cumsum(many))[stops]
             pieces = [p for p, hit in zip(pieces, hits.tolist(), strict=True) if not hit]
             words = _lists(pa.array(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)), [len(p) for p in pieces])
