@@ -224,3 +224,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     cut = F.split(text_col, "\n")
     kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_removed", i)), "\n")
     return joined.withColumns({"n_lines": F.coalesce(F.size(cut), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("long")}).withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)).drop("uid", "_removed")
+
+
+def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` (same columns, whatever their names) with ``text`` less its duplicate lines."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"))
+    out = dedup(packed, similarity=similarity)
+    return out.select(*[F.col("doc_id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"_rest.`{c}`") for c in docs.columns])

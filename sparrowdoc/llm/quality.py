@@ -178,7 +178,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """``docs`` (same columns) without the documents that are rejected."""
+    """``docs`` (same columns, whatever their names) without the documents that are rejected."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    scored = materialize(evidence(docs, model, text_col=text_col, out="_p"), "scored")
-    return posterior(scored.withColumns({"_site": F.col(host), "_part": F.col(path)}), host="_site", path="_part", p="_p").where(F.col("p_bad") < REJECT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest")
+    packed = docs.select(rest, F.col(text_col).alias("_text"), F.col(host).alias("_site"), F.col(path).alias("_part"))
+    scored = materialize(evidence(packed, model, text_col="_text", out="_p"), "scored")
+    kept = posterior(scored, host="_site", path="_part", p="_p").where(F.col("p_bad") < REJECT)
+    return kept.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`") for c in docs.columns])

@@ -99,7 +99,7 @@ def op7(spark, sf_dir):
 
 @query("op6_setsketch_near_dedup", OP6_SQL)
 def op6(spark, sf_dir):
-    return setsketch.near_duplicates(_documents(spark, sf_dir)).drop("uid")
+    return setsketch.near_duplicates(_documents(spark, sf_dir)).drop("uid", "leader")
 
 
 @query("op5_fuzzy_line_dedup")

@@ -246,7 +246,10 @@ PAIR = "a binary, b binary"
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """uid, id, n_shingles, component_id (the least id of the component) and kept, one row for each document."""
+    """uid, id, n_shingles, component_id (the least id of the component), kept and leader, one row for each document.
+
+    ``leader`` is the uid of the component's first row, by id (null ids last) and uid: it is one text also where ids repeat.
+    """
     keyed = with_uid(docs.select(id_col, text_col), id_col, text_col)
     sketch = materialize(keyed.select("uid", text_col).mapInArrow(_sketch(text_col), SKETCH), "sketch")
     full = sketch.where("node is not null")
@@ -301,14 +304,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     rows = keyed.select("uid", id_col).join(sketch.select("uid", "node", F.col("n").cast("long").alias("n_shingles")).dropDuplicates(["uid"]), "uid")
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rows.where("root is not null").groupBy("root").agg(F.min(id_col).alias("component_id"))
-    out = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col(id_col)).otherwise(F.col("component_id")))
-    return out.select("uid", id_col, "n_shingles", "component_id", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)).alias("kept"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "uid"))
+    least = rows.where("root is not null").groupBy("root").agg(first.alias("_first"))
+    out = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col(id_col)).otherwise(F.col("_first.id")))
+    return out.select("uid", id_col, "n_shingles", "component_id", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("_first.uid", "uid").alias("leader"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` (same columns) with one document of each component: the least id's; texts without words stay."""
+    """``docs`` (same columns) with one row of each component, its leader's; texts without words stay.
+
+    Of rows that agree in id and text one stays, whichever it is where they differ in other columns.
+    """
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
-    going = groups.where(~F.col("kept") & (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()).select(F.col("uid").alias("_uid"))
+    marks = groups.where(F.col("n_shingles") > 0).select(F.col("uid").alias("_uid"), (F.col("uid") == F.col("leader")).alias("_leads")).distinct()
     keyed = with_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
-    return keyed.join(going.distinct(), F.col("uid") == F.col("_uid"), "left_anti").select("_row.*")
+    rows = keyed.join(marks, F.col("uid") == F.col("_uid"), "left").where(F.coalesce("_leads", F.lit(True)))
+    blank, words = rows.where("_leads is null"), rows.where("_leads")
+    return blank.select("_row.*").unionByName(words.dropDuplicates(["uid"]).select("_row.*"))

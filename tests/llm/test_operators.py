@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -189,9 +190,14 @@ def test_near_duplicates_form_the_exact_components(docs, rows, empty):
                 group = [y if g == x else g for g in group]
     least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
     expected = [(r[0], len(sets[i]), least[group[i]], r[0] is not None and r[0] == least[group[i]]) for i, r in enumerate(rows)]
-    same(setsketch.near_duplicates(docs).drop("uid").distinct(), set(expected))
+    same(setsketch.near_duplicates(docs).drop("uid", "leader"), expected)
     kept = setsketch.keep_one(docs)
     assert kept.columns == docs.columns
+    # one row of each component, the one of least id; all rows without words
+    by_text = {r[1]: group[i] for i, r in enumerate(rows)}
+    left = collections.Counter(by_text[r.text] for r in kept.collect() if shingles(r.text))
+    assert left == collections.Counter({group[i] for i in range(len(rows)) if sets[i]})
+    assert all(r.doc_id == least[by_text[r.text]] for r in kept.collect() if shingles(r.text)) and sum(not (r.text or "").strip() for r in kept.collect()) == sum(not (r[1] or "").strip() for r in rows)
     assert setsketch.near_duplicates(empty).count() == 0
 
 
@@ -492,18 +498,128 @@ def test_tool_calls_stand_above_what_they_need(spark):
     assert (out["lost"].level, out["lost"].n_missing, out["lost"].status) == (0, 1, "open") and len(out["long"].record) > 300_000 and not out["long"].valid
 
 
-def test_pipeline_stages_keep_columns(spark, sf):
+def test_quality_posterior_is_the_loops(spark):
+    """Rates without a document's own evidence, null sites, and a site of one document."""
+    r = random.Random(1)
+    rows = [(i, r.choice(["h", "g", None]), r.choice(["x", "y", None]), r.random()) for i in range(60)] + [(60, "lone", "x", 0.9)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, p double")
+    g = sum(x[3] for x in rows) / len(rows)
+    odds = lambda x: math.log(x / (1 - x))
+    for x in quality.posterior(df, host="host", path="path", p="p").collect():
+        others = [o for o in rows if o[0] != x.doc_id]
+        rate = lambda own, prior, k: (sum(o[3] for o in own) + prior * k) / (len(own) + k)
+        host = rate([o for o in others if o[1] == x.host], g, quality.HOST_STRENGTH)
+        path = rate([o for o in others if o[1] == x.host and o[2] == x.path], host, quality.PATH_STRENGTH)
+        bad = 1 / (1 + math.exp(-(odds(x.p) + odds(path) - odds(g))))
+        assert (x.host_rate, x.path_rate, x.p_bad) == (pytest.approx(host), pytest.approx(path), pytest.approx(bad))
+    urls = spark.createDataFrame([("https://Blog.example.org:8080/en/7?x#y",), ("http://a.b",), ("nothing",), (None,)], "url string")
+    host, path = quality.sites(quality.F.col("url"))
+    assert [tuple(x) for x in urls.select(host, path).collect()] == [("blog.example.org", "/en"), ("a.b", None), (None, None), (None, None)]
+
+
+PIPELINE = "doc_id long, text string, lang string, source string, n_tokens string, uid string"
+
+
+def pipeline_rows():
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    item, line, base = say(14), say(16), say(80)
+    texts = [None, "", " \n ", say(50) + "\n" + line, line + "\n" + say(40), say(20) + " " + item + " " + say(60), item, base, base + " more", base.replace(base[:9], "changed"), say(3000)]
+    texts += [say(r.randint(5, 60)) for _ in range(30)] + ["buy " * 60 + str(i) for i in range(12)]
+    rows = [(i, t, r.choice(["en", None]), r.choice(["s", "t"]), "clash", "u") for i, t in enumerate(texts)]
+    return [*rows, rows[7], (None, texts[7], "en", "s", "clash", "u"), (None, None, None, None, None, None)], item
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as p
+
+    P = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    rows, item = pipeline_rows()
+    spark.createDataFrame(rows, PIPELINE).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0 if (t or "").startswith("buy") else 1, 0) for i, t, *_ in rows if i is not None and i % 2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, sf_dir = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    took = lambda df: sorted((tuple(x) for x in df.collect()), key=key)
+    stages = dict(p.STAGES)
+    stage = lambda name: spark.createDataFrame(stages[name](spark, docs, sf_dir).collect(), PIPELINE).cache()
+
+    before, docs = took(docs), stage("quality classifier")
+    after = took(docs)
+    gone = collections.Counter(before) - collections.Counter(after)
+    assert all((x[1] or "").startswith("buy") for x in gone) and not any((x[1] or "").startswith("buy") for x in after) and collections.Counter(after) - collections.Counter(before) == {}
+
+    before, docs = after, stage("line dedup")
+    places = sorted(((x[0] is not None, x[0] or 0), i, n, line) for i, x in enumerate(before) for n, line in enumerate((x[1] or "").split("\n")) if line.strip(" "))
+    group = line_groups([x[3] for x in places])
+    first = {g: places[k] for k, g in reversed([*enumerate(group)])}
+    stays = {(x[1], x[2]) for k, x in enumerate(places) if first[group[k]][:3] == x[:3] or before[x[1]][:2] == before[first[group[k]][1]][:2] and x[2] == first[group[k]][2]}
+    cut = [None if x[1] is None else "\n".join(line for n, line in enumerate(x[1].split("\n")) if (i, n) in stays or not line.strip(" ")) for i, x in enumerate(before)]
+    assert took(docs) == sorted(((x[0], c, *x[2:]) for x, c in zip(before, cut, strict=True)), key=key)
+
+    before, docs = took(docs), stage("near dedup")
+    sets = [shingles(x[1]) for x in before]
+    best: dict = {}
+    parent = list(range(len(before)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = parent[i], parent[j]
+                parent = [min(x, y) if g in (x, y) else g for g in parent]
+    for i, x in enumerate(before):
+        if sets[i]:
+            best[parent[i]] = min(best.get(parent[i], (True, 0)), (x[0] is None, x[0] or 0))
+    after = took(docs)
+    assert sorted((x[0] is None, x[0] or 0) for x in after if shingles(x[1])) == sorted(best.values()) and sum(not shingles(x[1]) for x in after) == sum(not s for s in sets)
+
+    before, docs = after, stage("decontamination")
+    automaton = decontaminate.Automaton([("1", decontaminate.words(item))])
+    left = []
+    for x in before:
+        spans, _ = automaton.hits(decontaminate.words(x[1]))
+        if sum(b - a for a, b in spans) <= 0.5 * len(decontaminate.words(x[1])):
+            left.append((x[0], decontaminate.cut(x[1], [v for s in spans for v in s]) if spans else x[1], *x[2:]))
+    assert took(docs) == sorted(left, key=key) and not any(item in (x[1] or "") for x in left)
+
+    public = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    out = stages["byte-level BPE"](spark, docs, sf_dir)
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "uid", "n_tokens", "ids"}
+    assert sorted(((x.doc_id, x.text, list(x.ids)) for x in out.collect()), key=key) == sorted(((x[0], x[1] or "", public.encode_ordinary(x[1] or "")) for x in left), key=key)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for _, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == columns
-        assert docs.count() <= n
-        n = docs.count()
-    out = p.STAGES[-1][1](spark, docs, sf)
-    assert {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.text or "" for r in docs.collect()}
+    pytest.importorskip("public_tokenizers")
+    spark.createDataFrame([], PIPELINE).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_line_dedup_of_null_ids_ties_and_long_lines(spark):
+    line, long_ = "these words stand in several rows here", "y" * 30_000 + "end"
+    rows = [(None, line, "a"), (3, line, "b"), (3, line, "b"), (2, None, "c"), (1, f"{line}\nother words of its own", "d"), (5, long_, "e"), (6, long_[:-1], "f"), (7, "=" * 40, "g"), (8, "=" * 200, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid string")
+    out = sorted((tuple(r) for r in lines.dedup(df).select("doc_id", "text", "n_lines", "n_removed").collect()), key=key)
+    # a null id comes first of all; rows that agree in id and text lose the same lines; a null text has no lines
+    assert out == sorted([(None, line, 1, 0), (3, "", 1, 1), (3, "", 1, 1), (2, None, 0, 0), (1, "other words of its own", 2, 1), (5, long_, 1, 0), (6, "", 1, 1), (7, "=" * 40, 1, 0), (8, "", 1, 1)], key=key)
+
+
+def test_secrets_of_long_texts_and_ties(spark):
+    import time as clock
+
+    value = "Zx9Qw8Er7Ty6Ui5Op4"
+    text = "plain words = " * 40_000 + f'password = "{value}"; db_credential: {value}\n' + "a" * 200_000
+    rows = [(1, text, "x"), (1, text, "x"), (None, f"secret={value}", None)]
+    start = clock.time()
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    assert clock.time() - start < 60 and [r.n_assign for r in sorted(out, key=lambda r: (r.doc_id is None, 0))] == [1, 1, 1]
+    found = [s for s in next(r for r in out if r.doc_id == 1).spans.split(",")]
+    at = text.index(f"db_credential: {value}") + len("db_credential: ")
+    assert f"literal:{at}:{at + len(value)}" in found  # the base patterns have no such name
 
 
 def test_every_query_has_its_rows(spark, sf):
