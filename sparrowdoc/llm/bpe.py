@@ -4,7 +4,7 @@ A first pass counts the pieces that the pattern cuts texts into. The commonest o
 once for the whole corpus and broadcast with their ids, ``MAX_HOT`` of them as a dictionary and the others as sorted
 arrays; that bounds what a task holds, and no piece is left out. A second pass gives one row for each block of documents: known ids and numbers of other pieces. The block's other distinct
 pieces are folded there; a kernel puts their ids in place and decodes by concatenating the vocabulary's binary pieces.
-Neither pass deals documents out. The ranks are a literal table of perfect hashing, bounded by the vocabulary.
+Neither pass deals documents out. The ranks are a constant table of perfect hashing, bounded by the vocabulary.
 
 Pieces longer than ``FOLD_BYTES`` (a fold takes time in the square of the length) are merged with a heap in the kernel.
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import re
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +37,7 @@ _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(r" (?=\S)")
 #: A blank before white space, as Arrow's pattern: such texts are not cut at every blank.
 _GLUED = r" [\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, CHUNK = 2 << 20, 2048
 FOLD_BYTES = 384
 #: Pieces whose ids are broadcast, those of them in a dictionary, and a quarter of the distinct parts a task counts at once.
 MAX_KNOWN, MAX_HOT, MAX_PARTS = 1_500_000, 120_000, 100_000
@@ -109,10 +108,13 @@ class RankTable:
         merge[merge < 0] = EMPTY
         self.lists = {"shift": shift.tolist(), "merge": merge.tolist(), "byte": [ranks[bytes([b])] for b in range(256)]}
 
-    def literal(self) -> Column:
-        """The lists as one foldable literal, a struct of arrays."""
+    def to_each(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the lists as a constant struct ``table``, one broadcast row that the vocabulary bounds.
+
+        A literal of this size would be copied into every plan text that the driver keeps.
+        """
         kind = ",".join(f"{k}:array<bigint>" for k in self.lists)
-        return F.from_json(F.lit(json.dumps(self.lists, separators=(",", ":"))), f"struct<{kind}>")
+        return rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(tuple(self.lists.values()),)], f"table struct<{kind}>")))
 
     def rank(self, t: Column, left: Column, right: Column) -> Column:
         """The pair's rank, NONE if it is no merge; ``t`` holds the lists. What stands for another pair is over NONE."""
@@ -122,12 +124,6 @@ class RankTable:
         return F.least(found.bitwiseXOR(pair), _long(NONE))
 
 
-def plan_strings(spark: SparkSession, key: str = "spark.sql.maxPlanStringLength", most: int = 200_000) -> None:
-    """Bounds the texts of plans that the driver keeps for each execution: they would hold the whole rank map."""
-    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > most:
-        spark.conf.set(key, str(most))
-
-
 def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
@@ -168,6 +164,11 @@ def fold(word: Column, t: Column, table: RankTable) -> Column:
     return F.aggregate(steps, bind(letters, start), step, lambda s: F.transform(F.slice(s, 2, F.size(s) - 2), lambda c: ident(c).cast("int")))
 
 
+def fold_all(words: str, table: RankTable) -> Column:
+    """Ids of every piece of an array; the lists are in the column ``table``."""
+    return bind(F.col("table"), lambda t: F.transform(words, lambda w: fold(w, t, table)))
+
+
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap and links, for pieces of any length."""
     if piece in ranks:
@@ -290,24 +291,32 @@ def _count(text_col: str, pattern: str):
     return run
 
 
-def _spell(batches):
-    """Rows (piece, level) with ``word``, the piece's bytes."""
-    for b in batches:
-        raw = b.column("piece").cast(pa.binary())
-        lengths = pc.binary_length(raw).to_numpy()
-        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-        yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("level"), _lists(pa.array(data.astype(np.int32)), lengths)], names=["piece", "level", "word"])
+def _spell(hot: int):
+    """Rows (piece, level) as rows of up to CHUNK pieces: ``hot`` for those of a level or more, pieces, and their bytes."""
+
+    def run(batches):
+        for b in batches:
+            above = pc.greater_equal(b.column("level"), hot)
+            for flag, part in ((True, b.filter(above)), (False, b.filter(pc.invert(above)))):
+                for at in range(0, part.num_rows, CHUNK):
+                    pieces = part.slice(at, CHUNK).column("piece")
+                    raw = [p.encode() for p in pieces.to_pylist()]
+                    words = _lists(pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)), [len(p) for p in raw])
+                    yield pa.RecordBatch.from_arrays([pa.array([flag]), _lists(pieces, [len(raw)]), _lists(words, [len(raw)])], names=["hot", "pieces", "words"])
+
+    return run
 
 
 def _pack(batches):
-    """Rows (piece, ids) as one blob a batch: hashes, lengths of pieces and of ids, the pieces' bytes and the ids."""
+    """Rows (pieces, words) as blobs: hashes, lengths of pieces and of ids, the pieces' bytes and the ids."""
     for b in batches:
-        raw, ids = [p.encode() for p in b.column("piece").to_pylist()], b.column("ids")
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
-        lengths = np.array([len(p) for p in raw], np.int32)
-        many = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
-        blob = [hashes.tobytes(), lengths.tobytes(), many.tobytes(), b"".join(raw), ids.flatten().to_numpy().astype("<i4").tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blob], names=["hashes", "lengths", "many", "spelled", "ids"])
+        for row in range(b.num_rows):
+            raw, ids = [p.encode() for p in b.column("pieces")[row].as_py()], b.column("words")[row].values
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+            lengths = np.array([len(p) for p in raw], np.int32)
+            many = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+            blob = [hashes.tobytes(), lengths.tobytes(), many.tobytes(), b"".join(raw), ids.flatten().to_numpy().astype("<i4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blob], names=["hashes", "lengths", "many", "spelled", "ids"])
 
 
 def _joined(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
@@ -360,11 +369,11 @@ def known_pieces(docs: DataFrame, table: RankTable, pattern: str, *, text_col: s
     for r in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some hundred levels
         total += r["count"]
         levels |= {bound: r["level"] for bound in levels if total <= bound}
-    chosen = counts.where(F.col("level") >= levels[most]).select("piece", "level").mapInArrow(_spell, "piece string, level int, word array<int>")
-    chosen = chosen.repartition(max(1, min(total, most) >> 14))
-    folded = materialize(chosen.select("piece", "level", bind(table.literal(), lambda t: fold(F.col("word"), t, table)).alias("ids")), "known")
+    chosen = counts.where(F.col("level") >= levels[most]).select("piece", "level").mapInArrow(_spell(levels[hot]), "hot boolean, pieces array<string>, words array<array<int>>")
+    chosen = table.to_each(chosen.repartition(max(1, min(total, most) >> 14)))
+    folded = materialize(chosen.select("hot", "pieces", fold_all("words", table).alias("words")), "known")
     drop(counts)
-    known = Known(folded.where(F.col("level") >= levels[hot]).select("piece", "ids"), folded.where(F.col("level") < levels[hot]).select("piece", "ids"))
+    known = Known(folded.where("hot"), folded.where("not hot"))
     drop(folded)
     return known
 
@@ -494,7 +503,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     _check(pattern)
     spark = docs.sparkSession
     small_batches(spark)
-    plan_strings(spark)
     ints, table = T.ArrayType(T.IntegerType()), RankTable(ranks)
     if digests:
         added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -507,7 +515,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
 
     block = T.StructType([T.StructField("words", T.ArrayType(ints)), T.StructField("docs", T.BinaryType())])
     blocks = base.mapInArrow(_blocks(text_col, pattern, shared, [f.name for f in kept]), block)
-    folded = blocks.select(bind(table.literal(), lambda t: F.transform("words", lambda w: fold(w, t, table))).alias("words"), "docs")
+    folded = table.to_each(blocks).select(fold_all("words", table).alias("words"), "docs")
     out = T.StructType([*kept, *added])
     spelled = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
