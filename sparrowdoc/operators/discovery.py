@@ -16,9 +16,11 @@ def similar(a: Column, b: Column) -> Column:
 
 def dedup_titles(rows: DataFrame, *, by: list[str], title: str, pos: str) -> DataFrame:
     """Greedy, in ``pos`` order: a title stays unless it is similar to one that stays. Titles similar to each other
-    share their first 13 key characters or are equal, so each such block is folded alone; no group is larger."""
+    share their first 13 key characters or are equal, so each such block is folded alone, by its distinct beginnings of
+    35 characters."""
     keyed = rows.withColumn("_key", title_key(F.col(title))).where("_key <> ''").withColumn("_block", F.substring("_key", 1, 13))
-    first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_key").orderBy(pos))).where("_n = 1")
+    # of titles with the same first 35 characters only the first can stay: what is similar to it is to all of them
+    first = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*by, F.left("_key", F.lit(35))).orderBy(pos))).where("_n = 1")
     seq = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("_key").alias("k"))))
     fold = F.aggregate(seq, F.array().cast("array<struct<p:bigint,k:string>>"), lambda acc, s: F.when(F.exists(acc, lambda o: similar(o["k"], s["k"])), acc).otherwise(F.concat(acc, F.array(F.struct(s["p"].cast("bigint").alias("p"), s["k"].alias("k"))))))
     kept = first.groupBy(*by, "_block").agg(fold.alias("kept")).select(*by, F.explode("kept.p").alias(pos))

@@ -75,10 +75,22 @@ def top(scored: DataFrame, by: str, order: list, k: int, rank: str = "rank") ->
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vector: str, vector_id: str, vector: str, k: int = 5, scope: str | None = None) -> DataFrame:
-    """Exact k nearest by squared L2: the queries (a checked, small set) are broadcast to the vectors."""
-    on = F.col("q." + scope) == F.col("v." + scope) if scope else F.lit(True)
-    pairs = vectors.alias("v").join(small(queries.alias("q")), on)
+def knn(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vector: str, vector_id: str, vector: str, k: int = 5, scope: str | None = None, rows: int = SMALL_ROWS) -> DataFrame:
+    """Exact k nearest by squared L2, within ``scope`` where it is given.
+
+    A checked, small set of queries is broadcast to the vectors. A larger one is dealt into blocks of about ``rows``
+    queries; every vector meets each block, and only the best k of a task leave it.
+    """
+    asked, held = queries.alias("q"), vectors.alias("v")
+    if scope:
+        pairs = held.join(small(asked, rows), F.col("q." + scope) == F.col("v." + scope))
+    elif (some := small(asked, rows)) is not asked:
+        pairs = held.crossJoin(some)
+    else:
+        blocks = max(2, -(-queries.count() // rows))
+        asked = queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int")).alias("q")
+        held = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("v")
+        pairs = held.join(asked.hint("shuffle_hash"), F.col("q._block") == F.col("v._block"))
     scored = pairs.select(F.col("q." + query_id).alias("query_id"), F.col("v." + vector_id).alias(vector_id), F.round(squared_l2(F.col("q." + query_vector), F.col("v." + vector)), 6).alias("distance"))
     return top(scored, "query_id", [F.col("distance"), F.col(vector_id)], k)
 

@@ -308,3 +308,25 @@ def test_line_anchors_are_the_loop(spark):
     table = spark.createDataFrame([("p", 1, t) for t in tops], "paper_id string, page_num int, top double")
     got = {(x.top, x.y) for x in pages.lined(table, pages.PAGE).collect()}
     assert got == {(t, max(a for a in anchors if a <= t)) for t in tops} and not math.isnan(sum(tops))
+
+
+def test_knn_in_blocks_is_knn(spark):
+    r = random.Random(2)
+    v = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "id int, v array<double>")
+    q = v.where("id % 3 = 0")
+    run = lambda rows: sorted(map(tuple, retrieval.knn(q, v, query_id="id", query_vector="v", vector_id="id", vector="v", k=3, rows=rows).collect()))
+    assert run(50_000) == run(7) and len(run(7)) == 60
+
+
+def test_titles_of_one_beginning(spark):
+    r = random.Random(3)
+    start = "a study of long titles that go on and on"
+    titles = [start + " " + "".join(r.choice("xyz") for _ in range(3)) for _ in range(20)] + [start[:20], start[:33], start[:12], "b" * 14, "b" * 40, "b" * 13, start[:30] + " other words at the end of it"]
+    r.shuffle(titles)
+    kept = []
+    for i, t in enumerate(titles):
+        alike = lambda o: o == t or (len(min(o, t, key=len)) > 12 and sorted((o, t), key=len)[1].startswith(sorted((o, t), key=len)[0][:35]))
+        if not any(alike(o) for _, o in kept):
+            kept.append((i, t))
+    df = spark.createDataFrame([("q", i, t) for i, t in enumerate(titles)], "q string, pos long, title string")
+    assert sorted(x.pos for x in discovery.dedup_titles(df, by=["q"], title="title", pos="pos").collect()) == [i for i, _ in kept]
