@@ -330,3 +330,37 @@ def test_titles_of_one_beginning(spark):
             kept.append((i, t))
     df = spark.createDataFrame([("q", i, t) for i, t in enumerate(titles)], "q string, pos long, title string")
     assert sorted(x.pos for x in discovery.dedup_titles(df, by=["q"], title="title", pos="pos").collect()) == [i for i, _ in kept]
+
+
+class Writer:
+    """Plans simply, answers with the passages' first sentence, and grades everything as direct."""
+
+    def complete(self, messages, max_tokens, temperature):
+        text = messages[0]["content"]
+        if text.startswith("Answer the question"):
+            if "nonsense" in text.rsplit("Question:", 1)[1]:
+                return "[WRITE] Something else entirely that no passage of the paper holds"
+            return "[WRITE] " + text.split("]\n", 1)[1].split("\n")[0]
+        if text.startswith("Grade each"):
+            n = text.rsplit("Sentences:", 1)[1].count("\n")
+            return json.dumps([{"sentence": "s", "grade": "DIRECT", "chunk_ref": "1"}] * n)
+        raise RuntimeError("429")
+
+
+def test_answers_and_comparison(spark):
+    from sparrowdoc import qa
+
+    chunks = spark.createDataFrame([("p", 1, "Intro", 1, "The optimizer is adam with beta values of the usual kind"), ("p", 2, "Data", 2, "The corpus has ten thousand sentences of plain news text"), ("o", 3, "Intro", 1, "The optimizer is plain descent without any momentum at all")], "paper_id string, chunk_id int, section string, page_num int, text string")
+    asked = spark.createDataFrame([(1, "p", "Paper", "The optimizer is adam with beta values of the usual kind"), (2, "p", "Paper", "nonsense zebra")], "query_id int, paper_id string, paper string, query string")
+    out = {r.query_id: r for r in qa.answer(asked, chunks, Writer).collect()}
+    assert out[1].cleaned_answer.startswith("The optimizer is adam") and out[1].passed and out[1].attempt == 1 and out[1].faithfulness == 1.0
+    assert not out[2].passed and out[2].confidence < 50
+    both = qa.ablate(asked.where("query_id = 1"), chunks, Writer, ["full", "baseline"]).collect()
+    assert {r.config for r in both} == {"full", "baseline"}
+    top = qa.hybrid_with_rerank(asked, chunks, k=1).where("query_id = 1").first()
+    assert (top.chunk_id, top.new_rank) == (1, 1)
+    answers, sources = qa.compare(spark.createDataFrame([(7, "which optimizer", "p", "o")], "query_id int, query string, paper_a string, paper_b string"), chunks, Writer)
+    assert answers.first().answer and {(r.paper_id, r.label) for r in sources.collect()} == {("p", "A"), ("o", "B")}
+    paper = {"p": {"title": "t", "abstract": "an abstract", "full_text": [{"section_name": "S", "paragraphs": ["some words here"]}], "qas": []}}
+    stored = qa.ingest_papers(readers.papers(spark.createDataFrame([(json.dumps(paper),)], "json string"))).collect()
+    assert {r.document for r in stored} == {"an abstract", "some words here"}
