@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, lines, quality, rlz, secrets, setsketch, suffixes, tools
+from . import audio, bpe, decontaminate, divergence, lines, quality, rlz, secrets, setsketch, suffixes, tools
 from .registry import query
 
 
@@ -139,3 +139,24 @@ from j left join steps on steps.call_id = j.call_id"""
 def op8(spark, sf_dir):
     calls, results = tools.turns(_table(spark, sf_dir, "conversations"))
     return tools.link(calls, results, tools.TURNS)
+
+
+OP13_SQL = r"""
+with d as (select coalesce(text, '') text, coalesce(lang, '') lang, coalesce(source, '') source, row_number() over () r from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+c as (select lang, source, term, count(*) n, count(distinct r) k from w group by all),
+kept as (select lang, term, sum(n) n from c group by all having sum(k) >= 10),
+lv as (select lang, count(*) v, sum(n) total from kept group by 1),
+g as (select distinct lang, source from d),
+dense as (select g.lang, g.source, kept.term, coalesce(c.n, 0)::hugeint n, v, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) total, kept.n::hugeint ln, lv.total lt
+          from g join kept on kept.lang = g.lang join lv on lv.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+p as (select *, 1 + (1000000000 * (n + 2)) // (total + 2 * v)::hugeint p, 1 + (1000000000 * (ln + 2)) // (lt + 2 * v)::hugeint q from dense),
+pair as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) v from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+rows as (select a.lang, a.source, 'pair' part, b.source item, coalesce(v, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source
+         union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where n > 0 and p > q)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from rows qualify part = 'pair' or rank <= 10"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
