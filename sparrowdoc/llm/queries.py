@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, divergence, lines, quality, rlz, secrets, setsketch, suffixes, tools
+from . import alignment, audio, bpe, decontaminate, divergence, lines, quality, repair, rlz, secrets, setsketch, suffixes, tools
 from .registry import query
 
 
@@ -141,6 +141,20 @@ def op8(spark, sf_dir):
     return tools.link(calls, results, tools.TURNS)
 
 
+@query("op11_repair_token_shards")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    return repair.documents(repair.write(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2))
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP13_SQL = r"""
 with d as (select coalesce(text, '') text, coalesce(lang, '') lang, coalesce(source, '') source, row_number() over () r from documents),
 w as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
