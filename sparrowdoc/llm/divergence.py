@@ -46,7 +46,7 @@ def _tally(batches):
     def out():
         for group in n:
             terms = list(n[group])
-            columns = [pa.array([group[0]] * len(terms)), pa.array([group[1]] * len(terms)), pa.array([t.decode() for t in terms]), pa.array(n[group].values(), pa.int64()), pa.array([docs[group][t] for t in terms], pa.int64())]
+            columns = [*(pa.array(c, pa.string()) for c in ([group[0]] * len(terms), [group[1]] * len(terms), [t.decode() for t in terms])), pa.array(n[group].values(), pa.int64()), pa.array([docs[group][t] for t in terms], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in _TALLY])
         n.clear()
         docs.clear()
