@@ -32,20 +32,28 @@ def postings(chunks: DataFrame, keys: list[str], tokens: str = "tokens") -> Data
     return chunks.select(*keys, F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, chunks: DataFrame, queries: DataFrame, keys: list[str], *, query_key: str, query_text: str, tokens: str = "tokens", scope: list[str] | None = None) -> DataFrame:
+def bm25(index: DataFrame | None, chunks: DataFrame, queries: DataFrame, keys: list[str], *, query_key: str, query_text: str, tokens: str = "tokens", scope: list[str] | None = None) -> DataFrame:
     """(query_key, keys, score) of every chunk that shares a term with a query; repeated query terms count again.
 
     Negative idf is replaced by EPSILON times the mean idf of the vocabulary. ``scope``: columns of all three tables
-    (a paper, say) within which statistics are taken and chunks are found; none for the whole table.
+    (a paper, say) within which statistics are taken and chunks are found; none for the whole table. ``index``: the
+    chunks' postings, if they are at hand; else the vocabulary is counted with partial sums, and only occurrences of the
+    queries' terms become postings, before anything is dealt out if the terms are few.
     """
     scope = scope or []
     corpus = chunks.groupBy(*scope).agg(F.count("*").alias("_n"), F.avg(F.size(tokens)).alias("_avgdl"))
-    df = index.groupBy(*scope, "term").agg(F.count("*").alias("_df"))
+    terms = queries.select(*scope, query_key, F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy(*scope, query_key, "term").agg(F.count("*").alias("_times"))
+    if index is None:
+        df = chunks.select(*scope, F.explode(F.array_distinct(tokens)).alias("term")).groupBy(*scope, "term").agg(F.count("*").alias("_df"))
+        own = list(dict.fromkeys([*scope, *keys]))
+        each = chunks.select(*own, F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
+        index = each.join(small(terms.select(*scope, "term").distinct()), [*scope, "term"], "left_semi").groupBy(*own, "term", "dl").agg(F.count("*").alias("tf"))
+    else:
+        df = index.groupBy(*scope, "term").agg(F.count("*").alias("_df"))
     raw = F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)
     idf = _scoped(df, corpus, scope).withColumn("_raw", raw)
     mean = idf.groupBy(*scope).agg(F.avg("_raw").alias("_mean"))
     idf = _scoped(idf, mean, scope).select(*scope, "term", "_avgdl", F.when(F.col("_raw") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_raw")).alias("_idf"))
-    terms = queries.select(*scope, query_key, F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy(*scope, query_key, "term").agg(F.count("*").alias("_times"))
     tf = F.col("tf")
     part = F.col("_times") * F.col("_idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_avgdl")))
     return index.join(terms.join(idf, [*scope, "term"]), [*scope, "term"]).groupBy(query_key, *dict.fromkeys([*scope, *keys])).agg(F.sum(part).alias("score"))
@@ -65,9 +73,9 @@ def bm25_top(scored: DataFrame, chunks: DataFrame, queries: DataFrame, *, query_
     w = Window.partitionBy(*(scope or [F.lit(0)])).orderBy(pos)
     first = chunks.select(*scope, pos).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 2 * k).drop("_n")
     asked = queries.select(*scope, query_key).distinct()
-    filler = (asked.join(first, scope) if scope else asked.crossJoin(F.broadcast(first))).join(scored.select(query_key, pos), [query_key, pos], "left_anti")
+    filler = asked.join(first, scope) if scope else asked.crossJoin(F.broadcast(first))  # 2 k rows
     both = scored.select(query_key, pos, "score").unionByName(filler.select(query_key, pos, F.lit(0.0).alias("score")))
-    return top(both, query_key, [F.desc("score"), F.col(pos)], k)
+    return top(both.groupBy(query_key, pos).agg(F.sum("score").alias("score")), query_key, [F.desc("score"), F.col(pos)], k)
 
 
 def top(scored: DataFrame, by: str, order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -75,7 +83,7 @@ def top(scored: DataFrame, by: str, order: list, k: int, rank: str = "rank") ->
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vector: str, vector_id: str, vector: str, k: int = 5, scope: str | None = None, rows: int = SMALL_ROWS) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vector: str, vector_id: str, vector: str, k: int = 5, scope: str | list[str] | None = None, rows: int = SMALL_ROWS) -> DataFrame:
     """Exact k nearest by squared L2, within ``scope`` where it is given.
 
     A checked, small set of queries is broadcast to the vectors. A larger one is dealt into blocks of about ``rows``
@@ -83,7 +91,7 @@ def knn(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vector:
     """
     asked, held = queries.alias("q"), vectors.alias("v")
     if scope:
-        pairs = held.join(small(asked, rows), F.col("q." + scope) == F.col("v." + scope))
+        pairs = held.join(small(asked, rows), [F.col("q." + c) == F.col("v." + c) for c in ([scope] if isinstance(scope, str) else scope)])
     elif (some := small(asked, rows)) is not asked:
         pairs = held.crossJoin(some)
     else:
@@ -127,11 +135,10 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, *, query_key: str = "
     scope = scope or []
     asked = queries.select(*scope, query_key, boosted(F.col("query"), F.col("boost")).alias("_said"), embed(F.coalesce("hyde", "query")).alias("_vector"))
     cut = chunks.select(*scope, pos, lexical_tokens(F.col("text")).alias("tokens"), embed(F.col("text")).alias("_v"))
-    scored = bm25(postings(cut, [*scope, pos]), cut, asked, [pos], query_key=query_key, query_text="_said", scope=scope)
+    scored = bm25(None, cut, asked, [pos], query_key=query_key, query_text="_said", scope=scope)
     lexical = bm25_top(scored, cut, asked, query_key=query_key, pos=pos, k=CANDIDATES, scope=scope)
-    pairs = cut.select(*scope, pos, "_v").join(small(asked.select(*scope, query_key, "_vector")), scope) if scope else cut.select(pos, "_v").crossJoin(small(asked.select(query_key, "_vector")))
-    near = pairs.select(query_key, pos, F.round(squared_l2(F.col("_vector"), F.col("_v")), 6).alias("distance"))
-    return hybrid(lexical, top(near, query_key, [F.col("distance"), F.col(pos)], CANDIDATES), by=query_key, item=pos, k=k)
+    dense = knn(asked.select(*scope, query_key, "_vector"), cut.select(*scope, pos, "_v"), query_id=query_key, query_vector="_vector", vector_id=pos, vector="_v", k=CANDIDATES, scope=scope)
+    return hybrid(lexical, dense.withColumnRenamed("query_id", query_key), by=query_key, item=pos, k=k)
 
 
 def multihop_retrieve(queries: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", pos: str = "chunk_id", text: str = "text", scope: list[str] | None = None, **options) -> DataFrame:
@@ -139,12 +146,19 @@ def multihop_retrieve(queries: DataFrame, chunks: DataFrame, *, query_key: str =
 
     The question itself is pass 0; a sub-question that equals it is left out. ``retrieval_k`` of a query bounds each pass.
     """
+    plain = queries.withColumns({"hyde": F.lit(None).cast("string"), "_merged": F.lit(True)})
+    return _hopped(plain, chunks, query_key=query_key, pos=pos, text=text, scope=scope, **options)
+
+
+def _hopped(queries: DataFrame, chunks: DataFrame, *, query_key: str, pos: str, text: str, scope: list[str] | None, **options) -> DataFrame:
+    """(query_key, pos, pass, rank) of all passes of all queries by one search; texts that repeat go where ``_merged``."""
     scope = scope or []
-    hops = queries.select(*scope, query_key, "boost", "retrieval_k", F.posexplode(passes(F.col("query"), F.col("sub_questions"))).alias("pass", "query"))
-    hops = hops.withColumns({"_hop": F.concat_ws("/", F.col(query_key).cast("string"), "pass"), "hyde": F.lit(None).cast("string")})
+    hops = queries.select(*scope, query_key, "boost", "hyde", "retrieval_k", "_merged", F.posexplode(passes(F.col("query"), F.col("sub_questions"))).alias("pass", "query"))
+    hops = hops.withColumn("_hop", F.concat_ws("/", F.col(query_key).cast("string"), "pass"))
     found = hybrid_retrieve(hops, chunks, query_key="_hop", pos=pos, k=2 * CANDIDATES, scope=scope, **options)
-    found = found.join(hops.select("_hop", query_key, "pass", "retrieval_k"), "_hop").where(F.col("rank") <= F.col("retrieval_k"))
-    keyed = found.join(chunks.select(pos, F.md5(text).alias("_text")), pos)
+    found = found.join(hops.select("_hop", query_key, "pass", "retrieval_k", "_merged"), "_hop").where(F.col("rank") <= F.col("retrieval_k"))
+    said = F.when(F.col("_merged"), F.md5(text)).otherwise(F.col(pos).cast("string"))
+    keyed = found.join(chunks.select(pos, text), pos).withColumn("_text", said)
     return first_occurrences(keyed, [query_key, "_text"], ["pass", "rank"]).select(query_key, pos, "pass", "rank")
 
 
@@ -158,9 +172,9 @@ def route(plans: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", p
     search, multi-hop ones by several; the best llm_k after re-ranking, or by retrieval rank where ``reranked`` is off."""
     config = plan_config(F.col("plan.answer_type"))
     asked = plans.select(*(scope or []), query_key, "query", F.col("plan.key_concepts").alias("boost"), F.col("plan.sub_questions").alias("sub_questions"), F.col("plan.complexity").alias("_kind"), F.when(F.lit(hyde) & (F.col("hyde") != F.col("query")), F.col("hyde")).alias("hyde"), config["retrieval_k"].alias("retrieval_k"), config["llm_k"].alias("llm_k"))
-    shared = {"query_key": query_key, "pos": pos, "scope": scope, **options}
-    one = hybrid_retrieve(asked.where("_kind <> 'multi_hop'"), chunks, k=2 * CANDIDATES, **shared).select(query_key, pos, F.lit(0).alias("pass"), "rank")
-    found = one.unionByName(multihop_retrieve(asked.where("_kind = 'multi_hop'"), chunks, text=text, **shared))
+    several = F.coalesce(F.col("_kind") == "multi_hop", F.lit(False))
+    asked = asked.withColumns({"_merged": several, "sub_questions": F.when(several, F.col("sub_questions")), "hyde": F.when(~several, F.col("hyde"))})
+    found = _hopped(asked, chunks, query_key=query_key, pos=pos, text=text, scope=scope, **options)
     found = found.join(asked.select(query_key, "query", "retrieval_k", "llm_k"), query_key).where(F.col("rank") <= F.col("retrieval_k"))
     found = found.withColumn("_order", F.row_number().over(Window.partitionBy(query_key).orderBy("pass", "rank")))
     if not reranked:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import context_entry, lexical_tokens
 from ..functions.vectors import cosine
 from ..operators import chunking, evaluation, retrieval
+from ..operators.index import Index
 from ..registry import query
-from ..session import read_table
+from ..session import read_table, shared_folder
 
 SIZE, OVERLAP = 256, 50
 
@@ -37,8 +40,7 @@ def _chunks(spark, sf_dir) -> DataFrame:
 
 
 def _scored(spark, sf_dir, units: DataFrame, keys: list[str]) -> DataFrame:
-    index = retrieval.postings(units, keys)
-    scored = retrieval.bm25(index, units, read_table(spark, sf_dir, "benchmark"), keys, query_key="item_id", query_text="text")
+    scored = retrieval.bm25(None, units, read_table(spark, sf_dir, "benchmark"), keys, query_key="item_id", query_text="text")
     return scored.withColumn("score", F.round("score", 4))
 
 
@@ -72,6 +74,54 @@ def bm25_documents(spark, sf_dir):
     return _ranked_documents(spark, sf_dir, 10).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _index(spark, sf_dir) -> Index:
+    """The documents of each source as a paper."""
+    index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", paper="source", pos="doc_id")
+    index.put(read_table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
+    return index
+
+
+def _indexed(spark, sf_dir, index: Index, k: int) -> DataFrame:
+    scored = index.search(read_table(spark, sf_dir, "benchmark"), query_key="item_id", query="text").withColumn("score", F.round("score", 4))
+    out = retrieval.top(scored, "item_id", [F.desc("score"), F.col("doc_id")], k)
+    return out.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("indexed_bm25", f"with {DOCS_SQL} select item_id, doc_id, score, rank from ranked where rank <= 10")
+def indexed_bm25(spark, sf_dir):
+    return _indexed(spark, sf_dir, _index(spark, sf_dir), 10)
+
+
+@query("reindexed_bm25", "with documents as (select * replace (case when source = 'src1' then text || ' ' || lang || ' ' || source else text end as text) from documents where source <> 'src2')," + f"""
+{DOCS_SQL} select item_id, doc_id, score, rank from ranked where rank <= 10""")
+def reindexed_bm25(spark, sf_dir):
+    """As before, after one paper is replaced and one deleted."""
+    index, docs = _index(spark, sf_dir), read_table(spark, sf_dir, "documents")
+    index.put(docs.where("source = 'src1'").select("source", "doc_id", F.concat_ws(" ", "text", "lang", "source").alias("text")))
+    index.drop(docs.where("source = 'src2'").select("source"))
+    return _indexed(spark, sf_dir, index, 10)
+
+
+SCOPED_SQL = f"""with q as (select item_id, term, count(*) times from (select item_id, unnest({WORDS.format('lower(text)')}) term from benchmark) group by all),
+u as (select source, doc_id, {WORDS.format('lower(text)')} tokens from documents),
+stats as (select source, count(*) n, avg(len(tokens)) avgdl from u group by 1),
+post as (select source, doc_id, dl, term, count(*) tf from (select source, doc_id, len(tokens) dl, unnest(tokens) term from u) group by all),
+df as (select source, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) raw from post join stats using (source) group by source, term, n),
+idf as (select source, term, case when raw < 0 then 0.25 * avg(raw) over (partition by source) else raw end idf from df),
+scored as (select item_id, source, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) score from q join idf using (term) join post using (source, term) join stats using (source) where source = 'src' || item_id % 20 group by all)
+select item_id, source, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) rank from scored) where rank <= 3"""
+
+
+@query("indexed_bm25_by_paper", SCOPED_SQL)
+def indexed_bm25_by_paper(spark, sf_dir):
+    """Each item asked in one paper, with that paper's statistics."""
+    index = _index(spark, sf_dir)
+    asked = read_table(spark, sf_dir, "benchmark").withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
+    scored = index.search(asked, query_key="item_id", query="text", scoped=True).withColumn("score", F.round("score", 4))
+    out = retrieval.top(scored, "item_id", [F.desc("score"), F.col("doc_id")], 3)
+    return out.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 HIT_SQL = f"with {DOCS_SQL}, hits as (select r.item_id, r.rank, contains(d.text, b.text) hit from ranked r join documents d using (doc_id) join benchmark b using (item_id) where rank <= 5)"
 
 
