@@ -1,11 +1,11 @@
 """Alignment of two tokenizers' ids over the same bytes, by DuckDB in each Arrow batch and sums merged in Spark.
 
 Tokenizer A is byte-level and reads blank + text; B is SentencePiece BPE and puts the blank there itself. A task cuts the
-bytes of its documents into words at which neither merges, and hands DuckDB interval tables of the distinct words' tokens
-(word, number, end, id) and the table of words by document. DuckDB finds the ends that both sides share, gives each token
-its group by an ASOF join, numbers groups by window sums, and joins the sides by group; words' links become documents'
-links, with a count of documents for each pair of ids in the batch. Spark adds those counts up, finds each A id's best,
-and joins them back onto the documents' links.
+bytes of its documents into words at which neither merges. Words that its worker has not met yet go to DuckDB as interval
+tables of their tokens (word, number, end, id): it finds the ends that both sides share, numbers groups by a window sum,
+gives each token its group by an ASOF join and joins the sides by group; the words' linked pairs stay in a DuckDB table.
+That table and the batch's (document, word) counts give the documents' links, with a count of documents for each pair of
+ids in the batch. Spark adds those counts up, finds each A id's best, and joins them back onto the documents' links.
 
 A word boundary is a shared end, so groups never reach over it. Texts whose joined bytes differ from blank + text on
 either side (B reads U+2581 as a blank) have no tokens, and so have null and empty ones: all counts are 0.
@@ -17,10 +17,12 @@ other than id and text are left out.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,56 +30,125 @@ from pyspark.sql import types as T
 from . import pieces
 from .common import long, materialize, small_batches, string
 
-#: Text bytes that are aligned in one go.
-SLICE_BYTES = 2 << 20
+#: Text bytes that are aligned in one go, and words that a worker remembers.
+SLICE_BYTES, MOST = 2 << 20, 400_000
 #: Room for an id of B in a pair.
 SHIFT = 20
 
 _LINKS = T.ArrayType(T.StructType([long("pair"), long("n")]))
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
-#: a and b: tokens of distinct words (word, i, stop, id); occ: words by document (doc, i, word); bad: words with other bytes.
-_SQL = f"""
-create temp table cuts as select word, stop, row_number() over (partition by word order by stop) as g from a semi join b using (word, stop);
-create temp table ga as select a.word, g, i, id from a asof join cuts c on a.word = c.word and c.stop >= a.stop;
-create temp table gb as select b.word, g, i, id from b asof join cuts c on b.word = c.word and c.stop >= b.stop;
-create temp table groups as
-  select word, g, na, nb, sa || '|' || sb as ids
-  from (select word, g, count(*) as na, string_agg(id, ',' order by i) as sa from ga group by all)
-  join (select word, g, count(*) as nb, string_agg(id, ',' order by i) as sb from gb group by all) using (word, g);
-create temp table words as select word, sum(na) as n_a, sum(nb) as n_b, count(*) as n_groups, sum(na * nb) as n_links, string_agg(ids, ';' order by g) as ids from groups group by word;
-create temp table pairs as select word, (ga.id << {SHIFT}) | gb.id as pair, count(*) as n from ga join gb using (word, g) group by all;
-create temp table good as select doc, i, word from occ anti join (select distinct doc from occ join bad using (word)) using (doc);
-create temp table linked as
-  select doc, pair, sum(n * times) as n from (select doc, word, count(*) as times from good group by all) join pairs using (word) group by all
+#: a and b: tokens of words (word, i, stop, id).
+_GROUPS = """
+create or replace temp table cuts as select word, stop, sum(1) over (partition by word order by stop) as g from a semi join b using (word, stop);
+create or replace temp table ga as select a.word, g, i, id from a asof join cuts c on a.word = c.word and c.stop >= a.stop;
+create or replace temp table gb as select b.word, g, i, id from b asof join cuts c on b.word = c.word and c.stop >= b.stop
+"""
+_TOKENS = "select word, g, side, id from (select word, g, 0 as side, i, id from ga union all select word, g, 1, i, id from gb) order by word, g, side, i"
+_PAIRS = f"insert into pairs select ga.word, (ga.id << {SHIFT}) | gb.id, count(*) from ga join gb using (word, g) group by all"
+#: occ: words by document (doc, word).
+_LINKED = """
+create or replace temp table linked as
+  select doc, pair, sum(n * times)::bigint as n from (select doc, word, count(*) as times from occ group by all) join pairs using (word) group by all
 """
-_TEMPORARY = "cuts ga gb groups words pairs good linked".split()
 
 
 class Side:
-    """One tokenizer in a task: words to ids, and the bytes of each id."""
+    """One tokenizer: its encoder of words, and the bytes of each id."""
 
     def __init__(self, encode, vocabulary: list[bytes]):
-        self.vocabulary, self.sizes = vocabulary, np.array([len(x) for x in vocabulary], np.int64)
-        self.words = pieces.Words(encode)
-
-    def tokens(self, words: list[bytes]) -> tuple[pa.Table, np.ndarray]:
-        """The interval table of distinct words, and which of them the ids don't spell."""
-        ids, each = self.words.spell(words, np.arange(len(words)))
-        word = np.repeat(np.arange(len(words)), each)
-        first = np.concatenate([[0], np.cumsum(each)])[:-1]
-        size = self.sizes[ids]
-        ends = np.cumsum(size)
-        before = np.concatenate([[0], ends])[first] if len(first) else first
-        table = pa.table({"word": word, "i": np.arange(len(ids)) - np.repeat(first, each), "stop": ends - np.repeat(before, each), "id": ids.astype(np.int64)})
-        spelt, texts = b"".join(map(self.vocabulary.__getitem__, ids.tolist())), b"".join(words)
-        if spelt == texts:
-            return table, np.zeros(0, np.int64)
-        odd, at, to = [], first.tolist(), [*first[1:].tolist(), len(ids)]
-        for w, text in enumerate(words):
-            if b"".join(self.vocabulary[i] for i in ids[at[w] : to[w]].tolist()) != text:
-                odd.append(w)
-        return table, np.array(odd, np.int64)
+        self.encode, self.vocabulary, self.sizes = encode, vocabulary, np.array([len(x) for x in vocabulary], np.int64)
+
+    def tokens(self, words: list[bytes], base: int) -> tuple[pa.Table, np.ndarray]:
+        """The interval table of words, numbered from ``base``, and whether the ids spell each."""
+        got = self.encode(words)
+        each = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter((i for x in got for i in x), np.int64, int(each.sum()))
+        first = np.cumsum(each) - each
+        ends = np.cumsum(self.sizes[ids])
+        before = np.append(0, ends)[first]
+        table = pa.table({"word": base + np.repeat(np.arange(len(words)), each), "i": np.arange(len(ids)) - np.repeat(first, each), "stop": ends - np.repeat(before, each), "id": ids})
+        return table, np.array([b"".join([self.vocabulary[i] for i in x]) == w for x, w in zip(got, words, strict=True)], bool)
+
+
+class Aligner:
+    """Aligned words of a worker."""
+
+    def __init__(self, path_a: str, path_b: str, most: int = MOST):
+        import duckdb
+
+        self.a, self.b, self.most = side_a(path_a), side_b(path_b), most
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": "", "preserve_insertion_order": False})
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.good, self.counts, self.groups = np.zeros(0, bool), np.zeros((0, len(_COUNTS)), np.int64), pa.array([], pa.string())
+        self.db.execute("create or replace table pairs (word bigint, pair bigint, n bigint)")
+
+    def _tables(self, **tables: pa.Table) -> None:
+        for name, table in tables.items():
+            self.db.register(name, table)
+
+    def slots(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words, of which new ones are aligned. Older numbers hold no longer after this."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self._clear()
+            new = words
+        if new:
+            self._align(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _align(self, new: list[bytes]) -> None:
+        base = len(self.known)
+        (ta, spelt_a), (tb, spelt_b) = self.a.tokens(new, base), self.b.tokens(new, base)
+        self._tables(a=ta, b=tb)
+        self.db.execute(_GROUPS)
+        self.db.execute(_PAIRS)
+        word, g, side, ids = (c.to_numpy() for c in self.db.execute(_TOKENS).to_arrow_table().columns)
+        word = word - base
+        g = g.astype(np.int64)
+        count = lambda rows: np.bincount(word[rows], minlength=len(new))
+        # a group ends where the next token's word or number differs, a side of it also where the side does
+        last = np.append((word[1:] != word[:-1]) | (g[1:] != g[:-1]), True)
+        turn = last | np.append(side[1:] != side[:-1], True)
+        group = np.cumsum(last) - last
+        links = np.bincount(group[side == 0]) * np.bincount(group[side == 1])
+        self.counts = np.concatenate([self.counts, np.stack([count(side == 0), count(side == 1), count(last), np.bincount(word[last], links, len(new)).astype(np.int64)], axis=1)])
+        mark = pa.array([",", "|", ";", ""]).take(pa.array(np.where(~turn, 0, np.where(side == 0, 1, np.where(np.append(word[1:] == word[:-1], False), 2, 3)))))
+        told = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), mark, "")
+        own = pa.ListArray.from_arrays(pa.array(np.searchsorted(word, np.arange(len(new) + 1)), pa.int32()), told)
+        self.groups = pa.concat_arrays([self.groups, pc.binary_join(own, "")])
+        self.good = np.concatenate([self.good, spelt_a & spelt_b])
+        self.known.update(zip(new, range(base, base + len(new)), strict=True))
+
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, list[str], pa.Array, pa.Array]:
+        """Counts, digests and links of texts, and for each pair of them in how many it is linked."""
+        n = len(texts)
+        full = np.flatnonzero(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) > 0)
+        data, ends = pieces.flat(pc.binary_join_element_wise(pa.scalar(" "), texts.take(pa.array(full)), ""))
+        places = pieces.cut(data, ends, single=True)
+        known, at = pieces.distinct(data, places)
+        word = self.slots(known)[at] if known else at
+        doc = np.searchsorted(ends, places[:-1], "right") - 1
+        spoilt = np.zeros(len(full), bool)
+        spoilt[doc[~self.good[word]]] = True
+        word, doc = word[~spoilt[doc]], doc[~spoilt[doc]]
+        counts = np.zeros((n, len(_COUNTS)), np.int64)
+        for k in range(len(_COUNTS)):
+            counts[full, k] = np.bincount(doc, self.counts[word, k], len(full))
+        told = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(full) + 1)), pa.int32()), self.groups.take(pa.array(word)))
+        digests = [""] * n
+        for d, text in zip(full.tolist(), pc.binary_join(told, ";").to_pylist(), strict=True):
+            digests[d] = hashlib.sha256(text.encode()).hexdigest() if text else ""
+        self._tables(occ=pa.table({"doc": full[doc], "word": word}))
+        self.db.execute(_LINKED)
+        linked = self.db.execute("select doc, pair, n from linked order by doc").to_arrow_table().combine_chunks()
+        sums = self.db.execute("select pair, count(*)::bigint as n from linked group by pair").to_arrow_table().combine_chunks()
+        pairs = lambda t: pa.StructArray.from_arrays([pa.concat_arrays(t.column(c).chunks or [pa.array([], pa.int64())]) for c in ("pair", "n")], names=["pair", "n"])
+        bounds = np.searchsorted(linked.column("doc").to_numpy(), np.arange(n + 1))
+        return counts, digests, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs(linked)), pa.ListArray.from_arrays(pa.array([0, len(sums)], pa.int32()), pairs(sums))
 
 
 def side_a(path: str) -> Side:
@@ -123,45 +194,21 @@ def side_b(path: str) -> Side:
 def _kernel(path_a: str, path_b: str, names: list[str], id_type: pa.DataType, list_type: pa.DataType):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import duckdb
-
-        a, b = pieces.remembered(("a", path_a), lambda: side_a(path_a)), pieces.remembered(("b", path_b), lambda: side_b(path_b))
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", "preserve_insertion_order": False})
+        aligner = pieces.remembered(("alignment", path_a, path_b), lambda: Aligner(path_a, path_b))
         for batch in batches:
-            sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
             at = 0
             while at < len(sizes):
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES, "right")))
-                yield from aligned(db, a, b, batch.slice(at, n))
+                part = batch.slice(at, n)
+                counts, digests, links, sums = aligner.rows(part.column("text"))
+                own = [part.column("doc_id").cast(id_type), part.column("uid")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in counts.T), pa.array(digests, pa.string()), links.cast(list_type)], names=names)
+                # the slice's counts are a row without a document
+                none = [pa.nulls(1, t) for t in (id_type, *[pa.int64()] * 5, pa.string())]
+                yield pa.RecordBatch.from_arrays([*none, sums.cast(list_type)], names=names)
                 at += n
 
-    def aligned(db, a: Side, b: Side, batch: pa.RecordBatch):
-        texts = batch.column("text").fill_null("")
-        full = np.flatnonzero(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-        data, rows = pieces.flat(pa.compute.binary_join_element_wise(pa.scalar(" "), texts.take(pa.array(full)), ""))
-        places = pieces.cut(data, rows, single=True)
-        known, at = pieces.distinct(data, places)
-        (ta, odd_a), (tb, odd_b) = a.tokens(known), b.tokens(known)
-        doc = np.searchsorted(rows, places[:-1], "right") - 1
-        occ = pa.table({"doc": full[doc], "i": np.arange(len(at)), "word": at})
-        for name, table in (("a", ta), ("b", tb), ("occ", occ), ("bad", pa.table({"word": np.union1d(odd_a, odd_b).astype(np.int64)})), ("rows", pa.table({"doc": np.arange(batch.num_rows)}))):
-            db.register(name, table)
-        db.execute(_SQL)
-        facts = db.execute(f"""
-            select {", ".join(f"coalesce({c}, 0)::bigint" for c in _COUNTS)}, coalesce(digest, ''), coalesce(links, [])
-            from rows
-            left join (select doc, {", ".join(f"sum({c}) as {c}" for c in _COUNTS)}, sha256(string_agg(ids, ';' order by i)) as digest from good join words using (word) group by doc) using (doc)
-            left join (select doc, list({{'pair': pair, 'n': n::bigint}}) as links from linked group by doc) using (doc) order by doc""").to_arrow_table()
-        sums = db.execute("select list({'pair': pair, 'n': n}) from (select pair, count(*) as n from linked group by pair)").to_arrow_table()
-        for name in _TEMPORARY:
-            db.execute(f"drop table {name}")
-        mine = pa.Table.from_batches([batch.select(["doc_id", "uid"])])
-        columns = [mine.column(0).cast(id_type), mine.column(1), *facts.columns[:5], facts.column(5).cast(list_type)]
-        yield from pa.table(columns, names=names).to_batches()
-        if len(occ):  # the batch's counts are a row without a document
-            none = [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()), sums.column(0).combine_chunks().cast(list_type)]
-            yield from pa.table(none, names=names).to_batches()
-
     return run
 
 
