@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import evaluator_sentences, grader_sentences, is_negation, lexical_tokens, reconstruct, strip_fence
+from ..functions.text import evaluator_sentences, grader_sentences, is_negation, lexical_tokens, once, reconstruct, strip_fence
 from ..functions.vectors import cosine
 from ..models import QUERY_PREFIX
 from .evaluation import confidence
@@ -71,7 +71,18 @@ def answer_loop(questions: DataFrame, attempt, *, by: str, attempts: int = MAX_A
         every = rows if every is None else every.unionByName(rows, allowMissingColumns=True)
         outside = (F.lit(n) == 1) & (F.col("relevancy") < OUT_OF_DOMAIN)
         failing = questions.drop("failure_type").join(rows.where((F.col("confidence") < PASS) & ~outside).select(by, "failure_type"), by)
-    return best_attempt(every, by=by)
+    best = best_attempt(every, by=by)
+    if "calls" not in every.columns:
+        return best
+    # the calls of all attempts, in order
+    calls = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("attempt", "calls"))), lambda a: a["calls"]))
+    return best.drop("calls").join(every.groupBy(by).agg(calls.alias("calls")), by)
+
+
+def warning(passed: Column, confidence: Column, outside: Column) -> Column:
+    """What a reader is told of an answer that doesn't pass; null for one that does."""
+    low = F.format_string(f"The answer's confidence is %.1f of 100, under {PASS}; the paper may not hold what was asked for.", confidence)
+    return F.when(passed, F.lit(None)).when(outside, "The question seems to be about something other than this paper.").otherwise(low)
 
 
 def parse_grades(raw: Column) -> Column:
@@ -99,7 +110,7 @@ def grade_answers(answers: DataFrame, *, by: list[str], answer: str = "answer",
     rows = rows.withColumn("_m", merged.cast(kind))
     key = lambda text: F.trim(F.substring(text, 1, 60))
     last = lambda s: F.element_at(F.concat(F.array(entry(s, F.lit("INFERRED"), F.lit("none"))), F.filter("_m", lambda g: key(g["sentence"]) == key(s))), -1)
-    rich = F.transform("_s", lambda s: F.struct(s.alias("sentence"), last(s)["grade"].alias("grade"), last(s)["chunk_ref"].alias("chunk_ref"), (last(s)["grade"] != "UNSUPPORTED").alias("kept")))
+    rich = F.transform("_s", lambda s: once(last(s), lambda g: F.struct(s.alias("sentence"), g["grade"].alias("grade"), g["chunk_ref"].alias("chunk_ref"), (g["grade"] != "UNSUPPORTED").alias("kept"))))
     nothing = F.array().cast("array<struct<sentence:string,grade:string,chunk_ref:string,kept:boolean>>")
     failed = F.col(grades).isNull() & (F.size(F.filter("_neg", lambda n: ~n)) > 0)
     rows = rows.withColumn("_g", F.when(failed, nothing).otherwise(rich))

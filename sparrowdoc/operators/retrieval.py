@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import boosted, lexical_tokens
 from ..functions.vectors import squared_l2
-from ..models import hashed_embedding
+from ..models import hashed_embedding, score_pairs
 
 # How many chunks are retrieved and how many the model gets, by answer type.
 ROUTES = {
@@ -167,7 +167,7 @@ def passes(query, sub_questions):
     return F.concat(F.array(query), F.filter(F.coalesce(sub_questions, F.array().cast("array<string>")), lambda q: q != query))
 
 
-def route(plans: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", pos: str = "chunk_id", text: str = "text", scope: list[str] | None = None, scorer=None, reranked: bool = True, hyde: bool = True, **options) -> DataFrame:
+def route(plans: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", pos: str = "chunk_id", text: str = "text", scope: list[str] | None = None, scorer=None, pair_scorer=None, reranked: bool = True, hyde: bool = True, **options) -> DataFrame:
     """(query_key, pos, new_rank) of planned questions (query_key, scope, query, plan, hyde): simple ones by one hybrid
     search, multi-hop ones by several; the best llm_k after re-ranking, or by retrieval rank where ``reranked`` is off."""
     config = plan_config(F.col("plan.answer_type"))
@@ -179,7 +179,7 @@ def route(plans: DataFrame, chunks: DataFrame, *, query_key: str = "query_id", p
     found = found.withColumn("_order", F.row_number().over(Window.partitionBy(query_key).orderBy("pass", "rank")))
     if not reranked:
         return found.where(F.col("_order") <= F.col("llm_k")).select(query_key, pos, F.col("_order").alias("new_rank"))
-    ranked = rerank(found.join(chunks.select(pos, F.col(text).alias("_text")), pos), by=query_key, query="query", text="_text", tie="_order", k=max(c[1] for c in ROUTES.values()), scorer=scorer)
+    ranked = rerank(found.join(chunks.select(pos, F.col(text).alias("_text")), pos), by=query_key, query="query", text="_text", tie="_order", k=max(c[1] for c in ROUTES.values()), scorer=scorer, pair_scorer=pair_scorer)
     return ranked.where(F.col("new_rank") <= F.col("llm_k")).select(query_key, pos, "new_rank")
 
 
@@ -207,11 +207,16 @@ def interleave(a: DataFrame, b: DataFrame, *, by: str, rank: str = "rank") -> Da
     return both.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(rank, "label")))
 
 
-def rerank(pairs: DataFrame, *, by: str, query: str, text: str, tie: str, k: int, scorer=None) -> DataFrame:
-    """The best ``k`` of each query by ``scorer(query, text)``; the default is the share of query words in the text."""
-    if scorer is None:
+def rerank(pairs: DataFrame, *, by: str, query: str, text: str, tie: str, k: int, scorer=None, pair_scorer=None) -> DataFrame:
+    """The best ``k`` of each query by ``scorer(query, text)``; the default is the share of query words in the text.
+
+    ``pair_scorer``, a factory of a batched model (models.score_pairs), takes the place of the Column function.
+    """
+    if pair_scorer is not None:
+        scored = score_pairs(pairs, query, text, "rerank_score", pair_scorer)
+    elif scorer is None:
         q, t = F.array_distinct(lexical_tokens(F.col(query))), F.array_distinct(lexical_tokens(F.col(text)))
-        score = F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.size(q)), F.lit(0.0))
+        scored = pairs.withColumn("rerank_score", F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.size(q)), F.lit(0.0)))
     else:
-        score = scorer(F.col(query), F.col(text))
-    return top(pairs.withColumn("rerank_score", F.round(score, 6)), by, [F.desc("rerank_score"), F.col(tie)], k, "new_rank")
+        scored = pairs.withColumn("rerank_score", scorer(F.col(query), F.col(text)))
+    return top(scored.withColumn("rerank_score", F.round("rerank_score", 6)), by, [F.desc("rerank_score"), F.col(tie)], k, "new_rank")

@@ -20,8 +20,12 @@ Client = Callable[[], ChatModel]
 
 
 def ask(rows: DataFrame, prompt: Column, client: Client, *, max_tokens: int, temperature: float, out: str = "reply") -> DataFrame:
-    """``rows`` with the model's reply; null where the call failed."""
-    asked = complete(rows.withColumn("_prompt", prompt), "_prompt", out, client, max_tokens=max_tokens, temperature=temperature)
+    """``rows`` with the model's reply; null where the call failed. A column ``calls`` gets the call appended.
+
+    A client may say, by its attributes ``at_once`` and ``deadline``, how many calls a task has under way and for how long.
+    """
+    options = {k: getattr(client, k) for k in ("at_once", "deadline") if hasattr(client, k)}
+    asked = complete(rows.withColumn("_prompt", prompt), "_prompt", out, client, max_tokens=max_tokens, temperature=temperature, **options)
     return asked.drop("_prompt")
 
 

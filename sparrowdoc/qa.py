@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prompts
-from .models import hashed_embedding
+from .models import accounted, call_totals, hashed_embedding
 from .operators import evaluation, grading, ingest, retrieval
-from .sources import readers
+from .sources import readers, sinks
 
 SCOPE = ["paper_id"]
 
@@ -33,7 +33,7 @@ def attempt(questions: DataFrame, n: int, chunks: DataFrame, client: prompts.Cli
 
     ``off`` switches features off: grader, rerank, hyde.
     """
-    rows = questions.withColumn("asked", F.col("query"))
+    rows = accounted(questions.withColumn("asked", F.col("query")))
     if n > 1:
         plan = grading.retry_plan(F.col("failure_type"), F.lit(n))
         rows = prompts.expand(rows.withColumn("_p", plan), client)
@@ -46,9 +46,9 @@ def attempt(questions: DataFrame, n: int, chunks: DataFrame, client: prompts.Cli
     found = cut(found.join(planned.select("query_id", "_slice"), "query_id").where((F.col("_slice") == 0) | (F.col("rank") <= F.col("_slice"))).drop("_slice"))
     written = cut(prompts.generate(planned.join(prompts.context(found, "query_id"), "query_id", "left"), client))
     if "grader" in off:
-        graded = written.select("query_id", F.col("answer").alias("cleaned_answer"), F.col("answer").alias("original_answer"), F.lit(0).alias("removed_count"), F.lit(False).alias("grading_failed"))
+        graded = written.select("query_id", "calls", F.col("answer").alias("cleaned_answer"), F.col("answer").alias("original_answer"), F.lit(0).alias("removed_count"), F.lit(False).alias("grading_failed"))
     else:
-        graded = prompts.grade(written, client, by=["query_id"]).drop("grades")
+        graded = prompts.grade(written, client, by=["query_id", "calls"]).drop("grades")
     answers = cut(written.select("query_id", "asked", "plan", "reasoning", "failed").join(graded, "query_id"))
     scored = grading.evaluate_answers(answers.select("query_id", F.col("asked").alias("question"), F.col("cleaned_answer").alias("answer")), found, by="query_id", embed=embed)
     failure = grading.diagnose(F.lit(None).cast("double"), F.col("faithfulness"), F.col("answer_relevancy"))
@@ -56,8 +56,21 @@ def attempt(questions: DataFrame, n: int, chunks: DataFrame, client: prompts.Cli
 
 
 def answer(questions: DataFrame, chunks: DataFrame, client: prompts.Client, *, attempts: int = grading.MAX_ATTEMPTS, cut: Callable = _checkpoint, **options) -> DataFrame:
-    """The best attempt at each question: only those that don't pass are tried again, but not questions out of domain."""
-    return grading.answer_loop(questions, lambda rows, n: attempt(rows, n, chunks, client, cut=cut, **options), by="query_id", attempts=attempts, cut=cut)
+    """The best attempt at each question: only those that don't pass are tried again, but not questions out of domain.
+
+    With it come the calls of all attempts: llm_calls, providers (one for each call), duration_ms; and a warning where the
+    answer doesn't pass, with failure_type, which is null otherwise.
+    """
+    best = grading.answer_loop(questions, lambda rows, n: attempt(rows, n, chunks, client, cut=cut, **options), by="query_id", attempts=attempts, cut=cut)
+    outside = ~F.col("passed") & (F.col("attempt") == 1) & (F.col("relevancy") < grading.OUT_OF_DOMAIN)
+    kind = F.when(F.col("passed"), F.lit(None)).when(outside, "out_of_domain").otherwise(F.col("failure_type"))
+    return best.withColumns(call_totals(F.col("calls"))).withColumns({"warning": grading.warning(F.col("passed"), F.col("confidence"), outside), "failure_type": kind})
+
+
+def log_answers(answers: DataFrame, questions: DataFrame, path: str) -> None:
+    """Append answers to the query log that ``readers.query_log`` reads."""
+    rows = answers.join(questions.select("query_id", "paper_id"), "query_id")
+    sinks.append_log(rows.select("paper_id", F.col("asked").alias("question"), "duration_ms", "confidence", F.col("attempt").alias("attempts"), "passed", "llm_calls", "providers"), path)
 
 
 def ablate(questions: DataFrame, chunks: DataFrame, client: prompts.Client, names: list[str] | None = None, **options) -> DataFrame:
