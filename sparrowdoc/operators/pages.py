@@ -109,7 +109,7 @@ def page_lines(glyphs: DataFrame, by: list[str] = PAGE) -> DataFrame:
     alone = placed.join(members.select(*by, "side", "y").distinct(), [*by, "side", "y"], "left_anti").select(*by, F.lit(0.0).alias("ly"), F.lit(0.0).alias("ry"), "side", "y", "x0", "x1", "text", "size", "y0", "y1")
     rows = joined.unionByName(alone)
     keys = [*by, "side", "y", "ly", "ry"]
-    w = Window.partitionBy(*keys).orderBy("x0")
+    w = Window.partitionBy(*keys).orderBy("x0", "text")
     piece = F.when(F.col("x0") - F.lag("x1").over(w) > 2, F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     rows = rows.withColumn("_piece", piece).groupBy(*keys).agg(
         F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "_piece"))), lambda s: s["_piece"]), "")).alias("text"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import ingest, pages
+from ..operators import ingest, pages, papers, tables
 from ..registry import query
-from ..session import read_table
+from ..session import read_table, shared_folder
 from .retrieval import WORDS
 
 GLYPHS_SQL = """g as (select l_suppkey paper_id, l_linenumber page_num, 612.0::double page_width, left(l_returnflag, 1) as text, (l_partkey * 7919 % 560)::double + 20 x0, (l_partkey * 7919 % 560)::double + 25 x1,
@@ -39,12 +41,16 @@ def body_glyphs(spark, sf_dir):
     return body.groupBy("paper_id", "page_num").agg(F.count("*").alias("n"), F.round(F.sum("top"), 4).alias("tops"))
 
 
-@query("column_boundary", f"""with {BODY_SQL}, h as (select paper_id, page_num, bin, count(*) cov from (select paper_id, page_num, unnest(range(greatest(0, trunc(x0)::int), least(612, trunc(x1)::int) + 1)) bin from b) group by all),
+BOUNDARY_SQL = """h as (select paper_id, page_num, bin, count(*) cov from (select paper_id, page_num, unnest(range(greatest(0, trunc(x0)::int), least(612, trunc(x1)::int) + 1)) bin from b) group by all),
 p as (select distinct paper_id, page_num from b), bins as (select p.paper_id, p.page_num, r.bin, coalesce(cov, 0) cov from p cross join (select unnest(range(0, 613)) bin) r left join h on h.paper_id = p.paper_id and h.page_num = p.page_num and h.bin = r.bin),
 m as (select paper_id, page_num, median(cov) filter (where cov > 0) med from bins group by 1, 2),
 mid as (select * from bins where bin between 214 and 397), seed as (select paper_id, page_num, arg_min(bin, cov * 1000 + bin) seed from mid group by 1, 2),
 thin as (select paper_id, page_num, bin, seed, bin - row_number() over (partition by paper_id, page_num order by bin) run from mid join m using (paper_id, page_num) join seed using (paper_id, page_num) where cov <= med * 0.15::double or bin = seed),
-r as (select paper_id, page_num, run, seed, min(bin) lo, max(bin) hi from thin group by all) select paper_id, page_num, ((lo + hi) / 2)::double boundary from r where seed between lo and hi and hi - lo >= 5""")
+r as (select paper_id, page_num, run, seed, min(bin) lo, max(bin) hi from thin group by all)"""
+BOUNDARY = "select paper_id, page_num, ((lo + hi) / 2)::double boundary from r where seed between lo and hi and hi - lo >= 5"
+
+
+@query("column_boundary", f"with {BODY_SQL}, {BOUNDARY_SQL} {BOUNDARY}")
 def column_boundary(spark, sf_dir):
     return pages.column_boundary(pages.upright(glyphs(spark, sf_dir)))
 
@@ -125,3 +131,108 @@ select paper_id, n_sections, coalesce(n_chunks, 0) n_chunks, 0::bigint n_tables,
 def ingest_summary(spark, sf_dir):
     sections = _sections(spark, sf_dir)
     return ingest.summary(sections, ingest.paper_chunks(ingest.chunk_sections(sections)))
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ."
+TYPED_SQL = BODY_SQL.replace(GLYPHS_SQL, f"""g as (select l_suppkey paper_id, l_linenumber page_num, 612.0::double page_width, substr('{LETTERS}', (l_orderkey % 27 + 1)::int, 1) as text, (l_partkey * 7919 % 560)::double + 20 x0, (l_partkey * 7919 % 560)::double + 25 x1,
+l_quantity * 14 as top, round(l_discount * 100) + 8 size, l_linestatus = 'O' as upright, 800 - l_quantity * 14 - round(l_discount * 100) - 8 y0, 800 - l_quantity * 14 y1, l_orderkey * 8 + l_linenumber pos from lineitem)""")
+READ_SQL = f"""{TYPED_SQL}, {BOUNDARY_SQL}, bd as ({BOUNDARY}),
+sided as (select g.*, case when boundary is null then 'S' when (x0 + x1) / 2 < boundary then 'L' else 'R' end side from g left join bd using (paper_id, page_num) where upright),
+ends as (select paper_id, page_num, side, top, min(x0) x0, max(x1) x1 from sided group by all),
+whole as (select l.paper_id, l.page_num, l.top from ends l join ends r on l.paper_id = r.paper_id and l.page_num = r.page_num and l.top = r.top and l.side = 'L' and r.side = 'R' and r.x0 - l.x1 < 8),
+put as (select s.* exclude (side), case when w.top is not null and side <> 'S' then 'W' else side end side from sided s left join whole w using (paper_id, page_num, top)),
+pieces as (select *, case when x0 - lag(x1) over (partition by paper_id, page_num, side, top order by x0, text) > 2 then ' ' || text else text end piece from put),
+said as (select paper_id, page_num, side, top, trim(string_agg(piece, '' order by x0, piece)) as text, avg(size) avg_size, min(y0) y0, max(y1) y1 from pieces group by all),
+zones as (select *, case when side = 'R' then 2 when side = 'W' and top < min(case when side in ('L', 'R') then top end) over pg then 0 when side = 'W' and top > max(case when side in ('L', 'R') then top end) over pg then 3 else 1 end as zone from said window pg as (partition by paper_id, page_num)),
+l as (select paper_id, page_num, row_number() over (partition by paper_id, page_num order by zone, top, side) - 1 line_index, text, avg_size, y0, y1 from zones where text <> '')"""
+
+
+def typed(spark, sf_dir) -> DataFrame:
+    """Order lines as glyphs of letters, with sizes and heights."""
+    size = F.round(F.col("l_discount") * 100) + 8
+    x0 = (F.col("l_partkey") * 7919 % 560).cast("double") + 20
+    return read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("paper_id"), F.col("l_linenumber").alias("page_num"), F.lit(612.0).alias("page_width"), F.substring(F.lit(LETTERS), F.col("l_orderkey") % 27 + 1, F.lit(1)).alias("text"), x0.alias("x0"), (x0 + 5).alias("x1"),
+        (F.col("l_quantity") * 14).alias("top"), size.alias("size"), (F.col("l_linestatus") == "O").alias("upright"), (800 - F.col("l_quantity") * 14 - size).alias("y0"), (800 - F.col("l_quantity") * 14).alias("y1"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+    )
+
+
+@query("page_lines", f"with {READ_SQL} select paper_id, page_num, line_index, text, round(avg_size, 6) avg_size, y0, y1 from l")
+def page_lines(spark, sf_dir):
+    return pages.page_lines(typed(spark, sf_dir)).withColumns({"line_index": F.col("line_index").cast("long"), "avg_size": F.round("avg_size", 6)})
+
+
+@query("page_text", f"with {READ_SQL} select paper_id, page_num, string_agg(text, chr(10) order by line_index) as text from l group by 1, 2")
+def page_text(spark, sf_dir):
+    return pages.page_text(pages.page_lines(typed(spark, sf_dir)))
+
+
+class Marks:
+    """A chat model that confirms heading candidates by their numbers."""
+
+    name = "marks"
+
+    def complete(self, messages, max_tokens, temperature):
+        ids = [int(line.split("|")[0]) for line in messages[0]["content"].split("\n")[1:] if "|" in line]
+        return "\n".join(f"{i} | {('SECTION', 'SUBSECTION', 'NONE')[i % 3]}" for i in ids)
+
+
+HEADED_SQL = f"""{READ_SQL}, sizes as (select paper_id, page_num, size, count(*) n, min(pos) f from g group by 1, 2, 3),
+body as (select paper_id, page_num, size body from sizes qualify row_number() over (partition by paper_id, page_num order by n desc, f) = 1),
+near as (select *, lag(y0) over p - y1 gap, trim(text) t from l join body using (paper_id, page_num) window p as (partition by paper_id, page_num order by line_index)),
+points as (select *, case when avg_size > body + 1.5 then 3 else 0 end + case when len({WORDS.format('t')}) between 1 and 8 then 2 else 0 end + case when not regexp_matches(t, '[.,:;!?]$') then 2 else 0 end + case when regexp_matches(t, '^\\d+(\\.\\d+)*\\s+') then 2 else 0 end
++ case when upper(t) = t and lower(t) <> t then 1 else 0 end + case when coalesce(gap > 10, false) then 2 else 0 end score from near),
+asked as (select *, row_number() over (partition by paper_id order by page_num, line_index) id from points where score >= 8),
+heads as (select paper_id, page_num, line_index, case id % 3 when 0 then 'SECTION' when 1 then 'SUBSECTION' end as type from asked where id % 3 <> 2),
+running as (select l.*, h.type, count(h.type) over (partition by paper_id order by page_num, line_index) section_no from l left join heads h using (paper_id, page_num, line_index)),
+sections as (select paper_id, section_no, max(case when type is not null then trim(text) end) heading, max(type) as type, max(case when type is not null then page_num end) page_num, trim(coalesce(string_agg(trim(text), chr(10) order by page_num, line_index) filter (where type is null), '')) body from running where section_no > 0 group by 1, 2)"""
+STORED_SQL = f"""words as (select *, {WORDS.format('body')} w from sections where body <> ''),
+cut as (select paper_id, section_no, heading, type, page_num, s // 412 chunk_index, list_slice(w, s + 1, s + 512) k from (select *, unnest(range(0, len(w), 412)) s from words)),
+stored as (select paper_id, md5(array_to_string(k, ' ')) id, heading section, type section_type, page_num, chunk_index, len(k) token_count from cut qualify row_number() over (partition by paper_id, md5(array_to_string(k, ' ')) order by section_no, chunk_index) = 1)"""
+
+
+@query("ingest_glyphs", f"with {HEADED_SQL}, {STORED_SQL} select * from stored")
+def ingest_glyphs(spark, sf_dir):
+    """Glyphs to the chunks that a collection holds, through headings that a model confirms."""
+    collection = papers.Collection(spark, f"{shared_folder(spark)}/papers-{uuid.uuid4().hex}")
+    cut = lambda df: df.checkpoint()
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
+    collection.put(papers.ingest_glyphs(typed(spark, sf_dir), Marks, embed=lambda t: F.array(F.length(t).cast("float")), cut=cut))
+    rows = collection.scan()
+    return rows.select("paper_id", "id", "section", "section_type", "page_num", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"))
+
+
+@query("scanned_chunks", f"""with {SECTIONS_SQL}, d as (select paper_id, md5(array_to_string(k, ' ')) id, section_no, chunk_index, len(k) n from c where paper_id in ('src1', 'src2', 'src3', 'src4'))
+select paper_id, id, chunk_index, n token_count from d where paper_id <> 'src2' qualify row_number() over (partition by paper_id, id order by section_no, chunk_index) = 1""")
+def scanned_chunks(spark, sf_dir):
+    """Chunks of four papers from a collection of all, one of them deleted; only their folders are read."""
+    collection = papers.Collection(spark, f"{shared_folder(spark)}/papers-{uuid.uuid4().hex}")
+    collection.put(ingest.ingest(_sections(spark, sf_dir), None, embed=lambda t: F.array(F.length(t).cast("float"))))
+    names = read_table(spark, sf_dir, "documents").select(F.col("source").alias("paper_id")).distinct()
+    collection.drop(names.where("paper_id = 'src2'"))
+    rows = collection.scan(names.where("paper_id in ('src1', 'src2', 'src3', 'src4')"))
+    return rows.select("paper_id", "id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"))
+
+
+FOUND_SQL = """with s as (select s_nationkey paper_id, s_name, s_suppkey, floor(s_acctbal)::bigint bal, row_number() over (partition by s_nationkey order by s_suppkey) n from supplier)
+select paper_id, 0::bigint as pos, max(n_name) || '|-|-/' || string_agg(s_name || '|' || s_suppkey || '|' || bal, '/' order by n) as cells from s join nation on n_nationkey = paper_id group by 1
+union all select paper_id, 1::bigint, string_agg(s_suppkey || '|row ' || n, '/' order by n) from s group by 1"""
+
+
+@query("found_tables", FOUND_SQL)
+def found_tables(spark, sf_dir):
+    """A page for each nation: a ruled table of its suppliers under a cell that spans the columns, a second one beside it."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    suppliers = read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("paper_id"), F.lit(1).alias("page_num"), "s_suppkey", "s_name", F.floor("s_acctbal").cast("long").alias("bal"), F.row_number().over(w).alias("n"))
+    nations = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("paper_id"), F.lit(1).alias("page_num"), "n_name")
+    shake = (F.col("s_suppkey") % 3) * 0.4  # rulings of one line are never quite at one place
+    box = lambda x0, x1, top, text, off=F.lit(0.0): F.struct((F.lit(float(x0)) + off).alias("x0"), (F.lit(float(x1)) + off).alias("x1"), (top + off).cast("double").alias("top"), (top + 20 + off).cast("double").alias("bottom"), text.cast("string").alias("text"))
+    top, side = F.lit(100) + F.col("n") * 20, F.lit(90) + F.col("n") * 20
+    mine = F.array(box(50, 150, top, F.col("s_name"), shake), box(150, 250, top, F.col("s_suppkey"), shake), box(250, 350, top, F.col("bal"), shake), box(400, 500, side + 25, F.col("s_suppkey"), shake), box(500, 600, side + 25, F.concat(F.lit("row "), F.col("n")), shake))
+    head = suppliers.select("paper_id", "page_num").distinct().join(nations, ["paper_id", "page_num"]).select("paper_id", "page_num", box(50, 350, F.lit(100), F.col("n_name")).alias("b"))
+    boxes = suppliers.select("paper_id", "page_num", F.explode(mine).alias("b")).unionByName(head).select("paper_id", "page_num", "b.*")
+    said = boxes.select("paper_id", "page_num", "text", (F.col("x0") + 8).alias("x0"), (F.col("x0") + 70).alias("x1"), (F.col("top") + 5).alias("top"), F.lit(9.0).alias("size"))
+    loose = nations.select("paper_id", "page_num", F.lit("loose").alias("text"), F.lit(50.0).alias("x0"), F.lit(80.0).alias("x1"), F.lit(20.0).alias("top"), F.lit(9.0).alias("size"))
+    out = tables.found(tables.edges(boxes), said.unionByName(loose))
+    return out.select("paper_id", "pos", F.array_join(F.transform("cells", lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit("-"))), "|")), "/").alias("cells"))
