@@ -89,6 +89,8 @@ def knn(queries: DataFrame, vectors: DataFrame, *, query_id: str, query_vector:
     A checked, small set of queries is broadcast to the vectors. A larger one is dealt into blocks of about ``rows``
     queries; every vector meets each block, and only the best k of a task leave it.
     """
+    # a generated column is a value; as a plain expression a vector could be computed again for each pair
+    vectors = vectors.select(*[c for c in vectors.columns if c != vector], F.explode(F.array(vector)).alias(vector))
     asked, held = queries.alias("q"), vectors.alias("v")
     if scope:
         pairs = held.join(small(asked, rows), [F.col("q." + c) == F.col("v." + c) for c in ([scope] if isinstance(scope, str) else scope)])
