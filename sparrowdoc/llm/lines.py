@@ -25,14 +25,17 @@ SHINGLE = 12
 #: Values of a signature, and which values after the first make a band: two lines at exactly 0.75 meet in none of the
 #: bands with probability 0.0037, as summed over all sets of agreeing values.
 VALUES, BAND = 16, (0, 2, 6)
-#: Agreeing values from which two lines that met are compared; a pair at exactly 0.75 has fewer with probability 0.0075.
-LEAST_AGREEING = 8
-#: Lines under SHORT characters are signed by all their shingles, longer ones by those at places that their content
-#: picks. Two lines that are 0.75 alike and stand on both sides of SHORT are under SHORT / 0.75, so lines of
-#: such a length are signed both ways.
-SHORT = 64
+#: Agreeing values from which two lines that met are compared; a pair at exactly 0.75 has fewer with probability 0.0003.
+LEAST_AGREEING = 6
+#: Lines under SHORT characters are signed by all their shingles, longer ones by those that begin with one of PICKS. Two
+#: lines that are 0.75 alike and stand on both sides of SHORT are under SHORT / 0.75, so lines of such a length are signed
+#: both ways, and so are lines of which fewer than FEW characters are picks.
+SHORT, FEW = 64, 8
+#: First characters of picked shingles: about a quarter of those of prose, of hexadecimal digits and of numbers, an eighth
+#: to a sixth of base-64 digits, and all of other scripts'. So picks are a sample of a line wherever it is prose or not.
+PICKS = "ento147\\x{80}-\\x{10ffff}"
 #: How far under the similarity the picked shingles of two long lines may be, for all their shingles to be compared.
-LEEWAY = 0.2
+LEEWAY = 0.4
 #: Lines of a band that are compared with as many others in one go, and turns of tries before that.
 BLOCK, TURNS = 512, 1
 SIMILARITY = 0.75
@@ -48,8 +51,12 @@ def _everywhere(line: Column) -> Column:
 
 
 def _picked(line: Column) -> Column:
-    """Shingles that start at a word (a run without blanks), and at every character of a word after its first ones."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))(?:(?<=\\S{{{SHINGLE}}})\\S|\\S{{1,{SHINGLE}}}\\s*|.)"), F.lit(1))
+    """Shingles that begin with a pick."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))[{PICKS}]"), F.lit(1))
+
+
+def _few(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(f"[{PICKS}]")) < FEW
 
 
 def signatures(lines: DataFrame, *by: str) -> DataFrame:
@@ -60,7 +67,8 @@ def signatures(lines: DataFrame, *by: str) -> DataFrame:
     shingle gives two values, its halves.
     """
     long_ = F.length("line")
-    ways = F.when(long_ < SHORT, F.array(F.lit(True))).when(long_ >= int(SHORT / SIMILARITY) + 1, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    both = (long_ < int(SHORT / SIMILARITY) + 1) | _few(F.col("line"))
+    ways = F.when(long_ < SHORT, F.array(F.lit(True))).when(both, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
     parts = lines.select(*by, "line", F.explode(ways).alias("all"))
     cut = F.when(long_ < SHINGLE, F.array("line")).when(F.col("all"), _everywhere(F.col("line"))).otherwise(_picked(F.col("line")))
     parts = parts.select(*by, "all", F.posexplode(cut).alias("at", "shingle")).select(*by, "all", (F.col("at") == 0).alias("first"), F.xxhash64("shingle").alias("h"))
@@ -172,7 +180,7 @@ def _rest(open_: DataFrame, signed: DataFrame) -> DataFrame:
 def _similar(a: str, b: str, similarity: float) -> Column:
     """Whether the sets of two lines are alike; the sets are bound, so that they are cut once, and compared by size first.
 
-    Long lines are compared by their picked shingles before, which are a sixth as many in prose.
+    Long lines are compared by their picked shingles before, which are a quarter as many.
     """
 
     def enough(both: Column) -> Column:
@@ -185,7 +193,7 @@ def _similar(a: str, b: str, similarity: float) -> Column:
         return F.exists(F.array(F.size(F.array_intersect(both["x"], both["y"]))), lambda k: k >= (similarity - LEEWAY) * (n + m - k))
 
     pick = lambda c: F.array_distinct(_picked(F.col(c))).alias("x" if c == a else "y")
-    long_ = F.least(F.length(a), F.length(b)) >= SHORT
+    long_ = (F.least(F.length(a), F.length(b)) >= SHORT) & ~_few(F.col(a)) & ~_few(F.col(b))
     return F.when(long_, F.exists(F.array(F.struct(pick(a), pick(b))), maybe)).otherwise(True) & F.exists(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), enough)
 
 

@@ -225,3 +225,39 @@ def test_rates_leave_64_bits_behind(spark):
     n, total, v = 3 * 10**12, 10**14, 5 * 10**6
     got = spark.range(1).select(divergence.rate(F.lit(n), F.lit(total), F.lit(v)).alias("p")).first().p
     assert got == 1 + 10**9 * (n + 2) // (total + 2 * v)
+
+
+def shingle_likeness(a, b):
+    cut = lambda t: {t[i : i + 12] for i in range(len(t) - 11)}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+@pytest.mark.parametrize("kind", ["0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "жзийклмноп", ""])
+def test_long_alike_lines_are_found_whatever_they_hold(spark, kind):
+    """Prose with a token of which some characters in a row differ, and prose of which words differ."""
+    from sparrowdoc.llm import lines
+
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+
+    def pair():
+        while True:
+            words = [r.choice(vocabulary) for _ in range(r.randint(18, 24))]
+            if kind:
+                token = [r.choice(kind) for _ in range(r.randint(50, 80))]
+                n = r.randint(8, 18)
+                at = r.randint(0, len(token) - n)
+                other = token[:at] + [r.choice(kind) for _ in range(n)] + token[at + n :]
+                a, b = (" ".join([*words, "".join(t)]) for t in (token, other))
+            else:
+                other = list(words)
+                for _ in range(r.randint(1, 3)):
+                    other[r.randrange(len(other))] = r.choice(vocabulary)
+                a, b = " ".join(words), " ".join(other)
+            if 0.75 <= shingle_likeness(a.lower(), b.lower()) <= 0.82:
+                return a, b
+
+    pairs = [pair() for _ in range(200)]
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    gone = {x.doc_id for x in lines.dedup(docs).where("n_removed > 0").select("doc_id").collect()}
+    assert not any(d % 2 == 0 for d in gone) and len(gone) >= 190
