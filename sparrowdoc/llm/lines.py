@@ -32,8 +32,12 @@ LEAST_AGREEING = 6
 #: both ways, and so are lines of which fewer than FEW characters are picks.
 SHORT, FEW = 64, 8
 #: First characters of picked shingles: about a quarter of those of prose, of hexadecimal digits and of numbers, an eighth
-#: to a sixth of base-64 digits, and all of other scripts'. So picks are a sample of a line wherever it is prose or not.
-PICKS = "ento147\\x{80}-\\x{10ffff}"
+#: to a sixth of base-64 digits. Of other scripts with many texts (Greek, Cyrillic, Hebrew, Arabic, kana, Chinese, Korean)
+#: the first few letters, or ranges of signs, are a similar share; of any other script all are. So picks are a sample of a
+#: line wherever it is prose or not.
+PICKS = "ento147" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in (
+    (0x80, 0x3B5), (0x430, 0x437), (0x450, 0x5D5), (0x5EB, 0x628), (0x700, 0x304F), (0x3097, 0x30B0), (0x3100, 0x5FFF), (0xA000, 0xB7FF), (0xD7B0, 0x10FFFF),
+))
 #: How far under the similarity the picked shingles of two long lines may be, for all their shingles to be compared.
 LEEWAY = 0.4
 #: Lines of a band that are compared with as many others in one go, and turns of tries before that.
