@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import is_title_case
 
 
-def glyph_text(glyphs: DataFrame, by: list[str], gap: float = 2.0) -> DataFrame:
-    """Glyphs of a line in x order, a blank where the gap to the one before is over ``gap``."""
-    w = Window.partitionBy(*by).orderBy("x0")
-    piece = F.when(F.col("x0") - F.lag("x1").over(w) > gap, F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    rows = glyphs.withColumn("piece", piece)
-    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "piece"))), lambda s: s["piece"]), "").alias("text"))
-
-
 def group_lines(tops: Column, tolerance: float = 2.0) -> Column:
     """Sorted tops to line anchors: a line starts where a top is over ``tolerance`` below its first top."""
     return F.aggregate(F.array_sort(tops), F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (F.abs(t - F.element_at(acc, F.when(F.size(acc) == 0, 1).otherwise(-1))) > tolerance), F.concat(acc, F.array(t))).otherwise(acc))
@@ -28,16 +20,6 @@ def coverage(glyphs: DataFrame, page: str, width: str) -> DataFrame:
     return bins.join(hits, [page, "bin"], "left").withColumn("cov", F.coalesce("cov", F.lit(0)))
 
 
-def gutter(bins: DataFrame, page: str, width: str, low: float = 0.15, least: int = 5) -> DataFrame:
-    """(page, boundary): middle of the thinnest run in the middle 30 percent, where it is ``least`` wide or more."""
-    middle = (F.col("bin") >= F.col(width) * 0.35) & (F.col("bin") <= F.col(width) * 0.65)
-    stats = bins.groupBy(page).agg(F.median(F.when(F.col("cov") > 0, F.col("cov"))).alias("med"), F.min_by("bin", F.when(middle, F.struct("cov", "bin"))).alias("seed"))
-    thin = bins.join(stats, page).where(F.col("cov") <= F.col("med") * low)
-    runs = thin.withColumn("run", F.col("bin") - F.row_number().over(Window.partitionBy(page).orderBy("bin")))
-    spans = runs.groupBy(page, "run", "seed").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    return spans.where((F.col("seed") >= F.col("lo")) & (F.col("seed") <= F.col("hi")) & (F.col("hi") - F.col("lo") >= least)).select(page, ((F.col("lo") + F.col("hi")) / 2).alias("boundary"))
-
-
 def pair_columns(left: DataFrame, right: DataFrame, *, page: str, tolerance: float = 2.0, gap: float = 8.0) -> DataFrame:
     """Left and right lines at one height and close together. The band of y makes the range join an equi-join."""
     band = lambda c: F.floor(F.col(c) / tolerance)

@@ -59,7 +59,7 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, paper: str = "paper_id"):
         self.paper, self.store = paper, Versioned(spark, path, [paper])
 
-    def _bucket(self) -> Column:
+    def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.paper), F.lit(BUCKETS)).cast("int")
 
     def put(self, chunks: DataFrame, facts: DataFrame | None = None) -> int:
@@ -68,7 +68,7 @@ class Collection:
         ``facts``: a row for each paper with more columns for the manifest; papers without chunks may be among them.
         """
         change = self.store.change()
-        written = change.write("chunks", chunks.withColumn("bucket", self._bucket()), ["bucket", self.paper])
+        written = change.write("chunks", chunks.withColumn("bucket", self.bucket()), ["bucket", self.paper])
         counted = written.groupBy(self.paper).agg(F.count("*").alias("n_chunks"))
         rows = counted if facts is None else facts.join(counted, self.paper, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
         return change.commit(rows.withColumn("alive", F.lit(True)))
@@ -85,7 +85,7 @@ class Collection:
         """
         where = None
         if papers is not None:
-            wanted = [r["b"] for r in papers.select(self._bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
+            wanted = [r["b"] for r in papers.select(self.bucket().alias("b")).distinct().collect()]  # at most BUCKETS numbers
             where = F.col("bucket").isin(wanted)
         return self.store.read("chunks", at=at, keys=papers, where=where).select(self.paper, "id", "embedding", "document", "metadata.*")
 

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ingest, papers
 from ..registry import query
 from ..session import read_table, shared_folder
 from ..sources import readers, sinks
 from ..streaming import events as S
+from ..streaming import ingestion
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -104,3 +106,23 @@ def stream_tumbling(spark, sf_dir):
     write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows")
     counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+@query("landed_papers", """with w as (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') w from documents),
+c as (select doc_id, count(distinct md5(array_to_string(list_slice(w, s + 1, s + 512), ' '))) n from (select doc_id, w, unnest(range(0, len(w), 412)) s from w) group by 1)
+select doc_id, case when n is null then 'failed' else 'ready' end status, case when n is null then 'no text' end as error, coalesce(n, 0) n_chunks from documents left join c using (doc_id)""")
+def landed_papers(spark, sf_dir):
+    """Documents land as papers of a stream, are ingested batch by batch, and show how they fared."""
+    out = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.write.option("maxRecordsPerFile", 5000).parquet(f"{out}/in")
+    landed = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 8).parquet(f"{out}/in")
+    held = papers.Collection(spark, f"{out}/papers", "doc_id")
+
+    def read(rows):
+        sections = rows.select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("section_no"), F.lit("text").alias("heading"), F.lit("body").alias("type"), F.lit(1).alias("page_num"), F.col("text").alias("body"))
+        chunks = ingest.ingest(sections, None, embed=lambda t: F.array(F.length(t).cast("float"))).withColumnRenamed("paper_id", "doc_id")
+        return chunks, rows.limit(0).select("doc_id", F.lit("").alias("error"))
+
+    ingestion.run(landed, held, read, f"{out}/state").awaitTermination()
+    return held.papers().select("doc_id", "status", "error", "n_chunks")

@@ -99,7 +99,7 @@ class Versioned:
     def manifest(self, at: int | None = None) -> DataFrame:
         """Each key's last row up to a generation, deleted ones (not alive) included."""
         at = self.generation() if at is None else at
-        rows = self.spark.read.option("basePath", f"{self.path}/manifest").parquet(*[f"{self.path}/manifest/generation={g}" for g in self._generations("manifest", at)])
+        rows = self.spark.read.option("basePath", f"{self.path}/manifest").option("mergeSchema", True).parquet(*[f"{self.path}/manifest/generation={g}" for g in self._generations("manifest", at)])
         facts = [c for c in rows.columns if c not in self.key]
         last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*facts), "generation").alias("_m"))
         return last.select(*self.key, *[F.col(f"_m.{c}").alias(c) for c in facts])

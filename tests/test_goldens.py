@@ -88,12 +88,7 @@ def test_readers(spark, tmp_path):
 
 
 def test_layout(spark):
-    glyphs = spark.createDataFrame([(1, "H", 0.0, 5.0), (1, "i", 5.5, 7.0), (1, "x", 12.0, 14.0)], "line int, text string, x0 double, x1 double")
-    assert layout.glyph_text(glyphs, ["line"]).first().text == "Hi x"
     assert one(spark, x=layout.group_lines(F.array(*[F.lit(x) for x in (10.0, 11.5, 13.0, 30.0)]))).x == [10.0, 13.0, 30.0]
-    two = [(1, float(x), float(x + 3), 100.0) for x in list(range(0, 42, 3)) + list(range(60, 96, 3)) for _ in range(4)]
-    bins = layout.coverage(spark.createDataFrame(two, "page int, x0 double, x1 double, width double"), "page", "width").withColumn("width", F.lit(100.0))
-    assert 45 <= layout.gutter(bins, "page", "width").first().boundary <= 60
 
 
 def test_discovery_and_registry(spark, tmp_path):
