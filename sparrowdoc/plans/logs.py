@@ -12,7 +12,7 @@ from ..registry import query
 from ..session import read_table, shared_folder
 from ..sources import readers, sinks
 from ..streaming import events as S
-from ..streaming import ingestion
+from ..streaming import ingestion, stages
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -126,3 +126,21 @@ def landed_papers(spark, sf_dir):
 
     ingestion.run(landed, held, read, f"{out}/state").awaitTermination()
     return held.papers().select("doc_id", "status", "error", "n_chunks")
+
+
+@query("stage_order", """with e as (select user_id::varchar req_id, epoch_ms(ts) ms, case event_type when 'signup' then 0 when 'view' then 2 when 'click' then 4 when 'purchase' then 7 else 8 end as i, ts from events),
+w as (select *, max(i) over before as so_far, count(*) filter (where i >= 7) over before as ends from e window before as (partition by req_id order by ms, i rows between unbounded preceding and 1 preceding)),
+v as (select req_id, i, case when ends > 0 then 'after_end' when so_far is null or i > so_far then 'accepted' when i = so_far then 'repeated' else 'out_of_order' end verdict from w)
+select req_id, case i when 0 then 'planning' when 2 then 'retrieving' when 4 then 'drafting' when 7 then 'done' else 'error' end as stage, verdict, count(*) n from v group by all""")
+def stage_order(spark, sf_dir):
+    """Events as stages of requests, judged in their order by a stream's state machine."""
+    out = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    kinds = F.create_map(*[F.lit(x) for x in ("signup", "planning", "view", "retrieving", "click", "drafting", "purchase", "done", "error", "error")])
+    said = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("req_id"), F.col("ts").cast("timestamp").alias("at"), kinds[F.col("event_type")].alias("stage"))
+    # a request of a later day ends the table, so that the watermark passes all others
+    last = said.agg(F.max("at").alias("at")).select(F.lit(None).cast("string").alias("req_id"), (F.col("at") + F.expr("interval 1 day")).alias("at"), F.lit("planning").alias("stage"))
+    said.unionByName(last).write.parquet(f"{out}/in")
+    landed = spark.readStream.schema(said.schema).parquet(f"{out}/in")
+    judged = stages.ordered(landed, late="1 hour", timeout=10**9).where("req_id is not null")
+    judged.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stages.OUT).parquet(f"{out}/rows").groupBy("req_id", "stage", "verdict").agg(F.count("*").alias("n"))
