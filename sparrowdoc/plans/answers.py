@@ -68,7 +68,7 @@ EVAL_SENTENCES = "list_filter(list_transform(string_split(replace({}, chr(10), '
 @query("sentence_split_evaluator", f"select doc_id, len({EVAL_SENTENCES.format('text')}) n, md5({JOINED.format(EVAL_SENTENCES.format('text'))}) joined from documents")
 def sentence_split_evaluator(spark, sf_dir):
     s = T.evaluator_sentences(F.col("text"))
-    return read_table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("joined"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.coalesce(F.array_join("s", "|"), F.lit(""))).alias("joined"))
 
 
 _STARTS = " or ".join(f"starts_with(l, '{p.replace(chr(39), chr(39) * 2)}') or l = '{p.rstrip(' .,').replace(chr(39), chr(39) * 2)}'" for p in T.NEGATIONS)
