@@ -192,9 +192,9 @@ def worst_bad_row(spark, sf_dir):
 @query("evidence_token_f1", f"""with e as (select lang, string_agg(left(text, 200), ' ' order by doc_id) t from documents group by 1), r as (select string_agg(text, ' ' order by item_id) g from benchmark),
 f as (select lang, {NORM.format('t')} p, {NORM.format('g')} q from e, r) select lang, round(2.0 * coalesce(list_sum(list_transform(list_distinct(list_intersect(p, q)), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(q, lambda y: y = w))))), 0) / (len(p) + len(q)), 6)::double evidence_f1 from f""")
 def evidence_token_f1(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(200)).alias("t")))), lambda s: s["t"]).alias("texts"))
-    gold = read_table(spark, sf_dir, "benchmark").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: s["text"]).alias("gold"))
-    return rows.crossJoin(F.broadcast(gold)).select("lang", F.round(evaluation.evidence_token_f1(F.col("texts"), F.col("gold")), 6).alias("evidence_f1"))
+    texts = read_table(spark, sf_dir, "documents").select("lang", F.left("text", F.lit(200)).alias("text"))
+    out = evaluation.pooled_token_f1(texts, read_table(spark, sf_dir, "benchmark"), by="lang")
+    return out.withColumn("evidence_f1", F.round("evidence_f1", 6))
 
 
 @query("pipeline_deltas", """with r as (select event_type pipeline, user_id query_id, row_number() over (partition by event_type, user_id order by event_id) rank, value > 30 hit from events),
