@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import rounded
 from ..operators import evaluation, grading, retrieval
 from ..registry import query
 from ..session import read_table
@@ -18,7 +19,7 @@ LETTERS = "etaoinsh"
 def letter_vector(text: Column) -> Column:
     """How often eight letters stand in a text, rounded shares: a vector that SQL can follow."""
     n = F.greatest(F.length(text), F.lit(1))
-    return F.array(*[F.round((F.length(text) - F.length(F.replace(text, F.lit(c)))) / n, 6) for c in LETTERS])
+    return F.array(*[rounded((F.length(text) - F.length(F.replace(text, F.lit(c)))) / n, 6) for c in LETTERS])
 
 
 def vector_sql(text: str) -> str:
