@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import once, words
 
 SIZE, OVERLAP = 512, 100
 
@@ -13,8 +13,12 @@ SIZE, OVERLAP = 512, 100
 def windows(tokens: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Starts 0, step, 2*step, ... below the token count; the last chunk may hold nothing but overlap."""
     step = size - overlap
-    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, F.lit(size)).alias("tokens")))
+
+    def cut(held: Column) -> Column:
+        starts = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(held, s + 1, F.lit(size)).alias("tokens")))
+
+    return once(tokens, cut)  # within the lambda a text would be split again for each of its chunks
 
 
 def chunk_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
