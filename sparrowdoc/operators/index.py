@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
+from ..functions.vectors import rounded
 from ..sources.versions import Change, Versioned
 from . import retrieval
 
@@ -85,6 +86,32 @@ class Index:
         ``scoped``: each query has a paper, within which it searches and statistics are taken. The scores are those of
         ``retrieval.bm25`` over the same chunks.
         """
+        scope = [self.paper] if scoped else []
+        hits, weights = self._asked(queries, query_key=query_key, query=query, scoped=scoped, at=at)
+        tf = F.col("tf")
+        part = F.col("_w") * tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / F.col("_avgdl")))
+        return hits.join(retrieval.small(weights), [*scope, "term"]).groupBy(query_key, self.paper, self.pos).agg(F.sum(part).alias("score"))
+
+    def best(self, queries: DataFrame, *, k: int, digits: int, query_key: str = "query_id", query: str = "query", scoped: bool = False, at: int | None = None) -> DataFrame:
+        """(query_key, paper, pos, score, rank): the best ``k`` rows of ``search``, rounded before they are ranked, ties by ``pos``.
+
+        A chunk's postings are brought together once, whatever queries ask for them; where the queries' terms can't be
+        held by a task, or have no positive weight, ``search`` is ranked.
+        """
+        hits, weights = self._asked(queries, query_key=query_key, query=query, scoped=scoped, at=at)
+        term = lambda: F.concat_ws("\n", self.paper, "term") if scoped else F.col("term")
+        means = [F.first("avgdl").alias("avgdl")] if scoped else []
+        if scoped:
+            hits = hits.join(weights.select(self.paper, F.col("_avgdl").alias("avgdl")).distinct(), self.paper)
+        chunks = hits.groupBy(self.paper, self.pos).agg(F.collect_list(F.struct(term().alias("term"), "tf")).alias("p"), F.first("dl").alias("dl"), *means)
+        rows = chunks.select(self.pos, self.paper, F.col("p.term").alias("terms"), F.col("p.tf").alias("times"), "dl", *(["avgdl"] if scoped else []))
+        scored = retrieval.held_best(rows, weights.withColumn("term", term()), [self.pos, self.paper], query_key=query_key, k=k, digits=digits)
+        if scored is None:
+            scored = self.search(queries, query_key=query_key, query=query, scoped=scoped, at=at).withColumn("score", rounded(F.col("score"), digits))
+        return retrieval.top(scored.select(query_key, self.paper, self.pos, "score"), query_key, [F.desc("score"), F.col(self.pos)], k)
+
+    def _asked(self, queries: DataFrame, *, query_key: str, query: str, scoped: bool, at: int | None) -> tuple[DataFrame, DataFrame]:
+        """The postings of the queries' terms, and (query_key, term, _w, _avgdl): weights of the terms, by paper where ``scoped``."""
         at = self.store.generation() if at is None else at
         scope = [self.paper] if scoped else []
         terms = queries.select(*scope, query_key, F.explode(lexical_tokens(F.col(query))).alias("term")).groupBy(*scope, query_key, "term").agg(F.count("*").alias("_times")).withColumn("bucket", bucket(F.col("term")))
@@ -104,10 +131,7 @@ class Index:
             known = frequency.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mean))  # one row each
         raw = _raw(F.col("_n"), F.col("_df"))
         idf = known.select(*scope, "term", "_avgdl", F.when(raw < 0, retrieval.EPSILON * F.col("_mean")).otherwise(raw).alias("_idf"))
-        weights = terms.drop("bucket").join(idf, [*scope, "term"])
-        tf = F.col("tf")
-        part = F.col("_times") * F.col("_idf") * tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / F.col("_avgdl")))
-        return hits.join(retrieval.small(weights), [*scope, "term"]).groupBy(query_key, self.paper, self.pos).agg(F.sum(part).alias("score"))
+        return hits, terms.drop("bucket").join(idf, [*scope, "term"]).withColumn("_w", F.col("_times") * F.col("_idf")).drop("_times", "_idf")
 
     def retrieve(self, queries: DataFrame, *, k: int = 5, query_key: str = "query_id", query: str = "query", scoped: bool = False) -> DataFrame:
         """(query_key, pos, score, rank): the best ``k`` chunks, those of score 0 last; ``pos`` tells chunks apart, across papers if not scoped."""
