@@ -58,14 +58,18 @@ def crossings(lines: DataFrame, by: list[str] = PAGE, tolerance: float = CROSS)
 
 def cells(points: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """(by, x0, top, x1, bottom): for each crossing the smallest rectangle below and to the right whose corners are crossings
-    of its own two lines and of two that join them; the nearest crossing below counts first, then the nearest to the right."""
-    corner = points.select(*by, F.col("x").alias("x0"), F.col("y").alias("top"), F.col("v").alias("v0"), F.col("h").alias("h0"))
-    right = points.select(*by, F.col("h").alias("h0"), F.col("x").alias("x1"), F.col("v").alias("v1"))
-    below = points.select(*by, F.col("v").alias("v0"), F.col("y").alias("bottom"), F.col("h").alias("h1"))
-    across = points.select(*by, F.col("v").alias("v1"), F.col("h").alias("h1"))
-    tried = corner.join(below, [*by, "v0"]).where("bottom > top").join(across, [*by, "h1"]).join(right, [*by, "h0", "v1"]).where("x1 > x0")
+    of its own two lines and of two that join them; the nearest crossing below counts first, then the nearest to the right.
+
+    Two vertical lines and a horizontal one that crosses both are a side of a rectangle, and the next such line below is its
+    other side. So there is a row for each two crossings of one horizontal line, not for each two of a vertical one, of which
+    a long table has as many as rows.
+    """
+    left = points.select(*by, "h", F.col("x").alias("x0"), F.col("v").alias("v0"), F.col("y").alias("top"))
+    right = points.select(*by, "h", F.col("x").alias("x1"), F.col("v").alias("v1"))
+    sides = left.join(right, [*by, "h"]).where("x1 > x0").select(*by, "x0", "top", "x1", "v0", "v1").distinct()
+    below = F.lead("top").over(Window.partitionBy(*by, "v0", "v1").orderBy("top"))
     best = F.min(F.struct("bottom", "x1"))
-    return tried.groupBy(*by, "x0", "top").agg(best.alias("_m")).select(*by, "x0", "top", F.col("_m.x1").alias("x1"), F.col("_m.bottom").alias("bottom"))
+    return sides.withColumn("bottom", below).where("bottom is not null").groupBy(*by, "x0", "top").agg(best.alias("_m")).select(*by, "x0", "top", F.col("_m.x1").alias("x1"), F.col("_m.bottom").alias("bottom"))
 
 
 def _tables(page: pd.DataFrame) -> pd.DataFrame:
@@ -84,7 +88,8 @@ def _tables(page: pd.DataFrame) -> pd.DataFrame:
             parent[root(i)] = root(seen.setdefault(corner, i))
     roots = [root(i) for i in range(len(page))]
     first = page.assign(_r=roots).sort_values(["top", "x0"]).drop_duplicates("_r")["_r"].tolist()
-    return page.assign(table=[first.index(r) for r in roots])
+    place = {r: i for i, r in enumerate(first)}
+    return page.assign(table=[place[r] for r in roots])
 
 
 def cell_texts(placed: DataFrame, glyphs: DataFrame, by: list[str] = PAGE) -> DataFrame:

@@ -40,6 +40,29 @@ def test_rectangles_are_edges(spark):
     assert tables.cells(tables.crossings(lines)).count() == 4
 
 
+def most_rows(df):
+    """The most rows that a node of the plan gave when ``df`` was collected."""
+
+    def below(node):
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows")
+        return max([rows.get().value() if rows.isDefined() else 0, *map(below, inner)])
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+def test_cells_of_a_long_table_grow_with_its_rows(spark):
+    """Each two crossings of a vertical line were a row, so that twice the rows of a table took four times the work."""
+    n = 300
+    edges = [(1, "h", 10.0 * i, 50.0, 250.0 if i % 7 else 150.0) for i in range(n)] + [(1, "v", x, 0.0, 10.0 * n) for x in (50.0, 150.0, 250.0)]
+    df = tables.cells(tables.crossings(rules(spark, edges)))
+    right = [i for i in range(n) if i % 7]
+    expected = {(50.0, 10.0 * i, 150.0, 10.0 * i + 10) for i in range(n - 1)} | {(150.0, 10.0 * i, 250.0, 10.0 * j) for i, j in zip(right, right[1:])}
+    assert {(r.x0, r.top, r.x1, r.bottom) for r in df.collect()} == expected
+    assert most_rows(df) < 20 * n
+
+
 def test_sections_end_at_references(spark):
     rows = [(1, 0, "Title"), (1, 1, " Methods "), (1, 2, "  we do "), (2, 0, "it"), (2, 1, "Results"), (2, 2, ""), (3, 0, "References [1]"), (3, 1, "Appendix"), (3, 2, "more")]
     lines = spark.createDataFrame([("p", *r) for r in rows] + [("q", 1, 0, "none")], "paper_id string, page_num int, line_index int, text string")
