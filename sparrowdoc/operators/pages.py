@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import heading_verdicts, markdown_table
+from ..functions.text import heading_verdicts, markdown_table, once
 from . import layout
 
 PAGE = ["paper_id", "page_num"]
@@ -69,18 +69,51 @@ def column_boundary(glyphs: DataFrame, by: list[str] = PAGE, *, low: float = 0.1
     """(by, boundary) of the pages with two columns: the middle of the run of thin bins around the least covered bin.
 
     Bins are whole points of x; only the middle 30 percent of the width counts, also for the run's ends. A bin is thin
-    with at most ``low`` of the median of the covered bins; the run has to be ``least`` wide.
+    with at most ``low`` of the median of the covered bins; the run has to be ``least`` wide. A page's glyphs come together
+    as an array of four numbers each, and all bins are counted there: none is a row.
     """
-    body = body_glyphs(glyphs, by)
-    widths = body.groupBy(*by).agg(F.max("page_width").alias("_w"))
-    last = F.col("_w").cast("int")
-    covered = body.join(widths, by).select(*by, F.explode(F.sequence(F.greatest(F.lit(0), F.col("x0").cast("int")), F.greatest(F.lit(0), F.least(last, F.col("x1").cast("int"))))).alias("bin")).groupBy(*by, "bin").agg(F.count("*").alias("cov"))
-    bins = widths.select(*by, "_w", F.explode(F.sequence(F.lit(0), last)).alias("bin")).join(covered, [*by, "bin"], "left").withColumn("cov", F.coalesce("cov", F.lit(0)))
-    middle = (F.col("bin") >= F.greatest(F.lit(0), (F.col("_w") * 0.35).cast("int"))) & (F.col("bin") <= F.least(last, (F.col("_w") * 0.65).cast("int")))
-    stats = bins.groupBy(*by).agg(F.median(F.when(F.col("cov") > 0, F.col("cov"))).alias("_med"), F.min_by("bin", F.when(middle, F.struct("cov", "bin"))).alias("_seed"))
-    thin = bins.where(middle).join(stats, by).where((F.col("cov") <= F.col("_med") * low) | (F.col("bin") == F.col("_seed")))
-    runs = thin.withColumn("_run", F.col("bin") - F.row_number().over(Window.partitionBy(*by).orderBy("bin"))).groupBy(*by, "_run", "_seed").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    return runs.where((F.col("_seed").between(F.col("lo"), F.col("hi"))) & (F.col("hi") - F.col("lo") >= least)).select(*by, ((F.col("lo") + F.col("hi")) / 2).alias("boundary"))
+    spots = F.collect_list(F.struct(F.col("top").alias("top"), F.col("x0").alias("x0"), F.col("x1").alias("x1"), F.col("page_width").alias("w")))
+    pages = glyphs.groupBy(*by).agg(spots.alias("_spots"), F.min("top").alias("_t"), F.max("top").alias("_b")).where(F.col("_b") - F.col("_t") >= LEAST_HEIGHT)
+
+    def body(spots: Column) -> Column:
+        """The glyphs that ``body_glyphs`` keeps."""
+        lower = F.filter(spots, lambda g: g["top"] >= F.col("_t") + (F.col("_b") - F.col("_t")) * BODY_FROM)
+        return once(lower, lambda g: F.when(F.size(g) >= LEAST_GLYPHS, placed(g)))
+
+    def placed(spots: Column) -> Column:
+        return once(F.array_max(F.transform(spots, lambda g: g["w"])), lambda w: covered(spots, w))
+
+    def covered(spots: Column, w: Column) -> Column:
+        last = w.cast("int")
+        over = lambda g: F.sequence(F.greatest(F.lit(0), g["x0"].cast("int")), F.greatest(F.lit(0), F.least(last, g["x1"].cast("int"))))
+        hit = F.array_sort(F.filter(F.flatten(F.array_compact(F.transform(spots, over))), lambda x: x <= last))
+        # equal bins stand together: a bin's glyphs are from where it begins to where the next one does
+        first = once(hit, lambda h: F.filter(F.transform(h, lambda x, i: F.struct(x.alias("bin"), i.alias("at"), (F.coalesce(F.get(h, i - 1), F.lit(-1)) != x).alias("new"))), lambda s: s["new"]))
+        counted = once(F.struct(first.alias("f"), F.size(hit).alias("n")), lambda c: F.transform(c["f"], lambda s, i: F.struct(s["bin"].alias("bin"), (F.coalesce(F.get(c["f"], i + 1)["at"], c["n"]) - s["at"]).alias("cov"))))
+        return once(counted, lambda bins: middle(bins, F.greatest(F.lit(0), (w * 0.35).cast("int")), F.least(last, (w * 0.65).cast("int"))))
+
+    def middle(bins: Column, from_: Column, to: Column) -> Column:
+        covers = F.array_sort(F.transform(bins, lambda b: b["cov"]))
+        page = F.struct(from_.alias("from"), to.alias("to"), once(covers, half).alias("med"), F.filter(bins, lambda b: (b["bin"] >= from_) & (b["bin"] <= to)).alias("bins"))
+        return F.when(from_ <= to, once(page, seeded))
+
+    def half(covers: Column) -> Column:
+        at = lambda n: F.get(covers, F.floor(n / 2).cast("int"))
+        return (at(F.size(covers) - 1) + at(F.size(covers))) / 2
+
+    def seeded(page: Column) -> Column:
+        # bins follow each other up to the first that nothing covers; of all covered ones the least and leftmost is the seed
+        bare = page["from"] + F.size(F.filter(page["bins"], lambda b, i: b["bin"] == page["from"] + i))
+        leftmost = F.array_min(F.transform(page["bins"], lambda b: F.struct(b["cov"], b["bin"])))["bin"]
+        return once(F.when(bare <= page["to"], bare).otherwise(leftmost), lambda seed: run(page, seed))
+
+    def run(page: Column, seed: Column) -> Column:
+        thick = F.filter(page["bins"], lambda b: (b["cov"] > page["med"] * low) & (b["bin"] != seed))
+        left, right = F.filter(thick, lambda b: b["bin"] < seed), F.filter(thick, lambda b: b["bin"] > seed)
+        ends = F.struct(F.coalesce(F.get(left, F.size(left) - 1)["bin"] + 1, page["from"]).alias("lo"), F.coalesce(F.get(right, F.lit(0))["bin"] - 1, page["to"]).alias("hi"))
+        return once(ends, lambda e: F.when(e["hi"] - e["lo"] >= least, (e["lo"] + e["hi"]) / 2))
+
+    return pages.select(*by, F.explode(F.array_compact(F.array(body(F.col("_spots"))))).alias("boundary"))
 
 
 def lined(glyphs: DataFrame, by: list[str], tolerance: float = 2.0) -> DataFrame:

@@ -130,3 +130,12 @@ def test_papers_that_land_are_ingested_once(spark, tmp_path):
     again = spark.createDataFrame([("b", "mended"), ("d", "delta")], "paper_id string, text string")
     assert ingestion.apply_batch(held, again, 1, ingest) is False and held.store.generation() == g and state() == after
     assert ingestion.apply_batch(held, again, 2, ingest) is True and state() == after
+
+
+def test_column_boundary_makes_no_rows_of_bins(spark):
+    """Each point of a page's width was a row: 613 for a page with 20 glyphs, all in few tasks, as their input is small."""
+    names = "paper_id string, page_num int, page_width double, top double, x0 double, x1 double"
+    rows = [("p", n, 612.0, 10.0 * i, x + i % 7, x + 200.0) for n in range(40) for i in range(40) for x in (50.0, 350.0)]
+    df = pages.column_boundary(spark.createDataFrame([*rows, ("p", 99, 612.0, 1.0, 1.0, 5.0), ("p", 40, None, None, None, None)], names))
+    assert {(r.page_num, r.boundary) for r in df.collect()} == {(n, 300.5) for n in range(40)}
+    assert most_rows(df) <= len(rows) + 2
