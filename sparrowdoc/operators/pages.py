@@ -20,6 +20,8 @@ PAGE = ["paper_id", "page_num"]
 #: A page has two columns if its glyphs span so much height and the lower part holds so many.
 LEAST_HEIGHT, LEAST_GLYPHS, BODY_FROM = 50, 20, 0.30
 GUTTER, HEADING = 8.0, 8
+#: What a glyph has but its page.
+GLYPH = ["x0", "x1", "text", "size", "y0", "y1", "top"]
 GLYPHS = "paper_id string, page_num int, page_width double, text string, x0 double, x1 double, top double, y0 double, y1 double, size double, upright boolean"
 
 
@@ -118,8 +120,9 @@ def column_boundary(glyphs: DataFrame, by: list[str] = PAGE, *, low: float = 0.1
 
 def lined(glyphs: DataFrame, by: list[str], tolerance: float = 2.0) -> DataFrame:
     """Glyphs with ``y``, the top of their line's first glyph: a line starts over ``tolerance`` below the one before."""
-    anchors = glyphs.groupBy(*by).agg(layout.group_lines(F.collect_set(F.col("top").cast("double")), tolerance).alias("_a"))
-    return glyphs.join(anchors, by).withColumn("y", F.array_max(F.filter("_a", lambda a: a <= F.col("top")))).drop("_a")
+    rest = [c for c in glyphs.columns if c not in by]
+    together = glyphs.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("_g"), layout.group_lines(F.collect_set(F.col("top").cast("double")), tolerance).alias("_a"))
+    return together.select(*by, "_a", F.explode("_g").alias("_g")).select(*by, "_g.*", F.array_max(F.filter("_a", lambda a: a <= F.col("_g.top"))).alias("y"))
 
 
 def page_lines(glyphs: DataFrame, by: list[str] = PAGE) -> DataFrame:
@@ -130,24 +133,26 @@ def page_lines(glyphs: DataFrame, by: list[str] = PAGE) -> DataFrame:
     """
     sided = upright(glyphs).join(column_boundary(upright(glyphs), by), by, "left")
     side = F.when(F.col("boundary").isNull(), "S").when((F.col("x0") + F.col("x1")) / 2 < F.col("boundary"), "L").otherwise("R")
-    placed = lined(sided.withColumn("side", side), [*by, "side"])
-    lines = placed.groupBy(*by, "side", "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    # the two sides of one whole line; a band of y makes the join an equi-join
-    band = lambda c: F.floor(F.col(c) / 2)
-    left = lines.where("side = 'L'").select(*by, F.col("y").alias("ly"), "x1", F.explode(F.array(band("y") - 1, band("y"), band("y") + 1)).alias("_b"))
-    right = lines.where("side = 'R'").select(*by, F.col("y").alias("ry"), "x0", band("y").alias("_b"))
-    whole = left.join(right, [*by, "_b"]).where((F.abs(F.col("ly") - F.col("ry")) <= 2) & (F.col("x0") - F.col("x1") < GUTTER)).select(*by, "ly", "ry")
-    members = whole.select(*by, "ly", "ry", F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("ly").alias("y")), F.struct(F.lit("R").alias("side"), F.col("ry").alias("y")))).alias("m")).select(*by, "ly", "ry", "m.side", "m.y")
-    joined = placed.join(members, [*by, "side", "y"]).select(*by, "ly", "ry", F.lit("W").alias("side"), F.least("ly", "ry").alias("y"), "x0", "x1", "text", "size", "y0", "y1")
-    alone = placed.join(members.select(*by, "side", "y").distinct(), [*by, "side", "y"], "left_anti").select(*by, F.lit(0.0).alias("ly"), F.lit(0.0).alias("ry"), "side", "y", "x0", "x1", "text", "size", "y0", "y1")
-    rows = joined.unionByName(alone)
-    keys = [*by, "side", "y", "ly", "ry"]
-    w = Window.partitionBy(*keys).orderBy("x0", "text")
-    piece = F.when(F.col("x0") - F.lag("x1").over(w) > 2, F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    rows = rows.withColumn("_piece", piece).groupBy(*keys).agg(
-        F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "_piece"))), lambda s: s["_piece"]), "")).alias("text"),
-        F.avg("size").alias("avg_size"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-    )
+    placed = lined(sided.select(*by, side.alias("side"), *GLYPH), [*by, "side"])
+    lines = placed.groupBy(*by, "side", "y").agg(F.min("x0").alias("l"), F.max("x1").alias("r"), F.collect_list(F.struct(*GLYPH)).alias("_g"))
+    # the two sides of one whole line: each line looks at those around it, and everything stays where its page is
+    around = Window.partitionBy(*by).orderBy("y").rangeBetween(-3, 3)
+    lines = lines.withColumn("_near", F.collect_list(F.when(F.col("side") != "S", F.struct("side", "y", "l", "r"))).over(around))
+    left, right = (F.col("side") == "L"), (F.col("side") == "R")
+    meets = lambda o: (F.abs(F.col("y") - o["y"]) <= 2) & ((left & (o["side"] == "R") & (o["l"] - F.col("r") < GUTTER)) | (right & (o["side"] == "L") & (F.col("l") - o["r"] < GUTTER)))
+    pair = lambda o: F.struct(F.when(left, F.col("y")).otherwise(o["y"]).alias("ly"), F.when(left, o["y"]).otherwise(F.col("y")).alias("ry"))
+    lines = lines.select(*by, "side", "y", "_g", F.explode_outer(F.transform(F.filter("_near", meets), pair)).alias("_w"))
+    whole = F.col("_w").isNotNull()
+    lines = lines.select(*by, F.when(whole, "W").otherwise(F.col("side")).alias("side"), F.when(whole, F.least("_w.ly", "_w.ry")).otherwise(F.col("y")).alias("y"), F.coalesce("_w.ly", F.lit(0.0)).alias("ly"), F.coalesce("_w.ry", F.lit(0.0)).alias("ry"), "_g")
+    # a line's glyphs from left to right, a blank where they are over 2 points apart
+    row = lambda g: F.array_sort(F.transform(g, lambda x: F.struct(x["x0"], x["text"], x["x1"])))
+    piece = lambda r: F.transform(r, lambda x, i: F.struct(x["x0"], F.when(x["x0"] - F.get(r, i - 1)["x1"] > 2, F.concat(F.lit(" "), x["text"])).otherwise(x["text"]).alias("p")))
+    said = lambda g: F.trim(F.array_join(F.transform(F.array_sort(once(row(g), piece)), lambda x: x["p"]), ""))
+    mean = lambda sizes: F.try_divide(F.aggregate(sizes, F.lit(0.0), lambda total, x: total + x), F.size(sizes))
+    own = lambda g, name: F.transform(g, lambda x: x[name])
+    line = lambda g: F.struct(said(g).alias("text"), once(F.array_compact(own(g, "size").cast("array<double>")), mean).alias("avg_size"), F.array_min(own(g, "y0")).alias("y0"), F.array_max(own(g, "y1")).alias("y1"))
+    rows = lines.groupBy(*by, "side", "y", "ly", "ry").agg(F.flatten(F.collect_list("_g")).alias("_g"))
+    rows = rows.select(*by, "side", "y", F.explode(F.array(once(F.col("_g"), line))).alias("_l")).select(*by, "side", "y", "_l.*")
     page, own = Window.partitionBy(*by), F.when(F.col("side").isin("L", "R"), F.col("y"))
     top, bottom = F.min(own).over(page), F.max(own).over(page)
     zone = F.when(F.col("side") == "R", 2).when((F.col("side") == "W") & (F.col("y") < top), 0).when((F.col("side") == "W") & (F.col("y") > bottom), 3).otherwise(1)

@@ -139,3 +139,11 @@ def test_column_boundary_makes_no_rows_of_bins(spark):
     df = pages.column_boundary(spark.createDataFrame([*rows, ("p", 99, 612.0, 1.0, 1.0, 5.0), ("p", 40, None, None, None, None)], names))
     assert {(r.page_num, r.boundary) for r in df.collect()} == {(n, 300.5) for n in range(40)}
     assert most_rows(df) <= len(rows) + 2
+
+
+def test_lines_of_a_page_stay_where_the_page_is(spark):
+    """The glyphs were placed four times, once for each side of a join with themselves. The plan's two shuffles are by page."""
+    glyphs = spark.createDataFrame([("p", 1, 612.0, "a", 50.0, 55.0, 10.0, 1.0, 2.0, 9.0, True)], pages.GLYPHS)
+    lines = pages.page_lines(glyphs)
+    assert [tuple(r) for r in lines.collect()] == [("p", 1, 0, "a", 9.0, 1.0, 2.0)]
+    assert lines._jdf.queryExecution().sparkPlan().toString().count("Scan") == 2
