@@ -36,10 +36,6 @@ def judge(position: int, ended: bool, stage: str) -> str:
     return "accepted" if at > position or again else "out_of_order"
 
 
-def _ms(at) -> int:
-    return pd.Timestamp(at).value // 1_000_000
-
-
 class _Machine(StatefulProcessor):
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -52,16 +48,17 @@ class _Machine(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = None
         for batch in rows:
-            for at, stage in zip(batch["at"], batch["stage"], strict=True):
-                self.waiting.appendValue((_ms(at), stage))
-                latest = max(latest or _ms(at), _ms(at))
+            if len(batch):
+                times = batch["at"].to_numpy("datetime64[ms]").astype("int64").tolist()
+                self.waiting.appendList(list(zip(times, batch["stage"], strict=True)))  # one call to the store, not one for each event
+                latest = max(times) if latest is None else max(latest, *times)
         if latest is not None:
             self.handle.registerTimer(latest)  # one for a batch: by then all that came before it may be judged
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        position, last, ended = self.request.get() if self.request.exists() else (-1, None, False)
+        position, last, ended = self.request.get() or (-1, None, False)
         held = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
         due = sorted((r for r in held if r[0] <= now), key=lambda r: (r[0], STAGES.index(r[1]) if r[1] in STAGES else -1))
         out = []

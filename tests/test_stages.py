@@ -50,3 +50,20 @@ def test_stream_of_stages(spark, tmp_path, name):
     land(4, [("z", 310, "done"), ("x", 30, "done")])
     land(5, [("w", 900, "planning")])
     assert drain() == x + y + [("z", 300, "planning", "accepted"), ("z", 310, "done", "accepted")]
+
+
+def test_events_enter_the_state_in_one_call():
+    """Each event was a call to the state store of its own."""
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a)) if name.startswith(("append", "register")) else self
+
+    machine = stages._Machine(1000)
+    machine.init(Handle())
+    batch = pd.DataFrame({"at": pd.to_datetime([3_000_001, 1_000_000, 2_000_000], unit="us"), "stage": ["done", "planning", None]})
+    assert list(machine.handleInputRows(("r",), iter([batch, batch[:0], batch[1:]]), None)) == []
+    assert calls == [("appendList", [(3000, "done"), (1000, "planning"), (2000, None)]), ("appendList", [(1000, "planning"), (2000, None)]), ("registerTimer", 3000)]
