@@ -4,11 +4,15 @@ A line (a text is cut at newlines) is compared in lower case with its spaces col
 ``SHINGLE``-character shingles that start at any of its characters; a shorter line is one shingle. Equal lines are one
 node. A signature is ``VALUES`` minima of independent hashes, of which each band takes three; lines that agree in a band
 are compared with the band's first and last line by the exact Jaccard similarity of their sets, and the links are joined
-by distributed union-find. Lines outside a band's main component are tried on one line of it and on one another; those
+by distributed union-find. Lines outside a band's main component are tried on some lines of it and on some others; those
 that are still outside are then compared with all lines of their band that are in other components, in blocks, so that no
 pair that meets in a band is left untested. Of each component the first line stays, by id and line number; all its other
 occurrences go.
 
+Before two sets are compared their sketches are: each shingle flips one of ``WORDS`` * 64 bits, so two sketches differ in
+no more bits than there are shingles in one set alone. A pair whose sketches differ in more bits than its similarity
+allows is surely not similar, and no text is read for it; no similar pair is lost.
+
 Defined cases: null texts stay null; blank lines always stay; rows that agree in id and text lose the same lines; an
 empty table gives an empty one; other columns stay as they are.
 """
@@ -38,10 +42,11 @@ SHORT, FEW = 64, 8
 PICKS = "ento147" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in (
     (0x80, 0x3B5), (0x430, 0x437), (0x450, 0x5D5), (0x5EB, 0x628), (0x700, 0x304F), (0x3097, 0x30B0), (0x3100, 0x5FFF), (0xA000, 0xB7FF), (0xD7B0, 0x10FFFF),
 ))
-#: How far under the similarity the picked shingles of two long lines may be, for all their shingles to be compared.
-LEEWAY = 0.4
-#: Lines of a band that are compared with as many others in one go, and turns of tries before that.
-BLOCK, TURNS = 512, 1
+#: Words of 64 bits in a sketch of a line's set.
+WORDS = 16
+#: Lines of a band that are compared with as many others in one go; turns of tries before that, and how many lines of the
+#: main component, and of the others, a line is tried on in a turn.
+BLOCK, TURNS, TRIES = 512, 1, 16
 SIMILARITY = 0.75
 
 
@@ -55,8 +60,8 @@ def _everywhere(line: Column) -> Column:
 
 
 def _picked(line: Column) -> Column:
-    """Shingles that begin with a pick."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))[{PICKS}]"), F.lit(1))
+    """Shingles that begin with a pick, which is looked at before the rest."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=([{PICKS}].{{{SHINGLE - 1}}}))."), F.lit(1))
 
 
 def _few(line: Column) -> Column:
@@ -96,7 +101,7 @@ def _agree(a: str, b: str) -> Column:
 
 def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b): the nodes of those pairs of signatures (a, b) that agree often enough."""
-    side = lambda key, node, prefix: signed.select(F.col("sign").alias(key), F.col("node").alias(node), *[F.col(m).alias(prefix + m) for m in MINIMA])
+    side = lambda key, node, prefix: signed.select(F.col("sign").alias(key), F.col("node").alias(node), *_filled(MINIMA, prefix))
     near = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").where(_agree("x", "y") & (F.col("na") != F.col("nb")))
     return near.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
@@ -118,8 +123,12 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     signed = materialize(signed.join(met.select("sign").distinct(), "sign", "left_semi"), "signed")
     text = materialize(lines.join(nodes.join(signed.select("node").distinct(), "node", "left_semi").select("node", "hash"), "hash").groupBy("node").agg(F.first("line").alias("line")), "text")
 
-    def alike(near: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose sets are similar enough."""
+    sketched = materialize(sketches(text), "sketches")
+
+    def alike(near: DataFrame, sketch: bool = True) -> DataFrame:
+        """The pairs (a, b) of nodes whose sets are similar enough; unless their sketches have been compared."""
+        if sketch:
+            near = near.join(_side(sketched, "a", "x"), "a").join(_side(sketched, "b", "y"), "b").where(_within("x", "y", similarity)).select("a", "b")
         near = materialize(near, "pairs")
         sided = near.join(text.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
         links = materialize(sided.where(_similar("la", "lb", similarity)).select("a", "b"), "links")
@@ -130,13 +139,10 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     links = alike(_agreeing(pairs, signed))
     for turn in range(TURNS):
         open_ = _open(met, signed, links)
-        order = F.struct(F.xxhash64(F.lit(turn), "sign"), "sign")
-        picked = open_.groupBy("band").agg(F.array(F.min_by("sign", F.when(F.col("root") == F.col("main"), order)), F.min_by("sign", F.when(F.col("root") != F.col("main"), order))).alias("picked"))
-        tries = open_.where("root <> main").join(picked, "band").select("sign", F.explode("picked").alias("pick")).where("sign <> pick")
-        links = links.unionByName(alike(_agreeing(tries.select(F.least("sign", "pick").alias("a"), F.greatest("sign", "pick").alias("b")).distinct(), signed)))
+        links = links.unionByName(alike(_agreeing(_tries(open_, turn), signed)))
         drop(open_)
-    links = links.unionByName(alike(_rest(_open(met, signed, links), signed)))
-    drop(met, text, signed)
+    links = links.unionByName(alike(_rest(_open(met, signed, links), signed, sketched, similarity), sketch=False))
+    drop(met, text, sketched, signed)
     roots = materialize(components(links), "roots")
 
     # the places of lines that stand more than once or are in a component; all go but its first
@@ -154,51 +160,78 @@ def _open(met: DataFrame, signed: DataFrame, links: DataFrame) -> DataFrame:
     Of up to three nodes the first and the last were compared with all, so such bands have no untested pair.
     """
     rooted = signed.select("sign", "node").join(materialize(components(links), "roots"), "node", "left").select("sign", F.coalesce("root", "node").alias("root"))
-    placed = met.select("band", "no", "sign").join(rooted, "sign")
+    placed = met.select("band", "sign").join(rooted, "sign")
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all and all > 3")
     return materialize(placed.join(main, "band"), "open")
 
 
-def _rest(open_: DataFrame, signed: DataFrame) -> DataFrame:
-    """Agreeing pairs (a, b) of nodes outside a band's main component and the band's nodes of other components.
+def _tries(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of signatures: each outside its band's main component with up to TRIES of it and TRIES others."""
+    rows = open_.select("band", "sign", (F.col("root") != F.col("main")).alias("outside"))
+    order = F.xxhash64(F.lit(turn), "sign")
+    picked = rows.groupBy("band", "outside", F.pmod(order, F.lit(TRIES)).alias("slot")).agg(F.min_by("sign", F.struct(order, "sign")).alias("pick"))
+    tries = rows.where("outside").select("band", "sign").join(picked.select("band", "pick"), "band").where("sign <> pick")
+    return tries.select(F.least("sign", "pick").alias("a"), F.greatest("sign", "pick").alias("b")).distinct()
+
+
+def _rest(open_: DataFrame, signed: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes outside a band's main component and the band's nodes of other components that agree, in values and in sketches.
 
     The asking signatures are dealt into blocks, and so are all of the band; every block of the one meets every block of
     the other in a place of its own, and a pair that does not agree never leaves the join.
     """
     rows = open_.withColumns({"asking": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), "asked": F.ceil(F.col("all") / BLOCK).cast("int"), "outside": F.col("root") != F.col("main")})
-    rows = rows.join(signed, "sign")
+    rows = rows.join(signed, "sign").join(sketched, "node")
     spread = lambda n: F.pmod(F.xxhash64("sign"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    side = lambda prefix: [F.col(m).alias(prefix + m) for m in MINIMA]
-    asks = rows.where("outside").select("band", "no", F.col("node").alias("na"), F.col("root").alias("ra"), spread("asking").alias("q"), every("asked").alias("m"), *side("x"))
+    side = lambda prefix: _filled((*MINIMA, *SKETCH), prefix)
+    asks = rows.where("outside").select("band", F.col("node").alias("na"), F.col("root").alias("ra"), spread("asking").alias("q"), every("asked").alias("m"), *side("x"))
     asked = rows.select("band", F.col("node").alias("nb"), F.col("root").alias("rb"), "outside", every("asking").alias("q"), spread("asked").alias("m"), *side("y"))
     apart = (F.col("ra") != F.col("rb")) & (~F.col("outside") | (F.col("na") < F.col("nb")))
-    # a pair is looked at in the first band that it shares
-    earlier = F.lit(False)
-    for b in range(VALUES - 1):
-        earlier = earlier | ((F.col("no") > b) & (F.col(f"xm{b}") == F.col(f"ym{b}")) & (F.col(f"xm{(b + BAND[1]) % VALUES}") == F.col(f"ym{(b + BAND[1]) % VALUES}")) & (F.col(f"xm{(b + BAND[2]) % VALUES}") == F.col(f"ym{(b + BAND[2]) % VALUES}")))
-    return asks.join(asked, ["band", "q", "m"]).where(apart & _agree("x", "y") & ~earlier).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+    return asks.join(asked, ["band", "q", "m"]).where(apart & _within("x", "y", similarity) & _agree("x", "y")).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
 
 
-def _similar(a: str, b: str, similarity: float) -> Column:
-    """Whether the sets of two lines are alike; the sets are bound, so that they are cut once, and compared by size first.
+#: A sketch: the size of a line's set, and the words of its bits.
+SKETCH = ["size", *[f"s{i}" for i in range(WORDS)]]
+
+
+def sketches(text: DataFrame) -> DataFrame:
+    """(node, *SKETCH) of the rows (node, line): every shingle of the line's set flips the bit that its hash names."""
+    hashed = text.select("node", F.explode(_set("line")).alias("shingle")).select("node", F.xxhash64("shingle").alias("h"))
+    bits = hashed.select("node", F.col("h").bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))").alias("bit"))
+    return bits.groupBy("node").agg(F.count("*").cast("int").alias("size"), *[F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(WORDS)])
+
+
+def _side(sketched: DataFrame, key: str, prefix: str) -> DataFrame:
+    return sketched.select(F.col("node").alias(key), *_filled(SKETCH, prefix))
 
-    Long lines are compared by their picked shingles before, which are a quarter as many.
+
+def _filled(columns, prefix: str) -> list[Column]:
+    """The columns under names with a prefix, as never null: a condition on many nullable ones is a method too large for the JVM to compile."""
+    return [F.coalesce(c, F.lit(0)).alias(prefix + c) for c in columns]
+
+
+def _within(a: str, b: str, similarity: float) -> Column:
+    """Whether the sets of two sketches (prefixes of columns) may be similar enough.
+
+    Of two sets of n and m elements that are similar by j, at most (n + m) * (1 - j) / (1 + j) elements are in one alone,
+    and the smaller is at least j times the larger.
     """
+    n, m = F.col(f"{a}size"), F.col(f"{b}size")
+    apart = sum(F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(WORDS))
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (apart * (1 + similarity) <= (n + m) * (1 - similarity) + 1e-6)
+
+
+def _similar(a: str, b: str, similarity: float) -> Column:
+    """Whether the sets of two lines are alike; the sets are bound, so that they are cut once, and compared by size first."""
 
     def enough(both: Column) -> Column:
         n, m = F.size(both["x"]), F.size(both["y"])
         shared = F.exists(F.array(F.size(F.array_intersect(both["x"], both["y"]))), lambda k: k >= similarity * (n + m - k))
         return (F.least(n, m) >= similarity * F.greatest(n, m)) & shared
 
-    def maybe(both: Column) -> Column:
-        n, m = F.size(both["x"]), F.size(both["y"])
-        return F.exists(F.array(F.size(F.array_intersect(both["x"], both["y"]))), lambda k: k >= (similarity - LEEWAY) * (n + m - k))
-
-    pick = lambda c: F.array_distinct(_picked(F.col(c))).alias("x" if c == a else "y")
-    long_ = (F.least(F.length(a), F.length(b)) >= SHORT) & ~_few(F.col(a)) & ~_few(F.col(b))
-    return F.when(long_, F.exists(F.array(F.struct(pick(a), pick(b))), maybe)).otherwise(True) & F.exists(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), enough)
+    return F.exists(F.array(F.struct(_set(a).alias("x"), _set(b).alias("y"))), enough)
 
 
 def _lines(docs: DataFrame, text_col: str, *others) -> DataFrame:
