@@ -2,16 +2,17 @@
 
 A table is a folder. A change claims a number by creating the empty file ``claims/g``, which nothing but its absence lets
 it do, writes its rows beside the older ones (``data/<name>/generation=g``), then which keys it replaced or deleted
-(``manifest/generation=g``), and last, in the same way, ``commits/n``, in which its number stands; n counts commits, so of
-two changes that began at one commit the second is refused. A reader takes the last commit when it begins and sees, for
-each key, the rows of the key's last generation up to it, whatever is committed meanwhile; rows of a change that never
-came about are never read. ``vacuum`` deletes what the last commit doesn't show.
+(``manifest/generation=g``), and last, in the same way, ``commits/n``, in which its number stands, and a note; n counts
+commits, so of two changes that began at one commit the second is refused. A reader takes the last commit when it begins
+and sees, for each key, the rows of the key's last generation up to it, whatever is committed meanwhile; rows of a change
+that never came about are never read. ``vacuum`` deletes what the last commit doesn't show.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Conflict(RuntimeError):
@@ -23,7 +24,7 @@ class Change:
 
     def __init__(self, store: Versioned, based_on: int):
         self.store, self.based_on = store, based_on
-        self.generation = max([0, based_on, *store._numbers("claims")]) + 1
+        self.generation = based_on + 1
         while not store._create(f"claims/{self.generation}"):
             self.generation += 1
 
@@ -39,11 +40,14 @@ class Change:
         (rows.write.partitionBy(by[0]) if by else rows.write).mode("overwrite").parquet(path)
         return self.store.spark.read.schema(rows.schema).parquet(path)
 
-    def commit(self, manifest: DataFrame) -> int:
-        """Show the generation, with ``manifest`` (key, alive, more facts of a key), if no other one came first."""
+    def commit(self, manifest: DataFrame, note: str = "") -> int:
+        """Show the generation, with ``manifest`` (key, alive, more facts of a key), if no other one came first.
+
+        ``note`` stands in the commit itself, so it is there if and only if the generation is shown.
+        """
         manifest.write.mode("overwrite").parquet(f"{self.store.path}/manifest/generation={self.generation}")
         place = sum(g <= self.based_on for g in self.store.commits()) + 1
-        if not self.store._create(f"commits/{place}", self.generation):
+        if not self.store._create(f"commits/{place}", self.generation, note):
             raise Conflict(f"{self.store.path} has changed since generation {self.based_on}")
         return self.generation
 
@@ -53,6 +57,7 @@ class Versioned:
 
     def __init__(self, spark: SparkSession, path: str, key: list[str]):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self._known: dict[int, str | None] = {}
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,7 +69,7 @@ class Versioned:
         names = [f.getPath().getName().removeprefix(prefix) for f in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(int(n) for n in names if n.isdigit())
 
-    def _create(self, name: str, content: int | None = None) -> bool:
+    def _create(self, name: str, content: int | None = None, note: str = "") -> bool:
         """Make a file that is not there yet."""
         fs, p = self._fs(f"{self.path}/{name}")
         try:
@@ -75,18 +80,33 @@ class Versioned:
             raise
         if content is not None:
             out.writeInt(content)
+            out.writeUTF(note)
         out.close()
         return True
 
+    def _commit(self, n: int) -> tuple[int, str | None] | None:
+        """The generation and the note, if there is a commit n; no note in one that was made before there were notes."""
+        fs, p = self._fs(f"{self.path}/commits/{n}")
+        if not fs.exists(p):
+            return None
+        noted = fs.getFileStatus(p).getLen() > 4
+        file = fs.open(p)
+        out = file.readInt(), file.readUTF() if noted else None
+        file.close()
+        return out
+
+    def notes(self) -> dict[int, str | None]:
+        """Each commit's generation and its note, in the order of commits, which is ascending.
+
+        What stands in a commit never changes, and they are numbered without gaps: only those that came since are opened.
+        """
+        while found := self._commit(len(self._known) + 1):
+            self._known[found[0]] = found[1]
+        return dict(self._known)
+
     def commits(self) -> list[int]:
         """Generations in the order of their commits, which is ascending."""
-        out = []
-        for n in self._numbers("commits"):
-            fs, p = self._fs(f"{self.path}/commits/{n}")
-            file = fs.open(p)
-            out.append(file.readInt())
-            file.close()
-        return out
+        return list(self.notes())
 
     def generation(self) -> int:
         """The last commit's; 0 before the first."""
@@ -104,6 +124,10 @@ class Versioned:
         last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*facts), "generation").alias("_m"))
         return last.select(*self.key, *[F.col(f"_m.{c}").alias(c) for c in facts])
 
+    def told(self, generation: int, schema: T.StructType) -> DataFrame:
+        """The manifest's rows of one generation, as they were committed."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/manifest/generation={generation}")
+
     def alive(self, at: int | None = None) -> DataFrame:
         return self.manifest(at).where("alive")
 

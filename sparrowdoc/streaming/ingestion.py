@@ -1,9 +1,10 @@
 """Papers that land in a folder, ingested micro-batch by micro-batch, each exactly once.
 
 A batch is applied in two commits to a collection (operators.papers): its papers become ``processing``, then, with their
-chunks, ``ready`` or ``failed``. The second commit's manifest names the stream and the batch's epoch, and that is the
-ledger: a batch that Spark hands over again after a crash changes nothing if the ledger has it, and is done anew if a
-crash came before the second commit, of which then nothing is seen.
+chunks, ``ready`` or ``failed``. The second commit notes the stream and the batch's epoch, and that is the ledger: a batch
+that Spark hands over again after a crash changes nothing if the ledger has it, and is done anew if a crash came before
+the second commit, of which then nothing is seen. A batch opens only the commits that came since the one before it, so
+it costs the same however many there are.
 """
 
 from __future__ import annotations
@@ -16,16 +17,24 @@ from pyspark.sql import functions as F
 from ..operators.papers import Collection
 
 
-def _ledger(collection: Collection) -> DataFrame | None:
-    """The manifest's rows of all commits."""
+def _ledger(collection: Collection, generations: set[int] | None = None) -> DataFrame | None:
+    """The manifest's rows of all commits, or of some generations."""
     store = collection.store
-    folders = [f"{store.path}/manifest/generation={g}" for g in store._generations("manifest", store.generation())]
+    folders = [f"{store.path}/manifest/generation={g}" for g in store._generations("manifest", store.generation()) if generations is None or g in generations]
     return store.spark.read.option("basePath", f"{store.path}/manifest").option("mergeSchema", True).parquet(*folders) if folders else None
 
 
+def _note(stream: str, epoch: int) -> str:
+    return f"{epoch} {stream}"
+
+
 def applied(collection: Collection, stream: str, epoch: int) -> bool:
-    """Whether a batch has been ingested to its end."""
-    rows = _ledger(collection)
+    """Whether a batch has been ingested to its end. Of commits without notes the manifests tell."""
+    notes = collection.store.notes()
+    if _note(stream, epoch) in notes.values():
+        return True
+    bare = {g for g, note in notes.items() if note is None}
+    rows = _ledger(collection, bare) if bare else None
     if rows is None or "epoch" not in rows.columns:
         return False
     return not rows.where((F.col("stream") == stream) & (F.col("epoch") == epoch) & F.col("status").isin("ready", "failed")).isEmpty()
@@ -40,18 +49,18 @@ def apply_batch(collection: Collection, rows: DataFrame, epoch: int, ingest: Cal
     if applied(collection, stream, epoch):
         return False
     paper = collection.paper
-    papers = rows.select(paper).distinct()
-    facts = papers.withColumns({"stream": F.lit(stream), "epoch": F.lit(epoch).cast("long"), "at": F.current_timestamp()})
-    begun = facts.withColumns({"status": F.lit("processing"), "error": F.lit(None).cast("string"), "n_chunks": F.lit(0).cast("long"), "alive": F.lit(True)})
-    collection.store.change().commit(begun)
+    facts = {"stream": F.lit(stream), "epoch": F.lit(epoch).cast("long"), "at": F.current_timestamp()}
+    begun = rows.select(paper).distinct().withColumns(facts).withColumns({"status": F.lit("processing"), "error": F.lit(None).cast("string"), "n_chunks": F.lit(0).cast("long"), "alive": F.lit(True)})
+    # the papers are read back: a batch is an RDD of whole rows, in which Spark prunes no column
+    papers = collection.store.told(collection.store.change().commit(begun), begun.schema).select(paper)
     chunks, errors = ingest(rows)
     change = collection.store.change()
     written = change.write("chunks", chunks.withColumn("bucket", collection.bucket()), ["bucket", paper])
     counted = written.groupBy(paper).agg(F.count("*").alias("n_chunks"))
-    ended = facts.join(counted, paper, "left").join(errors.groupBy(paper).agg(F.min("error").alias("error")), paper, "left")
+    ended = papers.withColumns(facts).join(counted, paper, "left").join(errors.groupBy(paper).agg(F.min("error").alias("error")), paper, "left")
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("n_chunks").isNull(), "no text")
     ended = ended.withColumn("error", error).withColumns({"status": F.when(F.col("error").isNull(), "ready").otherwise("failed"), "n_chunks": F.coalesce("n_chunks", F.lit(0).cast("long")), "alive": F.lit(True)})
-    change.commit(ended)
+    change.commit(ended, _note(stream, epoch))
     return True
 
 

@@ -147,3 +147,29 @@ def test_lines_of_a_page_stay_where_the_page_is(spark):
     lines = pages.page_lines(glyphs)
     assert [tuple(r) for r in lines.collect()] == [("p", 1, 0, "a", 9.0, 1.0, 2.0)]
     assert lines._jdf.queryExecution().sparkPlan().toString().count("Scan") == 2
+
+
+def test_a_batch_opens_only_the_commits_since_the_last_one(spark, tmp_path, monkeypatch):
+    """Each batch read all manifests in Spark jobs and opened every commit many times, so its cost grew with the batches before it."""
+    from sparrowdoc.sources import versions
+
+    opened, commit = [], versions.Versioned._commit
+    monkeypatch.setattr(versions.Versioned, "_commit", lambda self, n: (found := commit(self, n)) and (opened.append(n) or found))
+    held = papers.Collection(spark, f"{tmp_path}/c")
+    for n in range(4):
+        assert ingestion.apply_batch(held, spark.createDataFrame([(f"p{n}", "text")], "paper_id string, text string"), n, ingest)
+    assert held.store.commits() == list(range(1, 9)) == opened
+    spark.sparkContext.setJobGroup("ledger", "")
+    assert [ingestion.applied(held, "landing", n) for n in range(6)] == [True] * 4 + [False] * 2 and not ingestion.applied(held, "other", 1)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("ledger")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    # commits of before there were notes: the ledger is in their manifests
+    bare = papers.Collection(spark, f"{tmp_path}/c")
+    for n in (5, 6):
+        fs, p = bare.store._fs(f"{bare.store.path}/commits/{n}")
+        out = fs.create(p, True)
+        out.writeInt(n)
+        out.close()
+    assert [ingestion.applied(bare, "landing", n) for n in range(6)] == [True] * 4 + [False] * 2
+    assert {(r.paper_id, r.status) for r in bare.papers().collect()} == {(f"p{n}", "ready") for n in range(4)}
