@@ -38,3 +38,8 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     else:
         raise RuntimeError(f"components are not joined after {rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def edges(roots: DataFrame) -> DataFrame:
+    """What ``components`` gave, as edges (a, b) that join the same nodes: with more edges they need few rounds."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

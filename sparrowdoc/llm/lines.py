@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, materialize
-from .components import components
+from .components import components, edges
 
 SHINGLE = 12
 #: Values of a signature, and which values after the first make a band: two lines at exactly 0.75 meet in none of the
@@ -116,8 +116,9 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     twins = nodes.where("node < twin").select(F.col("twin").alias("sign"), "node")
     signed = signed.drop("hash", "copies").join(twins, "sign", "left").withColumn("node", F.coalesce("node", "sign"))
 
-    # dealt out by band once; the greatest and the least signature of a band are an aggregate of the same partitions
-    banded = signed.select("sign", F.posexplode(bands(signed)).alias("no", "band")).repartition("band")
+    # dealt out by band once; the greatest and the least signature of a band are an aggregate of the same partitions. Both
+    # sides need all columns: if one has more, Spark deals the rows out twice
+    banded = signed.select("sign", F.explode(bands(signed)).alias("band")).repartition("band")
     ends = banded.groupBy("band").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo < hi")
     met = materialize(banded.join(ends.hint("merge"), "band"), "met")
     signed = materialize(signed.join(met.select("sign").distinct(), "sign", "left_semi"), "signed")
@@ -135,15 +136,23 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         drop(near)
         return links
 
+    forest = None
+
+    def joined(more: DataFrame) -> DataFrame:
+        """(node, root) of all links so far: what was joined before is a forest, and only ``more`` is new to it."""
+        nonlocal forest
+        forest = materialize(components(more if forest is None else edges(forest).unionByName(more)), "roots")
+        return forest
+
     pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("sign").alias("b")), F.struct(F.col("sign").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     links = alike(_agreeing(pairs, signed))
     for turn in range(TURNS):
-        open_ = _open(met, signed, links)
-        links = links.unionByName(alike(_agreeing(_tries(open_, turn), signed)))
+        open_ = _open(met, signed, joined(links))
+        links = alike(_agreeing(_tries(open_, turn), signed))
         drop(open_)
-    links = links.unionByName(alike(_rest(_open(met, signed, links), signed, sketched, similarity), sketch=False))
+    links = alike(_rest(_open(met, signed, joined(links)), signed, sketched, similarity), sketch=False)
     drop(met, text, sketched, signed)
-    roots = materialize(components(links), "roots")
+    roots = joined(links)
 
     # the places of lines that stand more than once or are in a component; all go but its first
     grouped = nodes.join(roots, "node", "left").where("copies > 1 or root is not null").select("hash", F.coalesce("root", "node").alias("root"))
@@ -154,12 +163,12 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return materialize(gone, "removed")
 
 
-def _open(met: DataFrame, signed: DataFrame, links: DataFrame) -> DataFrame:
+def _open(met: DataFrame, signed: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes of the bands that hold several components, with the band's size, its main component and that one's size.
 
     Of up to three nodes the first and the last were compared with all, so such bands have no untested pair.
     """
-    rooted = signed.select("sign", "node").join(materialize(components(links), "roots"), "node", "left").select("sign", F.coalesce("root", "node").alias("root"))
+    rooted = signed.select("sign", "node").join(roots, "node", "left").select("sign", F.coalesce("root", "node").alias("root"))
     placed = met.select("band", "sign").join(rooted, "sign")
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all and all > 3")

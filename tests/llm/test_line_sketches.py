@@ -53,3 +53,40 @@ def test_lines_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert lines.dedup(docs).agg(F.sum("n_removed")).first()[0] == 0
     assert sum(compared) <= n, compared
+
+
+def chain(n):
+    """Lines of which each is like its neighbours, and the last not like the first."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n + 40)]
+    return [" ".join(words[i : i + 40]) for i in range(n)]
+
+
+def test_bands_are_dealt_out_once(spark, monkeypatch):
+    """The join's side had a column that the aggregate's had not, so Spark dealt all bands out twice."""
+    plans, materialize = [], lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if name == "met" else None) or materialize(df, name))
+    docs = spark.createDataFrame(list(enumerate(chain(20))), "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert lines.dedup(docs).agg(F.sum("n_removed")).first()[0] == 19
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plans[0].count("- Exchange hashpartitioning(band") == 1 and "ReusedExchange" in plans[0], plans[0]
+
+
+def test_links_are_joined_to_what_was_joined_before(spark, monkeypatch):
+    """Each of the three times all links were joined from the first on, in as many rounds."""
+    from sparrowdoc.llm import components
+
+    rounds, joins, materialize = [], lines.components, components.materialize
+    monkeypatch.setattr(lines, "components", lambda links: rounds.append(0) or joins(links))
+
+    def counted(df, name):
+        rounds[-1] += name == "edges"
+        return materialize(df, name)
+
+    monkeypatch.setattr(components, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(chain(40))), "doc_id long, text string")
+    assert lines.dedup(docs).agg(F.sum("n_removed")).first()[0] == 39
+    assert rounds[0] > 3 and max(rounds[1:]) < rounds[0], rounds
