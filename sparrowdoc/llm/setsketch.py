@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import hashing as H
 from .common import drop, materialize, slices
-from .components import components
+from .components import components, edges
 from .rlz import with_uid
 
 SHINGLE, REGISTERS, BAND = 5, 128, 4
@@ -279,16 +279,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("roots"), F.max("size").alias("most")).where("roots > 1")
         return placed.join(main, "band"), main
 
+    forest = None
+
+    def joined(more: DataFrame) -> DataFrame:
+        """(node, root) of all links so far: what was joined before is a forest, and only ``more`` is new to it."""
+        nonlocal forest
+        forest = materialize(components(more if forest is None else edges(forest).unionByName(more)), "roots")
+        return forest
+
     for turn in range(TURNS):
         # each node outside its band's main component is tried on a few of that component, the same ones in all bands
-        placed, _ = open_nodes(materialize(components(links), "roots"))
+        placed, _ = open_nodes(joined(links))
         order = Window.partitionBy("band").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
         centres = placed.where("root = main").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CENTRES).select("band", F.col("node").alias("centre"))
         tries = placed.where("root <> main").select("band", "node").join(centres, "band").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         tries = materialize(tries.join(tested, ["a", "b"], "left_anti").join(one, "a").join(other, "b").mapInArrow(_likely, PAIR), "tries")
-        links, tested = links.unionByName(verified(tries, "links")), tested.unionByName(tries)
+        links, tested = verified(tries, "links"), tested.unionByName(tries)
 
-    placed, _ = open_nodes(materialize(components(links), "roots"))
+    placed, _ = open_nodes(joined(links))
     outside = F.col("root") != F.col("main")
     rows = placed.withColumns({"asked": F.ceil(F.col("all") / BLOCK).cast("int"), "asking": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")})
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -298,9 +306,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.select("band", "node", "root", F.explode(F.when(outside, F.concat(as_asked, as_asking)).otherwise(as_asked)).alias("p")).select("band", "node", "root", "p.*")
     rows = rows.groupBy("band", "node", "root", "q", "m").agg(F.max("asks").alias("asks"), F.max("is_asked").alias("is_asked"))
     rows = rows.join(nodes.select("node", "n", "registers"), "node").join(texts, "node")
-    more = materialize(rows.groupBy("band", "q", "m").applyInArrow(_compare(percent), PAIR), "links")
-    links = links.unionByName(more)
-    roots = materialize(components(links), "roots")
+    roots = joined(materialize(rows.groupBy("band", "q", "m").applyInArrow(_compare(percent), PAIR), "links"))
 
     rows = keyed.select("uid", id_col).join(sketch.select("uid", "node", F.col("n").cast("long").alias("n_shingles")).dropDuplicates(["uid"]), "uid")
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
