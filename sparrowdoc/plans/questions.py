@@ -190,11 +190,10 @@ def worst_bad_row(spark, sf_dir):
     return evaluation.worst_bad(evaluation.with_labels(docs.withColumn("label", F.lit(None).cast("string")), labels))
 
 
-@query("evidence_token_f1", f"""with e as (select lang, string_agg(left(text, 200), ' ' order by doc_id) t from documents group by 1), r as (select string_agg(text, ' ' order by item_id) g from benchmark),
+@query("evidence_token_f1", f"""with e as (select lang, string_agg(text, ' ' order by doc_id) t from documents group by 1), r as (select string_agg(text, ' ' order by item_id) g from benchmark),
 f as (select lang, {NORM.format('t')} p, {NORM.format('g')} q from e, r) select lang, round(2.0 * coalesce(list_sum(list_transform(list_distinct(list_intersect(p, q)), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(q, lambda y: y = w))))), 0) / (len(p) + len(q)), 6)::double evidence_f1 from f""")
 def evidence_token_f1(spark, sf_dir):
-    texts = read_table(spark, sf_dir, "documents").select("lang", F.left("text", F.lit(200)).alias("text"))
-    out = evaluation.pooled_token_f1(texts, read_table(spark, sf_dir, "benchmark"), by="lang")
+    out = evaluation.pooled_token_f1(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), by="lang")
     return out.withColumn("evidence_f1", F.round("evidence_f1", 6))
 
 
